@@ -32,10 +32,10 @@ def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> Data
     """Pairs (text, term) of distinct values where the text contains the term."""
     terms = terms.select(F.col(term).alias("__term")).distinct()
     lengths = terms.agg(F.collect_set(F.length("__term")).alias("l")).scalar()
-    at_each = F.flatten(F.transform(lengths, lambda n: F.transform(
-        F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(F.col(text), i, n))))
-    pieces = texts.select(text).distinct().select(text, F.explode(F.array_distinct(at_each)).alias("__term"))
+    cut = texts.select(text).distinct().withColumn("__len", F.explode(lengths)).where(F.length(text) >= F.col("__len"))
+    starts = F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)
+    at_each = F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("__len")))
+    pieces = cut.select(text, F.explode(F.array_distinct(at_each)).alias("__term"))
     return pieces.join(terms, "__term").select(text, F.col("__term").alias(term))
 
 
