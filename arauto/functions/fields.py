@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from arauto import dims
-from arauto.functions.text import ColumnLike, _col, clip, fold
+from arauto.functions.text import ColumnLike, _col, bind, clip, fold
 
 
 def matches(text: ColumnLike, pattern: str) -> Column:
@@ -74,18 +74,18 @@ def parse_numeric_date(value: ColumnLike) -> Column:
 
 def parse_worded_date(value: ColumnLike) -> Column:
     """'1 de março [de] 2026'; unknown months and impossible dates give null."""
-    v, pattern = _col(value), dims.RE_FLAGS + dims.RE_DATE_WORDS
+    pattern = dims.RE_FLAGS + dims.RE_DATE_WORDS
     months = F.create_map(*[F.lit(x) for pair in dims.MONTHS.items() for x in pair])
-    month = months[F.lower(F.regexp_extract(v, pattern, 2))].cast("string")
-    spelled = F.concat_ws("/", F.regexp_extract(v, pattern, 1), F.coalesce(month, F.lit("x")), F.regexp_extract(v, pattern, 3))
-    return F.try_to_date(spelled, "d/M/yyyy")
+    month = lambda v: F.coalesce(months[F.lower(F.regexp_extract(v, pattern, 2))].cast("string"), F.lit("x"))
+    spelled = lambda v: F.concat_ws("/", F.regexp_extract(v, pattern, 1), month(v), F.regexp_extract(v, pattern, 3))
+    return F.try_to_date(spelled(_col(value)), "d/M/yyyy")
 
 
 def all_dates(text: ColumnLike) -> Column:
     """Valid dates of a text in order of appearance. The two date patterns cannot overlap, so one scan finds both."""
     pattern = f"{dims.RE_FLAGS}{dims.RE_DATE_NUMERIC}|{dims.RE_DATE_WORDS}"
     found = F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(0))
-    dates = F.transform(found, lambda s: F.coalesce(parse_numeric_date(s), parse_worded_date(s)))
+    dates = F.transform(found, lambda s: F.when(s.rlike("[/-]"), parse_numeric_date(s)).otherwise(parse_worded_date(s)))
     return F.filter(dates, lambda d: d.isNotNull())
 
 
@@ -97,29 +97,31 @@ def window_text(text: ColumnLike, fold_accents: bool = False) -> Column:
     """
     t = _col(text)
     searched = fold(t) if fold_accents else F.lower(t)
-    at = F.coalesce(*[F.nullif(F.instr(searched, k), F.lit(0)) for k in dims.WINDOW_KEYS])
-    start = F.greatest(at - 20, F.lit(1))
-    return F.when(at.isNull(), F.substring(t, 1, 600)).otherwise(F.substring(t, start, at + 300 - start))
+    at = bind(searched, lambda s: F.coalesce(*[F.nullif(F.instr(s, k), F.lit(0)) for k in dims.WINDOW_KEYS]))
+
+    def stretch(at: Column) -> Column:
+        start = F.greatest(at - 20, F.lit(1))
+        return F.when(at.isNull(), F.substring(t, 1, 600)).otherwise(F.substring(t, start, at + 300 - start))
+
+    return bind(at, stretch)
 
 
 def window_from(stretch: ColumnLike) -> Column:
     """(de, ate) from the first two dates; a single date closes the window when a closing word is near."""
     w = _col(stretch)
-    dates = all_dates(w)
     closing = reduce(lambda a, b: a | b, [F.contains(F.lower(w), F.lit(k)) for k in dims.CLOSING_WORDS])
-    first, second = F.get(dates, F.lit(0)), F.get(dates, F.lit(1))
-    only_closing = second.isNull() & closing
-    return F.when(
-        first.isNotNull(),
-        F.struct(
-            F.when(~only_closing, first).alias("de"),
-            F.when(only_closing, first).otherwise(second).alias("ate"),
-        ),
-    )
+
+    def ends(dates: Column) -> Column:
+        first, second = F.get(dates, F.lit(0)), F.get(dates, F.lit(1))
+        both = F.struct(first.alias("de"), second.alias("ate"))
+        end = F.struct(F.lit(None).cast("date").alias("de"), first.alias("ate"))
+        return F.when(first.isNull(), None).when(second.isNull() & closing, end).otherwise(both)
+
+    return bind(all_dates(w), ends)
 
 
 def application_window(text: ColumnLike, fold_accents: bool = False) -> Column:
-    return window_from(window_text(text, fold_accents))
+    return bind(window_text(text, fold_accents), window_from)
 
 
 def window_is_valid(period: ColumnLike) -> Column:

@@ -7,6 +7,7 @@ could change under NFKC reach the Arrow function; the others pass it a null.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -85,6 +86,11 @@ def _col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: ColumnLike) -> Column:
     """Drop zero-width characters, collapse white space, trim; null becomes ''."""
     t = F.translate(F.coalesce(_col(text), F.lit("")), _ZERO_WIDTH, "")
