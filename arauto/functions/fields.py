@@ -201,6 +201,20 @@ def filled(c: ColumnLike) -> Column:
     return F.coalesce(_col(c) != "", F.lit(False))
 
 
+def two_decimals(x: ColumnLike) -> Column:
+    """A non-negative score with two decimals, rounded by its exact binary value, halves to even.
+
+    (``format_string`` would round the shortest decimal form up: 0.345 is stored below 0.345 and must give 0.34.)
+    Splitting off the float part keeps both products exact, so the sign of ``over`` is right.
+    """
+    x = _col(x).cast("double")
+    high = x.cast("float").cast("double")
+    n = F.floor(x * 100)
+    over = (high * 200 - (2 * n + 1)) + (x - high) * 200
+    cents = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def truthy_or(first: ColumnLike, second: ColumnLike) -> Column:
     return F.coalesce(F.nullif(_col(first), F.lit("")), _col(second))
 

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arauto.functions.fields import level_label, mode_label
+from arauto.functions.fields import level_label, mode_label, two_decimals
 
 PART_SIZE = 500
 
@@ -74,14 +74,14 @@ def _text_line(i: Column) -> Column:
     deadline = F.coalesce(F.concat(F.lit("\n  Inscrições até: "), i["prazo"]), F.lit(""))
     return F.concat(
         F.lit("- "), i["titulo"], F.lit("\n  "), i["ies_nome"], F.lit(" | "), i["modalidade_label"], area, deadline,
-        F.lit("\n  Score: "), F.format_string("%.2f", i["score"]), F.lit("\n  "), i["url_origem"], F.lit("\n"))
+        F.lit("\n  Score: "), two_decimals(i["score"]), F.lit("\n  "), i["url_origem"], F.lit("\n"))
 
 
 def _html_block(i: Column) -> Column:
     meta = F.concat_ws(
         " &middot; ", F.concat(F.lit("<strong>"), _escape(i["ies_nome"]), F.lit("</strong>")), _escape(i["modalidade_label"]),
         F.nullif(_escape(i["area_label"]), F.lit("")), F.concat(F.lit("Inscrições até "), i["prazo"]),
-        F.concat(F.lit("score "), F.format_string("%.2f", i["score"])))
+        F.concat(F.lit("score "), two_decimals(i["score"])))
     pdf = F.coalesce(F.concat(F.lit(' &middot; <a href="'), _escape(i["url_pdf"]), F.lit('">PDF</a>')), F.lit(""))
     return F.concat(
         F.lit("<div><b>"), _escape(i["titulo"]), F.lit("</b><br>"), meta, F.lit('<br><a href="'), _escape(i["url_origem"]),

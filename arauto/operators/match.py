@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arauto import dims, schemas
+from arauto.functions.fields import two_decimals
 from arauto.functions.text import ColumnLike, _col
 from arauto.operators.gate import registry_gate
 from arauto.session import fan_out
@@ -26,7 +27,7 @@ def contribution(area: Column, alvo: Column, admitting: tuple[str, ...] = dims.A
 def soft_score(area: Column, targets: Column, admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> Column:
     """struct(score, contributing) of a notice's area against a profile's target areas, in profile order."""
     live = F.filter(targets, lambda a: contribution(area, a, admitting) > 0)
-    labels = F.transform(live, lambda a: F.format_string("%s:%s:+%.2f", a["codigo_cnpq"], a["modo"], a["peso"]))
+    labels = F.transform(live, lambda a: F.concat(a["codigo_cnpq"], F.lit(":"), a["modo"], F.lit(":+"), two_decimals(a["peso"])))
     return F.struct(
         F.aggregate(live, F.lit(0.0), lambda acc, a: acc + a["peso"]).alias("score"), labels.alias("contributing"))
 
@@ -37,7 +38,7 @@ def score_bucket(score: ColumnLike) -> Column:
 
 def _soft_reason(score: Column, minimum: Column) -> Column:
     return F.concat(
-        F.format_string("soft:score=%.2f", score), F.when(score >= minimum, ">=min=").otherwise("<min="), minimum.cast("string"))
+        F.lit("soft:score="), two_decimals(score), F.when(score >= minimum, ">=min=").otherwise("<min="), minimum.cast("string"))
 
 
 def _result(df: DataFrame, hard: Column | None) -> DataFrame:

@@ -90,3 +90,9 @@ def test_small_fields(spark):
     assert one(spark, "mestrado_academico", f.level_label) == "Mestrado Academico"
     assert many(spark, ['{"de":"2026-01-02"}', '{"de":"x","ate":"2026-01-01"}', "{}", None], f.parse_window_json) == [
         (date(2026, 1, 2), None), None, None, None]
+
+
+def test_two_decimals_round_like_printf(spark):
+    values = [i / 1000 for i in range(0, 3000, 5)] + [0.125, 0.375, 1.005, 2.675, 12.345, 0.7, 1e-9]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", f.two_decimals("v").alias("r")).collect()
+    assert {r.i: r.r for r in rows} == {i: "%.2f" % v for i, v in enumerate(values)}
