@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -79,12 +80,12 @@ def throttle(requests: DataFrame, rps: float, capacity: int = 5, host: str = "ho
 
 
 def circuit_open(log: DataFrame, window_seconds: int = 60, threshold: int = 3, host: str = "host", ts: str = "ts",
-                 id: str = "id", failed: str = "failed", bucket_seconds: int = 3600) -> DataFrame:
+                 id: str = "id", failed: str = "failed") -> DataFrame:
     """Failures that open a host's circuit: the ``threshold``-th within the window with no success in between.
 
     The answer depends on the window only, so hours are independent once each holds a halo of that length.
     """
-    df = with_halo(log, ts, bucket_seconds, window_seconds)
+    df = with_halo(log, ts, max(3600, window_seconds), window_seconds)
     within = Window.partitionBy(host, BUCKET).orderBy(ts, id).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__epoch", F.count_if(~F.col(failed)).over(within)).where(failed)
     run = Window.partitionBy(host, BUCKET, "__epoch").orderBy(ts, id)
@@ -93,14 +94,13 @@ def circuit_open(log: DataFrame, window_seconds: int = 60, threshold: int = 3, h
     return df.where("__own").select(*log.columns, "opens")
 
 
-def circuit_segments(log: DataFrame, cooldown_seconds: int, host: str, ts: str, id: str, failed: str,
-                     bucket_seconds: int = 3600) -> DataFrame:
+def circuit_segments(log: DataFrame, cooldown_seconds: int, host: str, ts: str, id: str, failed: str) -> DataFrame:
     """``log`` with ``segment``: runs of a host that can be replayed on their own.
 
     A success with no failure in the ``cooldown_seconds`` before it finds the circuit closed or lets it close,
     whatever happened earlier; every such success starts a segment.
     """
-    df = with_halo(log, ts, bucket_seconds, cooldown_seconds)
+    df = with_halo(log, ts, max(3600, cooldown_seconds), cooldown_seconds)
     within = Window.partitionBy(host, BUCKET).orderBy(ts, id).rowsBetween(Window.unboundedPreceding, 0)
     last_failure = F.max(F.when(F.col(failed), F.unix_micros(ts))).over(within)
     quiet = F.coalesce(F.unix_micros(ts) - last_failure >= cooldown_seconds * 1_000_000, F.lit(True))
@@ -113,30 +113,34 @@ def circuit_replay(log: DataFrame, window_seconds: int = 60, threshold: int = 3,
     """Every request with ``allowed`` and the circuit ``state`` after it.
 
     Three failures within the window open the circuit; while open, requests are refused; after the cool-down one
-    trial closes or reopens it. The rule depends on its own earlier decisions, so it is replayed in Python, but per
-    segment (see ``circuit_segments``), never per host.
+    trial closes or reopens it. The rule depends on its own earlier decisions, so Python replays it, but segment by
+    segment (see ``circuit_segments``): segments of a host spread over the cluster, and a task streams through its
+    sorted rows holding one segment's state, never a group.
     """
     segmented = circuit_segments(log, cooldown_seconds, host, ts, id, failed)
     rows = segmented.select(host, "segment", F.unix_micros(ts).alias("t"), F.col(id), F.col(failed).alias("failed"))
     window, cooldown = window_seconds * 1_000_000, cooldown_seconds * 1_000_000
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", id])
-        recent, opened_at, allowed, states = [], None, [], []
-        for t, failure in zip(pdf["t"], pdf["failed"]):
-            trial = opened_at is not None and t - opened_at >= cooldown
-            admitted = opened_at is None or trial
-            if admitted and failure:
-                recent = [r for r in recent if t - r <= window] + [t]
-                if trial or len(recent) >= threshold:
-                    opened_at = t
-            elif admitted:
-                recent, opened_at = [], None
-            allowed.append(admitted)
-            states.append("closed" if opened_at is None else "open")
-        return pdf[[id, host, "t"]].assign(allowed=allowed, state=states)
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, recent, opened_at = None, [], None
+        for pdf in batches:
+            allowed, states = [], []
+            for h, segment, t, failure in zip(pdf[host], pdf["segment"], pdf["t"], pdf["failed"]):
+                if (h, segment) != current:
+                    current, recent, opened_at = (h, segment), [], None
+                trial = opened_at is not None and t - opened_at >= cooldown
+                admitted = opened_at is None or trial
+                if admitted and failure:
+                    recent = [r for r in recent if t - r <= window] + [t]
+                    if trial or len(recent) >= threshold:
+                        opened_at = t
+                elif admitted:
+                    recent, opened_at = [], None
+                allowed.append(admitted)
+                states.append("closed" if opened_at is None else "open")
+            yield pdf[[id, host, "t"]].assign(allowed=allowed, state=states)
 
     types = dict(log.dtypes)
     schema = f"{id} {types[id]}, {host} {types[host]}, t bigint, allowed boolean, state string"
-    replayed = rows.groupBy(host, "segment").applyInPandas(replay, schema)
-    return replayed.withColumn(ts, F.timestamp_micros("t")).drop("t")
+    ordered = rows.repartition(host, "segment").sortWithinPartitions(host, "segment", "t", id)
+    return ordered.mapInPandas(replay, schema).withColumn(ts, F.timestamp_micros("t")).drop("t")
