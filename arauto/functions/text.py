@@ -63,7 +63,8 @@ def _nfkc_rules() -> tuple[str, str, str]:
 
 @lru_cache(maxsize=1)
 def _ascii_rules() -> tuple[str, str]:
-    """(from, to) for ``translate``: one ASCII letter per decomposable character, combining marks deleted."""
+    """(from, to) for ``translate``: one ASCII letter per decomposable character; combining marks and zero-width
+    characters are deleted."""
     single, marks = dict(_ASCII_SINGLE), []
     for c in _chars():
         if c in _ASCII_MULTI:
@@ -72,7 +73,7 @@ def _ascii_rules() -> tuple[str, str]:
         base = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d))
         if len(base) == 1 and base.isascii():
             single[c] = base
-        elif not base and 0x300 <= ord(c) <= 0x36F:
+        elif c in _ZERO_WIDTH or (not base and 0x300 <= ord(c) <= 0x36F):
             marks.append(c)
     return "".join(single) + "".join(marks), "".join(single.values())
 
@@ -91,17 +92,26 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _is_ascii(t: Column) -> Column:
+    return F.octet_length(t) == F.char_length(t)
+
+
+def _collapse(t: Column) -> Column:
+    # single blanks, by far the most common white space, need no replacement
+    return F.trim(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]", " "))
+
+
 def squeeze(text: ColumnLike) -> Column:
     """Drop zero-width characters, collapse white space, trim; null becomes ''."""
-    t = F.translate(F.coalesce(_col(text), F.lit("")), _ZERO_WIDTH, "")
-    return F.trim(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", " "))
+    t = F.coalesce(_col(text), F.lit(""))
+    return _collapse(F.when(_is_ascii(t), t).otherwise(F.regexp_replace(t, f"[{_ZERO_WIDTH}]", "")))
 
 
 def nfkc(text: ColumnLike) -> Column:
     """Unicode NFKC. ASCII rows cost one regex test, Latin text one ``translate``."""
     source, target, unstable = _nfkc_rules()
     t = _col(text)
-    t = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, source, target)).otherwise(t)
+    t = F.when(_is_ascii(t), t).otherwise(F.translate(t, source, target))
     needs = t.rlike(unstable)
     return F.when(needs, _nfkc(F.when(needs, t))).otherwise(t)
 
@@ -119,16 +129,16 @@ def fold(text: ColumnLike) -> Column:
     """Transliterate to lower-case ASCII without touching spaces. Non-Latin scripts keep their letters."""
     source, target = _ascii_rules()
     t = _col(text)
-    plain = ~t.rlike(r"[^\x00-\x7F]")
     multi = t
     for c, spelled in _ASCII_MULTI.items():
         multi = F.replace(multi, F.lit(c), F.lit(spelled))
-    return F.lower(F.when(plain, t).otherwise(F.translate(multi, source, target)))
+    multi = F.when(t.rlike(f"[{''.join(_ASCII_MULTI)}]"), multi).otherwise(t)
+    return F.lower(F.when(_is_ascii(t), t).otherwise(F.translate(multi, source, target)))
 
 
 def to_ascii(text: ColumnLike) -> Column:
     """``normalize_text`` then ``fold``: the form hashes and keyword rules work on."""
-    return squeeze(fold(F.coalesce(_col(text), F.lit(""))))
+    return _collapse(fold(F.coalesce(_col(text), F.lit(""))))
 
 
 def registry_form(text: ColumnLike) -> Column:

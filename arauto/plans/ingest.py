@@ -28,21 +28,26 @@ def default_dimensions(spark: SparkSession, institutions: DataFrame, subscribers
     return Dimensions(sources, dims.contracts(spark), institutions, subscribers)
 
 
-def with_source(raw: DataFrame, sources: DataFrame) -> DataFrame:
-    """Pages with their source's kind and institution; pages of unknown sources go to the notice-page parsers."""
-    s = sources.select(F.col("codigo").alias("source"), F.coalesce("ies_nome", F.lit("")).alias("ies_nome"), "kind")
-    return raw.join(s, "source", "left").withColumns({
-        "ies_nome": F.coalesce("ies_nome", F.lit("")), "kind": F.coalesce("kind", F.lit("page"))})
+def of_kind(raw: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
+    """Pages of one kind of source, with the institution behind it; pages of unknown sources are of kind 'page'.
+
+    A join on ``source`` rather than a derived column: with the archive partitioned by source, each extraction job
+    scans only the partitions its kind names (dynamic partition pruning).
+    """
+    known = sources.where("kind is not null")
+    if kind == "page":
+        return raw.join(known.select(F.col("codigo").alias("source")), "source", "left_anti")
+    s = known.where(F.col("kind") == kind).select(F.col("codigo").alias("source"), F.coalesce("ies_nome", F.lit("")).alias("ies_nome"))
+    return raw.join(s, "source")
 
 
-def extract_all(raw: DataFrame) -> DataFrame:
+def extract_all(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Every page through the job its source's kind calls for; one table of parsed notices with ``notice_key``."""
-    routed = raw.withColumn("route", F.when(
-        F.col("kind") == "listing", extract.listing_route(F.col("content_type"), F.col("body"))).otherwise(F.col("kind")))
-    of = lambda name: routed.where(F.col("route") == name)
+    listings = of_kind(raw, sources, "listing").withColumn("route", extract.listing_route(F.col("content_type"), F.col("body")))
     parsed = frontier.all_sources(
-        extract.extract_feed(of("feed")), extract.extract_listing(of("listing")), extract.extract_search(of("search")),
-        extract.extract_table(of("catalogue")), extract.extract_routed(of("page"), extract.default_parsers()))
+        extract.extract_feed(listings.where("route = 'feed'")), extract.extract_listing(listings.where("route = 'listing'")),
+        extract.extract_search(of_kind(raw, sources, "search")), extract.extract_table(of_kind(raw, sources, "catalogue")),
+        extract.extract_routed(of_kind(raw, sources, "page"), extract.default_parsers()))
     key = F.sha2(F.concat_ws("|", "page_url", F.col("fetched_at").cast("string"), F.col("position").cast("string")), 256)
     return parsed.withColumn("notice_key", key)
 
@@ -51,7 +56,8 @@ def prepare(parsed: DataFrame, institutions: DataFrame) -> DataFrame:
     """Hashes, area and institution of parsed notices. The simhash covers the summary, or the title without one."""
     text = F.coalesce(F.nullif("texto_resumo", F.lit("")), "titulo")
     hashed = parsed.withColumns({"canonical_hash": dedup.canonical_hash(), "simhash": dedup.simhash_of(text)})
-    return gate.resolve_institution(classify.classify_area(hashed), institutions)
+    classified = classify.classify_area(hashed).drop("texto_completo", "extras")  # nothing after this reads them
+    return gate.resolve_institution(classified, institutions)
 
 
 def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column, enrichment: DataFrame | None = None) -> None:
@@ -63,13 +69,12 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
     spark = raw.sparkSession
     at = lambda name: f"{root}/{name}"
     good, rejected = contracts.apply_contracts(pages.with_content_type(raw), d.contracts)
-    good = with_source(good, d.sources)
 
     stored_pages = tables.read_batches(spark, at("snapshots"), schemas.SNAPSHOTS, below=batch)
     tables.write_batch(pages.new_snapshots(good, stored_pages, F.to_date("fetched_at")), at("snapshots"), batch)
 
     parsed_schema = f"page_url string, fetched_at timestamp, position int, {schemas.PARSED_NOTICES}, notice_key string"
-    tables.write_batch(extract_all(good), at("parsed"), batch)
+    tables.write_batch(extract_all(good, d.sources), at("parsed"), batch)
     parsed = tables.read_batches(spark, at("parsed"), parsed_schema).where(F.col("batch") == batch).drop("batch")
 
     catalogue = parsed.where(extract.is_catalogue_row())
@@ -83,8 +88,8 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
         contracts.dead_letters(reversed_window, "parse", F.lit("reversed window"), F.col("fetched_at"),
                                url=F.col("page_url"), spider=F.col("fonte_codigo")),
         contracts.dead_letters(
-            extract.broken_feeds(good.where((F.col("kind") == "listing") & (
-                extract.listing_route(F.col("content_type"), F.col("body")) == "feed"))),
+            extract.broken_feeds(of_kind(good, d.sources, "listing").where(
+                extract.listing_route(F.col("content_type"), F.col("body")) == "feed")),
             "parse", F.lit("feed is not XML"), F.col("fetched_at"), url=F.col("url"), spider=F.col("source")),
     ]
     if enrichment is not None:

@@ -120,7 +120,7 @@ def seats_and_tuition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, CAST({SQL_FROM} AS VARCHAR) AS de, CAST({SQL_TO} AS VARCHAR) AS ate FROM orders")
 def application_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = order_texts(table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
+    w = order_texts(text_table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
     return w.select("o_orderkey", F.col("w.de").cast("string").alias("de"), F.col("w.ate").cast("string").alias("ate"))
 
 
@@ -131,7 +131,7 @@ def application_windows(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT {SQL_FROM} AS de, {SQL_TO} AS ate FROM orders)) GROUP BY ALL""")
 def window_states(spark: SparkSession, d: str) -> DataFrame:
     today = F.lit("1998-06-01").cast("date")
-    w = order_texts(table(spark, d, "orders")).select(f.application_window("texto").alias("w"))
+    w = order_texts(text_table(spark, d, "orders")).select(f.application_window("texto").alias("w"))
     return w.groupBy(
         f.window_label("w").alias("rotulo"), f.window_is_valid("w").alias("valido"), f.window_is_open("w", today).alias("aberto"),
         f.window_is_over("w", today).alias("encerrado")).agg(F.count(F.lit(1)).alias("n"))
