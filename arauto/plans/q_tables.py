@@ -79,7 +79,8 @@ def order_notices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(*schemas.fields(
         schemas.NOTICES, id=uuid, titulo=F.concat(F.lit("Pedido "), F.col("o_orderkey").cast("string")), nivel=F.col("o_orderstatus"), modalidade=F.col("o_orderpriority"),
         inscricao_ate=F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.to_date("o_orderdate")), ies_id=F.col("o_custkey"), is_gratuito=F.lit(True),
-        url_origem=F.concat(F.lit("https://o.org/"), F.col("o_orderkey").cast("string")), area_cnpq_codigo=F.lit("10300007"), status=F.lit("publicado")))
+        url_origem=F.concat(F.lit("https://o.org/"), F.col("o_orderkey").cast("string")), 
+        area_cnpq_codigo=F.when(F.col("o_orderstatus") == "O", "10300007").when(F.col("o_orderstatus") == "P", "99999999"), status=F.lit("publicado")))
 
 
 TODAY = "1998-06-15"
@@ -282,7 +283,7 @@ def match_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_ITEMS = f"""SELECT o_orderkey::varchar AS match_id, c_nationkey::varchar AS subscriber_id, 'Pedido ' || o_orderkey AS titulo, c_name AS ies_nome,
   upper(o_orderstatus) AS nivel_label, {sql_pick('o_orderpriority', [('1-URGENT', '1-urgent'), ('2-HIGH', '2-high'), ('3-MEDIUM', '3-medium'), ('4-NOT SPECIFIED', '4-not Specified'), ('5-LOW', '5-low')])} AS modalidade_label,
-  'Ciencia da Computacao' AS area_label, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y-%m-%d') END AS prazo,
+  CASE o_orderstatus WHEN 'O' THEN 'Ciencia da Computacao' ELSE '' END AS area_label, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y-%m-%d') END AS prazo,
   'https://o.org/' || o_orderkey AS url_origem, round(o_totalprice / 500000, 3) AS score FROM ({SQL_PENDING}) JOIN customer ON c_custkey = o_custkey"""
 
 
@@ -314,7 +315,7 @@ def nation_subscribers(spark: SparkSession, d: str) -> DataFrame:
   SELECT subscriber_id, count(*) AS total, '[editais] ' || count(*) || ' novo(s) edital(is) — 1998-03-01' AS subject,
     CASE WHEN n_regionkey = 0 THEN 'all@example.org' ELSE lower(n_name) END AS recipient,
     md5('Editais — 1998-03-01' || chr(10) || chr(10) || count(*) || ' edital(is) encontrado(s) no seu perfil (' || n_name || ').' || chr(10) || chr(10) || string_agg(
-      '- ' || titulo || chr(10) || '  ' || ies_nome || ' | ' || modalidade_label || ' | ' || area_label || coalesce(chr(10) || '  Inscrições até: ' || prazo, '')
+      '- ' || titulo || chr(10) || '  ' || ies_nome || ' | ' || modalidade_label || CASE area_label WHEN '' THEN '' ELSE ' | ' || area_label END || coalesce(chr(10) || '  Inscrições até: ' || prazo, '')
       || chr(10) || '  Score: ' || printf('%.2f', score) || chr(10) || '  ' || url_origem || chr(10), '' ORDER BY rank)) AS body
   FROM r JOIN nation ON n_nationkey::varchar = subscriber_id WHERE n_regionkey <> 4 GROUP BY subscriber_id, n_regionkey, n_name""")
 def digests(spark: SparkSession, d: str) -> DataFrame:

@@ -39,6 +39,7 @@ def test_entry_has_rows(spark):
 
 def test_listing_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "n")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     q_tables.order_notices(spark, SMALL).write.parquet(path)
     page, total = listing.list_notices(spark.read.parquet(path), today=F.lit("1998-06-15").cast("date"), level="O")
     text = physical(page)
@@ -67,5 +68,5 @@ def test_measured_broadcast(spark):
 
 def test_schemas_parse(spark):
     for name, ddl in vars(schemas).items():
-        if name.isupper() and name not in ("PERIOD", "TARGET_AREAS"):
+        if name.isupper() and isinstance(ddl, str) and name not in ("PERIOD", "TARGET_AREAS"):
             assert schemas.struct(ddl).fields
