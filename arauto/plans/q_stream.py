@@ -93,7 +93,7 @@ def stream_circuit(spark: SparkSession, d: str) -> DataFrame:
   m AS (SELECT *, max(t - (n - 1) * 36000000000) OVER (PARTITION BY host ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM n)
   SELECT id, host, greatest(t, coalesce(m + (n - 1) * 36000000000 - 2 * 36000000000, t))::bigint AS permitted_us FROM m""")
 def stream_throttle(spark: SparkSession, d: str) -> DataFrame:
-    return run(jobs.throttle_stream(fetch_stream(spark, d), 1 / 36_000, 3))
+    return run(jobs.throttle_stream(fetch_stream(spark, d), 1 / 36_000, 3, idle_seconds=None))
 
 
 @query(f"""SELECT {SQL_H1} AS titulo, 'publicado' AS status, count(DISTINCT {SQL_LANG}) AS n FROM pages GROUP BY ALL""")

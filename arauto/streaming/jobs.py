@@ -127,34 +127,43 @@ def circuit_stream(log: DataFrame, host: str = "host", ts: str = "ts", id: str =
 
 
 class _Bucket(StatefulProcessor):
-    """Token bucket of a host as one number: when it would be full again if nothing more came."""
+    """Token bucket of a host: when it would be full again if nothing more came, and the last request's time."""
 
-    def __init__(self, step: int, capacity: int, idle_ms: int):
-        self.step, self.capacity, self.idle_ms = step, capacity, idle_ms
+    def __init__(self, step: int, capacity: int, idle: int | None):
+        self.step, self.capacity, self.idle = step, capacity, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.due = handle.getValueState("due", "t bigint", self.idle_ms)
+        self.seen = handle.getValueState("seen", "due bigint, last bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, "t", "id")
-        due, permitted = self.due.get()[0] if self.due.exists() else None, []
+        due, last = self.seen.get() if self.seen.exists() else (None, None)
+        permitted = []
         for t in pdf["t"].tolist():
-            permitted.append(t if due is None else max(t, due - (self.capacity - 1) * self.step))
-            due = (t if due is None else max(t, due)) + self.step
-        self.due.update((due,))
+            if due is None or (self.idle is not None and t - last >= self.idle):
+                due = t
+                permitted.append(t)
+            else:
+                permitted.append(max(t, due - (self.capacity - 1) * self.step))
+            due, last = max(t, due) + self.step, t
+        self.seen.update((due, last))
         yield pd.DataFrame({"host": [key[0]] * len(pdf), "id": pdf["id"].tolist(), "permitted_us": permitted})
 
     def close(self) -> None:
         pass
 
 
-def throttle_stream(requests: DataFrame, rps: float, capacity: int = 5, idle_seconds: int = 60, host: str = "host",
+def throttle_stream(requests: DataFrame, rps: float, capacity: int = 5, idle_seconds: int | None = 60, host: str = "host",
                     ts: str = "ts", id: str = "id") -> DataFrame:
-    """(host, id, permitted_us) per request; a host idle for ``idle_seconds`` is forgotten by state expiry."""
+    """(host, id, permitted_us) per request; a host's bucket is forgotten after ``idle_seconds`` without requests.
+
+    Idleness is measured on the requests' own time, so a rerun gives the same answer.
+    """
     rows = requests.select(F.col(host).alias("host"), F.unix_micros(ts).alias("t"), F.col(id).alias("id"))
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("host", "id")) + ", permitted_us bigint"
-    processor = _Bucket(round(1_000_000 / rps), capacity, idle_seconds * 1000)
-    return rows.groupBy("host").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+    idle = None if idle_seconds is None else idle_seconds * 1_000_000
+    processor = _Bucket(round(1_000_000 / rps), capacity, idle)
+    return rows.groupBy("host").transformWithStateInPandas(processor, schema, "Append", "None")
 
 
 # --- windows ----------------------------------------------------------------------------------------------
