@@ -36,3 +36,39 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op10_suffixes import suffix_dedup
 
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50, with_text=False).drop("kept")
+
+
+@query("op1_sharding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op1_sharding import ShardTree, shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), ShardTree(16))
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op2_mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op4_language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+@query("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op7_pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_pieces")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op8_pieces import encode_documents, load
+
+    return encode_documents(table(spark, sf_dir, "documents"), load()).drop("decoded")

@@ -255,7 +255,7 @@ def removed_windows(keyed_docs: DataFrame, win: Windows, finish, schema: str) ->
     """Runs ``finish`` over (rowkey, doc_id, text, data, starts): every document with its marks, for :func:`covered`."""
     spark = keyed_docs.sparkSession
     parts = width(spark)
-    buckets = max(1, parts // 2)
+    buckets = max(64, parts)  # of anchors; a document meets each at most once, however wide the session
     docs = keyed_docs.repartition(parts, "rowkey")
     flags = docs.mapInArrow(ship_runs(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_runs, FLAGS)
     marks = flags.groupBy("rowkey").agg(F.collect_list("data").alias("data"), F.max("fine").alias("fine"))
