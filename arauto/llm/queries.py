@@ -72,3 +72,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op8_pieces import encode_documents, load
 
     return encode_documents(table(spark, sf_dir, "documents"), load()).drop("decoded")
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op5_fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
