@@ -79,3 +79,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op5_fingerprints import fingerprint_documents
 
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_jaccard_groups")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op3_jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
