@@ -122,6 +122,11 @@ def _find(m: Pieces, h: np.ndarray) -> np.ndarray:
 
 
 def _apart(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    pair, back = np.unique(a * (len(m.text) + 1) + b, return_inverse=True)
+    return _apart_pairs(m, pair // (len(m.text) + 1), pair % (len(m.text) + 1))[back]
+
+
+def _apart_pairs(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether merging by rank leaves neighbours ``a``, ``b`` as they are: undoing their merges from the last to the first, no
     merge across the border comes before the one undone."""
     n = len(m.text)

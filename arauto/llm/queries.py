@@ -86,3 +86,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op3_jaccard import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_embedding_groups")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op6_caps import cap_groups
+
+    return cap_groups(table(spark, sf_dir, "embeddings"))
