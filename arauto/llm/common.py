@@ -78,8 +78,8 @@ class Texts:
         self.starts, self.ends = offsets[:-1] - base, offsets[1:] - base
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about SLICE_BYTES of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about ``size`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -88,7 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < batch.num_rows:
             done = cut[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(cut, done + SLICE_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(cut, done + size, "right")))
             yield batch.slice(at, end - at)
             at = end
 

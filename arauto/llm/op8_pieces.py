@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"  #: stands for a blank in pieces
 LITERAL = "\U0010ffff"  #: stands for a text's own U+2581 while it is encoded; itself encoded by bytes like it
 #: Distinct segments a Python worker remembers before it forgets all and starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
+#: Characters times piece lengths that one batch of words holds.
+CELLS = 2_000_000
+#: Texts are encoded in slices of about so many bytes.
+SLICE = 6 << 20
 
 
 @dataclass
@@ -158,25 +163,24 @@ def viterbi(m: Pieces, words: list[str]) -> list[np.ndarray]:
     size = len(words[0])
     codes = _codes(words, size)
     h = _hash(codes)
-    rows, n = np.arange(len(words)), len(m.text)
+    rows, n, worst = np.arange(len(words)), len(m.text), m.score.min() - 10.0
     best = np.full((len(words), size + 1), -np.inf)
     best[:, 0] = 0
     back, last = np.zeros((len(words), size + 1), np.int64), np.zeros((len(words), size + 1), np.int64)
     for end in range(1, size + 1):
-        for start in range(max(0, end - m.longest), end):
-            piece = _find(m, h[:, end] - h[:, start] * _POWER[end - start])
-            gain = np.where(piece >= 0, m.score[piece], -np.inf)
-            if end - start == 1:
-                gain = np.where(piece >= 0, gain, m.score.min() - 10.0)
-                piece = np.where(piece >= 0, piece, n)
-            open_ = np.flatnonzero((piece >= 0) & np.isfinite(best[:, start]))
-            if m.merges and start and len(open_):
-                open_ = open_[_apart(m, last[open_, start], piece[open_])]
-            total = best[open_, start] + gain[open_]
-            better = total > best[open_, end]
-            at = open_[better]
-            best[at, end], back[at, end], last[at, end] = total[better], start, piece[at]
-    out: list[list[np.ndarray]] = []
+        starts = np.arange(max(0, end - m.longest), end)
+        piece = _find(m, h[:, end, None] - h[:, starts] * _POWER[end - starts])
+        gain = np.where(piece >= 0, m.score[piece], -np.inf)
+        lone = piece[:, -1] < 0
+        piece[lone, -1], gain[lone, -1] = n, worst
+        total = best[:, starts] + gain
+        if m.merges:
+            r, c = np.nonzero(np.isfinite(total) & (starts > 0)[None])
+            clash = ~_apart(m, last[r, starts[c]], piece[r, c])
+            total[r[clash], c[clash]] = -np.inf
+        pick = total.argmax(1)
+        best[:, end], back[:, end], last[:, end] = total[rows, pick], starts[pick], piece[rows, pick]
+    out: list[np.ndarray] = []
     ends = np.full(len(words), size)
     steps = []
     while (ends > 0).any():
@@ -196,17 +200,31 @@ def viterbi(m: Pieces, words: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _segments(m: Pieces) -> str:
+    """A pattern that cuts texts only where no piece reaches across: before blanks, and between a letter and a mark that follows
+    a letter in no piece; white space that is in no longer piece stands alone."""
+    pieces = [m.text[i] for i in np.flatnonzero(m.usable & (m.length[:-1] > 1))]
+    within = set("".join(pieces))
+    if any(BLANK in p.lstrip(BLANK) for p in pieces):
+        return ".+"
+    letter = r"[^\W\d_]"
+    after = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if re.match(letter, a)}
+    alone = re.escape("".join(c for c in "\n\t\r\v\f" if c not in within))
+    marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after))
+    other = rf"(?:(?![{BLANK}{alone}])[\W\d_])"
+    last = rf"|[{alone}]" if alone else ""
+    if not marks:
+        return rf"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+{last}"
+    run = rf"{other}*{letter}++(?![{marks}])"
+    return rf"{BLANK}*(?:{run})*+(?:{other}*{letter}++|{other}+)|{BLANK}*(?:{run})++|{BLANK}+{last}"
+
+
 class Coder:
     """Encodes and decodes batches; remembers the segments it has met."""
 
     def __init__(self, m: Pieces):
         self.m = m
-        within = {c for i in np.flatnonzero(m.usable & (m.length[:-1] > 1)) for c in m.text[i]}
-        alone = "".join(c for c in "\n\t\r\v\f" if c not in within)
-        # no piece reaches from another character into a blank, so segments begin at blanks
-        reach = any(BLANK in m.text[i].lstrip(BLANK) for i in np.flatnonzero(m.usable))
-        cut = rf"{BLANK}*[^{BLANK}{re.escape(alone)}]+|{BLANK}+" + (f"|[{re.escape(alone)}]" if alone else "")
-        self.cut = re.compile("(?s).+" if reach else cut)
+        self.cut = re.compile(_segments(m), re.S)
         self.memo: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         raw = [t.replace(BLANK, " ").encode() for t in m.text]
@@ -221,8 +239,9 @@ class Coder:
         for s in segments:
             by_length.setdefault(len(s), []).append(s)
         for words in by_length.values():
-            for at in range(0, len(words), 4096):
-                part = words[at : at + 4096]
+            step = max(1, CELLS // (len(words[0]) * self.m.longest))
+            for at in range(0, len(words), step):
+                part = words[at : at + step]
                 # U+FFFF in a segment stands for a text's own U+2581, which is no blank
                 for word, ids in zip(part, viterbi(self.m, [w.replace("￿", "￾"[:1]) if "￿" in w else w for w in part]), strict=True):
                     self.memo[word] = len(self.ids)
@@ -254,6 +273,18 @@ class Coder:
         return [raw[a + 1 : b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+_CODERS: dict[str, Coder] = {}
+
+
+def _coder(m: Pieces) -> Coder:
+    """The worker's coder of a model: what it has learned serves its later tasks."""
+    mark = hashlib.blake2b(repr((m.text, m.score.tolist())).encode()).hexdigest()
+    if mark not in _CODERS:
+        _CODERS.clear()
+        _CODERS[mark] = Coder(m)
+    return _CODERS[mark]
+
+
 def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, n_ids, decoded (what the ids decode to) and round_trip (decoded equals the text), with columns ``keep``.
 
@@ -266,8 +297,8 @@ def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ())
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shipped.value)
-        for batch in slices(batches, "text_"):
+        coder = _coder(shipped.value)
+        for batch in slices(batches, "text_", SLICE):
             texts = batch.column("text_").to_pylist()
             ids, offsets = coder.encode(texts)
             back = [x.decode("utf-8", "replace") if t is not None else None for t, x in zip(texts, coder.decode(ids, offsets), strict=True)]
