@@ -39,13 +39,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(rowkey, doc_id, text): the columns the window operators read.
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(rowkey, doc_id, text, kept_...): the columns the window operators read, and those of ``keep``.
 
     ``rowkey`` hashes doc_id and text, so rows that repeat one doc_id with other texts stay apart and identical rows
     share a result.
     """
-    return docs.select(F.xxhash64("doc_id", "text").alias("rowkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("rowkey"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """DDL of the columns ``keep`` under their kept_ names, to append to a schema."""
+    return "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

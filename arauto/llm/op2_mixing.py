@@ -96,7 +96,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
         F.xxhash64("doc_id", "text").alias("mark"), *[F.col(c).alias(f"kept_{c}") for c in keep],
     )
-    targets = source_targets(rows.select("source", "size"), weights, share, most)
+    targets = staged(source_targets(rows.select("source", "size"), weights, share, most), "targets")
     rows = rows.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "source_size", "target", "n")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.least(F.floor(expected), F.lit(int(most)))

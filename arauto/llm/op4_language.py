@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arauto.llm.common import Texts, slices, staged
+from arauto.llm.common import Texts, kept_schema, slices, staged
 
 #: The models are fitted on about so many documents of each language, chosen by hash.
 SAMPLE_DOCS = 600
@@ -158,7 +158,6 @@ def identify(docs: DataFrame, models: Models | None, keep: tuple[str, ...] = ())
     none = rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[f"kept_{c}" for c in keep])
     if models is None:
         return none
-    kept = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     shipped = docs.sparkSession.sparkContext.broadcast(models)  # bounded by SYMBOLS, ORDER, the sample and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +173,4 @@ def identify(docs: DataFrame, models: Models | None, keep: tuple[str, ...] = ())
                 names=["doc_id", "held_out", "lang_pred", "score", *[f"kept_{c}" for c in keep]],
             )
 
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, lang_pred string, score double{kept}")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double" + kept_schema(docs, keep))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arauto.llm.common import K1, K2, slices
+from arauto.llm.common import K1, K2, kept_schema, slices
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"  #: stands for a blank in pieces
@@ -293,7 +293,6 @@ def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ())
     long texts take memory in proportion to their own length. Other columns of ``docs`` are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text_"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    kept = "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,4 +307,4 @@ def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ())
             same = pa.array([a == b for a, b in zip(texts, back, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, sizes, pa.array(back, pa.string()), same, *[batch.column(f"kept_{c}") for c in keep]], names=["doc_id", "ids", "n_ids", "decoded", "round_trip", *[f"kept_{c}" for c in keep]])
 
-    return rows.mapInArrow(run, f"doc_id long, ids array<int>, n_ids long, decoded string, round_trip boolean{kept}")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded string, round_trip boolean" + kept_schema(docs, keep))

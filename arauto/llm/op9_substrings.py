@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arauto.llm.common import Texts, keyed, slices, word_ids, words_of
+from arauto.llm.common import Texts, kept_schema, keyed, slices, word_ids, words_of
 from arauto.llm.windows import Windows, covered, removed_windows
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -29,13 +29,14 @@ def levels(window: int) -> tuple[int, ...]:
     return tuple(reversed(out[:-1]))
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word that a window of ``window`` words covers whose words also start earlier.
 
     Earlier is a smaller doc_id, or the same document and a smaller start. Windows repeated at half the length (they
     share an anchor there) are extended to the full one; no others are looked at again. Texts are judged as given.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept words joined by blanks. Null and blank texts
+    Returns doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept words joined by blanks, with the columns
+    ``keep`` as kept_<name>. Null and blank texts
     have no words; texts shorter than the window keep all. A null doc_id comes after all others. Rows that repeat a
     doc_id are not earlier than each other. Other columns of ``docs`` are ignored.
     """
@@ -57,6 +58,6 @@ def substring_dedup(docs: DataFrame, window: int = 20, with_text: bool = True) -
                 removed.append(c - len(stay))
                 digests.append(hashlib.sha256(text).hexdigest())
                 kept.append(text.decode("utf-8", "replace") if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=[x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()), *[batch.column(f"kept_{c}") for c in keep]], names=[*[x.split()[0] for x in OUT.split(", ")], *[f"kept_{c}" for c in keep]])
 
-    return removed_windows(keyed(docs), win, finish, OUT)
+    return removed_windows(keyed(docs, keep), win, finish, OUT + kept_schema(docs, keep))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -93,3 +95,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op6_caps import cap_groups
 
     return cap_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
