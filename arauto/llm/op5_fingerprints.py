@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from arauto.llm.common import WORD, staged
 
 #: Samples of a fingerprint; the standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES).
-SAMPLES = 32
+SAMPLES = 48
+#: Samples that share one draw a term: the draw's hash says which of them the term stands for.
+BINS = 16
 #: Documents of one bucket of the order by doc_id, on average.
-BUCKET_DOCS = 5_000
+BUCKET_DOCS = 2_000
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:
@@ -37,38 +39,46 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * 2.0**-bits
 
 
-def sample(j: int) -> Column:
-    """Sample ``j`` of (term, log_weight), a long: how soon the term wins (high bits), then a hash of (term, level).
+def sample(j: int) -> tuple[Column, Column]:
+    """(which of BINS samples, sample) of draw ``j`` of (term, log_weight).
 
-    r and c are Gamma(2, 1), each the sum of two exponentials, and b is uniform, all drawn by hashing (term, j). With
-    t = floor(ln w / r + b) and ln y = r (t - b) a term's sample is a = c / (y exp r); the least a of a text wins with
-    its (term, t). Two texts agree with probability sum of minima / sum of maxima of their weights.
+    The sample is a long: how soon the term wins (high bits), then a hash of (term, level). r and c are Gamma(2, 1), each the
+    sum of two exponentials, and b is uniform, all drawn by hashing (term, j). With t = floor(ln w / r + b) and
+    ln y = r (t - b) a term's sample is a = c / (y exp r); the least a wins with its (term, t). Two texts agree with
+    probability sum of minima / sum of maxima of their weights.
     """
     h, g = F.xxhash64("term", F.lit(2 * j)), F.xxhash64("term", F.lit(2 * j + 1))
     r = -F.log(_uniform(h, 0, 31) * _uniform(h, 32, 31))
-    log_c = F.log(-F.log(_uniform(g, 0, 24) * _uniform(g, 24, 24)))
-    b = _uniform(g, 48, 16)
+    log_c = F.log(-F.log(_uniform(g, 0, 23) * _uniform(g, 23, 23)))
+    b = _uniform(F.xxhash64("term", F.lit(-1 - j)), 0, 31)
     level = F.floor(F.col("log_weight") / r + b)
-    soon = log_c - r * (level.cast("double") - b) - r  # within -96 and 32 for any weight below e^40
+    soon = log_c - r * (level.cast("double") - b + 1.0)  # within -96 and 32 for any weight below e^40
     rank = F.shiftleft(((soon + 96.0) * 2.0**24).cast("long"), 32)
-    return rank.bitwiseOR(F.xxhash64("term", level, F.lit(j)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.pmod(F.shiftrightunsigned(g, 46), F.lit(BINS)), rank.bitwiseOR(h.bitwiseXOR(level).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def fingerprint(df: DataFrame, key: str, carry: list[str], samples: int = SAMPLES) -> DataFrame:
     """(key, carry, signature array<int>) of rows (key, carry, term, log_weight); ``carry`` are longs, equal within a key.
 
-    Samples are minima, so they are taken partially before the shuffle: one row a text and task moves.
+    A draw serves BINS samples, each over the terms that fall to it, so a term costs samples / BINS draws; a sample no term
+    falls to is null. Samples are minima, taken partially before the shuffle: one row a text and task moves.
     """
-    least = [F.min(sample(j)).alias(f"s{j}") for j in range(samples)]
+    if samples % BINS:
+        raise ValueError(f"samples come in groups of {BINS}")
+    draws = [sample(j) for j in range(samples // BINS)]
+    df = df.select(key, *carry, *[c.alias(f"{n}{j}") for j, draw in enumerate(draws) for n, c in zip("wv", draw, strict=True)])
+    least = [F.min(F.when(F.col(f"w{j // BINS}") == j % BINS, F.col(f"v{j // BINS}"))).alias(f"s{j}") for j in range(samples)]
     out = df.groupBy(key).agg(*[F.max(c).alias(c) for c in carry], *least)
-    low = [F.coalesce(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31), F.lit(-(1 << 31))).cast("int") for j in range(samples)]
+    low = [(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for j in range(samples)]
     return out.select(key, *carry, F.array(*low).alias("signature"))
 
 
-def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
-    """Share of samples in which two signatures agree."""
-    agree = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return agree.cast("double") / samples
+def likeness(a: Column, b: Column) -> Column:
+    """Share of samples in which two signatures agree, of those that at least one has; 1.0 if neither has any."""
+    each = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).when(x.isNotNull() | y.isNotNull(), 0))
+    had = F.filter(each, lambda x: x.isNotNull())
+    agree = F.aggregate(had, F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(had) == 0, 1.0).otherwise(agree.cast("double") / F.size(had))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -117,7 +127,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document
     by descending doc_id. Terms are words weighted by their counts; equal texts have equal fingerprints. Null texts are empty; a
-    text without words has the fingerprint of no samples and is like (1.0) any other such text only. A table of one
+    text without words has a fingerprint of dashes and is like (1.0) any other such text only. A table of one
     row is its own next document. Other columns are ignored; repeated rows each give a row.
     """
     k = F.floor(F.col("n_chars") / 3).cast("int")
@@ -134,9 +144,9 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     side = lambda which: F.max(F.when(F.col("key") % 2 == which, F.col("signature")))
     pairs = signed.groupBy("pos").agg(*[F.max(c).alias(c) for c in meta[1:]], side(0).alias("own"), F.max(F.when(F.abs(F.col("key") % 2) == 1, F.col("signature"))).alias("edited"))
     after = signed.filter(F.col("key") % 2 == 0).select(F.col("pos").alias("next_pos"), F.col("signature").alias("next"))
-    text = lambda sig: F.lower(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0")), ""))
+    text = lambda sig: F.lower(F.array_join(F.transform(sig, lambda x: F.coalesce(F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0"), F.lit("--------"))), ""))
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{i}"), 8, "0") for i in range(8)]))
     return pairs.join(after, "next_pos").select(
         "doc_id", "n_chars", sha.alias("edited_sha256"), text(F.col("own")).alias("fingerprint"), text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), samples).alias("near_edited"), likeness(F.col("own"), F.col("next"), samples).alias("near_next"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
