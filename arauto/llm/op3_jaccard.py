@@ -290,17 +290,19 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     member = staged(shared.select("doc_id").distinct().join(rep_of, "doc_id").select("doc_id", "rep").distinct(), "members")
     points = staged(known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "n_shingles", "point").dropDuplicates(["doc_id"]), "points")
     blocks = staged(shared.join(member, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct(), "blocks")
-    sets = staged(texts_in(docs, points.select("doc_id"), n).dropDuplicates(["doc_id"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only texts of documents in pairs are read into sets again."""
+        pairs = staged(pairs, "pairs")
+        sets = staged(texts_in(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), n), "sets")
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_verify(num, den), "a long, b long")
+        return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
     stars = blocks.join(blocks.groupBy("key").agg(F.min("doc_id").alias("a")), "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     bounded = stars.join(points.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("nx"), F.col("point").alias("px")), "a")
     bounded = bounded.join(points.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py")), "b")
-    links = staged(verified(bounded.mapInArrow(_bound_filter(num, den), "a long, b long")), "links")
+    links = verified(bounded.mapInArrow(_bound_filter(num, den), "a long, b long"))
     first = components(links)
 
     labelled = points.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -311,7 +313,7 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     spread = in_block.join(mixed.select("key", "n"), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
     spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "doc_id")
     again = spread.join(labelled, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long").distinct()
-    more = staged(verified(again), "links")
+    more = verified(again)
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
     named = features.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(joined, "rep", "left")
     per_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
