@@ -42,7 +42,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = True) -> D
     """
     if length < 8:
         raise ValueError("strings of 8 bytes at least")
-    win = Windows(byte_tokens, offsets(length), offsets(length)[-3], own=False)
+    win = Windows(byte_tokens, offsets(length), offsets(length)[-3], own=False, letters=_BYTE)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

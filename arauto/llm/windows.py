@@ -6,7 +6,8 @@ an anchor form a *run*, so equal windows always meet in runs whose anchors have
 
 1. Every run ships (anchor id, id of all tokens its windows cover, document). A run whose cover also occurs in an
    earlier document is removed whole (*bulk*). Runs that share an anchor but not a cover are *fine*.
-2. Only fine runs ship the ids of their single windows; those that occur earlier are removed.
+2. Only fine runs go on, as the ids of their single windows or, where a token is a byte, as the bytes of their cover,
+   which are fewer; windows that occur earlier are removed.
 
 Slices of text settle their own repeats first, so a hot passage costs one entry a slice, however many documents hold
 it. Texts are shuffled once, by row key, and all passes read that exchange.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from arauto.llm.common import K2, S32, Texts, binaries, join_ids, mix, slices, width
 
 LOW = np.uint64(0xFFFFFFFF)
-SHIP = "bucket int, settled boolean, rowkeys binary, ks binary, counts binary, gram binary, cover binary, place binary"
+SHIP = "bucket int, settled boolean, rowkeys binary, ks binary, counts binary, gram binary, cover binary, place binary, span binary"
 FLAGS = "rowkey long, fine boolean, data binary"
 
 
@@ -37,6 +38,7 @@ class Windows:
     ladder: tuple[int, ...]  #: lengths 1 < ... < q < ... < n, each at most twice the one before
     q: int  #: length of the part that anchors a window
     own: bool  #: an earlier start in the same document counts too
+    letters: np.ndarray | None = None  #: token ids by byte, where a token is a byte; fine runs then ship bytes
 
     @property
     def n(self) -> int:
@@ -104,9 +106,9 @@ def _wide(cells: list, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _pack(bucket: np.ndarray, settled: bool, doc: np.ndarray, rowkey: np.ndarray, k: np.ndarray, gram, cover, place: np.ndarray) -> pa.RecordBatch | None:
-    """One row a bucket: the documents in it, how many entries each has, and the entries, ids cut to 5 and 7 bytes
-    (the bucket adds more; together over 100 bits)."""
+def _pack(bucket: np.ndarray, settled: bool, doc: np.ndarray, rowkey: np.ndarray, k: np.ndarray, place: np.ndarray, gram=None, cover=None, raw: tuple | None = None) -> pa.RecordBatch | None:
+    """One row a bucket: the documents in it, how many entries each has, and the entries: places (as steps of 16 bits where
+    they are small), ids cut to 4 and 7 bytes (the bucket adds more; together over 90 bits), or bytes with their spans."""
     if not len(bucket):
         return None
     order = np.lexsort((place, doc, bucket))
@@ -117,18 +119,38 @@ def _pack(bucket: np.ndarray, settled: bool, doc: np.ndarray, rowkey: np.ndarray
     counts = np.diff(np.append(at, len(doc))).astype(np.uint32)
     rows = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     by_entry, by_doc = np.append(rows, len(doc)), np.searchsorted(at, np.append(rows, len(doc)))
-    ids = lambda x, n: binaries(_low_bytes(x[order], n).ravel(), by_entry * n) if x is not None else binaries(np.zeros(0, np.uint8), by_entry * 0)
+    step = np.diff(place, prepend=0)
+    step[at] = place[at]
+    places = step.astype(np.uint16) if step.max() < 1 << 16 else place.astype(np.uint32)
+    none = binaries(np.zeros(0, np.uint8), by_entry * 0)
+    ids = lambda x, n: binaries(_low_bytes(x[order], n).ravel(), by_entry * n) if x is not None else none
+    covers, spans = ids(cover, 7), none
+    if raw is not None:
+        buffer, start, size = raw
+        start, size = start[order], size[order]
+        total = np.append(0, np.cumsum(size))
+        covers = binaries(buffer[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total[by_entry])
+        spans = binaries(size.astype(np.uint16), by_entry)
     owner = doc[at]
     columns = [
         pa.array(bucket[rows].astype(np.int32)), pa.array(np.full(len(rows), settled)), binaries(rowkey[owner], by_doc), binaries(k[owner], by_doc), binaries(counts, by_doc),
-        ids(gram, 5), ids(cover, 7), binaries(place.astype(np.uint32), by_entry),
+        ids(gram, 4), covers, binaries(places, by_entry), spans,
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SHIP.split(", ")])
 
 
 def _unpack(table: pa.Table) -> dict[str, np.ndarray]:
     cat = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    return {"rowkey": cat("rowkeys", np.int64), "k": cat("ks", np.int64), "counts": cat("counts", np.uint32), "place": cat("place", np.uint32)}
+    places = []
+    for counts, cell in zip(table["counts"].to_pylist(), table["place"].to_pylist(), strict=True):
+        n = np.frombuffer(counts, np.uint32).astype(np.int64)
+        if len(cell) == 2 * int(n.sum()):
+            total = np.cumsum(np.frombuffer(cell, np.uint16), dtype=np.int64)
+            before = np.append(0, total)[np.append(0, np.cumsum(n)[:-1])]
+            places.append(total - np.repeat(before, n))
+        else:
+            places.append(np.frombuffer(cell, np.uint32).astype(np.int64))
+    return {"rowkey": cat("rowkeys", np.int64), "k": cat("ks", np.int64), "counts": cat("counts", np.uint32), "place": np.concatenate(places) if places else np.zeros(0, np.int64)}
 
 
 def _by_document(e: dict[str, np.ndarray], keep: np.ndarray, fine: np.ndarray | None) -> pa.Table:
@@ -157,7 +179,7 @@ def ship_runs(win: Windows, buckets: int):
             bucket = ((r["gram"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             for settled, of in ((False, ~late), (True, late)):
                 at = bucket[of] if not settled else (np.zeros(int(of.sum()), np.int64) + int(rowkey[0]) % buckets)
-                out = _pack(at, settled, r["doc"][of], rowkey, k, None if settled else r["gram"][of], None if settled else r["cover"][of], r["rank"][of])
+                out = _pack(at, settled, r["doc"][of], rowkey, k, r["rank"][of], *((r["gram"][of], r["cover"][of]) if not settled else ()))
                 if out is not None:
                     yield out
 
@@ -171,7 +193,7 @@ def judge_runs(table: pa.Table) -> pa.Table:
     out = _by_document(done, np.ones(len(done["place"]), bool), None)
     table = table.filter(pa.compute.invert(table["settled"]))
     e = _unpack(table)
-    gram, cover = _wide(table["gram"].to_pylist(), 5), _wide(table["cover"].to_pylist(), 7)
+    gram, cover = _wide(table["gram"].to_pylist(), 4), _wide(table["cover"].to_pylist(), 7)
     k = np.repeat(e["k"], e["counts"])
     order = np.lexsort((k, cover, gram))
     g, c, kk = gram[order], cover[order], k[order]
@@ -204,6 +226,12 @@ def ship_windows(win: Windows, buckets: int):
             fine = [run_first[d] + (p[p & 1 == 1] >> 1) for d, cells in enumerate(batch.column("data").to_pylist()) for p in [_places(cells)]]
             at = np.unique(np.concatenate(fine).astype(np.int64)) if fine else np.zeros(0, np.int64)
             sizes = r["hi"][at] - r["lo"][at] + 1
+            if win.letters is not None:
+                doc, bucket = r["doc"][at], ((r["gram"][at] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                out = _pack(bucket, False, doc, rowkey, k, r["lo"][at] - r["first"][doc], raw=(t.bytes, r["lo"][at], sizes + win.n - 1))
+                if out is not None:
+                    yield out
+                continue
             start = np.repeat(r["lo"][at] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum()) if len(at) else at
             doc = np.repeat(r["doc"][at], sizes)
             ids = r["at_n"][start]
@@ -212,7 +240,7 @@ def ship_windows(win: Windows, buckets: int):
             bucket = ((ids >> S32) % np.uint64(buckets)).astype(np.int64)
             for settled, of in ((False, ~late), (True, late)):
                 b = bucket[of] if not settled else (np.zeros(int(of.sum()), np.int64) + int(rowkey[0]) % buckets)
-                out = _pack(b, settled, doc[of], rowkey, k, None, None if settled else ids[of], place[of])
+                out = _pack(b, settled, doc[of], rowkey, k, place[of], cover=None if settled else ids[of])
                 if out is not None:
                     yield out
 
@@ -236,6 +264,32 @@ def judge_windows(table: pa.Table) -> pa.Table:
     return pa.concat_tables([out, _by_document(e, late, None)])
 
 
+def judge_covers(win: Windows):
+    """Reduce side of step 2 over bytes: the windows of one bucket's covers that occur in an earlier document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        e = _unpack(table)
+        size = np.frombuffer(b"".join(table["span"].to_pylist()), np.uint16).astype(np.int64)
+        x = win.letters[np.frombuffer(b"".join(table["cover"].to_pylist()), np.uint8)]
+        _, at_n = win.ids(x)
+        many = size - win.n + 1
+        total = np.append(0, np.cumsum(many))
+        shift = np.arange(total[-1]) - np.repeat(total[:-1], many)
+        ids = at_n[np.repeat(np.cumsum(size) - size, many) + shift]
+        k = np.repeat(np.repeat(e["k"], e["counts"]), many)
+        order = np.lexsort((k, ids))
+        i, kk = ids[order], k[order]
+        late = np.zeros(len(i), bool)
+        if len(i):
+            new = np.append(True, i[1:] != i[:-1])
+            late[order] = kk > kk[np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))]
+        doc = np.repeat(np.arange(len(e["counts"])), e["counts"])
+        single = {"rowkey": e["rowkey"], "counts": np.bincount(doc, weights=many, minlength=len(e["counts"])).astype(np.int64), "place": np.repeat(e["place"], many) + shift}
+        return _by_document(single, late, None)
+
+    return run
+
+
 def covered(win: Windows, t: Texts, runs_of: list, starts_of: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token is removed, first token, token count) of a slice, from each text's marked runs and window starts."""
     r = win.runs(t)
@@ -255,11 +309,11 @@ def removed_windows(keyed_docs: DataFrame, win: Windows, finish, schema: str) ->
     """Runs ``finish`` over (rowkey, doc_id, text, data, starts): every document with its marks, for :func:`covered`."""
     spark = keyed_docs.sparkSession
     parts = width(spark)
-    buckets = max(64, parts)  # of anchors; a document meets each at most once, however wide the session
+    buckets = max(24, parts // 2)  # of anchors; a document meets each at most once, however wide the session
     docs = keyed_docs.repartition(parts, "rowkey")
     flags = docs.mapInArrow(ship_runs(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_runs, FLAGS)
     marks = flags.groupBy("rowkey").agg(F.collect_list("data").alias("data"), F.max("fine").alias("fine"))
     fine = docs.join(marks.filter("fine"), "rowkey")
-    single = fine.mapInArrow(ship_windows(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_windows, FLAGS)
+    single = fine.mapInArrow(ship_windows(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_windows if win.letters is None else judge_covers(win), FLAGS)
     starts = single.groupBy("rowkey").agg(F.collect_list("data").alias("starts"))
     return docs.join(marks, "rowkey", "left").join(starts, "rowkey", "left").mapInArrow(finish, schema)
