@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ class Pieces:
     usable: np.ndarray = field(default=None)
     key: np.ndarray = field(default=None)  #: sorted hashes of usable pieces
     index: np.ndarray = field(default=None)
+    likely: np.ndarray = field(default=None)  #: by the top 20 bits of a hash: some key has them
     hash: np.ndarray = field(default=None)
     length: np.ndarray = field(default=None)
     left: np.ndarray = field(default=None)
@@ -51,6 +53,7 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+_TOP = np.uint64(44)
 _POWER = np.multiply.accumulate(np.append(np.uint64(1), np.full(64, K1)))
 
 
@@ -100,6 +103,8 @@ def prepare(text: list[str], score: np.ndarray, plain: np.ndarray, byte_id: np.n
     at = np.flatnonzero(plain)
     order = np.argsort(m.hash[at], kind="stable")
     m.index, m.key = at[order], m.hash[at][order]
+    m.likely = np.zeros(1 << 20, bool)
+    m.likely[m.key >> _TOP] = True
     return m
 
 
@@ -120,10 +125,12 @@ def _last_merge(piece: str, by_text: dict[str, int], score: np.ndarray) -> tuple
 
 def _find(m: Pieces, h: np.ndarray) -> np.ndarray:
     """Piece indexes of hashes by probing the sorted keys; -1 where there is none."""
-    if not len(m.key):
-        return np.full(h.shape, -1)
+    out = np.full(h.shape, -1)
+    hit = np.nonzero(m.likely[h >> _TOP])  # most substrings are no pieces and need no search
+    h = h[hit]
     at = np.minimum(np.searchsorted(m.key, h), len(m.key) - 1)
-    return np.where(m.key[at] == h, m.index[at], -1)
+    out[hit] = np.where(m.key[at] == h, m.index[at], -1)
+    return out
 
 
 def _apart(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,8 +161,8 @@ def _apart_pairs(m: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def viterbi(m: Pieces, words: list[str]) -> list[np.ndarray]:
-    """Pieces of words of one length, which advance together a character at a time.
+def viterbi(m: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids one word after the other, how many each word has) of words of one length, which advance together a character at a time.
 
     For each end position the pieces that end there are probed by substring hash, the best sum of scores wins (of a BPE
     model, only steps between pieces that no merge joins count, and these form exactly one path) and is stored with its start.
@@ -180,43 +187,41 @@ def viterbi(m: Pieces, words: list[str]) -> list[np.ndarray]:
             total[r[clash], c[clash]] = -np.inf
         pick = total.argmax(1)
         best[:, end], back[:, end], last[:, end] = total[rows, pick], starts[pick], piece[rows, pick]
-    out: list[np.ndarray] = []
     ends = np.full(len(words), size)
-    steps = []
-    while (ends > 0).any():
-        piece, begin = last[rows, ends], back[rows, ends]
-        steps.append((np.where(ends > 0, piece, -1), begin))
-        ends = np.where(ends > 0, begin, 0)
-    grid = np.stack([p for p, _ in steps][::-1], 1)
-    starts = np.stack([b for _, b in steps][::-1], 1)
+    pieces, starts = [], []
+    while ends.any():
+        pieces.append(np.where(ends > 0, last[rows, ends], -1))
+        ends = np.where(ends > 0, back[rows, ends], 0)
+        starts.append(ends)
+    grid, start = np.stack(pieces[::-1], 1), np.stack(starts[::-1], 1)
+    unknown = grid == n
+    if not unknown.any():
+        return grid[grid >= 0].astype(np.int32), (grid >= 0).sum(1)
+    ids, counts = [], np.zeros(len(words), np.int64)
     for i, word in enumerate(words):
-        ids = []
-        for piece, at in zip(grid[i].tolist(), starts[i].tolist(), strict=True):
-            if piece == n:
-                ids.extend(m.byte_id[list((BLANK if word[at] == LITERAL else word[at]).encode())].tolist())
-            elif piece >= 0:
-                ids.append(piece)
-        out.append(np.array(ids, np.int32))
-    return out
+        if not unknown[i].any():
+            own = grid[i][grid[i] >= 0].tolist()
+        else:
+            own = []
+            for piece, at in zip(grid[i].tolist(), start[i].tolist(), strict=True):
+                if piece == n:
+                    own.extend(m.byte_id[list((BLANK if word[at] == LITERAL else word[at]).encode())].tolist())
+                elif piece >= 0:
+                    own.append(piece)
+        ids.extend(own)
+        counts[i] = len(own)
+    return np.array(ids, np.int32), counts
 
 
 def _segments(m: Pieces) -> str:
-    """A pattern that cuts texts only where no piece reaches across: before blanks, and between a letter and a mark that follows
-    a letter in no piece; white space that is in no longer piece stands alone."""
+    """A pattern that cuts texts only where no piece reaches across: before blanks; white space that is in no longer piece
+    stands alone."""
     pieces = [m.text[i] for i in np.flatnonzero(m.usable & (m.length[:-1] > 1))]
     within = set("".join(pieces))
     if any(BLANK in p.lstrip(BLANK) for p in pieces):
         return ".+"
-    letter = r"[^\W\d_]"
-    after = {b for p in pieces for a, b in zip(p, p[1:], strict=False) if re.match(letter, a)}
     alone = re.escape("".join(c for c in "\n\t\r\v\f" if c not in within))
-    marks = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after))
-    other = rf"(?:(?![{BLANK}{alone}])[\W\d_])"
-    last = rf"|[{alone}]" if alone else ""
-    if not marks:
-        return rf"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+{last}"
-    run = rf"{other}*{letter}++(?![{marks}])"
-    return rf"{BLANK}*(?:{run})*+(?:{other}*{letter}++|{other}+)|{BLANK}*(?:{run})++|{BLANK}+{last}"
+    return rf"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (rf"|[{alone}]" if alone else "")
 
 
 class Coder:
@@ -225,8 +230,7 @@ class Coder:
     def __init__(self, m: Pieces):
         self.m = m
         self.cut = re.compile(_segments(m), re.S)
-        self.memo: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.forget()
         raw = [t.replace(BLANK, " ").encode() for t in m.text]
         for b, i in enumerate(m.byte_id.tolist()):
             raw[i] = bytes([b])
@@ -234,6 +238,11 @@ class Coder:
         self.at = np.append(0, np.cumsum(self.size)[:-1])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
     def _learn(self, segments: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for s in segments:
@@ -242,26 +251,29 @@ class Coder:
             step = max(1, CELLS // (len(words[0]) * self.m.longest))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
-                # U+FFFF in a segment stands for a text's own U+2581, which is no blank
-                for word, ids in zip(part, viterbi(self.m, [w.replace("￿", "￾"[:1]) if "￿" in w else w for w in part]), strict=True):
-                    self.memo[word] = len(self.ids)
-                    self.ids.append(ids)
+                ids, counts = viterbi(self.m, part)
+                known = len(self.memo)
+                while len(self.ids) < self.used + len(ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                while len(self.count) < known + len(part):
+                    self.first, self.count = np.concatenate([self.first, self.first]), np.concatenate([self.count, self.count])
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.count[known : known + len(part)] = counts
+                self.first[known : known + len(part)] = self.used + np.cumsum(counts) - counts
+                self.used += len(ids)
+                self.memo.update(zip(part, range(known, known + len(part)), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets). Null and empty texts have none; a blank is put before every other text."""
         if len(self.memo) > MEMO:
-            self.memo, self.ids = {}, []
+            self.forget()
         cut = [self.cut.findall(BLANK + (t.replace(BLANK, LITERAL) if BLANK in t else t).replace(" ", BLANK)) if t else [] for t in texts]
-        new = {s for segments in cut for s in segments}
-        self._learn(new.difference(self.memo))
-        memo = self.memo
-        which = np.array([memo[s] for segments in cut for s in segments], np.int64)
-        count = np.array([len(x) for x in self.ids], np.int64)
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
-        at = np.append(0, np.cumsum(count)[:-1]) if len(count) else count
-        sizes = count[which]
+        flat = list(chain.from_iterable(cut))
+        self._learn(set(flat).difference(self.memo))
+        which = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        sizes = self.count[which]
         total = np.append(0, np.cumsum(sizes))
-        ids = flat[np.repeat(at[which] - total[:-1], sizes) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(self.first[which] - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[np.append(0, np.cumsum([len(s) for s in cut]))].astype(np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
