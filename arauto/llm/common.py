@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,16 +16,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are taken into numpy in slices of about so many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 
+_LOCAL: dict[str, str] = {}  #: temporary folders of local sessions, by application
+
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 S29, S32 = np.uint64(29), np.uint64(32)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an error where it is unset, as executors could not share files."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session (one machine, one process) gets a temporary
+    folder; on a cluster that is an error, as executors could not share files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="llm-")
+    return _LOCAL[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
