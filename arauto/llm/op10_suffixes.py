@@ -20,19 +20,23 @@ def byte_tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _BYTE[t.bytes], t.starts, t.ends - t.starts
 
 
-def offsets(length: int) -> tuple[int, ...]:
-    """Prefix lengths at which bucket identifiers are refined: 2, 4, 7, 13, 25, 50 for 50."""
-    out = [length]
-    while out[-1] > 1:
-        out.append((out[-1] + 1) // 2)
-    return tuple(reversed(out[:-1]))
+def offsets(length: int) -> tuple[tuple[int, ...], int]:
+    """Prefix lengths at which bucket identifiers are refined, and the one of them that anchors a string: two fifths of it, long
+    enough to be rare by chance. 2, 3, 5, 10, 20, 40, 50 and 20 for 50."""
+    q = max(2, 2 * length // 5)
+    out = [q]
+    while out[0] > 2:
+        out.insert(0, (out[0] + 1) // 2)
+    while out[-1] < length:
+        out.append(min(2 * out[-1], length))
+    return tuple(out), q
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = True) -> DataFrame:
     """Removes every byte that a string of ``length`` bytes covers which also starts in a document with a smaller doc_id.
 
     A position's bucket identifier at 2m bytes is the pair of identifiers at m bytes of it and of the position m
-    further on. Positions are bucketed by the q-gram (about a quarter of the length) that anchors them; each bucket is
+    further on. Positions are bucketed by the q-gram (two fifths of the length) that anchors them; each bucket is
     sorted and refined by the identifiers of the later offsets, and only buckets that stay mixed are refined to
     single positions. Suffixes that share no bucket are never compared.
 
@@ -42,7 +46,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, with_text: bool = True) -> D
     """
     if length < 8:
         raise ValueError("strings of 8 bytes at least")
-    win = Windows(byte_tokens, offsets(length), offsets(length)[-3], own=False, letters=_BYTE)
+    win = Windows(byte_tokens, *offsets(length), own=False, letters=_BYTE)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -314,6 +314,6 @@ def removed_windows(keyed_docs: DataFrame, win: Windows, finish, schema: str) ->
     flags = docs.mapInArrow(ship_runs(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_runs, FLAGS)
     marks = flags.groupBy("rowkey").agg(F.collect_list("data").alias("data"), F.max("fine").alias("fine"))
     fine = docs.join(marks.filter("fine"), "rowkey")
-    single = fine.mapInArrow(ship_windows(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_windows if win.letters is None else judge_covers(win), FLAGS)
+    single = fine.mapInArrow(ship_windows(win, 4 * buckets), SHIP).groupBy("bucket").applyInArrow(judge_windows if win.letters is None else judge_covers(win), FLAGS)
     starts = single.groupBy("rowkey").agg(F.collect_list("data").alias("starts"))
     return docs.join(marks, "rowkey", "left").join(starts, "rowkey", "left").mapInArrow(finish, schema)
