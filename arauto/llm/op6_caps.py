@@ -97,8 +97,10 @@ class Caps:
 def vectors(cells: list) -> tuple[np.ndarray, np.ndarray]:
     """(index, matrix) of usable vectors, all of one length: not null or zero, all components finite."""
     at = [i for i, v in enumerate(cells) if v is not None and len(v) and None not in v]
+    if not at:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
     x = np.array([cells[i] for i in at], np.float64).reshape(len(at), -1)
-    good = np.isfinite(x).all(1) & (x != 0).any(1) if len(at) else np.zeros(0, bool)
+    good = np.isfinite(x).all(1) & (x != 0).any(1)
     return np.array(at, np.int64)[good], x[good]
 
 
