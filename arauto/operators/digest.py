@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arauto.functions.fields import level_label, mode_label, two_decimals
+from arauto.session import cut_lineage
 
 PART_SIZE = 500
 
@@ -44,23 +45,29 @@ def level_groups(items: DataFrame) -> DataFrame:
 
 
 def ranked(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Items with ``total``, ``rank`` (score descending, then id) and ``part`` per subscriber.
+    """Items with ``total``, ``rank`` (score descending, then id) and ``part`` per subscriber, the same at every part size.
 
-    A subscriber with more than one part is ranked by cells of (score, hash slice): cell sizes are counted, offsets
-    come from the few cells, and rows are numbered within their cell. So no task ever sorts a large subscriber; ties
-    in score are then ordered by slice first.
+    Items are dealt by ranges of (subscriber, score, id) and numbered within their range; the ranges' sizes give the
+    offsets. So no task sorts a large subscriber. The ranges are fixed by a cut to the checkpoint folder.
     """
-    totals = items.groupBy("subscriber_id").agg(F.count(F.lit(1)).alias("total"))
-    cells = F.ceil(F.col("total") / part_size).cast("int")
-    rows = items.join(totals, "subscriber_id").withColumn("slice", F.pmod(F.xxhash64("match_id"), cells))
-    key = ["subscriber_id", "score", "slice"]
-    before = Window.partitionBy("subscriber_id").orderBy(F.desc("score"), "slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).select(
-        *key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = F.row_number().over(Window.partitionBy(*key).orderBy("match_id"))
+    order = [F.desc("score"), F.asc("match_id")]
+    rows = cut_lineage(items.repartitionByRange("subscriber_id", *order).withColumn("__range", F.spark_partition_id()))
+    key = ["subscriber_id", "__range"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    everything = Window.partitionBy("subscriber_id")
+    before = everything.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(everything).alias("total"))
+    local = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     numbered = rows.withColumn("__local", local).join(offsets, key)
     rank = F.col("__offset") + F.col("__local")
-    return numbered.withColumns({"rank": rank, "part": F.floor((rank - 1) / part_size).cast("int") + 1}).drop("slice", "__local", "__offset")
+    return numbered.withColumns({"rank": rank, "part": F.floor((rank - 1) / part_size).cast("int") + 1}).drop("__range", "__local", "__offset")
+
+
+def complete(items: DataFrame) -> DataFrame:
+    """Items whose shown texts are never null, with the size of their level's group in the whole digest."""
+    shown = ("titulo", "ies_nome", "nivel_label", "modalidade_label", "area_label", "url_origem")
+    items = items.withColumns({c: F.coalesce(c, F.lit("")) for c in shown})
+    return items.join(level_groups(items).withColumnRenamed("n", "group_size"), ["subscriber_id", "nivel_label"])
 
 
 def _escape(c: Column) -> Column:
@@ -89,12 +96,12 @@ def _html_block(i: Column) -> Column:
 
 
 def _html_groups(rows: Column) -> Column:
-    """Blocks by level label in label order, each group headed by its label and size."""
+    """Blocks by level label in label order, each group headed by its label and its size in the whole digest."""
     by_level = F.array_sort(F.transform(rows, lambda r: F.struct(r["i"]["nivel_label"].alias("label"), r["rank"], r["i"])))
 
     def block(r: Column, at: Column) -> Column:
         starts = (at == 0) | (F.get(by_level, at - 1)["label"] != r["label"])
-        size = F.size(F.filter(by_level, lambda o: o["label"] == r["label"]))
+        size = r["i"]["group_size"]
         head = F.concat(F.lit("<h2>"), _escape(r["label"]), F.lit(" ("), size.cast("string"), F.lit(")</h2>\n"))
         return F.concat(F.when(starts, head).otherwise(""), _html_block(r["i"]))
 
@@ -109,6 +116,7 @@ def render_digests(items: DataFrame, subscribers: DataFrame, today: Column, defa
     continues in further parts, so a body never gathers an unbounded group. Without matches there is no digest,
     unless ``only_on_match`` is off.
     """
+    items = complete(items)
     fields = [c for c in items.columns if c != "subscriber_id"]
     parts = ranked(items, part_size).groupBy("subscriber_id", "part").agg(
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("i")))).alias("rows"))
