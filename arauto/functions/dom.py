@@ -8,6 +8,7 @@ Text is NFKC-normalised here, so later steps need no second Python pass.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -38,6 +39,8 @@ _BLOCK = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
     "section table ul".split()
 )
+#: Elements at whose borders texts are kept apart; other tags join the texts around them.
+_BREAK = _BLOCK | frozenset("body br caption center dd details dir dt figcaption figure head html li option summary tbody td tfoot th thead title tr".split())
 # an opening tag on the left closes an open element on the right, up to the fence
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -72,10 +75,13 @@ class _Node:
         while stack:
             node = stack.pop()
             if isinstance(node, str):
-                out.append(node.strip())
+                out.append(node)
             elif node.tag not in _SILENT:
+                if node.tag in _BREAK:
+                    out.append(" ")
+                    stack.append(" ")
                 stack.extend(reversed(node.items))
-        return unicodedata.normalize("NFKC", " ".join(t for t in out if t))
+        return unicodedata.normalize("NFKC", " ".join("".join(out).split()))
 
 
 class _Tree(HTMLParser):
@@ -85,6 +91,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", {})
         self._open = [self.root]
+        self._depths: dict[str, list[int]] = {}  # where each open tag stands, so that closing needs no search
         self.feed(html)
         self.close()
 
@@ -96,29 +103,30 @@ class _Tree(HTMLParser):
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self._open[-1].items.append(node)
         if tag not in _VOID:
+            self._depths.setdefault(tag, []).append(len(self._open))
             self._open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self._open[-1].tag == tag:
-            self._open.pop()
+            self._close_from(len(self._open) - 1)
 
     def handle_endtag(self, tag):
-        if any(n.tag == tag for n in self._open[1:]):
-            while self._open.pop().tag != tag:
-                pass
+        if self._depths.get(tag):
+            self._close_from(self._depths[tag][-1])
 
     def handle_data(self, data):
         self._open[-1].items.append(data)
 
     def _close_to(self, tags: set[str], fence: set[str]):
-        cut = len(self._open)
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self._open[depth].tag in fence:
-                break
-            if self._open[depth].tag in tags:
-                cut = depth
-        del self._open[cut:]
+        fenced = max((at[-1] for t in fence if (at := self._depths.get(t))), default=0)
+        inside = [at[i] for t in tags if (at := self._depths.get(t)) and (i := bisect_right(at, fenced)) < len(at)]
+        if inside:
+            self._close_from(min(inside))
+
+    def _close_from(self, depth: int):
+        while len(self._open) > depth:
+            self._depths[self._open.pop().tag].pop()
 
 
 def _text(node: _Node | None) -> str | None:
