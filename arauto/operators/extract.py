@@ -19,6 +19,7 @@ from arauto.functions.text import clip, normalize_text, squeeze, strip_tags
 from arauto.sources.pages import body_text, is_feed, is_html, is_pdf
 
 KEYS = ("page_url", "fetched_at", "position")
+XML_PROLOG = r"^[\s\x1c-\x1f\x85\xa0\ufeff]*<\?xml"
 
 
 def parsed_row(**values: Column) -> list[Column]:
@@ -44,8 +45,8 @@ def _numbered(rows: Column) -> Column:
 
 
 def listing_route(ct: Column, body: Column) -> Column:
-    """feed, listing or null (dropped): content type first, an XML prolog also makes a feed."""
-    prolog = F.ltrim(F.substring(body, 1, 200).cast("string")).startswith("<?xml")
+    """feed, listing or null (dropped): content type first, an XML prolog after any white space also makes a feed."""
+    prolog = body.cast("string").rlike(XML_PROLOG)
     return F.when(is_feed(ct) | F.coalesce(prolog, F.lit(False)), "feed").when(is_html(ct), "listing")
 
 
@@ -84,16 +85,43 @@ def extract_routed(raw: DataFrame, parsers: list[PageParser]) -> DataFrame:
 # --- feeds ------------------------------------------------------------------------------------------------
 
 
-def feed_items(raw: DataFrame) -> Column:
-    parsed = F.from_xml(body_text(), schemas.FEED_XML)
+def feed_text() -> Column:
+    """The feed's text by the encoding its prolog declares, from the first tag on."""
+    body = F.col("body")
+    declared = F.lower(F.regexp_extract(body.cast("string"), XML_PROLOG + r"""[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)""", 1))
+    latin = declared.isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252")
+    text = F.when(latin, F.decode(body, "ISO-8859-1")).when(declared.startswith("utf-16"), F.decode(body, "UTF-16")).otherwise(body_text())
+    return F.regexp_replace(text, r"^[^<]+", "")
+
+
+def with_feed(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``feed``: the parsed XML, null when it stays unreadable.
+
+    A feed that does not parse is tried again with stray ampersands escaped, then with its whole items alone.
+    """
+    def readable(x: Column) -> Column:
+        return x["channel"].isNotNull() | x["item"].isNotNull()
+
+    text = F.col("__feed_text")
+    repaired = F.regexp_replace(text, r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", "&amp;")
+    items = F.array_join(F.regexp_extract_all(repaired, F.lit(r"(?s)<item[\s>].*?</item>"), F.lit(0)), "")
+    wrapped = F.when(items != "", F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")))
+    df = raw.withColumn("__feed_text", feed_text()).withColumn("feed", F.from_xml(text, schemas.FEED_XML))
+    for again in (repaired, wrapped):
+        df = df.withColumn("feed", F.when(F.coalesce(readable(F.col("feed")), F.lit(False)), F.col("feed")).otherwise(F.from_xml(again, schemas.FEED_XML)))
+    return df.withColumn("feed", F.when(readable(F.col("feed")), F.col("feed"))).drop("__feed_text")
+
+
+def feed_items() -> Column:
     empty = F.array().cast("array<struct<title:string,link:string,description:string,`content:encoded`:string>>")
-    return F.concat(F.coalesce(parsed["channel"]["item"], empty), F.coalesce(parsed["item"], empty))
+    return F.concat(F.coalesce(F.col("feed")["channel"]["item"], empty), F.coalesce(F.col("feed")["item"], empty))
 
 
 def extract_feed(raw: DataFrame, relevant: str = dims.RE_RELEVANT) -> DataFrame:
-    """RSS items with a relevant title, the first 20 of a feed. A feed that is not XML gives nothing; the ingest
+    """RSS items with a relevant title, the first 20 of a feed. A feed that cannot be read gives nothing; the ingest
     plan sends it to the dead letters (``broken_feeds``)."""
-    titled = F.transform(feed_items(raw), lambda i: F.struct(
+    raw = with_feed(raw)
+    titled = F.transform(feed_items(), lambda i: F.struct(
         normalize_text(i["title"], compose=False).alias("title"), F.coalesce(i["link"], F.lit("")).alias("link"),
         f.truthy_or(i["content:encoded"], i["description"]).alias("html"),
     ))
@@ -117,9 +145,8 @@ def extract_feed(raw: DataFrame, relevant: str = dims.RE_RELEVANT) -> DataFrame:
 
 
 def broken_feeds(raw: DataFrame) -> DataFrame:
-    """Feed pages whose XML does not parse."""
-    parsed = F.from_xml(body_text(), schemas.FEED_XML)
-    return raw.where(parsed.isNull() | (parsed["channel"].isNull() & parsed["item"].isNull()))
+    """Feed pages whose XML stays unreadable."""
+    return with_feed(raw).where("feed IS NULL").drop("feed")
 
 
 # --- listings ---------------------------------------------------------------------------------------------
@@ -144,11 +171,11 @@ def extract_listing(raw: DataFrame, relevant: str = dims.RE_RELEVANT) -> DataFra
         "stage1": F.slice(F.filter(articles, lambda a: f.is_relevant(a["text"], relevant)), 1, dims.MAX_ROWS_PER_PAGE),
         "candidates": F.filter(links, usable),
     })
-    # first wins: an entry stays when its address does not occur earlier
-    hrefs = F.col("candidates.href")
-    unique = F.filter("candidates", lambda a, i: F.array_position(hrefs, a["href"]) == i + 1)
+    # first wins: an entry stays when its address is not among those kept, which are 20 at most
+    taken = lambda kept, a: (F.size(kept) >= dims.MAX_ROWS_PER_PAGE) | F.array_contains(F.transform(kept, lambda k: k["href"]), a["href"])
+    unique = F.aggregate("candidates", F.slice("candidates", 1, 0), lambda kept, a: F.when(taken(kept, a), kept).otherwise(F.concat(kept, F.array(a))))
     pages = pages.withColumn("staged", F.size("stage1") > 0).withColumn(
-        "hits", F.when(F.col("staged"), F.col("stage1")).otherwise(F.slice(unique, 1, dims.MAX_ROWS_PER_PAGE)))
+        "hits", F.when(F.col("staged"), F.col("stage1")).otherwise(unique))
     rows = pages.select("url", "final_url", "fetched_at", "source", "ies_nome", "staged", _numbered(F.col("hits")))
     rows = rows.withColumn("texto", F.when(F.col("staged"), F.col("hit.excerpt")).otherwise(F.col("hit.text")))
     rows = rows.withColumn("periodo", F.when(F.col("staged"), f.application_window("texto")))
@@ -235,26 +262,20 @@ def repeated_lines(lines: DataFrame, pages: DataFrame, doc: str = "doc_id", page
     return counts.where("n >= 2").join(totals, doc).where(F.col("n") >= need).select(doc, "line")
 
 
-def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "page_text",
-                  max_bytes: int = dims.DEFAULT_CONTRACT[1]) -> tuple[DataFrame, DataFrame]:
-    """(doc, texto) without headers and footers, and (doc, bytes) of documents over ``max_bytes``.
-
-    Assembling puts one document into one cell, so documents must satisfy the same size contract as fetched
-    bodies; the others are reported, not dropped silently.
-    """
-    sizes = pages.groupBy(doc).agg(F.sum(F.octet_length(text)).alias("bytes"))
-    oversized = sizes.where(F.col("bytes") > max_bytes)
-    pages = pages.join(oversized.select(doc), doc, "left_anti")
+def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "page_text") -> DataFrame:
+    """(doc, texto) of every document, without headers and footers. A document's text is one cell, whatever its size."""
     lines = document_lines(pages, doc, page, text)
     kept = lines.join(repeated_lines(lines, pages, doc, page), [doc, "line"], "left_anti")
     ordered = F.sort_array(F.collect_list(F.struct(page, "line_no", "line")))
     joined = kept.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("texto"))
     every = pages.select(doc).distinct()
-    return every.join(joined, doc, "left").select(doc, F.coalesce("texto", F.lit("")).alias("texto")), oversized
+    return every.join(joined, doc, "left").select(doc, F.coalesce("texto", F.lit("")).alias("texto"))
 
 
 def extract_document(documents: DataFrame, text: str = "texto") -> DataFrame:
-    """One notice per document text. ``documents`` holds url, fetched_at, source and the assembled text."""
+    """One notice per document text. ``documents`` holds url (and final_url, if it was redirected), fetched_at, source and
+    the assembled text."""
+    address = F.coalesce("final_url", "url") if "final_url" in documents.columns else F.col("url")
     rows = documents.withColumns({"texto": squeeze(text), "position": F.lit(0)})
     rows = rows.withColumns({
         "needs_ocr": F.length("texto") < 100, "titulo": f.document_title("texto"),
@@ -268,7 +289,7 @@ def extract_document(documents: DataFrame, text: str = "texto") -> DataFrame:
         titulo=f.truthy_or("titulo", F.lit(dims.UNTITLED)), fonte_codigo=f.truthy_or("source", F.lit("pdf")),
         nivel=F.col("nivel"), modalidade=F.col("modalidade"), vagas=F.col("vagas"),
         is_gratuito=f.free_hint("texto", dims.RE_FREE_DOCUMENT), periodo_inscricao=F.col("periodo"),
-        url_origem=F.col("url"), url_pdf=F.col("url"), texto_resumo=clip("texto", dims.MAX_SUMMARY),
+        url_origem=address, url_pdf=address, texto_resumo=clip("texto", dims.MAX_SUMMARY),
         texto_completo=F.col("texto"),
         confidence=F.round(f.score(F.when(F.col("needs_ocr"), 0.1).otherwise(0.3), parts), 10),
         parser_name=F.lit("pdf"), extras=F.create_map(F.lit("needs_ocr"), F.col("needs_ocr").cast("string")),
@@ -298,7 +319,8 @@ def extract_search(raw: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("data")),
     )
     rows = raw.select("url", "fetched_at", "source", _numbered(F.when(json, from_json).otherwise(from_html)))
-    rows = rows.withColumns({"titulo": F.trim("hit.titulo"), "link": F.trim("hit.link")})
+    bare = lambda c: F.regexp_replace(c, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+    rows = rows.withColumns({"titulo": bare("hit.titulo"), "link": bare("hit.link")})
     return rows.where(f.filled("titulo") & f.filled("link")).select(*parsed_row(
         titulo=F.col("titulo"), ies_nome=F.col("hit.orgao"), fonte_codigo=F.col("source"),
         nivel=f.level_from_text("titulo"), url_origem=f.prefix_host("link", dims.GAZETTE_HOST),

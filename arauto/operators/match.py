@@ -14,7 +14,9 @@ from arauto import dims, schemas
 from arauto.functions.fields import two_decimals
 from arauto.functions.text import ColumnLike, _col
 from arauto.operators.gate import registry_gate
-from arauto.session import fan_out
+
+#: Ways each (area, level, mode) is split, so that a third of all notices under one key still spreads.
+SALTS = 8
 
 
 def contribution(area: Column, alvo: Column, admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> Column:
@@ -62,13 +64,12 @@ def _notice_side(notices: DataFrame, institutions: DataFrame) -> DataFrame:
         "is_gratuito", "in_registry", "ies_nome")
 
 
-def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: DataFrame, salts: int | None = None,
+def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: DataFrame, salts: int = SALTS,
                   admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> DataFrame:
     """All matching (subscriber, notice) pairs of active subscribers with score and explanation.
 
     ``notices`` needs id, ies_nome, nivel, modalidade, area_cnpq_codigo and is_gratuito.
     """
-    salts = salts or fan_out(notices.sparkSession)
     n = _notice_side(notices, institutions)
     n = n.withColumn("salt", F.pmod(F.xxhash64("edital_id"), F.lit(salts)).cast("int"))
     active = subscribers.where("ativo").select(

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arauto.session import widen
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +31,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table whose rows are expensive to process, spread over the cores when it is one small file."""
-    return widen(table(spark, folder, name))
-
-
 # --- SQL fragments ----------------------------------------------------------------------------------------
 
 

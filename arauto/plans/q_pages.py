@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arauto import schemas
 from arauto.functions.fields import host
 from arauto.operators import contracts, extract, ops
-from arauto.plans.catalog import SQL_DECODE, query, sql_squeeze, table, text_table
+from arauto.plans.catalog import SQL_DECODE, query, sql_squeeze, table
 from arauto.plans.q_text import SQL_LEVEL, SQL_MODE, part_notices
 from arauto.sources import pages
 
@@ -24,13 +24,13 @@ def as_responses(rows: DataFrame, url: Column, body: Column, source: Column, con
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """The page table as fetched responses; the language in the address stands for the source, and decides the type."""
-    p = text_table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
+    p = table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
     ct = F.when(F.col("lang") == "fr", "application/RSS+xml").when(F.col("lang") == "de", "Application/PDF").otherwise("text/HTML; charset=utf-8")
     return as_responses(p, F.col("url"), F.col("html"), F.col("lang"), ct)
 
 
 def html_responses(spark: SparkSession, d: str) -> DataFrame:
-    p = text_table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
+    p = table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
     return as_responses(p, F.col("url"), F.col("html"), F.col("lang"), F.lit("text/html"))
 
 
@@ -121,7 +121,7 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT url, CASE {SQL_LANG} WHEN 'en' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/feed/' WHEN 'fr' THEN 'https://feeds.example.org/' || page_id END AS feed_url FROM pages""")
 def page_feeds(spark: SparkSession, d: str) -> DataFrame:
-    p = text_table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
+    p = table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
     alternate = F.when(F.col("lang") == "en", '<link rel="alternate" type="text/html" href="/x"><link rel="alternate" type="application/rss+xml" href="/feed/">').when(
         F.col("lang") == "fr", F.concat(F.lit('<link rel=alternate type="Application/Atom+xml" href="https://feeds.example.org/'), F.col("page_id").cast("string"), F.lit('">'))).otherwise("")
     html = F.concat(alternate, "html")
@@ -162,7 +162,7 @@ COMMON = r"(^|[^\p{L}\p{N}_])(de|the|und|que)([^\p{L}\p{N}_]|$)"
 
 def lines_of(spark: SparkSession, d: str) -> DataFrame:
     """Documents with ``lines``: their non-blank lines with markup characters made harmless."""
-    docs = text_table(spark, d, "documents")
+    docs = table(spark, d, "documents")
     plain = F.translate("text", "&<>\"'()", "+++++++")
     blank = F.filter(F.split(plain, "\n"), lambda s: F.trim(s) != "")
     return docs.withColumn("lines", F.transform(blank, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))))
@@ -238,7 +238,7 @@ def programme_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT p_partkey, {SQL_LEVEL} AS nivel, {SQL_MODE} AS modalidade, '/wp-content/uploads/' || p_partkey || '.pdf' AS url_pdf, 'Edital ' || p_name AS titulo,
   round(0.7 + CASE WHEN p_size % 5 = 4 THEN 0 ELSE 0.1 END, 4)::double AS confidence FROM part""")
 def blog_notices(spark: SparkSession, d: str) -> DataFrame:
-    n = part_notices(text_table(spark, d, "part"))
+    n = part_notices(table(spark, d, "part"))
     html = F.concat(
         F.lit('<html><meta name="generator" content="WordPress 6.4"><h1>Portal</h1><div class="entry-title big">Edital '), "p_name",
         F.lit('</div><div class="entry-content"><p>'), "titulo", F.lit("<p>"), "texto", F.lit('<a href="/outro.pdf">o</a><a href="/wp-content/uploads/'),
@@ -259,9 +259,9 @@ TURN_TEXT = "'Conversa ' || conv_id || chr(10) || text || chr(10) || 'pagina ' |
   SELECT k.conv_id, md5(coalesce(string_agg(l.line, chr(10) ORDER BY turn, i), '')) AS digest, count(l.line) AS kept FROM k
   LEFT JOIN (SELECT l.* FROM l ANTI JOIN r USING (conv_id, line)) l USING (conv_id) GROUP BY k.conv_id""")
 def document_texts(spark: SparkSession, d: str) -> DataFrame:
-    turns = text_table(spark, d, "conversations").withColumn("page_text", F.concat(
+    turns = table(spark, d, "conversations").withColumn("page_text", F.concat(
         F.lit("Conversa "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\npagina "), F.col("turn").cast("string")))
-    texts, _ = extract.document_text(turns, "conv_id", "turn")
+    texts = extract.document_text(turns, "conv_id", "turn")
     kept = F.when(F.col("texto") == "", 0).otherwise(F.size(F.split("texto", "\n")))
     return texts.select("conv_id", F.md5("texto").alias("digest"), kept.cast("long").alias("kept"))
 
@@ -270,7 +270,7 @@ def document_texts(spark: SparkSession, d: str) -> DataFrame:
   coalesce(substr(CASE WHEN t = '' THEN '(sem titulo)' ELSE coalesce(list_filter(string_split(t, '. '), lambda s: length(s) > 20)[1], '(sem titulo)') END, 1, 512), '(sem titulo)') AS titulo,
   md5(substr(t, 1, 1000)) AS resumo FROM (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents)""")
 def document_notices(spark: SparkSession, d: str) -> DataFrame:
-    docs = text_table(spark, d, "documents").select(
+    docs = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("url"), F.lit(DAY).cast("timestamp").alias("fetched_at"), "source", F.col("text").alias("texto"))
     n = extract.extract_document(docs)
     return n.select(F.col("page_url").cast("long").alias("doc_id"), F.col("extras")["needs_ocr"].alias("needs_ocr"), "titulo", F.md5("texto_resumo").alias("resumo"))

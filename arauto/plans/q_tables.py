@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arauto import dims, schemas
 from arauto.operators import contracts, digest, enrich, gate, listing, match, ops, tables
-from arauto.plans.catalog import query, table, text_table
+from arauto.plans.catalog import query, table
 from arauto.plans.q_text import SQL_FROM, SQL_LEVEL, SQL_MODE, SQL_TO, order_texts, part_notices, sql_pick
 from arauto.functions import fields as f
 from arauto.sources import frontier, pages
@@ -365,7 +365,7 @@ def enrichment_merge(spark: SparkSession, d: str) -> DataFrame:
     SELECT lang = 'en' AND quality = 1 AS a, toxic = 1 AS b FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE n_chars <= 2000) WHERE a OR b) GROUP BY 1""")
 def enrichment_conflicts(spark: SparkSession, d: str) -> DataFrame:
     parsed, enrichment = labelled(spark, d)
-    letters = contracts.enrichment_conflicts(enrich.low_confidence(parsed), enrichment.withColumn("nivel", f.parse_level("nivel")))
+    letters = contracts.enrichment_conflicts(enrich.low_confidence(parsed), enrichment)
     return letters.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -405,5 +405,5 @@ def source_union(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT o_orderkey, CAST({SQL_FROM} AS VARCHAR) || '..' || CAST({SQL_TO} AS VARCHAR) AS periodo FROM orders WHERE {SQL_FROM} > {SQL_TO}")
 def reversed_windows(spark: SparkSession, d: str) -> DataFrame:
     """Notices whose window ends before it starts: set aside one by one."""
-    n = order_texts(text_table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
+    n = order_texts(table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
     return n.where(~f.window_is_valid("w")).select("o_orderkey", f.window_label("w").alias("periodo"))

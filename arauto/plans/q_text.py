@@ -9,7 +9,7 @@ from arauto import dims
 from arauto.functions import fields as f
 from arauto.functions.text import clip, normalize_text, strip_tags, to_ascii, tokens
 from arauto.operators import classify, dedup
-from arauto.plans.catalog import query, sql_fold, sql_simhash, sql_squeeze, table, text_table
+from arauto.plans.catalog import query, sql_fold, sql_simhash, sql_squeeze, table
 
 # --- derived texts ----------------------------------------------------------------------------------------
 
@@ -74,20 +74,20 @@ SQL_TO = """CASE o_orderpriority WHEN '1-URGENT' THEN o_orderdate::date + 30 WHE
 
 @query(f"SELECT doc_id, length({sql_squeeze('text')})::int AS n, md5({sql_squeeze('text')}) AS digest FROM documents")
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = text_table(spark, d, "documents").withColumn("t", normalize_text("text"))
+    docs = table(spark, d, "documents").withColumn("t", normalize_text("text"))
     return docs.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
 @query(rf"""SELECT doc_id, md5({sql_fold('text')}) AS digest, len(regexp_extract_all({sql_fold('text')}, '\w+'))::int AS tokens FROM documents""")
 def ascii_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = text_table(spark, d, "documents").withColumn("t", to_ascii("text"))
+    docs = table(spark, d, "documents").withColumn("t", to_ascii("text"))
     return docs.select("doc_id", F.md5("t").alias("digest"), F.size(tokens("t")).alias("tokens"))
 
 
 @query(rf"""SELECT source, length(tok)::int AS n_chars, count(*) AS tokens, count(DISTINCT tok) AS words FROM (
               SELECT source, unnest(regexp_extract_all({sql_fold('text')}, '\w+')) AS tok FROM documents) GROUP BY ALL""")
 def token_lengths(spark: SparkSession, d: str) -> DataFrame:
-    words = text_table(spark, d, "documents").select("source", F.explode(tokens(to_ascii("text"))).alias("tok"))
+    words = table(spark, d, "documents").select("source", F.explode(tokens(to_ascii("text"))).alias("tok"))
     # counted per word first, so neither a frequent word nor a large source gathers in one task
     counted = words.groupBy("source", "tok").count()
     return counted.groupBy("source", F.length("tok").alias("n_chars")).agg(F.sum("count").alias("tokens"), F.count("tok").alias("words"))
@@ -98,7 +98,7 @@ STRIPPED = sql_squeeze("regexp_replace(html, '<[^>]+>', ' ', 'g')")
 
 @query(f"SELECT page_id, md5({STRIPPED}) AS digest FROM pages")
 def stripped_pages(spark: SparkSession, d: str) -> DataFrame:
-    return text_table(spark, d, "pages").select("page_id", F.md5(normalize_text(strip_tags("html"))).alias("digest"))
+    return table(spark, d, "pages").select("page_id", F.md5(normalize_text(strip_tags("html"))).alias("digest"))
 
 
 # --- fields -----------------------------------------------------------------------------------------------
@@ -120,7 +120,7 @@ def seats_and_tuition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, CAST({SQL_FROM} AS VARCHAR) AS de, CAST({SQL_TO} AS VARCHAR) AS ate FROM orders")
 def application_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = order_texts(text_table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
+    w = order_texts(table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
     return w.select("o_orderkey", F.col("w.de").cast("string").alias("de"), F.col("w.ate").cast("string").alias("ate"))
 
 
@@ -131,7 +131,7 @@ def application_windows(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT {SQL_FROM} AS de, {SQL_TO} AS ate FROM orders)) GROUP BY ALL""")
 def window_states(spark: SparkSession, d: str) -> DataFrame:
     today = F.lit("1998-06-01").cast("date")
-    w = order_texts(text_table(spark, d, "orders")).select(f.application_window("texto").alias("w"))
+    w = order_texts(table(spark, d, "orders")).select(f.application_window("texto").alias("w"))
     return w.groupBy(
         f.window_label("w").alias("rotulo"), f.window_is_valid("w").alias("valido"), f.window_is_open("w", today).alias("aberto"),
         f.window_is_over("w", today).alias("encerrado")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +178,7 @@ SIMHASHES = sql_simhash("SELECT doc_id AS id, text FROM documents")
 
 
 def document_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.simhash64(text_table(spark, d, "documents"), "doc_id", "text")
+    return dedup.simhash64(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"SELECT id AS doc_id, simhash FROM ({SIMHASHES})")
@@ -188,7 +188,7 @@ def simhash64(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT id AS doc_id, simhash FROM ({sql_simhash('SELECT doc_id AS id, substr(text, 1, 1000) AS text FROM documents')})")
 def simhash_in_row(spark: SparkSession, d: str) -> DataFrame:
-    return text_table(spark, d, "documents").select("doc_id", dedup.simhash_of(clip("text", 1000)).alias("simhash"))
+    return table(spark, d, "documents").select("doc_id", dedup.simhash_of(clip("text", 1000)).alias("simhash"))
 
 
 @query(f"""WITH v AS (SELECT DISTINCT simhash FROM ({SIMHASHES}) WHERE simhash <> 0)
@@ -226,12 +226,12 @@ def document_canonical() -> Column:
 
 @query(f"SELECT doc_id, {SQL_CANONICAL} AS canonical_hash FROM documents")
 def canonical_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return text_table(spark, d, "documents").select("doc_id", document_canonical().alias("canonical_hash"))
+    return table(spark, d, "documents").select("doc_id", document_canonical().alias("canonical_hash"))
 
 
 @query(f"SELECT {SQL_CANONICAL} AS canonical_hash, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_copies(spark: SparkSession, d: str) -> DataFrame:
-    hashed = text_table(spark, d, "documents").select("doc_id", document_canonical().alias("canonical_hash"))
+    hashed = table(spark, d, "documents").select("doc_id", document_canonical().alias("canonical_hash"))
     counted = hashed.groupBy("canonical_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
     return counted.where("copies > 1")
 
@@ -242,7 +242,7 @@ CAPTURES = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
 @query(f"""WITH h AS ({sql_simhash(CAPTURES)}), p AS (SELECT id // 1000 AS conv_id, id % 1000 AS turn, simhash, lag(simhash) OVER (PARTITION BY id // 1000 ORDER BY id) AS prior FROM h)
   SELECT conv_id, turn, simhash, prior, CASE WHEN prior IS NULL THEN 'insert' WHEN bit_count(xor(prior, simhash)) <= 3 THEN 'cosmetic' ELSE 'update' END AS change FROM p""")
 def capture_changes(spark: SparkSession, d: str) -> DataFrame:
-    turns = text_table(spark, d, "conversations").select("conv_id", "turn", dedup.simhash_of("text").alias("simhash"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", dedup.simhash_of("text").alias("simhash"))
     return dedup.capture_changes(turns, "conv_id", ["turn"], F.floor(F.col("turn") / 4))
 
 
@@ -251,7 +251,7 @@ def capture_changes(spark: SparkSession, d: str) -> DataFrame:
   q AS (SELECT conv_id, turn, simhash, coalesce(prior, stored) AS prior FROM p LEFT JOIN s ON s.doc_id = p.conv_id)
   SELECT CASE WHEN prior IS NULL THEN 'insert' WHEN bit_count(xor(prior, simhash)) <= 3 THEN 'cosmetic' ELSE 'update' END AS change, count(*) AS n FROM q GROUP BY 1""")
 def stored_changes(spark: SparkSession, d: str) -> DataFrame:
-    incoming = text_table(spark, d, "conversations").select(
+    incoming = table(spark, d, "conversations").select(
         F.col("conv_id").alias("canonical_hash"), F.col("turn").alias("notice_key"),
         F.timestamp_seconds(F.col("turn") * 3600).alias("fetched_at"), dedup.simhash_of("text").alias("simhash"))
     stored = document_hashes(spark, d).withColumnRenamed("doc_id", "canonical_hash")
@@ -276,7 +276,7 @@ _EVID = "CASE " + " ".join(f"WHEN len(h{i}) = best THEN array_to_string(h{i}, ',
   SELECT doc_id, CASE WHEN best > 0 THEN {_AREA} END AS area, CASE WHEN best > 0 THEN round(least(0.95, 0.3 + 0.15 * best), 4)::double ELSE 0::double END AS confidence,
          CASE WHEN best > 0 THEN {_EVID} ELSE '' END AS evidence FROM b""")
 def classify_area(spark: SparkSession, d: str) -> DataFrame:
-    docs = text_table(spark, d, "documents").select(
+    docs = table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("titulo"), clip("text", 100).alias("texto_resumo"), F.col("lang").alias("area_concentracao"),
         F.col("text").alias("texto_completo"), F.lit(None).cast("string").alias("area_cnpq_codigo"))
     c = classify.classify_area(docs, WORD_AREAS)

@@ -1,11 +1,10 @@
-"""Session settings, checkpoint folder and the measured broadcast."""
+"""Session settings and checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,27 +53,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fan_out(spark: SparkSession, per: int = 64) -> int:
-    """How many ways to split a hot join key: grows with the cluster's shuffle width, 1 when that is small."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // per)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only after measuring rows and bytes; beyond the bound the join shuffles instead.
-
-    The probe reads at most ``max_rows + 1`` rows.
-    """
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    rows, octets = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
-    return F.broadcast(df) if rows <= max_rows and (octets or 0) <= max_bytes else df
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files yield fewer tasks than that; elsewhere the frame stays as it is.
-
-    For CPU-heavy text work over a few small files. A large table has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

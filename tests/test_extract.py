@@ -84,11 +84,11 @@ def test_listing_stages(spark):
 def test_documents(spark):
     header = "Universidade X - Edital"
     texts = {"d": [f"{header}\nEDITAL Nº 5/2026 Mestrado\n \nlinha a\nigual", f"{header}\n15 vagas, isento\nigual  ", f"{header}\n" + "prazo 01/02/2026 " * 8],
-             "short": ["abc"], "big": ["x" * 400]}
+             "short": ["abc"], "big": ["x" * 6_000_000]}
     rows = [(d, i, t) for d, ps in texts.items() for i, t in enumerate(ps)]
-    texto, big = extract.document_text(spark.createDataFrame(rows, "doc_id string, page_no int, page_text string"), max_bytes=399)
+    texto = extract.document_text(spark.createDataFrame(rows, "doc_id string, page_no int, page_text string"))
     got = {r.doc_id: r.texto for r in texto.collect()}
-    assert set(got) == {"d", "short"} and [r.doc_id for r in big.collect()] == ["big"]
+    assert set(got) == {"d", "short", "big"} and got["big"] == "x" * 6_000_000
     assert header not in got["d"] and "igual" not in got["d"]
     assert got["d"].startswith("EDITAL No 5/2026 Mestrado\nlinha a\n15 vagas, isento\nprazo")
     docs = texto.select(F.col("doc_id").alias("url"), F.lit(NOW).alias("fetched_at"), F.lit("s").alias("source"), "texto")
@@ -212,3 +212,36 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     day_pages(spark).coalesce(1).write.parquet(source)
     jobs.start_ingest(spark, source, root, str(tmp_path / "ck"), lambda: dimensions(spark), lambda: F.lit(NOW)).awaitTermination()
     check_first_day(spark, root)
+
+
+def test_feeds_in_the_wild(spark):
+    def feed(title, head='<?xml version="1.0"?>', tail="</channel></rss>"):
+        return f"{head}<rss><channel><item><title>{title}</title><link>https://x/1</link><description>Inscrições até 30/06/2026</description></item>{tail}"
+
+    latin = feed("Seleção de Mestrado", '<?xml version="1.0" encoding="ISO-8859-1"?>').encode("latin-1")
+    rows = [("https://s/latin", latin), ("https://s/amp", feed("Mestrado em A & B").encode()), ("https://s/nbsp", feed("Mestrado&nbsp;A").encode()),
+            ("https://s/cut", feed("Mestrado cortado", tail="<item><title>Doutor").encode()), ("https://s/blank", ("\n" * 300 + feed("Mestrado depois")).encode()),
+            ("https://s/none", b"not a feed at all")]
+    df = spark.createDataFrame([(u, u, 200, {"content-type": "text/plain"}, b, NOW, "http", "src") for u, b in rows], schemas.RAW_RESPONSES)
+    df = pages.with_content_type(df)
+    got = {r.page_url: r.titulo for r in extract.extract_feed(df, r"mestrado").collect()}
+    assert got["https://s/latin"] == "Seleção de Mestrado" and got["https://s/amp"] == "Mestrado em A & B"
+    assert set(got) == {u for u, _ in rows} - {"https://s/none"}
+    assert [r.url for r in extract.broken_feeds(df).collect()] == ["https://s/none"]
+    routes = {r.url: r.r for r in df.select("url", extract.listing_route(F.col("content_type"), F.col("body")).alias("r")).collect()}
+    assert routes["https://s/blank"] == "feed" and routes["https://s/none"] is None
+
+
+def test_inline_tags_join_and_deep_pages_are_linear(spark):
+    page = "<html><body><main><h1>M<b>estr</b>ado</h1><p>um<br>dois</p><ul><li>a<li>b</ul><td>c</td></main></body></html>"
+    deep = "<p>x" + "<b></b><b>" * 30_000 + "<p>fim"
+    df = raw(spark, ("https://u/1", HTML, page, "s"), ("https://u/2", HTML, deep, "s"))
+    got = {r.page_url: r for r in extract.extract_html_notice(df).collect()}
+    assert got["https://u/1"].titulo == "Mestrado" and got["https://u/1"].nivel == "mestrado_academico"
+    assert got["https://u/1"].texto_completo == "Mestrado um dois a b c" and got["https://u/2"].texto_completo.endswith("x fim")
+
+
+def test_search_hits_lose_white_space_around(spark):
+    hits = [{"title": "\n Edital\t", "url": "\nhttps://z/1\n"}]
+    (r,) = extract.extract_search(raw(spark, ("u", JSON, json.dumps({"hits": hits}), "dou"))).collect()
+    assert (r.titulo, r.url_origem) == ("Edital", "https://z/1")

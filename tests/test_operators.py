@@ -1,5 +1,6 @@
 """Operators against hand-written cases and brute force."""
 
+import json
 import random
 from datetime import date, datetime, timedelta
 
@@ -422,3 +423,21 @@ def test_counters(spark):
     assert h["a"].le_0_1 == 1 and h["a"].le_0_5 == 2 and h["b"].le_30_0 == 0 and h["b"].n == 1
     assert {(r.source, r.status, r.n) for r in ops.stage_counters(df, "source", "status", totals=True).collect()} >= {("a", None, 2), (None, None, 3)}
     assert [r.f for r in df.select(ops.is_failure("status").alias("f")).collect()] == [False, True, False]
+
+
+def test_digest_order_and_group_sizes_do_not_follow_the_part_size(spark):
+    rows = [(f"m{i:02d}", "s", None if i == 3 else f"T{i}", "I", "Mba", "Ead", "", None, "u", None, 1.0) for i in range(8)]
+    items = spark.createDataFrame(rows, "match_id string, subscriber_id string, titulo string, ies_nome string, nivel_label string, "
+                                  "modalidade_label string, area_label string, prazo string, url_origem string, url_pdf string, score double")
+    people = spark.createDataFrame([("s", "S", "s@x", True)], "id string, nome string, email string, ativo boolean")
+    for size in (8, 3, 1):
+        assert [r.match_id for r in digest.ranked(items, size).orderBy("rank").collect()] == [r[0] for r in rows]
+        parts = digest.render_digests(items, people, F.lit(date(2026, 1, 1)), part_size=size).collect()
+        assert len(parts) == -(-8 // size) and all("<h2>Mba (8)</h2>" in p.body_html for p in parts)
+        assert sum(p.body_html.count("<div>") for p in parts) == 8
+
+
+def test_conflicts_read_the_enrichment_s_raw_text(spark):
+    parsed = spark.createDataFrame([("k", "doutorado", "ead"), ("l", "mba", "ead")], "notice_key string, nivel string, modalidade string")
+    said = spark.createDataFrame([("k", "Doutorado em Computacao", "EAD"), ("l", "Doutorado", "EAD")], "notice_key string, nivel string, modalidade string")
+    assert [(r.reason, json.loads(r.payload)["notice_key"]) for r in contracts.enrichment_conflicts(parsed, said).collect()] == [("conflict:nivel", "l")]
