@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arauto import dims, schemas
 from arauto.functions.fields import host, window_is_valid
-from arauto.operators import classify, contracts, dedup, enrich, extract, gate, match, ops, tables
+from arauto.operators import classify, contracts, dedup, digest, enrich, extract, gate, match, ops, tables
 from arauto.session import cut_lineage
 from arauto.sources import frontier, pages
 
@@ -136,6 +137,31 @@ def current_matches(spark: SparkSession, root: str) -> DataFrame:
         tables.read_batches(spark, f"{root}/matches", schemas.MATCHES), ["subscriber_id", "edital_id"], tables.MATCH_UPDATES)
 
 
+def run_expiry(spark: SparkSession, root: str, batch: int, today: Column, now: Column) -> None:
+    """Stored notices past their deadline become expired, as a batch of the notices table that holds only those."""
+    open_ = current_notices(spark, root, below=batch).where("status != 'expirado'")
+    tables.write_batch(tables.expire(open_, today, now).where("status = 'expirado'"), f"{root}/notices", batch)
+
+
+def run_digest(spark: SparkSession, root: str, d: Dimensions, batch: int, today: Column, now: Column, hours: int = 24,
+               sink: Callable[[DataFrame], None] | None = None, **render: object) -> None:
+    """Pending matches to digests, and back to the match table as sent.
+
+    Digests are written as a batch of ``digests``; ``sink`` gets the written rows (to hand them to a channel), and only
+    then the matches of the subscribers they went to are marked. ``batch`` counts in one sequence with the ingest.
+    """
+    stored = current_matches(spark, root)
+    due = cut_lineage(digest.pending(stored, now, hours))
+    items = digest.digest_items(due, current_notices(spark, root), d.institutions, dims.areas(spark))
+    tables.write_batch(digest.render_digests(items, d.subscribers, today, **render), f"{root}/digests", batch)
+    written = spark.read.parquet(f"{root}/digests/batch={batch}")
+    if sink is not None:
+        sink(written)
+    shown = items.select(F.col("match_id").alias("id"), "subscriber_id").join(written.select("subscriber_id").distinct(), "subscriber_id", "left_semi")
+    sent = due.select(*stored.columns).join(shown.select("id").distinct(), "id", "left_semi")
+    tables.write_batch(tables.mark_notified(sent, sent, now), f"{root}/matches", batch)
+
+
 def match_all(notices: DataFrame, d: Dimensions) -> DataFrame:
     """Matches of all stored notices, for subscribers that joined after the notices came in."""
     named = notices.join(d.institutions.select(F.col("id").alias("ies_id"), F.col("nome").alias("ies_nome")), "ies_id", "left")

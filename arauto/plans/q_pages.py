@@ -80,11 +80,23 @@ def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return new.select("sha256", "bytes_size", "content_type", "storage_path")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS sha256 FROM pages WHERE false")
+@query("SELECT DISTINCT sha256(html) AS sha256 FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)")
 def known_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Fetching the same pages again stores nothing."""
+    """Pages fetched when every third was stored before: only new contents are added, each once."""
     raw, date = html_responses(spark, d), F.to_date("fetched_at")
-    return pages.new_snapshots(raw, pages.snapshot_rows(raw, date), date).select("sha256")
+    before = table(spark, d, "pages").where("page_id % 3 = 0").select("url")
+    stored = pages.snapshot_rows(raw.join(before, "url", "left_semi"), date)
+    return pages.new_snapshots(raw, stored, date).select("sha256")
+
+
+@query(f"SELECT url, url || '#final' AS final_url, TIMESTAMPTZ '2024-01-01 00:00:00+00' + to_seconds(page_id) AS fetched_at, strlen(html) AS bytes FROM pages QUALIFY row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id, url) = 1")
+def replayed_times(spark: SparkSession, d: str) -> DataFrame:
+    """Archived pages keep when they were fetched and where a redirect led."""
+    when = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("page_id"))
+    ids = table(spark, d, "pages").select("url", "page_id")
+    raw = html_responses(spark, d).drop("fetched_at", "final_url").join(ids, "url").withColumns({"fetched_at": when, "final_url": F.concat("url", F.lit("#final"))})
+    again = pages.replay(pages.snapshot_rows(raw, F.to_date("fetched_at")))
+    return again.select("url", "final_url", "fetched_at", F.octet_length("body").cast("long").alias("bytes"))
 
 
 SQL_BODY = "regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]+>', ' ', 'g')"

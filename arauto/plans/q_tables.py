@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arauto import dims, schemas
 from arauto.operators import contracts, digest, enrich, gate, listing, match, ops, tables
+from arauto.plans import ingest
 from arauto.plans.catalog import query, table
 from arauto.plans.q_text import SQL_FROM, SQL_LEVEL, SQL_MODE, SQL_TO, order_texts, part_notices, sql_pick
 from arauto.functions import fields as f
+from arauto.session import checkpoint_dir
 from arauto.sources import frontier, pages
 
 # --- upserts ----------------------------------------------------------------------------------------------
@@ -332,6 +336,32 @@ def digest_parts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("subscriber_id", "part", "parts", items.cast("long").alias("items"))
 
 
+@query(f"""WITH i AS ({SQL_ITEMS}), r AS (SELECT *, row_number() OVER (PARTITION BY subscriber_id ORDER BY score DESC, match_id) AS rank, count(*) OVER (PARTITION BY subscriber_id) AS total FROM i)
+  SELECT subscriber_id, ((rank - 1) // 500 + 1)::int AS part, md5('Editais — 1998-03-01' || chr(10) || chr(10) || total || ' edital(is) encontrado(s) no seu perfil (' || n_name || ').' || chr(10) || chr(10) || string_agg(
+      '- ' || titulo || chr(10) || '  ' || ies_nome || ' | ' || modalidade_label || CASE area_label WHEN '' THEN '' ELSE ' | ' || area_label END || coalesce(chr(10) || '  Inscrições até: ' || prazo, '')
+      || chr(10) || '  Score: ' || printf('%.2f', score) || chr(10) || '  ' || url_origem || chr(10), '' ORDER BY rank)) AS body
+  FROM r JOIN nation ON n_nationkey::varchar = subscriber_id WHERE n_regionkey <> 4 GROUP BY subscriber_id, part, total, n_name""")
+def digest_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Digest texts at the default part size."""
+    out = digest.render_digests(order_items(spark, d), nation_subscribers(spark, d), F.lit("1998-03-01"), "all@example.org")
+    return out.select("subscriber_id", "part", F.md5("body_text").alias("body"))
+
+
+@query(f"""SELECT o_orderkey::varchar AS id, o_orderstatus = 'F' OR (o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR AND n_regionkey <> 4) AS notified,
+  o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR AND n_regionkey <> 4 AS stamped
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def digest_job(spark: SparkSession, d: str) -> DataFrame:
+    """The stored matches after the digest job: those it sent are marked, those of inactive subscribers stay."""
+    root = f"{checkpoint_dir(spark)}/digest-{uuid.uuid4().hex}"
+    uuid_of = F.regexp_replace(F.md5(F.col("edital_id").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    tables.write_batch(order_matches(spark, d).withColumn("edital_id", uuid_of), f"{root}/matches", 0)
+    tables.write_batch(order_notices(spark, d).withColumn("canonical_hash", F.col("id")), f"{root}/notices", 0)
+    inst = table(spark, d, "customer").select(*schemas.fields(schemas.INSTITUTIONS, id=F.col("c_custkey"), nome=F.col("c_name")))
+    dimensions = ingest.Dimensions(None, None, inst, nation_subscribers(spark, d))
+    ingest.run_digest(spark, root, dimensions, 1, F.lit("1998-03-01"), F.lit(NOW).cast("timestamp"), 2400)
+    return ingest.current_matches(spark, root).select("id", "notified", F.col("notified_at").isNotNull().alias("stamped"))
+
+
 # --- enrichment -------------------------------------------------------------------------------------------
 
 

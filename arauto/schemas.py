@@ -64,7 +64,8 @@ MATCHES = (
 
 SNAPSHOTS = (
     "id string, url string, http_status int, content_type string, sha256 string, bytes_size bigint, "
-    "storage_path string, headers map<string,string>, body binary, source string, date string"
+    "storage_path string, headers map<string,string>, body binary, source string, date string, "
+    "final_url string, fetched_at timestamp"
 )
 
 DEAD_LETTERS = "stage string, reason string, payload string, ts timestamp"

@@ -53,30 +53,42 @@ def with_content_type(raw: DataFrame) -> DataFrame:
 # --- snapshots --------------------------------------------------------------------------------------------
 
 
+def _captures(raw: DataFrame, date: Column) -> DataFrame:
+    ct = content_type()
+    suffix = F.when(is_pdf(ct), ".pdf").when(is_html(ct), ".html").when(is_feed(ct), ".xml").otherwise(".bin")
+    sha = content_hash("body")
+    return raw.select(
+        sha.alias("id"), "url", F.col("status").alias("http_status"), ct.alias("content_type"), sha.alias("sha256"),
+        F.octet_length("body").cast("long").alias("bytes_size"),
+        F.concat("source", F.lit("/"), date.cast("string"), F.lit("/"), sha, suffix).alias("storage_path"),
+        "headers", "body", "source", date.cast("string").alias("date"), "final_url", "fetched_at",
+    )
+
+
+def _first_of_each(captures: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The first capture of each content (that is not stored), found on hashes and addresses alone.
+
+    Bodies take part in no sort or aggregate: they meet their winning key in one join.
+    """
+    keys = captures.select("sha256", "fetched_at", "url", "source")
+    if stored is not None:
+        keys = keys.join(stored.select("sha256"), "sha256", "left_anti")
+    first = keys.groupBy("sha256").agg(F.min(F.struct("fetched_at", "url", "source")).alias("k")).select("sha256", "k.*")
+    same = [captures[c].eqNullSafe(first[c]) for c in ("fetched_at", "url", "source")]
+    return captures.join(first, [captures["sha256"] == first["sha256"], *same], "left_semi")
+
+
 def snapshot_rows(raw: DataFrame, date: Column) -> DataFrame:
     """One content-addressed row per distinct body: sha256, size and '<source>/<date>/<sha><suffix>'.
 
-    Copies of a body keep the first capture; they merge before the shuffle, so a page served everywhere (an error
-    page, say) moves once per task.
+    Copies of a body keep the first capture (a row that is fetched twice in every column stays twice).
     """
-    ct = content_type()
-    suffix = F.when(is_pdf(ct), ".pdf").when(is_html(ct), ".html").when(is_feed(ct), ".xml").otherwise(".bin")
-    hashed = raw.select(
-        content_hash("body").alias("sha256"), "url", F.col("status").alias("http_status"), ct.alias("content_type"),
-        F.octet_length("body").cast("long").alias("bytes_size"), suffix.alias("suffix"), "headers", "body", "source",
-        date.cast("string").alias("date"), "fetched_at",
-    )
-    first = F.min_by(F.struct(*[c for c in hashed.columns if c != "sha256"]), F.struct("fetched_at", "url", "source"))
-    return hashed.groupBy("sha256").agg(first.alias("p")).select(
-        F.col("sha256").alias("id"), "p.url", "p.http_status", "p.content_type", "sha256", "p.bytes_size",
-        F.concat("p.source", F.lit("/"), "p.date", F.lit("/"), "sha256", "p.suffix").alias("storage_path"),
-        "p.headers", "p.body", "p.source", "p.date",
-    )
+    return _first_of_each(_captures(raw, date))
 
 
 def new_snapshots(raw: DataFrame, stored: DataFrame, date: Column) -> DataFrame:
     """Snapshots whose content is not stored yet; only the hash column of ``stored`` is read."""
-    return snapshot_rows(raw, date).join(stored.select("sha256"), "sha256", "left_anti")
+    return _first_of_each(_captures(raw, date), stored)
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -91,8 +103,8 @@ def find_snapshot(snapshots: DataFrame, sha256: str) -> DataFrame:
 def replay(snapshots: DataFrame) -> DataFrame:
     """Stored snapshots as fetched pages again: the extraction jobs run on them without any network."""
     return with_content_type(snapshots.select(
-        "url", F.col("url").alias("final_url"), F.col("http_status").alias("status"), "headers", "body",
-        F.to_timestamp("date").alias("fetched_at"), F.lit("cache").alias("via"), "source",
+        "url", F.coalesce("final_url", "url").alias("final_url"), F.col("http_status").alias("status"), "headers", "body",
+        F.coalesce("fetched_at", F.to_timestamp("date")).alias("fetched_at"), F.lit("cache").alias("via"), "source",
     ))
 
 
