@@ -17,7 +17,7 @@ SHINGLE = 5
 #: Two sets link when at least NUM / DEN of their union is shared.
 NUM, DEN = 3, 4
 #: Groups into which shingles are hashed: the coordinates of a point.
-GROUPS = 64
+GROUPS = 256
 #: Cells of the corpus-wide count of shingles that orders them from rare to frequent.
 CELLS = 1 << 18
 #: Bits of the filter that tells which texts a verification may need.
@@ -88,7 +88,8 @@ def _features(n: int, cells, num: int, den: int):
             value, offsets = shingle_sets(Texts(batch.column("text")), n)
             docs, size = batch.num_rows, np.diff(offsets)
             owner = np.repeat(np.arange(docs), size)
-            points = np.bincount(owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=docs * GROUPS).astype(np.uint32)
+            points = np.bincount(owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=docs * GROUPS)
+            points = points.astype(np.uint16 if points.max(initial=0) < 1 << 16 else np.uint32)
             order = np.lexsort((value, count[(value % np.uint64(CELLS)).astype(np.int64)], owner))
             length = size - -(-size * num // den) + 1
             length[size == 0] = 0
@@ -205,10 +206,40 @@ class RTree:
         return a[apart], b[apart]
 
 
+def _points(cells: list) -> np.ndarray:
+    """Count vectors of binary cells; counts are of 16 bits, or of 32 where a slice held a larger one."""
+    out = np.empty((len(cells), GROUPS), np.int64)
+    for i, cell in enumerate(cells):
+        out[i] = np.frombuffer(cell, np.uint16 if len(cell) == 2 * GROUPS else np.uint32)
+    return out
+
+
+def _leaf_pairs(num: int, den: int):
+    """Pairs within blocks of at most LEAF documents, which are one leaf each: those of like size and different components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, doc, comp, n = (table[c].to_numpy() for c in ("key", "doc_id", "component", "n_shingles"))
+        order = np.lexsort((doc, key))
+        key, doc, comp, n = key[order], doc[order], comp[order], n[order]
+        a, b = [], []
+        for step in range(1, LEAF):
+            same = np.flatnonzero(key[step:] == key[:-step])
+            if not len(same):
+                break
+            i, j = same, same + step
+            ok = (comp[i] != comp[j]) & (doc[i] != doc[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+            a.append(doc[i[ok]])
+            b.append(doc[j[ok]])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _block_pairs(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
+        points = _points(table["point"].to_pylist())
         a, b = RTree(points, table["n_shingles"].to_numpy()).pairs(num, den, comp)
         lo, hi = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
         return pa.table([pa.array(lo), pa.array(hi)], names=["a", "b"])
@@ -219,7 +250,7 @@ def _block_pairs(num: int, den: int):
 def _bound_filter(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for c in ("px", "py"))
+            x, y = _points(batch.column("px").to_pylist()), _points(batch.column("py").to_pylist())
             n, m = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
             ok = (n * den >= m * num) & (m * den >= n * num) & ((num + den) * overlap_bound(x, y) >= num * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
@@ -270,8 +301,8 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
 
     1. Equal sets are one class (its smallest doc_id). Sets meet in blocks by the rare shingles of their prefixes.
     2. In a block every set is tried against the block's smallest document: a near-copy group costs a star, not all pairs.
-    3. Blocks whose documents are still in different components are joined by an R-tree over count vectors; only pairs
-       between components that the summed minima leave possible are verified on the full sets.
+    3. Blocks whose documents are still in different components are joined by an R-tree over count vectors (a small block is
+       one leaf); only pairs between components that the summed minima leave possible are verified on the full sets.
 
     Null and blank texts have no shingles and link with nothing, their own component. A row with a null doc_id links with
     nothing and has a null component. Rows that repeat a doc_id are one document with several texts. Identical rows each
@@ -299,21 +330,29 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy"))
         return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """The pairs that the summed minima of their points leave possible."""
+        x = points.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("nx"), F.col("point").alias("px"))
+        y = points.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py"))
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_filter(num, den), "a long, b long")
+
     stars = blocks.join(blocks.groupBy("key").agg(F.min("doc_id").alias("a")), "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    bounded = stars.join(points.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("nx"), F.col("point").alias("px")), "a")
-    bounded = bounded.join(points.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py")), "b")
-    links = verified(bounded.mapInArrow(_bound_filter(num, den), "a long, b long"))
+    links = verified(bounded(stars))
     first = components(links)
 
     labelled = points.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    in_block = blocks.join(labelled.select("doc_id", "component"), "doc_id")
+    in_block = blocks.join(labelled.select("doc_id", "component", "n_shingles"), "doc_id")
     mixed = in_block.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y")
+    mixed = staged(mixed.select("key", "n"), "mixed")
+    small = in_block.join(mixed.filter(F.col("n") <= LEAF).select("key"), "key").select("key", "doc_id", "component", "n_shingles")
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).cast("int"))
+    near = small.groupBy("bucket").applyInArrow(_leaf_pairs(num, den), "a long, b long")
     pages = F.ceil(F.col("n") / PAGE).cast("int")
     page = F.pmod(F.xxhash64("doc_id"), pages).cast("int")
-    spread = in_block.join(mixed.select("key", "n"), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
+    spread = in_block.join(mixed.filter(F.col("n") > LEAF), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
     spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "doc_id")
-    again = spread.join(labelled, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long").distinct()
-    more = verified(again)
+    again = spread.join(labelled, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
+    more = verified(bounded(near.union(again).distinct()))
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
     named = features.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(joined, "rep", "left")
     per_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -156,6 +156,7 @@ def similar():
 @pytest.mark.parametrize("page", [4096, 3])
 def test_jaccard_groups(spark, monkeypatch, similar, page):
     monkeypatch.setattr(op3_jaccard, "PAGE", page)
+    monkeypatch.setattr(op3_jaccard, "LEAF", 4 if page == 3 else 32)
     df = spark.createDataFrame([(i, t, "x") for i, t in similar], "doc_id long, text string, component_id string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(df).collect()} == brute_groups(similar)
 
@@ -170,7 +171,7 @@ def test_jaccard_groups_of_odd_rows(spark):
 
 def test_r_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(1)
-    points = rng.poisson(1.5, (400, 8)).astype(np.uint32)
+    points = rng.poisson(1.5, (400, 8))
     points[200:] = points[:200]
     size = points.sum(1)
     a, b = RTree(points, size).pairs(3, 4, np.arange(400))
