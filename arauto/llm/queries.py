@@ -22,11 +22,29 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+SQL_GROUPS = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+  u AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * k >= 75 * (na + nb - k)), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.doc_id)
+  SELECT s.doc_id, len(g)::bigint AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(low) AS component_id FROM r GROUP BY 1) USING (doc_id)"""
+
+SQL_WINDOWS = f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+  x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d),
+  f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id, p) AS k FROM x),
+  gone AS (SELECT DISTINCT doc_id, p + i AS p FROM f, range(20) t(i) WHERE k > 1),
+  v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+  t AS (SELECT v.doc_id, count(gone.p) AS removed, string_agg(word, ' ' ORDER BY v.p) FILTER (gone.p IS NULL) AS kept FROM v LEFT JOIN gone ON gone.doc_id = v.doc_id AND gone.p = v.p GROUP BY 1)
+  SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", SQL_WINDOWS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op9_substrings import substring_dedup
 
@@ -83,7 +101,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op3_jaccard_groups")
+@query("op3_jaccard_groups", SQL_GROUPS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op3_jaccard import jaccard_groups
 
