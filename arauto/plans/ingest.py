@@ -42,13 +42,21 @@ def of_kind(raw: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
     return raw.join(s, "source")
 
 
-def extract_all(raw: DataFrame, sources: DataFrame) -> DataFrame:
+def extract_listings(raw: DataFrame) -> DataFrame:
+    routed = raw.withColumn("route", extract.listing_route(F.col("content_type"), F.col("body")))
+    return extract.extract_feed(routed.where("route = 'feed'")).unionByName(extract.extract_listing(routed.where("route = 'listing'")))
+
+
+#: What turns the pages of each kind of source into parsed notices; a new kind is another entry.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "listing": extract_listings, "search": extract.extract_search, "catalogue": extract.extract_table,
+    "page": lambda raw: extract.extract_routed(raw, extract.default_parsers()),
+}
+
+
+def extract_all(raw: DataFrame, sources: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]] = EXTRACTORS) -> DataFrame:
     """Every page through the job its source's kind calls for; one table of parsed notices with ``notice_key``."""
-    listings = of_kind(raw, sources, "listing").withColumn("route", extract.listing_route(F.col("content_type"), F.col("body")))
-    parsed = frontier.all_sources(
-        extract.extract_feed(listings.where("route = 'feed'")), extract.extract_listing(listings.where("route = 'listing'")),
-        extract.extract_search(of_kind(raw, sources, "search")), extract.extract_table(of_kind(raw, sources, "catalogue")),
-        extract.extract_routed(of_kind(raw, sources, "page"), extract.default_parsers()))
+    parsed = frontier.all_sources(*[job(of_kind(raw, sources, kind)) for kind, job in extractors.items()])
     key = F.sha2(F.concat_ws("|", "page_url", F.col("fetched_at").cast("string"), F.col("position").cast("string")), 256)
     return parsed.withColumn("notice_key", key)
 
@@ -61,7 +69,8 @@ def prepare(parsed: DataFrame, institutions: DataFrame) -> DataFrame:
     return gate.resolve_institution(classified, institutions)
 
 
-def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column, enrichment: DataFrame | None = None) -> None:
+def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column, enrichment: DataFrame | None = None,
+              extractors: dict[str, Callable[[DataFrame], DataFrame]] = EXTRACTORS) -> None:
     """Process one batch of fetched pages into the tables under ``root``.
 
     Each table's share is written as ``batch=<n>`` and replaced when the batch runs again. Parsed notices are
@@ -75,7 +84,7 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
     tables.write_batch(pages.new_snapshots(good, stored_pages, F.to_date("fetched_at")), at("snapshots"), batch)
 
     parsed_schema = f"page_url string, fetched_at timestamp, position int, {schemas.PARSED_NOTICES}, notice_key string"
-    tables.write_batch(extract_all(good, d.sources), at("parsed"), batch)
+    tables.write_batch(extract_all(good, d.sources, extractors), at("parsed"), batch)
     parsed = tables.read_batches(spark, at("parsed"), parsed_schema).where(F.col("batch") == batch).drop("batch")
 
     catalogue = parsed.where(extract.is_catalogue_row())

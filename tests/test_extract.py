@@ -245,3 +245,29 @@ def test_search_hits_lose_white_space_around(spark):
     hits = [{"title": "\n Edital\t", "url": "\nhttps://z/1\n"}]
     (r,) = extract.extract_search(raw(spark, ("u", JSON, json.dumps({"hits": hits}), "dou"))).collect()
     assert (r.titulo, r.url_origem) == ("Edital", "https://z/1")
+
+
+def test_a_new_kind_of_source_the_digest_job_and_expiry(spark, tmp_path):
+    root, d = str(tmp_path / "root"), dimensions(spark)
+    own = spark.createDataFrame([("mine", "letters")], "codigo string, kind string")
+    sources = d.sources.select("codigo", "kind", "ies_nome").unionByName(own, allowMissingColumns=True)
+    d = ingest.Dimensions(sources, d.contracts, d.institutions, d.subscribers)
+    as_table = dict(ingest.EXTRACTORS, letters=lambda raw: extract.extract_document(raw.withColumn("texto", pages.body_text())))
+    letter = raw(spark, ("https://mine/1", "text/plain", "Edital de mestrado. " + "Doutorado em letras com 12 vagas. " * 30, "mine"))
+    more = letter.select(*[f.name for f in schemas.struct(schemas.RAW_RESPONSES)])
+    ingest.run_batch(day_pages(spark).unionByName(more), d, root, 0, F.lit(NOW), extractors=as_table)
+    assert spark.read.parquet(f"{root}/parsed").where("fonte_codigo = 'mine'").count() == 1
+
+    sent = []
+    ingest.run_digest(spark, root, d, 1, F.lit("2026-02-01"), F.lit(NOW), sink=lambda rows: sent.extend(rows.collect()))
+    assert len(sent) == 1 and sent[0].total == 1 and "Especialização" in sent[0].body_text
+    assert [(m.notified, m.notified_at) for m in ingest.current_matches(spark, root).collect()] == [(True, NOW)]
+    ingest.run_digest(spark, root, d, 2, F.lit("2026-02-01"), F.lit(NOW), sink=lambda rows: sent.extend(rows.collect()))
+    assert len(sent) == 1  # nothing is pending any more
+
+    before = {r.canonical_hash: r.status for r in ingest.current_notices(spark, root).collect()}
+    ingest.run_expiry(spark, root, 3, F.lit(date(2026, 4, 1)), F.lit(NOW))
+    after = {r.canonical_hash: (r.status, r.inscricao_ate) for r in ingest.current_notices(spark, root).collect()}
+    assert set(before.values()) == {"publicado"} and set(after) == set(before)
+    assert all((status == "expirado") == (until is not None and until < date(2026, 4, 1)) for status, until in after.values())
+    assert any(status == "expirado" for status, _ in after.values())

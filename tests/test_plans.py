@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from arauto import schemas
 from arauto.operators import listing, ops
-from arauto.plans import q_ops, q_tables, q_text
+from arauto.plans import catalog, q_ops, q_tables, q_text
 
 SMALL = "/root/testdata/sf0.001"
-STREAMED = {n for n in entry.queries() if n.startswith(("stream_", "ingested_"))}
+STREAMED = {n for n in catalog.QUERIES if n.startswith(("stream_", "ingested_"))}
 
 
 def plan(df):
@@ -22,14 +22,15 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMED - {"near_duplicate_families"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - STREAMED - {"near_duplicate_families"}))
 def test_no_cross_joins(spark, name):
-    text = physical(entry.queries()[name](spark, SMALL))
+    text = physical(catalog.QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
