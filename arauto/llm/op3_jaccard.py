@@ -188,8 +188,8 @@ class RTree:
             ok = (a <= b) & (large[a] * den >= small[b] * num) & (large[b] * den >= small[a] * num)
             a, b = a[ok], b[ok]
             keep = np.zeros(len(a), bool)
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            for at in range(0, len(a), 1 << 12):  # 8 MB of points at a time
+                x, y = a[at : at + (1 << 12)], b[at : at + (1 << 12)]
                 keep[at : at + len(x)] = (num + den) * overlap_bound(top[x], top[y]) >= num * (small[x] + small[y])
             a, b = a[keep], b[keep]
             if level:
