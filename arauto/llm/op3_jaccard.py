@@ -19,7 +19,7 @@ NUM, DEN = 3, 4
 #: Groups into which shingles are hashed: the coordinates of a point.
 GROUPS = 256
 #: Cells of the corpus-wide count of shingles that orders them from rare to frequent.
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Bits of the filter that tells which texts a verification may need.
 BITS = 1 << 23
 #: Points of a leaf, and of a page of a large block (pages meet in pairs).
