@@ -13,63 +13,37 @@ from arauto.llm.common import WORD, staged
 
 #: Samples of a fingerprint; the standard error of a likeness s is sqrt(s * (1 - s) / SAMPLES).
 SAMPLES = 48
-#: Samples that share one draw a term: the draw's hash says which of them the term stands for.
-BINS = 16
 #: Documents of one bucket of the order by doc_id, on average.
 BUCKET_DOCS = 2_000
 
 
-def with_terms(df: DataFrame, text: str) -> DataFrame:
-    """One row for each different word of column ``text``: term (a hash) and log_weight (ln of how often it occurs).
+def with_units(df: DataFrame, text: str) -> DataFrame:
+    """One row for each word of column ``text``: unit, a hash of (word, how many equal words come before it).
 
-    A text without words gives one row with nulls. Counts are runs of the sorted hashes, so no row leaves its task.
+    A word that occurs n times is n units, so texts share the minimum of their counts and have the maximum between them.
+    A text without words gives one row with null. Equal words are runs of the sorted hashes, so no row leaves its task.
     """
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
     df = df.withColumn("hashes", F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))).drop(text)
     last = F.size("hashes") - 1
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("hashes", i) != F.get("hashes", i - 1)))
     df = df.withColumn("starts", F.when(last >= 0, starts))
-    run = lambda s, i: F.struct(F.get("hashes", s).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("hashes")) - s).alias("n"))
-    df = df.withColumn("run", F.explode_outer(F.transform("starts", run))).drop("hashes", "starts")
-    return df.withColumn("term", F.col("run.term")).withColumn("log_weight", F.log(F.col("run.n").cast("double"))).drop("run")
-
-
-def _uniform(h: Column, shift: int, bits: int) -> Column:
-    """A number between 0 and 1 from some bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) * 2.0**-bits
-
-
-def sample(j: int) -> tuple[Column, Column]:
-    """(which of BINS samples, sample) of draw ``j`` of (term, log_weight).
-
-    The sample is a long: how soon the term wins (high bits), then a hash of (term, level). r and c are Gamma(2, 1), each the
-    sum of two exponentials, and b is uniform, all drawn by hashing (term, j). With t = floor(ln w / r + b) and
-    ln y = r (t - b) a term's sample is a = c / (y exp r); the least a wins with its (term, t). Two texts agree with
-    probability sum of minima / sum of maxima of their weights.
-    """
-    h, g = F.xxhash64("term", F.lit(2 * j)), F.xxhash64("term", F.lit(2 * j + 1))
-    r = -F.log(_uniform(h, 0, 31) * _uniform(h, 32, 31))
-    log_c = F.log(-F.log(_uniform(g, 0, 23) * _uniform(g, 23, 23)))
-    b = _uniform(F.xxhash64("term", F.lit(-1 - j)), 0, 31)
-    level = F.floor(F.col("log_weight") / r + b)
-    soon = log_c - r * (level.cast("double") - b + 1.0)  # within -96 and 32 for any weight below e^40
-    rank = F.shiftleft(((soon + 96.0) * 2.0**24).cast("long"), 32)
-    return F.pmod(F.shiftrightunsigned(g, 46), F.lit(BINS)), rank.bitwiseOR(h.bitwiseXOR(level).bitwiseAND(F.lit(0xFFFFFFFF)))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("hashes"))
+    run = lambda s, i: F.transform(F.sequence(F.lit(0), end(i) - s - 1), lambda n: F.xxhash64(F.get("hashes", s), n))
+    return df.withColumn("unit", F.explode_outer(F.flatten(F.transform("starts", run)))).drop("hashes", "starts")
 
 
 def fingerprint(df: DataFrame, key: str, carry: list[str], samples: int = SAMPLES) -> DataFrame:
-    """(key, carry, signature array<int>) of rows (key, carry, term, log_weight); ``carry`` are longs, equal within a key.
+    """(key, carry, signature array<int>) of rows (key, carry, unit); ``carry`` are longs, equal within a key.
 
-    A draw serves BINS samples, each over the terms that fall to it, so a term costs samples / BINS draws; a sample no term
-    falls to is null. Samples are minima, taken partially before the shuffle: one row a text and task moves.
+    Consistent weighted sampling for weights that are counts: sample j of a text is the unit (word, level up to its count)
+    with the least hash under j, drawn over all units of the text. Two texts agree in a sample with probability sum of
+    minima / sum of maxima of their counts. Samples are minima, taken partially before the shuffle: one row a text and
+    task moves. All samples of a text without words are null.
     """
-    if samples % BINS:
-        raise ValueError(f"samples come in groups of {BINS}")
-    draws = [sample(j) for j in range(samples // BINS)]
-    df = df.select(key, *carry, *[c.alias(f"{n}{j}") for j, draw in enumerate(draws) for n, c in zip("wv", draw, strict=True)])
-    least = [F.min(F.when(F.col(f"w{j // BINS}") == j % BINS, F.col(f"v{j // BINS}"))).alias(f"s{j}") for j in range(samples)]
-    out = df.groupBy(key).agg(*[F.max(c).alias(c) for c in carry], *least)
-    low = [(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for j in range(samples)]
+    least = [F.min(F.xxhash64("unit", F.lit(j))).alias(f"s{j}") for j in range(samples)]
+    out = df.groupBy(key).agg(*[F.max(c).alias(c) for c in carry], F.count("unit").alias("units"), *least)
+    low = [F.when(F.col("units") > 0, (F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int")) for j in range(samples)]
     return out.select(key, *carry, F.array(*low).alias("signature"))
 
 
@@ -140,7 +114,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body"))))
     rows = rows.select("pos", "next_pos", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), *digest, "text", "edited")
     rows = rows.select(*meta, both.alias("b")).select((F.col("pos") * 2 + F.col("b.which")).alias("key"), *meta, F.col("b.body").alias("body"))
-    signed = fingerprint(with_terms(rows, "body"), "key", meta, samples)
+    signed = fingerprint(with_units(rows, "body"), "key", meta, samples)
     side = lambda which: F.max(F.when(F.col("key") % 2 == which, F.col("signature")))
     pairs = signed.groupBy("pos").agg(*[F.max(c).alias(c) for c in meta[1:]], side(0).alias("own"), F.max(F.when(F.abs(F.col("key") % 2) == 1, F.col("signature"))).alias("edited"))
     after = signed.filter(F.col("key") % 2 == 0).select(F.col("pos").alias("next_pos"), F.col("signature").alias("next"))

@@ -286,6 +286,18 @@ def test_fingerprints_of_odd_texts(spark):
     assert one.edited_sha256 == hashlib.sha256(b"aba").hexdigest() and one.near_next == 1.0
 
 
+@pytest.mark.parametrize(("shared", "times", "own"), [(1, 1000, 100), (3, 100, 100), (1, 10, 1)])
+def test_fingerprints_of_texts_that_a_few_words_dominate(spark, shared, times, own):
+    rows = []
+    for i in range(30):
+        common = [f"s{i}x{w}" for w in range(shared) for _ in range(times)]
+        rows += [(2 * i + side, " ".join(common + [f"o{i}x{side}x{w}" for w in range(own)])) for side in (0, 1)]
+    texts = dict(rows)
+    got = {r.doc_id: r.near_next for r in fingerprint_documents(spark.createDataFrame(rows, TEXTS)).collect()}
+    error = [got[2 * i + 1] - jaccard(texts[2 * i + 1], texts[2 * i]) for i in range(30)]
+    assert abs(np.mean(error)) < 0.05
+
+
 # --- op6 ----------------------------------------------------------------------------------------------------------------
 
 
