@@ -27,6 +27,8 @@ NOISE_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "menu", "nav", "navbar", "navigation", "navi", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "topbar", "toolbar",
     "cookie", "cookies", "consent", "gdpr", "notice", "notification", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "commentlist", "disqus", "respond", "replies", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "widget", "search", "searchbox",
 }
+#: Names of what readers add; such parts hold articles of their own.
+REPLY_NAMES = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 #: An open element of these is closed by a start tag of those.
 CLOSES = {"p": BLOCKS - {"br", "option", "body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -40,23 +42,62 @@ MASK = (1 << 63) - 1
 class Node:
     """An open or closed element: its style path, what kind of place it is, and its range of text pieces."""
 
-    __slots__ = ("tag", "path", "noise", "article", "main", "begin", "end", "children", "parent")
+    __slots__ = ("tag", "path", "never", "name", "weak", "core", "noise", "article", "main", "begin", "end", "children", "parent")
 
-    def __init__(self, tag, path, noise, article, main, begin, parent):
-        self.tag, self.path, self.noise, self.article, self.main, self.begin, self.end, self.children, self.parent = tag, path, noise, article, main, begin, begin, [], parent
+    def __init__(self, tag, path, never, name, weak, core, begin, parent):
+        self.tag, self.path, self.never, self.name, self.weak, self.core, self.begin, self.end, self.children, self.parent = tag, path, never, name, weak, core, begin, begin, [], parent
+        self.noise = self.article = self.main = False
 
 
 def _names(attrs: dict[str, str]) -> set[str]:
     return {x for a in ("class", "id") if a in attrs for x in re.split(r"[^a-z]+", attrs[a].lower()) if x}
 
 
+def _named(attrs: dict[str, str]) -> str:
+    """What class and id say an element is: "reply", "noise", "header" or nothing.
+
+    A name counts whole: every word of it has to be such a name, so ``cookie-notice`` counts and ``no-sidebar`` does not.
+    """
+    kinds = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words and words <= NOISE_NAMES:
+            kinds.add("noise" if words.isdisjoint(REPLY_NAMES) else "reply")
+        elif words == {"header"}:
+            kinds.add("header")
+    return next((k for k in ("reply", "noise", "header") if k in kinds), "")
+
+
+def settle(nodes: list[Node], spared: frozenset[str] = frozenset()) -> None:
+    """Set noise, article and main of all nodes; names of the ``spared`` kinds mark nothing that is or holds an article or main part.
+
+    Within an article a header's name and the site's tree count for nothing.
+    """
+    holders = set()
+    if spared:
+        gone = set()
+        for n in nodes:
+            if n.never or id(n.parent) in gone:
+                gone.add(id(n))
+            elif n.core:
+                while n is not None and id(n) not in holders:
+                    holders.add(id(n))
+                    n = n.parent
+    for n in nodes:
+        up = n.parent
+        name = "" if n.name in spared and id(n) in holders else n.name
+        n.noise = up.noise or n.never or name in ("noise", "reply") or (not up.article and n.tag != "article" and (n.weak or name == "header"))
+        n.article = up.article or (n.tag == "article" and not n.noise)
+        n.main = up.main or (n.core and n.tag != "article" and not n.noise)
+
+
 def parse(page: str, noisy_paths: frozenset[int] | None = None) -> tuple[list[Node], list[tuple[Node, str]]]:
     """All elements in page order, and text pieces with the element each stands in (a piece '' is a block's border).
 
-    ``noise`` marks elements by tag, name or role, and those whose style path the site's tree found unimportant (within
-    an article names and tags alone count), and everything below them.
+    ``never`` marks elements by tag or role, ``name`` by class or id (never html, body or a main part), ``weak`` those whose
+    style path the site's tree found unimportant; settle() makes noise of them and of everything below.
     """
-    root = Node("", 1, False, False, False, 0, None)
+    root = Node("", 1, False, "", False, False, 0, None)
     stack, nodes, pieces = [root], [], []
     open_tags: dict[str, int] = {}
     at, end = 0, len(page)
@@ -106,9 +147,12 @@ def parse(page: str, noisy_paths: frozenset[int] | None = None) -> tuple[list[No
         signature = f"{tag}.{'.'.join(sorted(names))}"
         path = (up.path * 1000003 + zlib.crc32(signature.encode())) & MASK
         up.children.append(zlib.crc32(signature.encode()))
-        noise = up.noise or tag in DROPPED or "hidden" in attrs or not NOISE_NAMES.isdisjoint(names) or attrs.get("role", "").lower() in NOISE_ROLES
-        noise = noise or (not up.article and tag != "article" and (tag == "header" or "header" in names or bool(noisy_paths and path in noisy_paths)))
-        node = Node(tag, path, noise, up.article or (tag == "article" and not noise), up.main or ((tag == "main" or attrs.get("role", "").lower() == "main") and not noise), len(pieces), up)
+        role = attrs.get("role", "").lower()
+        never = tag in DROPPED or "hidden" in attrs or role in NOISE_ROLES
+        main = tag == "main" or role == "main"
+        name = "" if main or tag in ("html", "body") else _named(attrs)
+        weak = tag == "header" or bool(noisy_paths and path in noisy_paths)
+        node = Node(tag, path, never, name, weak, main or tag == "article", len(pieces), up)
         nodes.append(node)
         if tag in BLOCKS:
             pieces.append((node, ""))
@@ -124,14 +168,30 @@ def parse(page: str, noisy_paths: frozenset[int] | None = None) -> tuple[list[No
         open_tags[tag] = open_tags.get(tag, 0) + 1
     while len(stack) > 1:
         close()
+    settle(nodes)
     return nodes, pieces
 
 
 def main_text(page: str | None, noisy_paths: frozenset[int] | None = None) -> str:
-    """The article's text: of all articles if there are any, else of the main part, else of the body, without noise."""
+    """The article's text: of all articles if there are any, else of the main part, else of the body, without noise.
+
+    Names may take some articles of a page (replies), not all: where they would leave no article or main part of those
+    that are there, they don't count for what is or holds one; names of replies still do unless the page would be empty.
+    """
     if not page:
         return ""
     nodes, pieces = parse(page, noisy_paths)
+    text = _text(nodes, pieces)
+    core = [n for n in nodes if n.core]
+    if core and (not text or not any(n.article or n.main for n in core)):
+        for spared in ({"noise", "header"}, {"noise", "header", "reply"}):
+            settle(nodes, frozenset(spared))
+            if found := _text(nodes, pieces):
+                return found
+    return text
+
+
+def _text(nodes: list[Node], pieces: list[tuple[Node, str]]) -> str:
     where = "article" if any(n.article for n in nodes) else "main" if any(n.main for n in nodes) else None
     kept = [(html.unescape(t) if "&" in t else t) or " " for n, t in pieces if not n.noise and (where is None or getattr(n, where))]
     return " ".join("".join(kept).split())
@@ -190,7 +250,7 @@ def host():
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page.
 
-    Elements that are never part of an article go by tag, name or role; outside articles, branches go whose style node
+    Elements that are never part of an article go by tag, whole name or role; outside articles, branches go whose style node
     is unimportant on their site. Character references are decoded, white space is squeezed, blocks are joined in page
     order by one blank; inline tags join without. Null and empty html give an empty text; a page whose url has no host
     belongs to no site and loses nothing to one. Copies of rows are extracted alike. Other columns are ignored.

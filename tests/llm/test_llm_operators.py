@@ -365,6 +365,30 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='no-sidebar'><article>a</article></body>", "a"),
+        ("<body class='comments-open'><main>m</main></body>", "m"),
+        ("<html class='search'><body class='sidebar' id=footer><p>b</p></body></html>", "b"),
+        ("<body class='header'><div id='content-widget'><p>b</p></div></body>", "b"),
+        ("<article class='post category-search'>a</article>", "a"),
+        ("<div id='content-widget'><article>a</article></div>", "a"),
+        ("<div class='widget'><div class='header'><article class='search'>a<div class='ad-share'>x</div></article></div></div>", "a"),
+        ("<div class='widget'><main class='search'>m</main></div>", "m"),
+        ("<article>a</article><div class='widget'><article>other</article></div>", "a"),
+        ("<div><p>text</p></div><section id=comments><article>reply</article></section>", "text"),
+        ("<main>m<section id=comments><article class='comment'>reply</article></section></main>", "m"),
+        ("<article class='comment'>a</article>", "a"),
+        ("<main><div class='widget'><article>a</article></div></main>", "a"),
+        ("<div class='cookie-notice'>ok?</div><p>b</p>", "b"),
+        ("<aside class='widget'><article>a</article></aside><p>b</p>", "b"),
+    ],
+)
+def test_names_do_not_take_the_whole_page(page, want):
+    assert main_text(page) == want
+
+
 def test_site_noise_goes_and_articles_stay(spark):
     box = "<div class='box'>the same promise on every page</div>"
     rows = [(i, f"https://H.example/{i}", f"<body>{box}<div class='text'>story number {i} with words {i * 7}</div></body>") for i in range(30)]
