@@ -115,6 +115,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_groups(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op13_spelling import document_variants
+
+    return document_variants(table(spark, sf_dir, "documents"), least=7, least_n=2, ratio=10, damage=31)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
