@@ -23,6 +23,8 @@ WORD_BITS, FILTER_BYTES = 24, 32 << 20
 LEAST_BLOCKS, PROBES = 256, 6
 #: Edits hashed at a time.
 EDITS = 1 << 20
+#: Words that one task probes the edits of.
+TASK_WORDS = 1 << 15
 
 _INVERSE = np.uint64(pow(int(K1), -1, 2**64))
 
@@ -54,6 +56,7 @@ class Filters:
 
     first: np.ndarray  # by length up to LAST_LENGTH: first block
     blocks: np.ndarray  # and number of blocks
+    words: int = 0
     bits: np.ndarray | None = None
 
     @classmethod
@@ -63,7 +66,7 @@ class Filters:
         blocks = np.zeros(LAST_LENGTH + 1, np.uint64)
         for k, n in want.items():
             blocks[k] = max(1, int(n * shrink))
-        return cls(np.append(np.uint64(0), np.cumsum(blocks)[:-1]), blocks)
+        return cls(np.append(np.uint64(0), np.cumsum(blocks)[:-1]), blocks, sum(counts.values()))
 
     def place(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(block, mask) of hashed words of one length."""
@@ -124,7 +127,7 @@ def build_filters(vocab: DataFrame, least_blocks: int = LEAST_BLOCKS) -> Filters
     table = placed.toArrow()
     bits = np.zeros(int(filters.blocks.sum()), np.uint64)
     bits[table["block"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
-    return Filters(filters.first, filters.blocks, bits)
+    return Filters(filters.first, filters.blocks, filters.words, bits)
 
 
 def edits(letters: np.ndarray, filters: Filters, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -181,8 +184,9 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     spark = vocab.sparkSession
     used = vocab.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c != ''").distinct()  # 90 rows at most
     alphabet = np.array(sorted(ord(r["c"]) for r in used.collect()), np.uint64)
-    filters = spark.sparkContext.broadcast(build_filters(vocab))
-    tried = vocab.mapInArrow(_positives(filters, alphabet), "word string, n long, other string")
+    filters = build_filters(vocab)
+    dealt = vocab.repartition(-(-filters.words // TASK_WORDS) or 1, "word")  # hashing edits takes long for few bytes
+    tried = dealt.mapInArrow(_positives(spark.sparkContext.broadcast(filters), alphabet), "word string, n long, other string")
     return tried.join(vocab.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other").select("word", "n", "other", "other_n")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -40,6 +41,18 @@ SQL_WINDOWS = f"""WITH d AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce
   t AS (SELECT v.doc_id, count(gone.p) AS removed, string_agg(word, ' ' ORDER BY v.p) FILTER (gone.p IS NULL) AS kept FROM v LEFT JOIN gone ON gone.doc_id = v.doc_id AND gone.p = v.p GROUP BY 1)
   SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
+SQL_NEGATIVES = """WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.q, b.q)::bigint AS score FROM (SELECT * FROM r WHERE vec_id % 50 = 0) a JOIN r b ON a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, vec_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT s.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY s.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::int AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+  SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+SQL_ARCHIVE = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages), d AS (SELECT *, sha1(h) AS s FROM p)
+  SELECT page_id, strlen(h)::bigint AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (k // 8 * 10 + 1)::int, 10))::bigint >> (35 - 5 * (k % 8))::int) & 31)::int + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d"""
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -115,6 +128,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_groups(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_hard_negatives", SQL_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op11_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives(rows, every=50, positives=5, negatives=3, scale=256)
+
+
+@query("op12_warc", SQL_ARCHIVE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arauto.llm.op12_warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 @query("op13_spelling")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op13_spelling import document_variants
