@@ -24,37 +24,50 @@ def in_order(matches: DataFrame) -> DataFrame:
     return matches.orderBy(F.desc("score"), "id")
 
 
-def digest_items(matches: DataFrame, notices: DataFrame, institutions: DataFrame, areas: DataFrame) -> DataFrame:
-    """One display row per match: inner join to the notice, optional institution and area names, in one plan."""
-    n = notices.select(
+def shown_of_notices(notices: DataFrame, *keep: str) -> DataFrame:
+    """What a digest shows of notices, and the columns ``keep``."""
+    return notices.select(
         F.col("id").alias("edital_id"), "titulo", "ies_id", "nivel", "modalidade", F.col("area_cnpq_codigo").alias("codigo"),
-        "inscricao_ate", "url_origem", "url_pdf")
+        "inscricao_ate", "url_origem", "url_pdf", *keep)
+
+
+def display_rows(joined: DataFrame, institutions: DataFrame, areas: DataFrame, *keep: str | Column) -> DataFrame:
+    """One display row per match that has met its notice, with optional institution and area names."""
     i = institutions.select(F.col("id").alias("ies_id"), F.col("nome").alias("ies_nome"))
     a = areas.select("codigo", F.col("nome").alias("area_label"))
-    joined = matches.select("id", "subscriber_id", "edital_id", "score").join(n, "edital_id")
     joined = joined.join(i, "ies_id", "left").join(a, "codigo", "left")
     return joined.select(
         F.col("id").alias("match_id"), "subscriber_id", "titulo", F.coalesce("ies_nome", F.lit("")).alias("ies_nome"),
         level_label("nivel").alias("nivel_label"), mode_label("modalidade").alias("modalidade_label"),
         F.coalesce("area_label", F.lit("")).alias("area_label"), F.date_format("inscricao_ate", "yyyy-MM-dd").alias("prazo"),
-        "url_origem", "url_pdf", "score")
+        "url_origem", "url_pdf", "score", *keep)
+
+
+def digest_items(matches: DataFrame, notices: DataFrame, institutions: DataFrame, areas: DataFrame) -> DataFrame:
+    """One display row per match: inner join to the notice, optional institution and area names, in one plan."""
+    joined = matches.select("id", "subscriber_id", "edital_id", "score").join(shown_of_notices(notices), "edital_id")
+    return display_rows(joined, institutions, areas)
+
+
+#: What one digest is for; digests of several days together are ("day", "subscriber_id").
+ONE_DAY = ("subscriber_id",)
 
 
-def level_groups(items: DataFrame) -> DataFrame:
-    return items.groupBy("subscriber_id", "nivel_label").agg(F.count(F.lit(1)).alias("n"))
+def level_groups(items: DataFrame, by: tuple[str, ...] = ONE_DAY) -> DataFrame:
+    return items.groupBy(*by, "nivel_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Items with ``total``, ``rank`` (score descending, then id) and ``part`` per subscriber, the same at every part size.
+def ranked(items: DataFrame, part_size: int = PART_SIZE, by: tuple[str, ...] = ONE_DAY) -> DataFrame:
+    """Items with ``total``, ``rank`` (score descending, then id) and ``part`` per digest, the same at every part size.
 
-    Items are dealt by ranges of (subscriber, score, id) and numbered within their range; the ranges' sizes give the
+    Items are dealt by ranges of (digest, score, id) and numbered within their range; the ranges' sizes give the
     offsets. So no task sorts a large subscriber. The ranges are fixed by a cut to the checkpoint folder.
     """
     order = [F.desc("score"), F.asc("match_id")]
-    rows = cut_lineage(items.repartitionByRange("subscriber_id", *order).withColumn("__range", F.spark_partition_id()))
-    key = ["subscriber_id", "__range"]
+    rows = cut_lineage(items.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    key = [*by, "__range"]
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    everything = Window.partitionBy("subscriber_id")
+    everything = Window.partitionBy(*by)
     before = everything.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(everything).alias("total"))
     local = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
@@ -63,11 +76,11 @@ def ranked(items: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     return numbered.withColumns({"rank": rank, "part": F.floor((rank - 1) / part_size).cast("int") + 1}).drop("__range", "__local", "__offset")
 
 
-def complete(items: DataFrame) -> DataFrame:
+def complete(items: DataFrame, by: tuple[str, ...] = ONE_DAY) -> DataFrame:
     """Items whose shown texts are never null, with the size of their level's group in the whole digest."""
     shown = ("titulo", "ies_nome", "nivel_label", "modalidade_label", "area_label", "url_origem")
     items = items.withColumns({c: F.coalesce(c, F.lit("")) for c in shown})
-    return items.join(level_groups(items).withColumnRenamed("n", "group_size"), ["subscriber_id", "nivel_label"])
+    return items.join(level_groups(items, by).withColumnRenamed("n", "group_size"), [*by, "nivel_label"])
 
 
 def _escape(c: Column) -> Column:
@@ -109,16 +122,16 @@ def _html_groups(rows: Column) -> Column:
 
 
 def render_digests(items: DataFrame, subscribers: DataFrame, today: Column, default_to: str = "", only_on_match: bool = True,
-                   subject_prefix: str = "[editais]", part_size: int = PART_SIZE) -> DataFrame:
+                   subject_prefix: str = "[editais]", part_size: int = PART_SIZE, by: tuple[str, ...] = ONE_DAY) -> DataFrame:
     """(subscriber_id, part, parts, total, subject, recipient, body_text, body_html) per active subscriber.
 
     The text body lists items by score, the HTML body groups them by level. A digest beyond ``part_size`` items
     continues in further parts, so a body never gathers an unbounded group. Without matches there is no digest,
-    unless ``only_on_match`` is off.
+    unless ``only_on_match`` is off. With ``by`` day and subscriber, ``today`` may be the day's column.
     """
-    items = complete(items)
-    fields = [c for c in items.columns if c != "subscriber_id"]
-    parts = ranked(items, part_size).groupBy("subscriber_id", "part").agg(
+    items = complete(items, by)
+    fields = [c for c in items.columns if c not in by]
+    parts = ranked(items, part_size, by).groupBy(*by, "part").agg(
         F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("i")))).alias("rows"))
     people = subscribers.where("ativo").select(F.col("id").alias("subscriber_id"), "nome", "email")
     d = people.join(parts, "subscriber_id", "inner" if only_on_match else "left")
@@ -129,7 +142,7 @@ def render_digests(items: DataFrame, subscribers: DataFrame, today: Column, defa
     found = F.concat(count, F.lit(" edital(is) encontrado(s) no seu perfil ("), "nome", F.lit(").\n\n"))
     heading = F.concat(F.lit("<h1>Editais relevantes — "), day, F.lit("</h1>\n<p>"), count, F.lit(" no perfil "), _escape(F.col("nome")), F.lit("</p>\n"))
     return d.select(
-        "subscriber_id", "part", F.greatest(F.ceil(F.col("total") / part_size), F.lit(1)).cast("int").alias("parts"), "total",
+        *by, "part", F.greatest(F.ceil(F.col("total") / part_size), F.lit(1)).cast("int").alias("parts"), "total",
         F.concat(F.lit(f"{subject_prefix} "), count, F.lit(" novo(s) edital(is) — "), day).alias("subject"),
         F.coalesce(F.nullif("email", F.lit("")), F.lit(default_to)).alias("recipient"),
         F.concat(F.lit("Editais — "), day, F.lit("\n\n"), found,

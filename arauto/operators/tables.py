@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +57,6 @@ def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str], order
     return first.join(stored.select(*keys), keys, "left_anti").select(*keys, "r.*")
 
 
-def upsert_notices(stored: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
-    return upsert(stored, incoming, ["canonical_hash"], list(NOTICE_UPDATES), order)
-
-
 def upsert_institutions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, ["codigo_emec"], list(INSTITUTION_UPDATES), ["id"])
 
@@ -105,21 +105,30 @@ def notices_from(parsed: DataFrame, now: Column, *keep: str) -> DataFrame:
 
 # --- stored form ------------------------------------------------------------------------------------------
 #
-# A table is a folder of change batches, batch=<n>, each written whole; writing a batch again replaces it, so a
-# retried micro-batch leaves no trace. The current rows are the fold of all batches by key.
+# What only grows (pages, parsed rows, letters, statistics, marks) is a folder of batches, batch=<n>, each written whole;
+# writing a batch again replaces it, so a retried micro-batch leaves no trace. Keyed tables are stores, see below.
+
+
+def write_batch(rows: DataFrame, path: str, batch: int, by: tuple[str, ...] = ()) -> None:
+    """``by`` partitions the batch's folder further, so that readers of one source or day prune."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
 
 
-def write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def _files(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The files under a folder, or None where it does not exist."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_batches(spark: SparkSession, path: str, schema: str, below: int | None = None) -> DataFrame:
     """All batches (those before ``below``), with their number; empty when the folder does not exist."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    rows = _files(spark, path, f"{schema}, batch bigint")
+    if rows is None:
         return spark.createDataFrame([], f"{schema}, batch bigint")
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     return rows if below is None else rows.where(F.col("batch") < below)
 
 
@@ -131,6 +140,86 @@ def current(batches: DataFrame, keys: list[str], updates: tuple[str, ...], order
         for c in batches.columns if c not in ("batch", "seq")])
 
 
-def compact(batches: DataFrame, keys: list[str], updates: tuple[str, ...], path: str, batch: int) -> None:
-    """Write the current rows as one batch of a fresh folder; readers switch to it when it is complete."""
-    write_batch(current(batches, keys, updates), path, batch)
+def batch_clock(spark: SparkSession, path: str, batch: int, now: Column) -> Column:
+    """The time of a batch, kept by the first attempt: a repeated one stores the same times."""
+    kept = lambda: [r["t"] for r in read_batches(spark, path, "t bigint").where(F.col("batch") == batch).collect()]
+    if not kept():
+        write_batch(spark.range(1).select(F.unix_micros(now).alias("t")), path, batch)
+    return F.timestamp_micros(F.lit(kept()[0]))
+
+
+@dataclass(frozen=True)
+class Store:
+    """A keyed table cut by a hash of ``prefix_by`` into 16 ** ``digits`` prefixes, each in versions: batch=<n>/prefix=<p>.
+
+    A batch reads only the prefixes its keys fall in, and writes them anew under its own number; the current table is the
+    latest version of every prefix, found by listing. Nothing that a reader may have open is overwritten, a repeated
+    batch starts from what was there before it (``below``) and replaces its own folder. ``changed_in`` names the batch
+    that inserted a row or last updated it. One job writes a store; others keep marks in tables of their own.
+    """
+
+    path: str
+    schema: str
+    keys: tuple[str, ...]
+    updates: tuple[str, ...]
+    prefix_by: str
+    digits: int = 2
+
+    def _prefix(self) -> Column:
+        slot = F.pmod(F.xxhash64(self.prefix_by), F.lit(16**self.digits))
+        return F.concat(F.lit("p"), F.lpad(F.lower(F.hex(slot)), self.digits, "0"))
+
+    def prefixes(self, rows: DataFrame) -> list[str]:
+        """Prefixes that ``rows`` touch: 16 ** ``digits`` at most."""
+        return sorted(r["p"] for r in rows.select(self._prefix().alias("p")).distinct().collect())
+
+    def _listed(self, spark: SparkSession) -> list[tuple[int, str]]:
+        files = _files(spark, self.path, self.schema)
+        found = [] if files is None else files.inputFiles()
+        return sorted({(int(m[1]), m[2]) for f in found if (m := re.search(r"/batch=(\d+)/prefix=(p[0-9a-f]+)/", f))})
+
+    def versions(self, spark: SparkSession, below: int | None = None) -> dict[str, int]:
+        """The latest batch (before ``below``) of every prefix."""
+        return {p: b for b, p in self._listed(spark) if below is None or b < below}
+
+    def current(self, spark: SparkSession, below: int | None = None, prefixes: list[str] | None = None) -> DataFrame:
+        """The rows (those under ``prefixes``), with ``changed_in``; no other file is read."""
+        latest = self.versions(spark, below)
+        folders = [f"{self.path}/batch={b}/prefix={p}" for p, b in sorted(latest.items()) if prefixes is None or p in prefixes]
+        schema = f"{self.schema}, changed_in bigint"
+        return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+    def upsert(self, incoming: DataFrame, batch: int, order: list[str]) -> list[str]:
+        """Applies ``incoming`` in ``order`` as a batch; returns the prefixes it wrote. Gives one shuffle by key and one that
+        deals rows to prefixes by size."""
+        spark = incoming.sparkSession
+        touched = self.prefixes(incoming)
+        if not touched:
+            return []
+        stored = self.current(spark, batch, touched)
+        merged = upsert(stored, incoming.withColumn("changed_in", F.lit(batch).cast("bigint")), list(self.keys), [*self.updates, "changed_in"], order)
+        write_batch(merged.withColumn("prefix", self._prefix()).hint("rebalance", F.col("prefix")), self.path, batch, by=("prefix",))
+        return touched
+
+    def superseded(self, spark: SparkSession, keep: int = 2) -> list[str]:
+        """Folders of versions that have ``keep`` newer ones of their prefix."""
+        by_prefix: dict[str, list[int]] = {}
+        for b, p in self._listed(spark):
+            by_prefix.setdefault(p, []).append(b)
+        return [f"{self.path}/batch={b}/prefix={p}" for p, bs in by_prefix.items() for b in bs[:-keep - 1]]
+
+    def vacuum(self, spark: SparkSession, keep: int = 2) -> None:
+        """Removes superseded versions, which bounds what is listed; ``keep`` is what running readers and a repeated batch need."""
+        for folder in self.superseded(spark, keep):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Marks a job sets on rows of a store: they hold for the version of the row that they name.
+MARKS = "id string, changed_in bigint, at timestamp"
+
+
+def marked(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a store with ``marked_at``, the latest mark of the row as it is now (null without one)."""
+    latest = marks.groupBy(F.col("id").alias(key), "changed_in").agg(F.max("at").alias("marked_at"))
+    return rows.join(latest, [key, "changed_in"], "left")

@@ -74,14 +74,15 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
     """Process one batch of fetched pages into the tables under ``root``.
 
     Each table's share is written as ``batch=<n>`` and replaced when the batch runs again. Parsed notices are
-    written once and read back, so pages are parsed once for all that follows.
+    written once and read back, so pages are parsed once for all that follows. Of the stored notices and matches only
+    the prefixes that the batch's keys fall in are read and written.
     """
     spark = raw.sparkSession
     at = lambda name: f"{root}/{name}"
     good, rejected = contracts.apply_contracts(pages.with_content_type(raw), d.contracts)
 
     stored_pages = tables.read_batches(spark, at("snapshots"), schemas.SNAPSHOTS, below=batch)
-    tables.write_batch(pages.new_snapshots(good, stored_pages, F.to_date("fetched_at")), at("snapshots"), batch)
+    tables.write_batch(pages.new_snapshots(good, stored_pages, F.to_date("fetched_at")), at("snapshots"), batch, by=("source", "date"))
 
     parsed_schema = f"page_url string, fetched_at timestamp, position int, {schemas.PARSED_NOTICES}, notice_key string"
     tables.write_batch(extract_all(good, d.sources, extractors), at("parsed"), batch)
@@ -109,66 +110,111 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
         notices = notices.withColumn("enriched", F.lit(False))
     tables.write_batch(frontier.all_sources(*letters), at("dead_letters"), batch)
 
-    # read by the notice writer, the matcher and the statistics: computed once, kept in the checkpoint folder
-    prepared = cut_lineage(dedup.classify_change(prepare(notices, d.institutions), current_notices(spark, root, below=batch)))
-    rows = tables.notices_from(prepared, now, "fetched_at", "notice_key")
-    first_last = tables.collapse(rows, ["canonical_hash"], list(tables.NOTICE_UPDATES), ["fetched_at", "notice_key"])
-    written = first_last.select(*[
-        F.col(c.name) if c.name == "canonical_hash"
-        else F.col(f"{'last' if c.name in tables.NOTICE_UPDATES else 'first'}.{c.name}").alias(c.name)
-        for c in schemas.struct(schemas.NOTICES)])
-    tables.write_batch(written, at("notices"), batch)
-
-    changed = prepared.where(F.col("change") != "cosmetic").groupBy("canonical_hash").agg(
-        F.min("ies_nome").alias("ies_nome"), F.min("fonte_codigo").alias("source"))
-    candidates = current_notices(spark, root, below=batch + 1).join(changed, "canonical_hash")
-    found = match.match_records(match.match_notices(candidates, d.subscribers, d.institutions), now)
-    tables.write_batch(found, at("matches"), batch)
-
-    stored_matches = tables.read_batches(spark, at("matches"), schemas.MATCHES).where(F.col("batch") == batch)
-    source_of = prepared.select(F.col("canonical_hash").alias("edital_id"), F.col("fonte_codigo").alias("source")).distinct()
+    changes = store_notices(prepare(notices, d.institutions), root, batch, now)
+    found = match_changes(changes, d, root, batch, now)
+
+    source_of = changes.select(F.col("canonical_hash").alias("edital_id"), F.col("fonte_codigo").alias("source")).distinct()
     stats = ops.run_stats(
         discovered=raw.select("source"), parsed=parsed.select(F.col("fonte_codigo").alias("source")),
-        enriched=prepared.where("enriched").select(F.col("fonte_codigo").alias("source")),
-        persisted=prepared.select(F.col("fonte_codigo").alias("source")),
-        matched=stored_matches.join(source_of, "edital_id").select("source"),
+        enriched=changes.where("enriched").select(F.col("fonte_codigo").alias("source")),
+        persisted=changes.select(F.col("fonte_codigo").alias("source")),
+        matched=found.join(source_of, "edital_id").select("source"),
         failed=frontier.all_sources(*letters[:3]).select(F.get_json_object("payload", "$.spider").alias("source")))
     tables.write_batch(stats, at("stats"), batch)
 
 
-def current_notices(spark: SparkSession, root: str, below: int | None = None) -> DataFrame:
-    return tables.current(
-        tables.read_batches(spark, f"{root}/notices", schemas.NOTICES, below), ["canonical_hash"], tables.NOTICE_UPDATES)
+# --- stored notices and matches -----------------------------------------------------------------------------
+
+
+def notice_store(root: str) -> tables.Store:
+    return tables.Store(f"{root}/notices", schemas.NOTICES, ("canonical_hash",), tables.NOTICE_UPDATES, "canonical_hash")
+
+
+def match_store(root: str) -> tables.Store:
+    """Cut like the notices, so that a batch of notices touches the same prefixes of both."""
+    return tables.Store(f"{root}/matches", schemas.MATCHES, ("subscriber_id", "edital_id"), tables.MATCH_UPDATES, "edital_id")
+
+
+def store_notices(prepared: DataFrame, root: str, batch: int, now: Column) -> DataFrame:
+    """Prepared notices into the store; returns them with their change kind against what was stored before the batch.
+
+    The changes are kept as a batch of ``changes`` and read back: the matcher and the statistics read them again. Stored
+    rows are read and written for the prefixes of the incoming keys only.
+    """
+    store, spark = notice_store(root), prepared.sparkSession
+    prepared = cut_lineage(prepared)
+    changes = dedup.classify_change(prepared, store.current(spark, batch, store.prefixes(prepared)))
+    tables.write_batch(changes, f"{root}/changes", batch)
+    changes = spark.read.schema(changes.schema).parquet(f"{root}/changes/batch={batch}")
+    store.upsert(tables.notices_from(changes, now, "fetched_at", "notice_key"), batch, ["fetched_at", "notice_key"])
+    store.vacuum(spark)
+    return changes
+
+
+def match_changes(changes: DataFrame, d: Dimensions, root: str, batch: int, now: Column) -> DataFrame:
+    """Notices that are new or materially changed through the matcher; cosmetic changes are stored but not matched (F8).
+
+    Returns the batch's matches as stored.
+    """
+    spark, store, matches = changes.sparkSession, notice_store(root), match_store(root)
+    changed = changes.where(F.col("change") != "cosmetic").groupBy("canonical_hash").agg(F.min("ies_nome").alias("ies_nome"))
+    candidates = store.current(spark, batch + 1, store.prefixes(changed)).join(changed, "canonical_hash")
+    written = matches.upsert(match.match_records(match.match_notices(candidates, d.subscribers, d.institutions), now), batch, ["created_at"])
+    matches.vacuum(spark)
+    return matches.current(spark, batch + 1, written).where(F.col("changed_in") == batch)
+
+
+def _notices(spark: SparkSession, root: str, expired_below: int | None = None) -> DataFrame:
+    """Stored notices with ``changed_in``; those marked as expired since their last change say so."""
+    marks = tables.read_batches(spark, f"{root}/expired", tables.MARKS, expired_below)
+    rows = tables.marked(notice_store(root).current(spark), marks, "canonical_hash")
+    over = F.col("marked_at").isNotNull()
+    return rows.withColumns({"status": F.when(over, "expirado").otherwise(F.col("status")), "updated_at": F.coalesce("marked_at", "updated_at")}).drop("marked_at")
+
+
+def _matches(spark: SparkSession, root: str, sent_below: int | None = None) -> DataFrame:
+    """Stored matches with ``changed_in``; those marked as sent since they were last found are notified."""
+    marks = tables.read_batches(spark, f"{root}/sent", tables.MARKS, sent_below)
+    rows = tables.marked(match_store(root).current(spark), marks, "id")
+    return rows.withColumns({"notified": F.col("notified") | F.col("marked_at").isNotNull(), "notified_at": F.coalesce("marked_at", "notified_at")}).drop("marked_at")
+
+
+def current_notices(spark: SparkSession, root: str) -> DataFrame:
+    return _notices(spark, root).select(*[f.name for f in schemas.struct(schemas.NOTICES)])
 
 
 def current_matches(spark: SparkSession, root: str) -> DataFrame:
-    return tables.current(
-        tables.read_batches(spark, f"{root}/matches", schemas.MATCHES), ["subscriber_id", "edital_id"], tables.MATCH_UPDATES)
+    return _matches(spark, root).select(*[f.name for f in schemas.struct(schemas.MATCHES)])
 
 
-def run_expiry(spark: SparkSession, root: str, batch: int, today: Column, now: Column) -> None:
-    """Stored notices past their deadline become expired, as a batch of the notices table that holds only those."""
-    open_ = current_notices(spark, root, below=batch).where("status != 'expirado'")
-    tables.write_batch(tables.expire(open_, today, now).where("status = 'expirado'"), f"{root}/notices", batch)
+def run_expiry(spark: SparkSession, root: str, run: int, today: Column, now: Column) -> None:
+    """Marks stored notices past their deadline as expired. ``run`` counts the expiry's own runs.
+
+    Marks are a table of this job's own, so it may run beside the ingest: a notice that a later capture updates is no
+    longer marked. A repeated run replaces its marks.
+    """
+    open_ = _notices(spark, root, run).where("status != 'expirado'")
+    over = tables.expire(open_, today, now).where("status = 'expirado'")
+    tables.write_batch(over.select(F.col("canonical_hash").alias("id"), "changed_in", F.col("updated_at").alias("at")), f"{root}/expired", run)
 
 
-def run_digest(spark: SparkSession, root: str, d: Dimensions, batch: int, today: Column, now: Column, hours: int = 24,
+def run_digest(spark: SparkSession, root: str, d: Dimensions, run: int, today: Column, now: Column, hours: int = 24,
                sink: Callable[[DataFrame], None] | None = None, **render: object) -> None:
-    """Pending matches to digests, and back to the match table as sent.
+    """Pending matches to digests, and marks on those that were sent. ``run`` counts the digest's own runs.
 
     Digests are written as a batch of ``digests``; ``sink`` gets the written rows (to hand them to a channel), and only
-    then the matches of the subscribers they went to are marked. ``batch`` counts in one sequence with the ingest.
+    then the matches of the subscribers they went to are marked, in a table of this job's own: it may run beside the
+    ingest, in any order. A match that is found again later is no longer marked. A repeated run sends the same again.
     """
-    stored = current_matches(spark, root)
-    due = cut_lineage(digest.pending(stored, now, hours))
+    due = cut_lineage(digest.pending(_matches(spark, root, run), now, hours))
     items = digest.digest_items(due, current_notices(spark, root), d.institutions, dims.areas(spark))
-    tables.write_batch(digest.render_digests(items, d.subscribers, today, **render), f"{root}/digests", batch)
-    written = spark.read.parquet(f"{root}/digests/batch={batch}")
+    tables.write_batch(digest.render_digests(items, d.subscribers, today, **render), f"{root}/digests", run)
+    written = spark.read.parquet(f"{root}/digests/batch={run}")
     if sink is not None:
         sink(written)
     shown = items.select(F.col("match_id").alias("id"), "subscriber_id").join(written.select("subscriber_id").distinct(), "subscriber_id", "left_semi")
-    sent = due.select(*stored.columns).join(shown.select("id").distinct(), "id", "left_semi")
-    tables.write_batch(tables.mark_notified(sent, sent, now), f"{root}/matches", batch)
+    sent = due.join(shown.select("id").distinct(), "id", "left_semi")
+    tables.write_batch(sent.select("id", "changed_in", now.alias("at")), f"{root}/sent", run)
 
 
 def match_all(notices: DataFrame, d: Dimensions) -> DataFrame:

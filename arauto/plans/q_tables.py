@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arauto import dims, schemas
-from arauto.operators import contracts, digest, enrich, gate, listing, match, ops, tables
+from arauto.operators import contracts, dedup, digest, enrich, gate, listing, match, ops, tables
 from arauto.plans import ingest
 from arauto.plans.catalog import query, table
-from arauto.plans.q_text import SQL_FROM, SQL_LEVEL, SQL_MODE, SQL_TO, order_texts, part_notices, sql_pick
+from arauto.plans.catalog import sql_simhash
+from arauto.plans.q_text import CAPTURES, SQL_FROM, SQL_LEVEL, SQL_MODE, SQL_TO, order_texts, part_notices, sql_pick
 from arauto.functions import fields as f
 from arauto.session import checkpoint_dir
 from arauto.sources import frontier, pages
@@ -77,14 +78,15 @@ SQL_LISTED = f"""SELECT {SQL_UUID} AS id, o_orderstatus AS nivel, o_orderpriorit
   WHERE o_orderstatus = 'O' AND (ate IS NULL OR ate >= DATE '1998-06-15')"""
 
 
-def order_notices(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as stored notices: the date is the deadline, unless the priority is not specified."""
+def order_notices(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders (the table, or a stream of it) as stored notices: the date is the deadline, unless the priority is not specified."""
+    orders = table(spark, d, "orders") if orders is None else orders
     uuid = F.regexp_replace(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
-    return table(spark, d, "orders").select(*schemas.fields(
+    return orders.select(*schemas.fields(
         schemas.NOTICES, id=uuid, titulo=F.concat(F.lit("Pedido "), F.col("o_orderkey").cast("string")), nivel=F.col("o_orderstatus"), modalidade=F.col("o_orderpriority"),
         inscricao_ate=F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.to_date("o_orderdate")), ies_id=F.col("o_custkey"), is_gratuito=F.lit(True),
         url_origem=F.concat(F.lit("https://o.org/"), F.col("o_orderkey").cast("string")), 
-        area_cnpq_codigo=F.when(F.col("o_orderstatus") == "O", "10300007").when(F.col("o_orderstatus") == "P", "99999999"), status=F.lit("publicado")))
+        area_cnpq_codigo=F.when(F.col("o_orderstatus") == "O", "10300007").when(F.col("o_orderstatus") == "P", "99999999"), status=F.lit("publicado"), created_at=F.col("o_orderdate")))
 
 
 TODAY = "1998-06-15"
@@ -253,9 +255,9 @@ SQL_PENDING = f"""SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_o
   WHERE o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR"""
 
 
-def order_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as match records of the customer's nation (subscriber) and the order (notice)."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+def order_matches(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders (the table, or a stream of it) as match records of the customer's nation (subscriber) and the order (notice)."""
+    o = (table(spark, d, "orders") if orders is None else orders).join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return o.select(*schemas.fields(
         schemas.MATCHES, id=F.col("o_orderkey"), subscriber_id=F.col("c_nationkey"), edital_id=F.col("o_orderkey"), score=F.round(F.col("o_totalprice") / 500000, 3),
         notified=F.col("o_orderstatus") == "F", created_at=F.col("o_orderdate")))
@@ -285,19 +287,30 @@ def match_upsert(spark: SparkSession, d: str) -> DataFrame:
     return tables.upsert_matches(stored, o.drop("o_orderstatus")).select("subscriber_id", "edital_id", "score", "notified")
 
 
-SQL_ITEMS = f"""SELECT o_orderkey::varchar AS match_id, c_nationkey::varchar AS subscriber_id, 'Pedido ' || o_orderkey AS titulo, c_name AS ies_nome,
+def sql_items(orders: str, extra: str = "") -> str:
+    return f"""SELECT {extra}o_orderkey::varchar AS match_id, c_nationkey::varchar AS subscriber_id, 'Pedido ' || o_orderkey AS titulo, c_name AS ies_nome,
   upper(o_orderstatus) AS nivel_label, {sql_pick('o_orderpriority', [('1-URGENT', '1-urgent'), ('2-HIGH', '2-high'), ('3-MEDIUM', '3-medium'), ('4-NOT SPECIFIED', '4-not Specified'), ('5-LOW', '5-low')])} AS modalidade_label,
   CASE o_orderstatus WHEN 'O' THEN 'Ciencia da Computacao' ELSE '' END AS area_label, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%Y-%m-%d') END AS prazo,
-  'https://o.org/' || o_orderkey AS url_origem, round(o_totalprice / 500000, 3) AS score FROM ({SQL_PENDING}) JOIN customer ON c_custkey = o_custkey"""
+  'https://o.org/' || o_orderkey AS url_origem, round(o_totalprice / 500000, 3) AS score FROM ({orders}) JOIN customer ON c_custkey = o_custkey"""
+
+
+SQL_ITEMS = sql_items(SQL_PENDING)
+#: The text of a digest over items ``r`` with their rank, grouped with the name of the subscriber; ``{day}`` is its day.
+SQL_BODY = """'Editais — ' || {day} || chr(10) || chr(10) || count(*) || ' edital(is) encontrado(s) no seu perfil (' || n_name || ').' || chr(10) || chr(10) || string_agg(
+      '- ' || titulo || chr(10) || '  ' || ies_nome || ' | ' || modalidade_label || CASE area_label WHEN '' THEN '' ELSE ' | ' || area_label END || coalesce(chr(10) || '  Inscrições até: ' || prazo, '')
+      || chr(10) || '  Score: ' || printf('%.2f', score) || chr(10) || '  ' || url_origem || chr(10), '' ORDER BY rank)"""
+
+
+def notice_of_match() -> Column:
+    """A match names the order by its key, the notice by an id derived from it."""
+    return F.regexp_replace(F.md5(F.col("edital_id").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
 
 
 def order_items(spark: SparkSession, d: str) -> DataFrame:
     inst = table(spark, d, "customer").select(*schemas.fields(schemas.INSTITUTIONS, id=F.col("c_custkey"), nome=F.col("c_name")))
     pending = digest.pending(order_matches(spark, d), F.lit(NOW).cast("timestamp"), 2400)
     notices = order_notices(spark, d)
-    # the match names the order by its key, the notice by an id derived from it
-    uuid = F.regexp_replace(F.md5(F.col("edital_id").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
-    return digest.digest_items(pending.withColumn("edital_id", uuid), notices, inst, dims.areas(spark))
+    return digest.digest_items(pending.withColumn("edital_id", notice_of_match()), notices, inst, dims.areas(spark))
 
 
 @query(SQL_ITEMS)
@@ -353,9 +366,8 @@ def digest_bodies(spark: SparkSession, d: str) -> DataFrame:
 def digest_job(spark: SparkSession, d: str) -> DataFrame:
     """The stored matches after the digest job: those it sent are marked, those of inactive subscribers stay."""
     root = f"{checkpoint_dir(spark)}/digest-{uuid.uuid4().hex}"
-    uuid_of = F.regexp_replace(F.md5(F.col("edital_id").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
-    tables.write_batch(order_matches(spark, d).withColumn("edital_id", uuid_of), f"{root}/matches", 0)
-    tables.write_batch(order_notices(spark, d).withColumn("canonical_hash", F.col("id")), f"{root}/notices", 0)
+    ingest.match_store(root).upsert(order_matches(spark, d).withColumn("edital_id", notice_of_match()), 0, ["created_at"])
+    ingest.notice_store(root).upsert(order_notices(spark, d).withColumn("canonical_hash", F.col("id")), 0, ["id"])
     inst = table(spark, d, "customer").select(*schemas.fields(schemas.INSTITUTIONS, id=F.col("c_custkey"), nome=F.col("c_name")))
     dimensions = ingest.Dimensions(None, None, inst, nation_subscribers(spark, d))
     ingest.run_digest(spark, root, dimensions, 1, F.lit("1998-03-01"), F.lit(NOW).cast("timestamp"), 2400)
@@ -437,3 +449,45 @@ def reversed_windows(spark: SparkSession, d: str) -> DataFrame:
     """Notices whose window ends before it starts: set aside one by one."""
     n = order_texts(table(spark, d, "orders")).select("o_orderkey", f.application_window("texto").alias("w"))
     return n.where(~f.window_is_valid("w")).select("o_orderkey", f.window_label("w").alias("periodo"))
+
+
+# --- stored tables ----------------------------------------------------------------------------------------
+
+
+def turn_captures(spark: SparkSession, d: str, batch: int) -> DataFrame:
+    """Conversations as notices, their turns as captures: the first two turns of most come first, then all are fetched again."""
+    c = table(spark, d, "conversations")
+    early = (F.col("turn") < 2) & (F.col("conv_id") % 5 != 0)
+    c = c.where(early) if batch == 0 else c
+    at = F.timestamp_seconds(F.lit(1_767_225_600 + batch * 864_000) + F.col("turn") * 3600)
+    key = F.col("conv_id").cast("string")
+    return c.select(*schemas.fields(
+        schemas.PARSED_NOTICES, titulo=key, ies_nome=F.lit("NATION_1"), fonte_codigo=F.lit("s"), nivel=F.lit("mba"), modalidade=F.lit("ead"), is_gratuito=F.lit(True), texto_resumo=F.col("text")),
+        key.alias("canonical_hash"), dedup.simhash_of("text").alias("simhash"), F.lit(None).cast("string").alias("ies_id"), at.alias("fetched_at"),
+        F.concat_ws("|", "conv_id", "turn").alias("notice_key"), "turn")
+
+
+def open_profile(spark: SparkSession) -> DataFrame:
+    """A subscriber to whom every notice of its level and mode is a match."""
+    row = {"id": "all", "nome": "all", "email": "", "formacao": "", "areas_alvo": [], "niveis_aceitos": ["mba"], "modalidades_aceitas": ["ead"], "apenas_gratuitos": False,
+           "apenas_ies_emec_publicas": False, "score_minimo": 0.0, "digest_cron": "", "ativo": True}
+    return spark.createDataFrame([tuple(row.values())], schemas.SUBSCRIBERS)
+
+
+@query(f"""WITH h AS ({sql_simhash(CAPTURES)}), c AS (SELECT id // 1000 AS k, id % 1000 AS turn, simhash, 0 AS b FROM h WHERE id % 1000 < 2 AND (id // 1000) % 5 <> 0 UNION ALL SELECT id // 1000, id % 1000, simhash, 1 FROM h),
+  p AS (SELECT *, lag(simhash) OVER (PARTITION BY k ORDER BY b, turn) AS prior FROM c),
+  q AS (SELECT k, turn, CASE WHEN prior IS NULL THEN 'insert' WHEN bit_count(xor(prior, simhash)) <= 3 THEN 'cosmetic' ELSE 'update' END AS change FROM p WHERE b = 1),
+  t AS (SELECT conv_id AS k, arg_max(text, turn) AS resumo, bool_or(turn < 2 AND conv_id % 5 <> 0) AS known FROM conversations GROUP BY 1)
+  SELECT k::varchar AS notice, turn::int AS turn, change, bool_or(change <> 'cosmetic') OVER (PARTITION BY k) AS matched, resumo, CASE WHEN known THEN 0 ELSE 1 END AS created_in FROM q JOIN t USING (k)""")
+def second_batch_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches through the stored tables: how the second changes what the first left, and which notices went to the matcher."""
+    root = f"{checkpoint_dir(spark)}/second-{uuid.uuid4().hex}"
+    dimensions = ingest.Dimensions(None, None, nation_institutions(spark, d), open_profile(spark))
+    for batch in (0, 1):
+        now = F.timestamp_seconds(F.lit(1_767_225_600 + batch * 864_000))
+        changes = ingest.store_notices(turn_captures(spark, d, batch), root, batch, now)
+        found = ingest.match_changes(changes, dimensions, root, batch, now)
+    stored = ingest.current_notices(spark, root).select("canonical_hash", F.col("texto_resumo").alias("resumo"), (F.unix_timestamp("created_at") > 1_767_225_600).cast("int").alias("created_in"))
+    matched = found.select(F.col("edital_id").alias("canonical_hash"), F.lit(True).alias("matched"))
+    out = changes.select("canonical_hash", F.col("turn").cast("int").alias("turn"), "change").join(stored, "canonical_hash").join(matched, "canonical_hash", "left")
+    return out.select(F.col("canonical_hash").alias("notice"), "turn", "change", F.coalesce("matched", F.lit(False)).alias("matched"), "resumo", "created_in")

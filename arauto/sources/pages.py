@@ -68,20 +68,27 @@ def _captures(raw: DataFrame, date: Column) -> DataFrame:
 def _first_of_each(captures: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The first capture of each content (that is not stored), found on hashes and addresses alone.
 
-    Bodies take part in no sort or aggregate: they meet their winning key in one join.
+    Bodies take part in no sort or aggregate: they meet their winning key in one join. Only captures that repeat in
+    every column of the key are dealt by content, to keep one of them.
     """
-    keys = captures.select("sha256", "fetched_at", "url", "source")
+    key = ["fetched_at", "url", "source"]
+    keys = captures.select("sha256", *key)
     if stored is not None:
         keys = keys.join(stored.select("sha256"), "sha256", "left_anti")
-    first = keys.groupBy("sha256").agg(F.min(F.struct("fetched_at", "url", "source")).alias("k")).select("sha256", "k.*")
-    same = [captures[c].eqNullSafe(first[c]) for c in ("fetched_at", "url", "source")]
-    return captures.join(first, [captures["sha256"] == first["sha256"], *same], "left_semi")
+    counted = keys.groupBy("sha256", *key).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("sha256").agg(F.min(F.struct(*key, "n")).alias("k")).select("sha256", "k.*")
+
+    def matching(winners: DataFrame) -> DataFrame:
+        same = [captures[c].eqNullSafe(winners[c]) for c in key]
+        return captures.join(winners, [captures["sha256"] == winners["sha256"], *same], "left_semi")
+
+    return matching(first.where("n = 1")).unionByName(matching(first.where("n > 1")).dropDuplicates(["sha256"]))
 
 
 def snapshot_rows(raw: DataFrame, date: Column) -> DataFrame:
     """One content-addressed row per distinct body: sha256, size and '<source>/<date>/<sha><suffix>'.
 
-    Copies of a body keep the first capture (a row that is fetched twice in every column stays twice).
+    Copies of a body keep the first capture.
     """
     return _first_of_each(_captures(raw, date))
 
@@ -91,11 +98,6 @@ def new_snapshots(raw: DataFrame, stored: DataFrame, date: Column) -> DataFrame:
     return _first_of_each(_captures(raw, date), stored)
 
 
-def append_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append to the archive; nothing is ever purged. Partitioned, so replay of a source or day prunes."""
-    snapshots.write.mode("append").partitionBy("source", "date").parquet(path)
-
-
 def find_snapshot(snapshots: DataFrame, sha256: str) -> DataFrame:
     return snapshots.where(F.col("sha256") == sha256)
 
