@@ -1,23 +1,26 @@
 """Streaming queries: each reads a driver table as a stream, writes a table and returns it.
 
-A window result appears once the watermark has passed its end, so the SQL leaves out windows still open at the end.
+A window result appears once the watermark has passed its end. So that the tables' last windows appear too, a query may be
+started again after its data with a row of a far later time (``Closing``).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from arauto import dims
+from arauto import dims, schemas
 from arauto.operators import dedup
 from arauto.plans import ingest
-from arauto.plans.catalog import query
+from arauto.plans.catalog import query, table
 from arauto.plans.q_ops import CIRCUIT, SQL_LOG, SQL_REPLAY
 from arauto.plans.q_pages import SQL_H1, SQL_LANG, html_responses
-from arauto.plans.q_tables import nation_institutions
+from arauto.plans.q_tables import SQL_BODY, nation_institutions, nation_subscribers, notice_of_match, order_matches, order_notices, sql_items
 from arauto.plans.q_text import CAPTURES, SQL_CANONICAL, document_canonical, sql_simhash
 from arauto.session import ROCKSDB, checkpoint_dir
 from arauto.streaming import jobs
@@ -34,11 +37,36 @@ def work_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def run(stream: DataFrame) -> DataFrame:
+class Closing:
+    """A source of times that stays empty while data are read, and then brings one beyond all windows."""
+
+    def __init__(self, spark: SparkSession, ts: str):
+        self.spark, self.ts, self.path = spark, ts, f"{work_folder(spark)}/closing"
+        spark.createDataFrame([], f"{ts} timestamp").write.parquet(self.path)
+
+    def behind(self, stream: DataFrame) -> DataFrame:
+        """``stream`` and, at last, a row of nulls at a late time."""
+        return stream.unionByName(self.spark.readStream.schema(f"{self.ts} timestamp").parquet(self.path), allowMissingColumns=True)
+
+    def close(self) -> None:
+        late = F.lit("2100-01-01").cast("timestamp").alias(self.ts)
+        self.spark.range(1).select(late).write.mode("append").parquet(self.path)
+
+
+def drain(start: Callable[[], StreamingQuery], *closing: Closing) -> None:
+    """Runs a stream over what is there, then again past the closing time."""
+    start().awaitTermination()
+    for c in closing:
+        c.close()
+    if closing:
+        start().awaitTermination()
+
+
+def run(stream: DataFrame, *closing: Closing) -> DataFrame:
     """Run a stream over what is there, into a folder next to the checkpoints, and read the result."""
     spark, folder = stream.sparkSession, work_folder(stream.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    jobs.write_stream(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    drain(lambda: jobs.write_stream(stream, f"{folder}/out", f"{folder}/checkpoint"), *closing)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -51,8 +79,10 @@ def fetch_stream(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH h AS ({sql_simhash(CAPTURES)}), p AS (SELECT id // 1000 AS key, id % 1000 AS seq, simhash, lag(simhash) OVER (PARTITION BY id // 1000 ORDER BY id) AS prior FROM h)
   SELECT key, seq, simhash, prior, CASE WHEN prior IS NULL THEN 'insert' WHEN bit_count(xor(prior, simhash)) <= 3 THEN 'cosmetic' ELSE 'update' END AS change FROM p""")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
-    turns = stream_table(spark, d, "conversations").withColumn("simhash", dedup.simhash_of("text"))
-    return run(jobs.change_stream(turns, "conv_id", "turn"))
+    """Turns as captures an hour apart."""
+    closing = Closing(spark, "ts")
+    turns = stream_table(spark, d, "conversations").select("conv_id", "turn", dedup.simhash_of("text").alias("simhash"), F.timestamp_seconds(F.lit(1_767_225_600) + F.col("turn") * 3600).alias("ts"))
+    return run(jobs.change_stream(closing.behind(turns), "conv_id", "ts", "turn"), closing)
 
 
 @query(f"SELECT DISTINCT {SQL_CANONICAL} AS canonical_hash FROM documents")
@@ -62,26 +92,62 @@ def stream_first_captures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH f AS (SELECT source, t // 1000000 AS s FROM ({SQL_LOG}) WHERE failed OR latency > 60),
-  w AS (SELECT source, (s // 3600 - k) * 3600 AS start FROM f, range(0, 6) x(k)),
-  m AS (SELECT max(t) // 1000000 - 86400 AS wm FROM ({SQL_LOG}))
-  SELECT source, start, count(*) AS failures FROM w, m WHERE start + 21600 <= wm GROUP BY ALL HAVING count(*) >= 3""")
+  w AS (SELECT source, (s // 3600 - k) * 3600 AS start FROM f, range(0, 6) x(k))
+  SELECT source, start, count(*) AS failures FROM w GROUP BY ALL HAVING count(*) >= 3""")
 def stream_failure_alerts(spark: SparkSession, d: str) -> DataFrame:
-    alerts = jobs.failure_alerts(fetch_stream(spark, d), "source", failed=F.col("failed") | (F.col("latency") > 60), window="6 hours", slide="1 hour")
-    return run(alerts.select("source", F.unix_timestamp("start").alias("start"), "failures"))
+    closing = Closing(spark, "ts")
+    alerts = jobs.failure_alerts(closing.behind(fetch_stream(spark, d)), "source", failed=F.coalesce(F.col("failed") | (F.col("latency") > 60), F.lit(True)), window="6 hours", slide="1 hour")
+    return run(alerts.select("source", F.unix_timestamp("start").alias("start"), "failures"), closing)
 
 
-@query(f"""WITH m AS (SELECT max(t) // 1000000 - 86400 AS wm FROM ({SQL_LOG}) WHERE failed)
-  SELECT host AS source, t // 1000000 // 86400 * 86400 AS start, count(*) AS violations FROM ({SQL_LOG}), m WHERE failed AND (t // 1000000 // 86400 + 1) * 86400 <= wm GROUP BY ALL HAVING count(*) >= 3""")
+@query(f"""SELECT host AS source, t // 1000000 // 86400 * 86400 AS start, count(*) AS violations FROM ({SQL_LOG}) WHERE failed GROUP BY ALL HAVING count(*) >= 3""")
 def stream_contract_alerts(spark: SparkSession, d: str) -> DataFrame:
+    closing = Closing(spark, "ts")
     broken = fetch_stream(spark, d).where("failed").select(F.col("host").alias("source"), "ts")
-    return run(jobs.contract_alerts(broken, window="1 day").select("source", F.unix_timestamp("start").alias("start"), "violations"))
+    return run(jobs.contract_alerts(closing.behind(broken), window="1 day").select("source", F.unix_timestamp("start").alias("start"), "violations"), closing)
 
 
-@query(f"""WITH s AS (SELECT host, latency, (t // 1000000 - 25200) // 86400 * 86400 + 25200 AS start, t FROM ({SQL_LOG})), m AS (SELECT max(t) // 1000000 - 3600 AS wm FROM s)
-  SELECT host AS subscriber_id, start, count(*) AS matches, max(latency) AS best FROM s, m WHERE start + 86400 <= wm GROUP BY host, start""")
+@query(f"""SELECT host AS subscriber_id, (t // 1000000 - 25200) // 86400 * 86400 + 25200 AS start, count(*) AS matches, max(latency) AS best FROM ({SQL_LOG}) GROUP BY ALL""")
 def stream_daily_matches(spark: SparkSession, d: str) -> DataFrame:
+    closing = Closing(spark, "created_at")
     m = fetch_stream(spark, d).select(F.col("host").alias("subscriber_id"), F.col("ts").alias("created_at"), F.col("latency").alias("score"))
-    return run(jobs.daily_matches(m).select("subscriber_id", F.unix_timestamp("start").alias("start"), "matches", "best"))
+    return run(jobs.daily_matches(closing.behind(m)).select("subscriber_id", F.unix_timestamp("start").alias("start"), "matches", "best"), closing)
+
+
+@query(f"""WITH e AS (SELECT host AS id, t, failed AS sent FROM ({SQL_LOG}) WHERE failed OR source = 'view'),
+  n AS (SELECT id, t, sent, lead(t) OVER w AS t2, lead(sent) OVER w AS s2 FROM e WINDOW w AS (PARTITION BY id ORDER BY t, sent))
+  SELECT id, t AS created, CASE WHEN t2 - t <= 86400000000 THEN 'sent' ELSE 'lapsed' END AS outcome, CASE WHEN t2 - t <= 86400000000 THEN t2 ELSE t + 86400000000 END AS at
+  FROM n WHERE NOT sent AND (t2 IS NULL OR t2 - t > 86400000000 OR s2)""")
+def stream_pending(spark: SparkSession, d: str) -> DataFrame:
+    """Views as matches that wait for their user's next error, which sends them."""
+    closing = Closing(spark, "created_at")
+    log = fetch_stream(spark, d)
+    found = log.where("source = 'view'").select(F.col("host").alias("id"), F.col("ts").alias("created_at"))
+    sent = log.where("failed").select(F.col("host").alias("id"), F.col("ts").alias("notified_at"))
+    done = run(jobs.pending_stream(closing.behind(found), sent), closing)
+    return done.select("id", F.unix_micros("created_at").alias("created"), "outcome", F.unix_micros("at").alias("at"))
+
+
+SQL_DAILY = sql_items("SELECT * FROM orders WHERE o_orderstatus <> 'F'", "((o_orderdate - INTERVAL 7 HOUR)::date + 1)::varchar AS day, ")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY day, subscriber_id ORDER BY score DESC, match_id) AS rank FROM ({SQL_DAILY}))
+  SELECT day, subscriber_id, count(*) AS total, '[editais] ' || count(*) || ' novo(s) edital(is) — ' || day AS subject, md5({SQL_BODY.format(day="day")}) AS body
+  FROM r JOIN nation ON n_nationkey::varchar = subscriber_id WHERE n_regionkey <> 4 GROUP BY day, subscriber_id, n_name""")
+def stream_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as notices and as their matches, two streams that meet; a digest per nation and day."""
+    folder, closing = work_folder(spark), Closing(spark, "created_at")
+    notices = order_notices(spark, d, stream_table(spark, d, "orders")).withColumnRenamed("created_at", "seen_at")
+    matches = order_matches(spark, d, stream_table(spark, d, "orders")).where("NOT notified").withColumn("edital_id", notice_of_match())
+    inst = table(spark, d, "customer").select(*schemas.fields(schemas.INSTITUTIONS, id=F.col("c_custkey"), nome=F.col("c_name")))
+    items = jobs.digest_item_stream(matches, notices, inst, dims.areas(spark))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    drain(lambda: jobs.write_stream(items, f"{folder}/items", f"{folder}/checkpoint"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema.fields)
+    closed = jobs.closed_digest_days(closing.behind(spark.readStream.schema(ddl).parquet(f"{folder}/items")))
+    drain(lambda: jobs.start_digests(f"{folder}/items", ddl, closed, f"{folder}/digests", f"{folder}/closed", lambda: nation_subscribers(spark, d), part_size=100_000), closing)
+    out = spark.read.parquet(f"{folder}/digests")
+    return out.select(F.col("day").cast("string").alias("day"), "subscriber_id", "total", "subject", F.md5("body_text").alias("body"))
 
 
 @query(SQL_REPLAY)

@@ -1,12 +1,13 @@
-"""Structured Streaming forms of the ingest, change, circuit, throttle, alert and digest operators.
+"""Structured Streaming forms of the ingest, change, pending, circuit, throttle, alert and digest operators.
 
 Lateness: a watermark on the event time, one day unless stated. Stateful jobs keep a few numbers per key in the
-RocksDB state store; nothing grows with a key's history.
+RocksDB state store, and rows that wait for the watermark; nothing grows with a key's history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from arauto.operators import digest
 from arauto.operators.dedup import change_kind
 from arauto.operators.ops import is_failure
+from arauto.operators.tables import batch_clock, write_batch
 from arauto.plans.ingest import Dimensions, run_batch
+from arauto.session import cut_lineage
 from arauto.sources.pages import stream_pages
 
 WATERMARK = "1 day"
@@ -30,10 +34,10 @@ def start_ingest(spark: SparkSession, path: str, root: str, checkpoint: str, dim
     """Fetched pages under ``path`` through the batch plan, micro-batch by micro-batch.
 
     Good rows and dead letters are written by the same function; every table share is named after the batch id, so
-    a repeated micro-batch replaces its own output. Dimensions are re-read per batch.
+    a repeated micro-batch replaces its own output, with the times of its first attempt. Dimensions are re-read per batch.
     """
     def process(pages: DataFrame, batch: int) -> None:
-        run_batch(pages, dimensions(), root, batch, now())
+        run_batch(pages, dimensions(), root, batch, batch_clock(pages.sparkSession, f"{root}/clock", batch, now()))
 
     stream = stream_pages(spark, path, max_files)
     return (
@@ -42,9 +46,9 @@ def start_ingest(spark: SparkSession, path: str, root: str, checkpoint: str, dim
     )
 
 
-def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def write_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", by: tuple[str, ...] = ()) -> StreamingQuery:
     return (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", path)
+        stream.writeStream.format("parquet").outputMode(mode).option("path", path).partitionBy(*by)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -57,32 +61,155 @@ def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(list(order))
 
 
-class _LastValue(StatefulProcessor):
-    """Emits each capture with the value seen before it."""
+class _InEventOrder(StatefulProcessor):
+    """Hands a key's rows on in order of event time, once the watermark has passed them, however they arrive.
+
+    Rows wait in chunks, by bucket of event time; a chunk is what one Arrow batch brings, so a key's rows are never put
+    together. A timer at the end of a bucket releases it: memory holds one bucket of one key, and nothing of it stays in
+    the state store. ``fields`` are the waiting columns, the event time in microseconds (``t``) first. Rows with a null key
+    move the watermark but are ignored.
+    """
+
+    def __init__(self, fields: str, width_seconds: int):
+        self.fields, self.width = fields, width_seconds * 1_000_000
+        self.names = [f.split()[0] for f in fields.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "simhash bigint")
+        self.handle = handle
+        lists = ", ".join("{0} array<{1}>".format(*f.split()) for f in self.fields.split(", "))
+        self.chunks = handle.getMapState("chunks", "bucket bigint, part int", lists)
+        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, "seq")
-        prior = [self.last.get()[0] if self.last.exists() else None, *pdf["simhash"].tolist()[:-1]]
-        self.last.update((int(pdf["simhash"].iloc[-1]),))
-        yield pd.DataFrame({
-            "key": [key[0]] * len(pdf), "seq": pdf["seq"].tolist(), "simhash": pdf["simhash"].tolist(),
-            "prior": pd.array(prior, dtype="Int64")})
+        for pdf in rows:
+            if pd.isna(key[0]):
+                continue
+            for bucket, part in pdf[self.names].groupby(pdf["t"] // self.width):
+                bucket = int(bucket)
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                self.chunks.updateValue((bucket, n), tuple(part[c].tolist() for c in self.names))
+                self.parts.updateValue((bucket,), (n + 1,))
+                if not n:
+                    self.handle.registerTimer((bucket + 1) * self.width // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        horizon = timerValues.getCurrentWatermarkInMs() * 1000 // self.width * self.width
+        for (bucket,) in sorted(k for k in self.parts.keys() if (k[0] + 1) * self.width <= horizon):
+            waiting: list[tuple] = []
+            for n in range(self.parts.getValue((bucket,))[0]):
+                waiting += zip(*self.chunks.getValue((bucket, n)), strict=True)
+                self.chunks.removeKey((bucket, n))
+            self.parts.removeKey((bucket,))
+            yield from self.take(key, sorted(waiting))
+        yield from self.passed(key, horizon)
+
+    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Rows of one bucket, in order."""
+        raise NotImplementedError
+
+    def passed(self, key, horizon: int) -> Iterator[pd.DataFrame]:
+        """All rows before ``horizon`` (microseconds) have been taken."""
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def change_stream(captures: DataFrame, key: str, seq: str, simhash: str = "simhash", near: int = 3) -> DataFrame:
-    """(key, seq, simhash, prior, change) per capture, against the last one seen of the key in any batch."""
-    rows = captures.select(F.col(key).alias("key"), F.col(seq).cast("long").alias("seq"), F.col(simhash).alias("simhash"))
+class _LastValue(_InEventOrder):
+    """Emits each capture with the value seen before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "simhash bigint")
+
+    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        values = [r[2] for r in rows]
+        prior = [self.last.get()[0] if self.last.exists() else None, *values[:-1]]
+        self.last.update((values[-1],))
+        yield pd.DataFrame({"key": [key[0]] * len(rows), "seq": [r[1] for r in rows], "simhash": values, "prior": pd.array(prior, dtype="Int64")})
+
+
+def change_stream(captures: DataFrame, key: str, ts: str, seq: str, simhash: str = "simhash", near: int = 3, delay: str = WATERMARK,
+                  bucket_seconds: int = 600) -> DataFrame:
+    """(key, seq, simhash, prior, change) per capture, against the capture before it in event time (ties by ``seq``).
+
+    Captures may come in any order and any number of micro-batches within ``delay``; each is emitted once the watermark has
+    passed its bucket, later ones are dropped. Of a key only its last value stays. Rows with a null key are ignored.
+    """
+    rows = captures.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), ts, F.unix_micros(ts).alias("t"), F.col(seq).cast("long").alias("seq"), F.col(simhash).alias("simhash"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, seq bigint, simhash bigint, prior bigint"
-    seen = rows.groupBy("key").transformWithStateInPandas(_LastValue(), schema, "Append", "None")
+    processor = _LastValue("t bigint, seq bigint, simhash bigint", bucket_seconds)
+    seen = rows.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
     return seen.withColumn("change", change_kind("prior", "simhash", near))
 
 
+class _Pending(_InEventOrder):
+    """A match waits from when it is found until it is sent, or its time is over."""
+
+    def __init__(self, hours: int, bucket_seconds: int):
+        super().__init__("t bigint, sent boolean", bucket_seconds)
+        self.window = hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.created = handle.getValueState("created", "t bigint")
+
+    def _timer(self, created: int) -> int:
+        """When all rows up to the end of the window have been taken."""
+        return ((created + self.window) // self.width + 1) * self.width // 1000
+
+    def _rows(self, key, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if found:
+            created, outcome, at = zip(*found, strict=True)
+            yield pd.DataFrame({"id": [key[0]] * len(found), "created": created, "outcome": outcome, "at": at})
+
+    def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        before = created = self.created.get()[0] if self.created.exists() else None
+        found = []
+        for t, sent in rows:
+            if created is not None and t - created > self.window:
+                found.append((created, "lapsed", created + self.window))
+                created = None
+            if not sent:
+                created = t
+            elif created is not None:
+                found.append((created, "sent", t))
+                created = None
+        if created != before:
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            if created is None:
+                self.created.clear()
+            else:
+                self.created.update((created,))
+                self.handle.registerTimer(self._timer(created))
+        yield from self._rows(key, found)
+
+    def passed(self, key, horizon: int) -> Iterator[pd.DataFrame]:
+        created = self.created.get()[0] if self.created.exists() else None
+        if created is not None and created + self.window < horizon:
+            self.handle.deleteTimer(self._timer(created))
+            self.created.clear()
+            yield from self._rows(key, [(created, "lapsed", created + self.window)])
+
+
+def pending_stream(matches: DataFrame, sent: DataFrame, hours: int = 24, delay: str = WATERMARK, bucket_seconds: int = 60) -> DataFrame:
+    """(id, created_at, outcome, at): what became of each pending match, 'sent' within ``hours`` or 'lapsed' after them.
+
+    ``matches`` has id and created_at, ``sent`` id and notified_at. A match that is found again while it waits starts anew, as
+    in the stored table; a mark without a waiting match is ignored; at the same time a find comes before a mark. What
+    waits is the only state: event-time timers delete it when its window is over. Rows with a null id are ignored.
+    """
+    found = matches.select("id", F.col("created_at").alias("ts"), F.lit(False).alias("sent"))
+    marks = sent.select("id", F.col("notified_at").alias("ts"), F.lit(True).alias("sent"))
+    rows = found.unionByName(marks).withWatermark("ts", delay).select("id", "ts", F.unix_micros("ts").alias("t"), "sent")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, created bigint, outcome string, at bigint"
+    done = rows.groupBy("id").transformWithStateInPandas(_Pending(hours, bucket_seconds), schema, "Append", "EventTime")
+    return done.select("id", F.timestamp_micros("created").alias("created_at"), "outcome", F.timestamp_micros("at").alias("at"))
+
+
 class _Circuit(StatefulProcessor):
     """Circuit state of a host: when it opened, and its failures within the window."""
 
@@ -198,3 +325,50 @@ def daily_matches(matches: DataFrame, ts: str = "created_at", subscriber: str =
     counted = matches.withWatermark(ts, delay).groupBy(day, subscriber).agg(
         F.count(F.lit(1)).alias("matches"), F.max("score").alias("best"))
     return counted.select(subscriber, F.col("window.start").alias("start"), "matches", "best")
+
+
+# --- digests ----------------------------------------------------------------------------------------------
+
+
+def digest_day(ts: str, hour: int = 7) -> Column:
+    """The day whose digest, sent at ``hour``, shows what came at ``ts``."""
+    return F.date_add(F.to_date(F.col(ts) - F.lit(timedelta(hours=hour))), 1)
+
+
+def digest_item_stream(matches: DataFrame, notices: DataFrame, institutions: DataFrame, areas: DataFrame, hour: int = 7, delay: str = "1 hour",
+                       earlier: str = "1 day", later: str = "1 hour") -> DataFrame:
+    """Display rows of matches (id, subscriber_id, edital_id, score, created_at) with ``day`` and ``created_at``, as both sides arrive.
+
+    ``notices`` are stored notices with ``seen_at``; a match meets the notice seen from ``earlier`` before it to ``later`` after
+    it, which with the watermarks bounds what the join keeps of either side. Matches without a notice are dropped.
+    """
+    m = matches.select("id", "subscriber_id", "edital_id", "score", "created_at").withWatermark("created_at", delay)
+    n = digest.shown_of_notices(notices, "seen_at").withColumnRenamed("edital_id", "notice_id").withWatermark("seen_at", delay)
+    near = F.expr(f"edital_id = notice_id AND seen_at >= created_at - INTERVAL {earlier} AND seen_at <= created_at + INTERVAL {later}")
+    return digest.display_rows(m.join(n, near), institutions, areas, digest_day("created_at", hour).alias("day"), "created_at")
+
+
+def closed_digest_days(items: DataFrame, hour: int = 7, delay: str = "1 hour") -> DataFrame:
+    """(day, subscriber_id) once the watermark has passed the hour at which the day's digest is due."""
+    rows = items.select("subscriber_id", "created_at").withWatermark("created_at", delay)
+    closed = rows.groupBy(F.window("created_at", "1 day", "1 day", f"{hour} hours"), "subscriber_id").agg(F.count(F.lit(1)).alias("items"))
+    return closed.select(F.to_date("window.end").alias("day"), "subscriber_id")
+
+
+def start_digests(items: str, item_schema: str, closed: DataFrame, out: str, checkpoint: str, subscribers: Callable[[], DataFrame],
+                  **render: object) -> StreamingQuery:
+    """Renders the digests of closed days from the item table (best partitioned by day), as batches of ``out``.
+
+    State holds a count per subscriber and open day; the items themselves wait in the table, so a large digest is ranked
+    and rendered in parts as in the batch job. A repeated micro-batch replaces its digests.
+    """
+    def process(rows: DataFrame, batch: int) -> None:
+        due = cut_lineage(rows)
+        days = due.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+        if days["first"] is None:
+            return
+        shown = rows.sparkSession.read.schema(item_schema).parquet(items).where(F.col("day").between(days["first"], days["last"]))
+        shown = shown.join(due, ["day", "subscriber_id"], "left_semi")
+        write_batch(digest.render_digests(shown, subscribers(), F.col("day"), by=("day", "subscriber_id"), **render), out, batch)
+
+    return closed.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
