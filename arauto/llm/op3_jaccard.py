@@ -16,14 +16,19 @@ from arauto.llm.graph import components
 SHINGLE = 5
 #: Two sets link when at least NUM / DEN of their union is shared.
 NUM, DEN = 3, 4
-#: Groups into which shingles are hashed: the coordinates of a point.
-GROUPS = 256
+#: Groups into which shingles are hashed, the coordinates of a point: a power of two by the size of the set, about two
+#: shingles a group, so that long documents are told apart as well as short ones. A point of twice the groups folds.
+LEAST_GROUPS, MOST_GROUPS = 32, 1 << 16
+#: Coordinates that the tree bounds at most; what it leaves is held against the whole points.
+TREE_GROUPS = 256
 #: Cells of the corpus-wide count of shingles that orders them from rare to frequent.
 CELLS = 1 << 20
 #: Bits of the filter that tells which texts a verification may need.
 BITS = 1 << 23
-#: Points of a leaf, and of a page of a large block (pages meet in pairs).
-LEAF, PAGE = 32, 4096
+#: Points of a leaf, of a page of a large block (pages meet in pairs), and shingles of a page.
+LEAF, PAGE, PAGE_SHINGLES = 32, 4096, 4 << 20
+#: Cells that one row of the count holds.
+ROW_CELLS = 16
 
 
 def shingle_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +57,75 @@ def shingle_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(owner[new], np.arange(docs + 1))
 
 
+_COUNTS = [f"c{i}" for i in range(ROW_CELLS)]
+
+
 def _count_cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in slices(batches):
             value, _ = shingle_sets(Texts(batch.column("text")), n)
             total += np.bincount((value % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+        total = total.reshape(-1, ROW_CELLS)
+        at = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, i]) for i in range(ROW_CELLS))], names=["block", *_COUNTS])
 
     return run
 
 
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """How many shingles of all documents fall into each of CELLS cells; CELLS numbers reach the driver, whatever the input."""
-    rows = docs.select("text").mapInArrow(_count_cells(n), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    rows = docs.select("text").mapInArrow(_count_cells(n), "block int, " + ", ".join(f"{c} long" for c in _COUNTS))
+    table = rows.groupBy("block").agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()
+    out = np.zeros((CELLS // ROW_CELLS, ROW_CELLS), np.int64)
+    out[table["block"].to_numpy()] = np.stack([table[c].to_numpy() for c in _COUNTS], 1)
+    return out.ravel()
+
+
+def group_counts(size: np.ndarray) -> np.ndarray:
+    """Groups of a point, by the size of its set."""
+    wanted = 2.0 ** np.ceil(np.log2(np.maximum(size, 2) / 2))
+    return np.clip(wanted, LEAST_GROUPS, MOST_GROUPS).astype(np.int64)
+
+
+def pack_points(value: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The point of each set: a byte that tells the width of a count, then the counts."""
+    size = np.diff(offsets)
+    groups = group_counts(size)
+    base = np.append(0, np.cumsum(groups))
+    at = np.repeat(base[:-1], size) + ((value >> np.uint64(40)).astype(np.int64) & np.repeat(groups - 1, size))
+    counts = np.bincount(at, minlength=base[-1])
+    small = counts.astype(np.uint8)
+    fits = np.maximum.reduceat(counts, base[:-1]) < 1 << 8 if len(groups) else []
+    return [b"\1" + small[a:b].tobytes() if ok else b"\4" + counts[a:b].astype(np.uint32).tobytes() for a, b, ok in zip(base[:-1].tolist(), base[1:].tolist(), fits, strict=True)]
+
+
+def points_of(cells: list[bytes], groups: int) -> np.ndarray:
+    """Points as rows, folded to ``groups`` groups (of a power of two, not more than any has)."""
+    out = np.empty((len(cells), groups), np.int64)
+    for i, cell in enumerate(cells):
+        out[i] = np.frombuffer(cell, np.uint8 if cell[0] == 1 else np.uint32, offset=1).reshape(-1, groups).sum(0)
     return out
 
 
+def groups_in(cells: list[bytes]) -> np.ndarray:
+    return np.array([(len(c) - 1) // c[0] for c in cells], np.int64)
+
+
+def possible(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the summed minima of two points, each pair at the finest grouping that both have, leave the similarity possible."""
+    ok = (n * den >= m * num) & (m * den >= n * num)
+    groups = np.minimum(groups_in(x), groups_in(y)) if len(x) else np.zeros(0, np.int64)
+    for g in np.unique(groups[ok]).tolist():
+        at = np.flatnonzero(ok & (groups == g))
+        step = max(1, (1 << 20) // g)
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
+            bound = overlap_bound(points_of([x[i] for i in part], g), points_of([y[i] for i in part], g))
+            ok[part] = (num + den) * bound >= num * (n[part] + m[part])
+    return ok
+
+
 FEATURES = "doc_id long, n_shingles long, digest binary, keys binary, point binary"
 
 
@@ -88,8 +142,6 @@ def _features(n: int, cells, num: int, den: int):
             value, offsets = shingle_sets(Texts(batch.column("text")), n)
             docs, size = batch.num_rows, np.diff(offsets)
             owner = np.repeat(np.arange(docs), size)
-            points = np.bincount(owner * GROUPS + (value >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=docs * GROUPS)
-            points = points.astype(np.uint16 if points.max(initial=0) < 1 << 16 else np.uint32)
             order = np.lexsort((value, count[(value % np.uint64(CELLS)).astype(np.int64)], owner))
             length = size - -(-size * num // den) + 1
             length[size == 0] = 0
@@ -98,37 +150,32 @@ def _features(n: int, cells, num: int, den: int):
             raw = value.tobytes()
             digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), binaries(keys, np.append(0, np.cumsum(length))), binaries(points, np.arange(docs + 1) * GROUPS)],
+                [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), binaries(keys, np.append(0, np.cumsum(length))), pa.array(pack_points(value, offsets), pa.binary())],
                 names=[c.split()[0] for c in FEATURES.split(", ")],
             )
 
     return run
 
 
-BLOCKS = "bucket int, docs binary, owner binary, keys binary, settled binary"
+BLOCKS = "bucket int, docs binary, owner binary, keys binary"
 
 
 def _ship_keys(buckets: int):
-    """(key, document) by bucket of keys. Of documents of one slice that share a key only the smallest goes on; the others are its
-    ``settled`` companions, so a hot key costs one entry a slice."""
+    """(key, document) by bucket of keys. Of the documents of a batch that have equal sets only the first goes on: its class
+    stands for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            _, first = np.unique(np.array(batch.column("digest").to_pylist(), "S16"), return_index=True)
+            batch = batch.take(pa.array(first))
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             cells = batch.column("keys").to_pylist()
             keys = np.frombuffer(b"".join(cells), np.uint64)
             owner = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])
-            order = np.lexsort((doc[owner], keys))
-            keys, owner = keys[order], owner[order]
-            new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
             bucket = (keys >> np.uint64(8)).astype(np.uint32).astype(np.int64) % buckets
-            for b, at in zip(*_groups(bucket[new], np.flatnonzero(new)), strict=True):
-                local, owners = np.unique(owner[at], return_inverse=True)
-                yield _key_row(b, doc[local], owners, keys[at], False)
-            late = np.flatnonzero(~new)
-            for b, at in zip(*_groups(bucket[late], late), strict=True):
+            for b, at in zip(*_groups(bucket, np.arange(len(keys))), strict=True):
                 local, owners = np.unique(owner[at], return_inverse=True)
-                yield _key_row(b, doc[local], owners, keys[at], True)
+                yield _key_row(b, doc[local], owners, keys[at])
 
     return run
 
@@ -140,8 +187,8 @@ def _groups(by: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndar
     return by[at].tolist(), np.split(values, at[1:]) if len(at) else []
 
 
-def _key_row(bucket: int, docs: np.ndarray, owner: np.ndarray, keys: np.ndarray, settled: bool) -> pa.RecordBatch:
-    row = [pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (docs.astype(np.int64), owner.astype(np.uint32), np.ascontiguousarray(keys), np.array([settled], np.uint8)))]
+def _key_row(bucket: int, docs: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    row = [pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (docs.astype(np.int64), owner.astype(np.uint32), np.ascontiguousarray(keys)))]
     return pa.RecordBatch.from_arrays(row, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
@@ -206,14 +253,6 @@ class RTree:
         return a[apart], b[apart]
 
 
-def _points(cells: list) -> np.ndarray:
-    """Count vectors of binary cells; counts are of 16 bits, or of 32 where a slice held a larger one."""
-    out = np.empty((len(cells), GROUPS), np.int64)
-    for i, cell in enumerate(cells):
-        out[i] = np.frombuffer(cell, np.uint16 if len(cell) == 2 * GROUPS else np.uint32)
-    return out
-
-
 def _leaf_pairs(num: int, den: int):
     """Pairs within blocks of at most LEAF documents, which are one leaf each: those of like size and different components."""
 
@@ -237,12 +276,25 @@ def _leaf_pairs(num: int, den: int):
 
 
 def _block_pairs(num: int, den: int):
+    """Pairs of a large block: sets of one grouping, and those of the next finer one, are a tree at their common grouping (or a
+    coarser one); what its bounds leave is held against the whole points."""
+
     def run(table: pa.Table) -> pa.Table:
-        doc, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
-        points = _points(table["point"].to_pylist())
-        a, b = RTree(points, table["n_shingles"].to_numpy()).pairs(num, den, comp)
-        lo, hi = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-        return pa.table([pa.array(lo), pa.array(hi)], names=["a", "b"])
+        doc, comp, n = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        cells = table["point"].to_pylist()
+        groups = groups_in(cells)
+        a, b = [], []
+        for g in np.unique(groups).tolist():
+            at = np.flatnonzero((groups == g) | (groups == 2 * g))  # sets that link differ by a third at most
+            tree = RTree(points_of([cells[i] for i in at], min(g, TREE_GROUPS)), n[at])
+            i, j = (at[x] for x in tree.pairs(num, den, comp[at]))
+            own = (groups[i] == g) | (groups[j] == g)
+            i, j = i[own], j[own]
+            ok = possible([cells[k] for k in i], [cells[k] for k in j], n[i], n[j], num, den)
+            a.append(doc[i[ok]])
+            b.append(doc[j[ok]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -250,9 +302,7 @@ def _block_pairs(num: int, den: int):
 def _bound_filter(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = _points(batch.column("px").to_pylist()), _points(batch.column("py").to_pylist())
-            n, m = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
-            ok = (n * den >= m * num) & (m * den >= n * num) & ((num + den) * overlap_bound(x, y) >= num * (n + m))
+            ok = possible(batch.column("px").to_pylist(), batch.column("py").to_pylist(), batch.column("nx").to_numpy(), batch.column("ny").to_numpy(), num, den)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -315,7 +365,7 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     known = features.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     buckets = max(64, width(spark))
-    shared = known.select("doc_id", "keys").mapInArrow(_ship_keys(buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, doc_id long")
+    shared = known.select("doc_id", "digest", "keys").mapInArrow(_ship_keys(buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, doc_id long")
     shared = staged(shared, "blocks")
     rep_of = features.select("doc_id", "digest").join(classes, "digest")
     member = staged(shared.select("doc_id").distinct().join(rep_of, "doc_id").select("doc_id", "rep").distinct(), "members")
@@ -342,14 +392,14 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
 
     labelled = points.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     in_block = blocks.join(labelled.select("doc_id", "component", "n_shingles"), "doc_id")
-    mixed = in_block.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y")
-    mixed = staged(mixed.select("key", "n"), "mixed")
+    mixed = in_block.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).filter("x != y")
+    mixed = staged(mixed.select("key", "n", "w"), "mixed")
     small = in_block.join(mixed.filter(F.col("n") <= LEAF).select("key"), "key").select("key", "doc_id", "component", "n_shingles")
     small = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).cast("int"))
     near = small.groupBy("bucket").applyInArrow(_leaf_pairs(num, den), "a long, b long")
-    pages = F.ceil(F.col("n") / PAGE).cast("int")
+    pages = F.ceil(F.greatest(F.col("n") / PAGE, F.col("w") / PAGE_SHINGLES)).cast("int")
     page = F.pmod(F.xxhash64("doc_id"), pages).cast("int")
-    spread = in_block.join(mixed.filter(F.col("n") > LEAF), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
+    spread = in_block.join(mixed.filter(F.col("n") > LEAF).select("key", "n", "w"), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
     spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "doc_id")
     again = spread.join(labelled, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
     more = verified(bounded(near.union(again).distinct()))

@@ -19,11 +19,11 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"  #: stands for a blank in pieces
 LITERAL = "\U0010ffff"  #: stands for a text's own U+2581 while it is encoded; itself encoded by bytes like it
 #: Distinct segments a Python worker remembers before it forgets all and starts anew.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Characters times piece lengths that one batch of words holds.
 CELLS = 2_000_000
 #: Texts are encoded in slices of about so many bytes.
-SLICE = 6 << 20
+SLICE = 1 << 20
 
 
 @dataclass
@@ -270,7 +270,7 @@ class Coder:
         cut = [self.cut.findall(BLANK + (t.replace(BLANK, LITERAL) if BLANK in t else t).replace(" ", BLANK)) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
         self._learn(set(flat).difference(self.memo))
-        which = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        which = np.fromiter(map(self.memo.__getitem__, flat), np.int32, len(flat))
         sizes = self.count[which]
         total = np.append(0, np.cumsum(sizes))
         ids = self.ids[np.repeat(self.first[which] - total[:-1], sizes) + np.arange(total[-1])]
@@ -297,8 +297,8 @@ def _coder(m: Pieces) -> Coder:
     return _CODERS[mark]
 
 
-def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ids, n_ids, decoded (what the ids decode to) and round_trip (decoded equals the text), with columns ``keep``.
+def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """doc_id, ids, n_ids, decoded (what the ids decode to, if ``with_text``) and round_trip (decoded equals the text), with columns ``keep``.
 
     ``ids`` equal the library's for this model, but for texts that hold U+2581 itself: its bytes are encoded, so that every
     text round-trips. A null text gives null ids, an empty one an empty list; both round-trip (null to null). Very
@@ -312,11 +312,13 @@ def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = ())
         for batch in slices(batches, "text_", SLICE):
             texts = batch.column("text_").to_pylist()
             ids, offsets = coder.encode(texts)
-            back = [x.decode("utf-8", "replace") if t is not None else None for t, x in zip(texts, coder.decode(ids, offsets), strict=True)]
+            raw = coder.decode(ids, offsets)
+            same = pa.array([x == t.encode() if t is not None else not x for t, x in zip(texts, raw, strict=True)])
             null = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=null)
             sizes = pa.array(np.diff(offsets), mask=null.to_numpy(zero_copy_only=False))
-            same = pa.array([a == b for a, b in zip(texts, back, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, sizes, pa.array(back, pa.string()), same, *[batch.column(f"kept_{c}") for c in keep]], names=["doc_id", "ids", "n_ids", "decoded", "round_trip", *[f"kept_{c}" for c in keep]])
+            back = [pa.array([x.decode("utf-8", "replace") if t is not None else None for t, x in zip(texts, raw, strict=True)], pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, sizes, *back, same, *[batch.column(f"kept_{c}") for c in keep]], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded string, round_trip boolean" + kept_schema(docs, keep))
+    names = ["doc_id", "ids", "n_ids", *["decoded"] * with_text, "round_trip", *[f"kept_{c}" for c in keep]]
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, " + "decoded string, " * with_text + "round_trip boolean" + kept_schema(docs, keep))

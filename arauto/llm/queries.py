@@ -104,7 +104,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from arauto.llm.op8_pieces import encode_documents, load
 
-    return encode_documents(table(spark, sf_dir, "documents"), load()).drop("decoded")
+    return encode_documents(table(spark, sf_dir, "documents"), load(), with_text=False)
 
 
 @query("op5_fingerprints")

@@ -180,6 +180,23 @@ def test_r_tree_keeps_every_possible_pair():
     assert got == want
 
 
+def test_points_of_any_grouping_bound_the_overlap():
+    """The bound of two sets is never below what they share, and unrelated long sets are told apart."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 40, 50, 60, 130, 700, 900, 5000, 6000, 200_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**63, len(s) // 10).astype(np.uint64)])) for s in sets]
+    cells = op3_jaccard.pack_points(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    x, y = [cells[i] for i, _ in pairs], [cells[j] for _, j in pairs]
+    n, m = (np.array([len(sets[p[k]]) for p in pairs]) for k in (0, 1))
+    ok = op3_jaccard.possible(x, y, n, m, 3, 4)
+    shared = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in pairs])
+    assert ok[4 * shared >= 3 * (n + m - shared)].all() and (4 * shared >= 3 * (n + m - shared)).sum() >= 8
+    assert ok.sum() <= (4 * shared >= 3 * (n + m - shared)).sum() + 3
+    heavy = op3_jaccard.pack_points(np.full(700, np.uint64(5 << 40)), np.array([0, 700]))  # a count beyond a byte
+    assert heavy[0][0] == 4 and op3_jaccard.points_of(heavy, 32).sum() == 700 and op3_jaccard.pack_points(np.zeros(0, np.uint64), np.array([0, 0]))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
