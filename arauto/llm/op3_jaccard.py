@@ -275,13 +275,30 @@ def _leaf_pairs(num: int, den: int):
     return run
 
 
+def _meet_earlier(lists: pa.ListArray, key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows ``i`` and ``j`` share a key smaller than ``key``."""
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    values = values[offsets[0] : offsets[-1]]
+    small = values < key
+    _, column = np.unique(values[small], return_inverse=True)
+    seen = np.zeros((len(lists), int(column.max(initial=-1)) + 1), bool)
+    seen[owner[small], column] = True
+    bits, out = np.packbits(seen, axis=1), np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        out[at : at + (1 << 16)] = (bits[i[at : at + (1 << 16)]] & bits[j[at : at + (1 << 16)]]).any(1)
+    return out
+
+
 def _block_pairs(num: int, den: int):
-    """Pairs of a large block: sets of one grouping, and those of the next finer one, are a tree at their common grouping (or a
+    """Pairs of a large block that meet in no block of a smaller key (``keys`` has the large blocks of each set): sets of one grouping, and those of the next finer one, are a tree at their common grouping (or a
     coarser one); what its bounds leave is held against the whole points."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, comp, n = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        cells = table["point"].to_pylist()
+        cells, key = table["point"].to_pylist(), table["key"][0].as_py()
+        lists = table["keys"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         groups = groups_in(cells)
         a, b = [], []
         for g in np.unique(groups).tolist():
@@ -290,6 +307,8 @@ def _block_pairs(num: int, den: int):
             i, j = (at[x] for x in tree.pairs(num, den, comp[at]))
             own = (groups[i] == g) | (groups[j] == g)
             i, j = i[own], j[own]
+            own = ~_meet_earlier(lists, key, i, j)
+            i, j = i[own], j[own]
             ok = possible([cells[k] for k in i], [cells[k] for k in j], n[i], n[j], num, den)
             a.append(doc[i[ok]])
             b.append(doc[j[ok]])
@@ -401,7 +420,8 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     page = F.pmod(F.xxhash64("doc_id"), pages).cast("int")
     spread = in_block.join(mixed.filter(F.col("n") > LEAF).select("key", "n", "w"), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
     spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "doc_id")
-    again = spread.join(labelled, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
+    large = in_block.join(mixed.filter(F.col("n") > LEAF).select("key"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # of a prefix
+    again = spread.join(labelled, "doc_id").join(large, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
     more = verified(bounded(near.union(again).distinct()))
     joined = components(links.union(more)).withColumnRenamed("node", "rep")
     named = features.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(joined, "rep", "left")
