@@ -28,10 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays (once, if its row is repeated)."""
+    """Of each group of near duplicates the document with the smallest doc_id stays, with all its texts if rows repeat its doc_id (equal ones once)."""
     groups = jaccard_groups(docs)
     first = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS)
 
 
@@ -56,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text."""
-    done = encode_documents(docs, load(), keep=("lang", "source"))
+    done = encode_documents(docs, load(), keep=("lang", "source"), with_text=False)
     return done.select("doc_id", F.col("kept_lang").alias("lang"), F.col("kept_source").alias("source"), "ids", "n_ids", "round_trip")
 
 
