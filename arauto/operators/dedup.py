@@ -107,85 +107,129 @@ def _split(positions: list[int], parts: int) -> list[int]:
     return masks
 
 
-def _bands(k: int, blocks: int) -> tuple[list[int], list[list[int]]]:
-    """Band masks and, per band, the finer masks used when a band key is hot.
+#: Values that meet pair by pair under one key. A key with more is divided by finer keys, and those again, LEVELS times at most:
+#: then so few bits are free that a key has little over a thousand values.
+LEAF, LEVELS = 256, 4
 
-    Two values within ``k`` bits agree on at least ``blocks - k`` of ``blocks`` blocks, so they share the key of
-    some band. Of the bits outside a band at most ``k`` differ, so they also share one of ``k + 1`` finer keys.
-    """
-    parts = _split(list(range(64)), blocks)
-    bands = [sum(c) for c in combinations(parts, blocks - k)]
-    finer = [[b | m for m in _split([p for p in range(64) if not b >> p & 1], k + 1)] for b in bands]
-    return [_signed(b) for b in bands], [[_signed(m) for m in ms] for ms in finer]
 
+def _bands(k: int, blocks: int) -> list[int]:
+    """Masks of the bands. Two values within ``k`` bits agree on at least ``blocks - k`` of ``blocks`` blocks, so they share the key
+    of some band."""
+    return [sum(c) for c in combinations(_split(list(range(64)), blocks), blocks - k)]
+
+
+def _finer(masks: list[int], k: int) -> list[int]:
+    """``k + 1`` finer masks for each: of the bits that a mask leaves out at most ``k`` differ, so of ``k + 1`` runs of them one agrees."""
+    return [m | part for m in masks for part in _split([p for p in range(64) if not m >> p & 1], k + 1)]
 
-def _first_zero(x: Column, masks: list[Column]) -> Column:
-    return F.coalesce(*[F.when(x.bitwiseAND(m) == 0, F.lit(i)) for i, m in enumerate(masks)])
+
+def _literals(masks: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(m)) for m in masks])
 
 
 def _banded(values: DataFrame, bands: list[int]) -> DataFrame:
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("band"), F.col("simhash").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(bands)
-    ])
+    """(simhash, at, key): the value under each band; ``at`` numbers the masks of a level."""
+    keys = F.array(*[F.struct(F.lit(i).alias("at"), F.col("simhash").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(bands)])
     return values.select("simhash", F.inline(keys))
 
 
-def _refined(banded: DataFrame, hot: DataFrame, finer: list[list[int]]) -> DataFrame:
-    """Rows under a hot key move to its finer keys (slots 1..k+1); all others stay in slot 0."""
-    width = len(finer[0])
-    table = F.array(*[F.lit(m) for ms in finer for m in ms])
-    plain = F.struct(F.lit(0).alias("slot"), F.col("key").alias("key2"))
-    split = [
-        F.struct(F.lit(s + 1).alias("slot"), F.col("simhash").bitwiseAND(F.get(table, F.col("band") * width + s)).alias("key2"))
-        for s in range(width)
-    ]
-    keys = F.when(F.col("hot").isNotNull(), F.array(*split)).otherwise(F.array(plain))
-    return banded.join(hot, ["band", "key"], "left").select("simhash", "band", F.inline(keys))
-
-
-def _near(left: DataFrame, right: DataFrame, k: int, blocks: int, hot_above: int, same: bool) -> DataFrame:
-    bands, finer = _bands(k, blocks)
-    keys_l, keys_r = _banded(left, bands), _banded(right, bands)
-    hot = keys_r.groupBy("band", "key").count().where(F.col("count") > hot_above).select("band", "key", F.lit(True).alias("hot"))
-    a = _refined(keys_l, hot, finer).withColumnRenamed("simhash", "simhash_a").alias("a")
-    b = _refined(keys_r, hot, finer).withColumnRenamed("simhash", "simhash_b").alias("b")
-    x = F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))
-    width = len(finer[0])
-    table = F.array(*[F.lit(m) for ms in finer for m in ms])
-    # a pair is reported by the first band (and finer key) its values share, so no distinct is needed
-    first_band = _first_zero(x, [F.lit(m) for m in bands]) == F.col("a.band")
-    first_slot = _first_zero(x, [F.get(table, F.col("a.band") * width + s) for s in range(width)]) + 1
-    condition = (
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key2") == F.col("b.key2"))
-        & (F.bit_count(x) <= k) & first_band & ((F.col("a.slot") == 0) | (F.col("a.slot") == first_slot))
-    )
-    if same:
-        condition &= F.col("simhash_a") < F.col("simhash_b")
-    return a.join(b, condition).select("simhash_a", "simhash_b", F.bit_count(x).alias("distance"))
+def _divided(rows: DataFrame, masks: list[int], k: int) -> DataFrame:
+    """Rows of crowded keys under the next level's ``masks``."""
+    table = _literals(masks)
+    below = [F.col("at") * (k + 1) + s for s in range(k + 1)]
+    keys = F.array(*[F.struct(at.alias("at"), F.col("simhash").bitwiseAND(F.get(table, at)).alias("key")) for at in below])
+    return rows.select("simhash", F.inline(keys))
+
+
+def _first_zero(x: Column, masks: list[Column]) -> Column:
+    return F.coalesce(*[F.when(x.bitwiseAND(m) == 0, F.lit(i)) for i, m in enumerate(masks)])
+
+
+def _meeting(x: Column, levels: list[list[int]], k: int) -> Column:
+    """Whether a pair's first common band, and first finer mask of each level, is where it meets: each pair meets so once."""
+    depth = len(levels) - 1
+    above = lambda n: F.floor(F.col("a.at") / (k + 1) ** n).cast("int")
+    ok = _first_zero(x, [F.lit(_signed(m)) for m in levels[0]]) == above(depth)
+    for j in range(1, depth + 1):
+        table, parent = _literals(levels[j]), above(depth - j + 1)
+        ok &= _first_zero(x, [F.get(table, parent * (k + 1) + s) for s in range(k + 1)]) == above(depth - j) % (k + 1)
+    return ok
+
+
+def _near(left: DataFrame, right: DataFrame, k: int, blocks: int, leaf: int, same: bool) -> DataFrame:
+    levels, key = [_bands(k, blocks)], ["at", "key"]
+    a = _banded(left, levels[0])
+    b = a if same else _banded(right, levels[0])
+    found = []
+    while True:
+        last = len(levels) > LEVELS
+        crowded = None if last else cut_lineage(b.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).select(*key))
+        done = last or crowded.isEmpty()
+        rest = lambda rows: rows if done else rows.join(crowded, key, "left_anti")  # noqa: B023, E731
+        x = F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))
+        condition = (F.col("a.at") == F.col("b.at")) & (F.col("a.key") == F.col("b.key")) & (F.bit_count(x) <= k) & _meeting(x, levels, k)
+        if same:
+            condition &= F.col("simhash_a") < F.col("simhash_b")
+        sides = rest(a).withColumnRenamed("simhash", "simhash_a").alias("a"), rest(b).withColumnRenamed("simhash", "simhash_b").alias("b")
+        found.append(sides[0].join(sides[1], condition).select("simhash_a", "simhash_b", F.bit_count(x).alias("distance")))
+        if done:
+            return reduce(DataFrame.union, found)
+        levels.append(_finer(levels[-1], k))
+        a = _divided(a.join(crowded, key, "left_semi"), levels[-1], k)
+        b = a if same else _divided(b.join(crowded, key, "left_semi"), levels[-1], k)
 
 
 def _values(df: DataFrame, simhash: str) -> DataFrame:
     return df.select(F.col(simhash).alias("simhash")).where(F.col("simhash") != 0).distinct()
 
 
-def near_duplicates(df: DataFrame, simhash: str = "simhash", k: int = 3, blocks: int = 6, hot_above: int = 2_000) -> DataFrame:
+def near_duplicates(df: DataFrame, simhash: str = "simhash", k: int = 3, blocks: int = 6, leaf: int = LEAF) -> DataFrame:
     """Pairs (simhash_a < simhash_b, distance) of *distinct* values at most ``k`` bits apart; exact.
 
     Copies collapse to one value first, so a group of copies costs one row however large it is; ``families``
-    carries the result back to the rows. With 6 blocks a band key has 31 to 33 bits; a key above ``hot_above``
-    values is split by finer keys instead of being compared all against all. The 0 of empty texts takes no part.
+    carries the result back to the rows. With 6 blocks a band key has 31 to 33 bits; a key with more than ``leaf``
+    values is divided by finer keys as often as it takes. The 0 of empty texts takes no part.
     """
     values = _values(df, simhash)
-    return _near(values, values, k, blocks, hot_above, same=True)
+    return _near(values, values, k, blocks, leaf, same=True)
 
 
-def find_near(probes: DataFrame, stored: DataFrame, simhash: str = "simhash", k: int = 3, blocks: int = 6,
-              hot_above: int = 2_000) -> DataFrame:
+def find_near(probes: DataFrame, stored: DataFrame, simhash: str = "simhash", k: int = 3, blocks: int = 6, leaf: int = LEAF) -> DataFrame:
     """For every probe value the stored values at most ``k`` bits away, equal ones included."""
-    found = _near(_values(probes, simhash), _values(stored, simhash), k, blocks, hot_above, same=False)
+    found = _near(_values(probes, simhash), _values(stored, simhash), k, blocks, leaf, same=False)
     return found.withColumnsRenamed({"simhash_a": "probe", "simhash_b": "stored"})
 
 
+def joining_edges(values: DataFrame, k: int = 3, blocks: int = 6, leaf: int = LEAF) -> DataFrame:
+    """(u, v) of near values that join the same families as all near pairs do, without most of them.
+
+    Under each key every value is tried against the key's smallest one, which joins a crowd by a star. Only keys whose
+    values are still in different families go on: small ones pair by pair between families, crowded ones under finer keys.
+    """
+    masks, key = _bands(k, blocks), ["at", "key"]
+    rows, edges = _banded(values, masks), None
+    for level in range(LEVELS + 1):
+        low = rows.groupBy(*key).agg(F.min("simhash").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("v"))) <= k
+        star = cut_lineage(rows.join(low, key).where(near & (F.col("simhash") != F.col("v"))).select(F.col("simhash").alias("u"), "v").distinct())
+        edges = star if edges is None else edges.union(star)
+        label = components(edges).withColumnRenamed("node", "simhash")
+        named = rows.join(label, "simhash", "left").withColumn("label", F.coalesce("label", "simhash"))
+        mixed = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        mixed = cut_lineage(mixed.select(*key, "n"))
+        small = mixed if level == LEVELS else mixed.where(F.col("n") <= leaf)
+        inside = named.join(small.select(*key), key)
+        a, b = (inside.select(*key, F.col("simhash").alias(c), F.col("label").alias(f"of_{c}")) for c in "uv")
+        apart = (F.col("u") < F.col("v")) & (F.col("of_u") != F.col("of_v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= k)
+        edges = edges.union(cut_lineage(a.join(b, key).where(apart).select("u", "v").distinct()))
+        crowded = mixed.where(F.col("n") > leaf).select(*key)
+        if level == LEVELS or crowded.isEmpty():
+            return edges
+        masks = _finer(masks, k)
+        rows = _divided(rows.join(crowded, key, "left_semi"), masks, k)
+    return edges
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, label) of every node in ``edges(u, v)``; the label is the smallest node of its component.
 
@@ -222,10 +266,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def families(df: DataFrame, id: str, simhash: str = "simhash", k: int = 3) -> DataFrame:
     """(id, family): rows linked by chains of near duplicates, named by their smallest id.
 
-    Works on distinct values, so copies never meet pairwise. Empty texts stay alone.
+    Works on distinct values, so copies never meet pairwise, and on a few edges of each crowd. Empty texts stay alone.
     """
     firsts = df.where(F.col(simhash) != 0).groupBy(F.col(simhash).alias("node")).agg(F.min(id).alias("__first"))
-    labels = components(near_duplicates(df, simhash, k).select(F.col("simhash_a").alias("u"), F.col("simhash_b").alias("v")))
+    labels = components(joining_edges(_values(df, simhash), k))
     named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     family = named.groupBy("label").agg(F.min("__first").alias("family"))
     names = named.join(family, "label").select(F.col("node").alias(simhash), "family")

@@ -186,9 +186,9 @@ def simhash64(spark: SparkSession, d: str) -> DataFrame:
     return document_hashes(spark, d)
 
 
-@query(f"SELECT id AS doc_id, simhash FROM ({sql_simhash('SELECT doc_id AS id, substr(text, 1, 1000) AS text FROM documents')})")
+@query(f"SELECT id AS doc_id, simhash FROM ({SIMHASHES})")
 def simhash_in_row(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", dedup.simhash_of(clip("text", 1000)).alias("simhash"))
+    return table(spark, d, "documents").select("doc_id", dedup.simhash_of("text").alias("simhash"))
 
 
 @query(f"""WITH v AS (SELECT DISTINCT simhash FROM ({SIMHASHES}) WHERE simhash <> 0)
@@ -271,14 +271,30 @@ _AREA = "CASE " + " ".join(f"WHEN len(h{i}) = best THEN {code!r}" for i, code in
 _EVID = "CASE " + " ".join(f"WHEN len(h{i}) = best THEN array_to_string(h{i}, ',')" for i in range(len(WORD_AREAS))) + " END"
 
 
-@query(f"""WITH n AS (SELECT doc_id, {sql_fold("source || ' ' || substr(text, 1, 100) || ' ' || lang || ' ' || substr(text, 1, 3000)")} AS t FROM documents),
+@query(f"""WITH n AS (SELECT doc_id, {sql_fold("source || ' ' || text || ' ' || lang || ' ' || substr(text, 1, 3000)")} AS t FROM documents),
   h AS (SELECT doc_id, {_HITS} FROM n), b AS (SELECT *, {_BEST} AS best FROM h)
   SELECT doc_id, CASE WHEN best > 0 THEN {_AREA} END AS area, CASE WHEN best > 0 THEN round(least(0.95, 0.3 + 0.15 * best), 4)::double ELSE 0::double END AS confidence,
          CASE WHEN best > 0 THEN {_EVID} ELSE '' END AS evidence FROM b""")
 def classify_area(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
-        "doc_id", F.col("source").alias("titulo"), clip("text", 100).alias("texto_resumo"), F.col("lang").alias("area_concentracao"),
+        "doc_id", F.col("source").alias("titulo"), F.col("text").alias("texto_resumo"), F.col("lang").alias("area_concentracao"),
         F.col("text").alias("texto_completo"), F.lit(None).cast("string").alias("area_cnpq_codigo"))
     c = classify.classify_area(docs, WORD_AREAS)
     return c.select("doc_id", F.col("classification.area").alias("area"), F.round("classification.confidence", 4).alias("confidence"),
                     F.array_join("classification.evidence", ",").alias("evidence"))
+
+
+SQL_KEYWORDS = "SELECT DISTINCT keyword, length(keyword)::int % 7 AS rank FROM (SELECT unnest(regexp_extract_all(text, '[a-zà-ÿ]+')) AS keyword FROM conversations) WHERE length(keyword) >= 7"
+
+
+@query(f"""WITH h AS (SELECT doc_id, rank, count(*) AS n, string_agg(keyword, ' ' ORDER BY keyword) AS evidence FROM documents JOIN ({SQL_KEYWORDS}) ON contains(text, keyword) GROUP BY ALL),
+  b AS (SELECT doc_id, arg_max(struct_pack(rank, n, evidence), (n, -rank)) AS b FROM h GROUP BY 1)
+  SELECT doc_id, 'A' || b.rank AS area, CASE WHEN b IS NULL THEN 0 ELSE least(0.95, round(0.3 + 0.15 * b.n, 2)) END::double AS confidence, md5(coalesce(b.evidence, '')) AS evidence
+  FROM documents LEFT JOIN b USING (doc_id)""")
+def classify_by_keyword_table(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by thousands of keywords: the long words of conversations, seven areas by their length."""
+    words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("([a-zà-ÿ]+)"))).alias("keyword")).where(F.length("keyword") >= 7).distinct()
+    rank = F.length("keyword") % 7
+    keywords = words.select(F.concat(F.lit("A"), rank.cast("string")).alias("area"), rank.alias("rank"), "keyword")
+    got = classify.classify_by_table(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), keywords)
+    return got.select(F.col("id").alias("doc_id"), "area", F.round("confidence", 2).alias("confidence"), F.md5(F.array_join("evidence", " ")).alias("evidence"))

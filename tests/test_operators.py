@@ -57,16 +57,65 @@ def _near_values(n, seed):
     return [_signed(v) for v in base] + [0, 0]
 
 
-@pytest.mark.parametrize("hot_above", [2000, 3])
-def test_near_duplicates_equal_brute_force(spark, hot_above):
+@pytest.mark.parametrize("leaf", [dedup.LEAF, 30, 4])
+def test_near_duplicates_equal_brute_force(spark, leaf):
     values = _near_values(150, 7)
     df = spark.createDataFrame([(v,) for v in values + values[:20]], "simhash bigint")
-    got = {tuple(r) for r in dedup.near_duplicates(df, k=3, hot_above=hot_above).collect()}
+    got = {tuple(r) for r in dedup.near_duplicates(df, k=3, leaf=leaf).collect()}
     distinct = sorted(set(values) - {0})
     want = {(a, b, d) for i, a in enumerate(distinct) for b in distinct[i + 1:]
             if (d := bin((a ^ b) & (2**64 - 1)).count("1")) <= 3}
     assert got == want and want
-    assert dedup.near_duplicates(df, k=3, hot_above=hot_above).count() == len(want)
+    assert dedup.near_duplicates(df, k=3, leaf=leaf).count() == len(want)
+
+
+def brute_families(values, k=3):
+    near = {v: [] for v in values}
+    for i, a in enumerate(values):
+        for b in values[i + 1:]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= k:
+                near[a].append(b)
+                near[b].append(a)
+    label = {}
+    for start in sorted(values):
+        stack = [start]
+        while stack:
+            v = stack.pop()
+            if v not in label:
+                label[v] = start
+                stack += near[v]
+    return label
+
+
+@pytest.mark.parametrize("leaf", [dedup.LEAF, 8])
+def test_families_of_crowded_keys_equal_brute_force(spark, leaf):
+    rnd = random.Random(6)
+    values = _near_values(120, 6)
+    ball = rnd.getrandbits(64)
+    values += [_signed(ball ^ (1 << i) ^ (1 << j)) for i in range(12) for j in range(i)]  # near their centre, not each other
+    values = sorted(set(values) - {0})
+    edges = dedup.joining_edges(spark.createDataFrame([(v,) for v in values], "simhash bigint"), leaf=leaf)
+    assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= 3 for r in edges.collect())
+    got = {r.node: r.label for r in dedup.components(edges).collect()}
+    want = brute_families(values)
+    assert {v: got.get(v, v) for v in values} == want and len(set(want.values())) < len(values)
+
+
+def test_ten_thousand_values_under_one_key(spark):
+    """A crowd that shares half its bits: pairs by division, one family of them by a few edges a value."""
+    rnd = random.Random(8)
+    high = rnd.getrandbits(32) << 32
+    crowd = {_signed(high | rnd.getrandbits(32)) for _ in range(10_000)}
+    near = [v ^ (1 << rnd.randrange(32)) for v in rnd.sample(sorted(crowd), 60)]
+    df = spark.createDataFrame([(v,) for v in {*crowd, *near}], "simhash bigint").repartition(4)
+    pairs = {(r.simhash_a, r.simhash_b) for r in dedup.near_duplicates(df).collect()}
+    assert {(min(v, v ^ w), max(v, v ^ w)) for v in near for w in (1 << b for b in range(32)) if v ^ w in crowd} <= pairs
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 3 for a, b in pairs)
+    ball = [_signed(high | sum(1 << b for b in rnd.sample(range(32), 3))) for _ in range(3000)]
+    ball = spark.createDataFrame([(v,) for v in {*ball, _signed(high)}], "simhash bigint")
+    edges = dedup.joining_edges(ball)
+    assert edges.distinct().count() < 12 * ball.count()  # of some hundred pairs a value
+    assert dedup.components(edges).select("label").distinct().count() == 1
 
 
 def test_find_near(spark):
@@ -133,6 +182,22 @@ def test_classify(spark, title, body, area, low):
         assert r.classification.confidence == 0 and r.classification.evidence == []
 
 
+def test_a_keyword_table_gives_what_the_dictionary_gives(spark):
+    words = [(code, order, w) for order, (code, ws) in enumerate(dims.AREA_KEYWORDS.items()) for w in ws]
+    keywords = spark.createDataFrame([*words, ("none", 99, ""), ("none", 99, None), words[0]], "area string, rank int, keyword string")
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choice(words)[2] if rnd.random() < 0.5 else rnd.choice(["xyz", "ab", "mestrado"]) for _ in range(rnd.randrange(6)))) for i in range(120)]
+    frame = spark.createDataFrame([*texts, (1000, None), (1001, "")], "id int, text string")
+    plain = {r.id: r.c for r in frame.select("id", classify.area_of(F.coalesce("text", F.lit(""))).alias("c")).collect()}
+    got = {r.id: r for r in classify.classify_by_table(frame, keywords).collect()}
+    assert set(got) == set(plain)
+    for i, want in plain.items():
+        assert (got[i].area, got[i].confidence) == (want.area, want.confidence) and got[i].evidence == sorted(set(want.evidence))
+    short = spark.createDataFrame([("a", 0, "x"), ("b", 1, "xy"), ("c", 2, "wxyz")], "area string, rank int, keyword string")
+    hits = classify.keyword_hits(spark.createDataFrame([(1, "x"), (2, "axy"), (3, "wxyz"), (4, "y")], "id int, text string"), short)
+    assert {tuple(r) for r in hits.collect()} == {(1, "x"), (2, "x"), (2, "xy"), (3, "x"), (3, "xy"), (3, "wxyz")}
+
+
 def test_registry_gate(spark):
     inst = institutions(spark, ("3", "9", "PAGA", "Pos Paga", "", "", "", "", False, False))
     names = ["UFRGS", "ufrgs", "Universidade de São Paulo", "USP - Campus Sao Carlos", "Faculdade Pirata", "PAGA", "", "xuspx", None]
@@ -275,6 +340,27 @@ def test_robots(spark):
     assert [got[u] for u in urls] == [False, True, False, True, True, True, False]
 
 
+def test_robots_of_many_rules_equal_brute_force(spark):
+    """Ten thousand rules of one host meet paths by equality; only patterns are matched as such."""
+    import re
+
+    rnd = random.Random(12)
+    part = lambda: "".join(rnd.choice("ab.") for _ in range(rnd.randrange(4)))
+    rules = {("/" + "/".join(part() for _ in range(rnd.randrange(5))) + rnd.choice(["", "", "*", "$", "*" + part() + "$", "$x"]), rnd.random() < 0.5) for _ in range(4000)}
+    rules |= {(f"/n/{i}", bool(i % 2)) for i in range(10_000)} | {("", False)}
+    paths = {"/" + "/".join(part() for _ in range(rnd.randrange(5))) for _ in range(300)} | {f"/n/{i}" for i in range(0, 99_999, 997)}
+
+    def fits(rule, path):
+        body = rule[:-1] if rule.endswith("$") else rule
+        return re.match(re.escape(body).replace(r"\*", ".*") + ("$" if rule.endswith("$") else ""), path) is not None
+
+    want = {p: max(((len(r), allow) for r, allow in rules if fits(r, p)), default=(0, True))[1] for p in paths}
+    df = spark.createDataFrame([(f"https://h.org{p}",) for p in paths] + [(f"https://h.org{p}",) for p in list(paths)[:50]], "url string")
+    got = contracts.robots_verdict(df, spark.createDataFrame([("H.org", r, a) for r, a in rules], "host string, prefix string, allow boolean"))
+    rows = got.collect()
+    assert len(rows) == len(paths) + 50 and all(want[r.url.removeprefix("https://h.org")] == r.allowed for r in rows)
+
+
 # --- enrichment ---
 
 
