@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arauto import dims, schemas
@@ -248,28 +248,30 @@ def extract_html_notice(raw: DataFrame) -> DataFrame:
 # --- documents --------------------------------------------------------------------------------------------
 
 
-def document_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "page_text") -> DataFrame:
-    """(doc, page, line_no, line): non-blank normalised lines."""
-    lines = pages.select(doc, page, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]")).withColumn("line", normalize_text("line"))
-
+def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "page_text") -> DataFrame:
+    """(doc, texto) of every document: its non-blank normalised lines in order, without headers and footers.
 
-def repeated_lines(lines: DataFrame, pages: DataFrame, doc: str = "doc_id", page: str = "page_no") -> DataFrame:
-    """(doc, line): lines shorter than 80 characters on at least max(2, pages // 2 + 1) pages of the document."""
-    counts = lines.where(F.length("line") < 80).select(doc, page, "line").distinct().groupBy(doc, "line").agg(F.count(page).alias("n"))
-    totals = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages"))
-    need = F.greatest(F.lit(2), F.floor(F.col("pages") / 2) + 1)
-    return counts.where("n >= 2").join(totals, doc).where(F.col("n") >= need).select(doc, "line")
+    Those are lines shorter than 80 characters on at least max(2, pages // 2 + 1) pages of the document. Pages are dealt by
+    document once; counting lines, dropping and assembling them all happen where they then are. A document's text is one
+    cell, whatever its size.
+    """
+    dealt = pages.select(doc, page, text).repartition(F.col(doc))
+    cut = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = dealt.select(doc, page, F.posexplode_outer(cut).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.when(F.col("line").rlike(r"(?U)[^\s\x1c-\x1f]"), normalize_text("line")))
+    on_pages = lambda *by: F.size(F.collect_set(page).over(Window.partitionBy(*by)))
+    lines = lines.withColumns({"n": on_pages(doc, "line"), "pages": on_pages(doc)})
+    repeated = (F.length("line") < 80) & (F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2) + 1))
+    kept = F.when(F.col("line").isNotNull() & ~repeated, F.struct(page, "line_no", "line"))
+    ordered = F.sort_array(F.collect_list(kept))
+    return lines.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("texto"))
 
 
-def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "page_text") -> DataFrame:
-    """(doc, texto) of every document, without headers and footers. A document's text is one cell, whatever its size."""
-    lines = document_lines(pages, doc, page, text)
-    kept = lines.join(repeated_lines(lines, pages, doc, page), [doc, "line"], "left_anti")
-    ordered = F.sort_array(F.collect_list(F.struct(page, "line_no", "line")))
-    joined = kept.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("texto"))
-    every = pages.select(doc).distinct()
-    return every.join(joined, doc, "left").select(doc, F.coalesce("texto", F.lit("")).alias("texto"))
+def assembled(raw: DataFrame) -> DataFrame:
+    """Document pages of an answer (its text, cut at form feeds) put together, with what ``extract_document`` needs beside."""
+    kept = F.struct(*[c for c in ("url", "final_url", "fetched_at", "source") if c in raw.columns])
+    pages = raw.select(kept.alias("doc"), F.posexplode(F.split(body_text(), "\f")).alias("page_no", "page_text"))
+    return document_text(pages, "doc").select("doc.*", "texto")
 
 
 def extract_document(documents: DataFrame, text: str = "texto") -> DataFrame:
@@ -352,15 +354,11 @@ def is_catalogue_row() -> Column:
     return F.coalesce(F.col("extras")["catalog_only"] == "true", F.lit(False))
 
 
-def needs_ocr() -> Column:
-    return F.coalesce(F.col("extras")["needs_ocr"] == "true", F.lit(False))
-
-
 def default_parsers() -> list[PageParser]:
     """Notice-page parsers in order: blog platform, document, any HTML. Document pages carry text as their body."""
     return [
         PageParser("wordpress", lambda: is_html("content_type") & is_blog_platform(), extract_blog_notice),
         PageParser("pdf", lambda: is_pdf("content_type"),
-                   lambda raw: extract_document(raw.withColumn("texto", normalize_text(body_text())))),
+                   lambda raw: extract_document(assembled(raw))),
         PageParser("html_generic", lambda: is_html("content_type"), extract_html_notice),
     ]

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arauto import schemas
@@ -148,6 +148,14 @@ def batch_clock(spark: SparkSession, path: str, batch: int, now: Column) -> Colu
     return F.timestamp_micros(F.lit(kept()[0]))
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a batch wrote to a store: the prefixes, and how many rows it inserted or updated."""
+
+    prefixes: list[str]
+    rows: int
+
+
 @dataclass(frozen=True)
 class Store:
     """A keyed table cut by a hash of ``prefix_by`` into 16 ** ``digits`` prefixes, each in versions: batch=<n>/prefix=<p>.
@@ -189,17 +197,19 @@ class Store:
         schema = f"{self.schema}, changed_in bigint"
         return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
-    def upsert(self, incoming: DataFrame, batch: int, order: list[str]) -> list[str]:
-        """Applies ``incoming`` in ``order`` as a batch; returns the prefixes it wrote. Gives one shuffle by key and one that
-        deals rows to prefixes by size."""
+    def upsert(self, incoming: DataFrame, batch: int, order: list[str]) -> Written:
+        """Applies ``incoming`` in ``order`` as a batch. Gives one shuffle by key and one that deals rows to prefixes by size;
+        changed rows are counted as they are written."""
         spark = incoming.sparkSession
         touched = self.prefixes(incoming)
         if not touched:
-            return []
+            return Written([], 0)
         stored = self.current(spark, batch, touched)
         merged = upsert(stored, incoming.withColumn("changed_in", F.lit(batch).cast("bigint")), list(self.keys), [*self.updates, "changed_in"], order)
+        passing = Observation()
+        merged = merged.observe(passing, F.count_if(F.col("changed_in") == batch).alias("rows"))
         write_batch(merged.withColumn("prefix", self._prefix()).hint("rebalance", F.col("prefix")), self.path, batch, by=("prefix",))
-        return touched
+        return Written(touched, passing.get["rows"])
 
     def superseded(self, spark: SparkSession, keep: int = 2) -> list[str]:
         """Folders of versions that have ``keep`` newer ones of their prefix."""

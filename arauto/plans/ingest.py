@@ -119,7 +119,8 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
         enriched=changes.where("enriched").select(F.col("fonte_codigo").alias("source")),
         persisted=changes.select(F.col("fonte_codigo").alias("source")),
         matched=found.join(source_of, "edital_id").select("source"),
-        failed=frontier.all_sources(*letters[:3]).select(F.get_json_object("payload", "$.spider").alias("source")))
+        failed=spark.read.schema(schemas.DEAD_LETTERS).parquet(f"{root}/dead_letters/batch={batch}").where("stage != 'enrich'").select(
+            F.get_json_object("payload", "$.spider").alias("source")))
     tables.write_batch(stats, at("stats"), batch)
 
 
@@ -135,6 +136,15 @@ def match_store(root: str) -> tables.Store:
     return tables.Store(f"{root}/matches", schemas.MATCHES, ("subscriber_id", "edital_id"), tables.MATCH_UPDATES, "edital_id")
 
 
+def institution_store(root: str) -> tables.Store:
+    return tables.Store(f"{root}/institutions", schemas.INSTITUTIONS, ("codigo_emec",), tables.INSTITUTION_UPDATES, "codigo_emec", digits=1)
+
+
+def refresh_registry(registry: DataFrame, root: str, batch: int) -> int:
+    """A registry file's institutions into the store; how many were upserted (A13), counted as they are written."""
+    return institution_store(root).upsert(registry.where("codigo_emec IS NOT NULL"), batch, ["id"]).rows
+
+
 def store_notices(prepared: DataFrame, root: str, batch: int, now: Column) -> DataFrame:
     """Prepared notices into the store; returns them with their change kind against what was stored before the batch.
 
@@ -161,7 +171,7 @@ def match_changes(changes: DataFrame, d: Dimensions, root: str, batch: int, now:
     candidates = store.current(spark, batch + 1, store.prefixes(changed)).join(changed, "canonical_hash")
     written = matches.upsert(match.match_records(match.match_notices(candidates, d.subscribers, d.institutions), now), batch, ["created_at"])
     matches.vacuum(spark)
-    return matches.current(spark, batch + 1, written).where(F.col("changed_in") == batch)
+    return matches.current(spark, batch + 1, written.prefixes).where(F.col("changed_in") == batch)
 
 
 def _notices(spark: SparkSession, root: str, expired_below: int | None = None) -> DataFrame:

@@ -158,6 +158,31 @@ def robots_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return contracts.robots_verdict(urls, rules)
 
 
+SQL_ORDER_PATH = "'/o/' || o_custkey || '/' || o_orderkey || '/' || l_linenumber"
+
+
+@query(f"""WITH u AS (SELECT l_orderkey, l_linenumber, o_custkey, {SQL_ORDER_PATH} AS path, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  closed AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'),
+  r AS (SELECT l_orderkey, l_linenumber, 3 AS size, true AS allow FROM u
+    UNION ALL SELECT l_orderkey, l_linenumber, length('/o/' || o_custkey || '/'), false FROM u JOIN closed USING (o_custkey)
+    UNION ALL SELECT l_orderkey, l_linenumber, length('/o/' || o_custkey || '/' || l_orderkey || '/'), true FROM u WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT l_orderkey, l_linenumber, length('/o/' || o_custkey || '/*/1$'), false FROM u JOIN closed USING (o_custkey) WHERE l_linenumber = 1),
+  v AS (SELECT l_orderkey, l_linenumber, arg_max(allow, (size, allow)) AS allowed FROM r GROUP BY ALL)
+  SELECT l_orderkey AS order_id, l_linenumber::int AS line, allowed FROM u JOIN v USING (l_orderkey, l_linenumber)""")
+def robots_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as paths of one host, under rules for every order and customer of it: beginnings, and patterns that end."""
+    o = table(spark, d, "orders")
+    customer = F.concat(F.lit("/o/"), F.col("o_custkey").cast("string"), F.lit("/"))
+    closed = o.where("o_orderstatus = 'F'").select("o_custkey").distinct()
+    rule = lambda rows, prefix, allow: rows.select(F.lit("O.org").alias("host"), prefix.alias("prefix"), F.lit(allow).alias("allow"))
+    rules = rule(closed, customer, False).unionByName(rule(closed, F.concat(customer, F.lit("*/1$")), False)).unionByName(
+        rule(o.where("o_orderpriority = '1-URGENT'"), F.concat(customer, F.col("o_orderkey").cast("string"), F.lit("/")), True)).unionByName(rule(spark.range(1), F.lit("/o/"), True))
+    lines = table(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    url = F.concat(F.lit("https://o.org"), customer, F.col("o_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    urls = lines.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("int").alias("line"), url.alias("url"))
+    return contracts.robots_verdict(urls, rules).select("order_id", "line", "allowed")
+
+
 @query("SELECT DISTINCT 's' AS source, url FROM pages WHERE contains(url, '?')")
 def sitemap_new_urls(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
@@ -195,7 +220,7 @@ def doc_id() -> Column:
     return F.regexp_extract("page_url", r"(\d+)$", 1).cast("long").alias("doc_id")
 
 
-SQL_TITLE = "trim(substr(line, 1, 60), ' ')"
+SQL_TITLE = "line"
 SQL_FIRST_20 = f"""WITH l AS ({SQL_LINES}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l
   WHERE regexp_matches({SQL_TITLE}, '(?i){COMMON}'))"""
 
@@ -204,7 +229,7 @@ SQL_FIRST_20 = f"""WITH l AS ({SQL_LINES}), f AS (SELECT *, row_number() OVER (P
   md5(substr(line, 1, 5000)) AS digest, 's+rss' AS parser_name, true AS is_gratuito FROM f WHERE pos <= 20""")
 def feed_notices(spark: SparkSession, d: str) -> DataFrame:
     item = lambda s, i: F.concat(
-        F.lit("<item><title>"), F.substring(s, 1, 60), F.lit("</title><link>https://e.org/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"),
+        F.lit("<item><title>"), s, F.lit("</title><link>https://e.org/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"),
         F.lit("</link><description>short</description><content:encoded><![CDATA[<p>"), s, F.lit("</p>]]></content:encoded></item>"))
     feeds = page_of(lines_of(spark, d), item, '<?xml version="1.0"?><rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>', "</channel></rss>", "application/xml")
     n = extract.extract_feed(feeds, COMMON)
@@ -214,31 +239,34 @@ def feed_notices(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{SQL_FIRST_20} SELECT doc_id, (pos - 1)::int AS position, {SQL_TITLE} AS titulo, '/n/' || i AS url_origem, md5(line) AS digest, 's+html-listing' AS parser_name FROM f WHERE pos <= 20""")
 def listing_articles(spark: SparkSession, d: str) -> DataFrame:
     item = lambda s, i: F.concat(
-        F.lit('<article><h2 class="x"><a href="/n/'), i.cast("string"), F.lit('">'), F.substring(s, 1, 60), F.lit("</a></h2><p>"), s, F.lit("<p>more</article>"))
+        F.lit('<article><h2 class="x"><a href="/n/'), i.cast("string"), F.lit('">'), s, F.lit("</a></h2><p>"), s, F.lit("<p>more</article>"))
     n = extract.extract_listing(page_of(lines_of(spark, d), item, "<html><body>", "</body></html>", "text/html"), COMMON)
     n = n.where(F.col("parser_name").endswith("listing"))
     return n.select(doc_id(), "position", "titulo", "url_origem", F.md5("texto_completo").alias("digest"), "parser_name")
 
 
-@query(f"""SELECT doc_id, i::int AS position, trim(substr(line, 1, 80), ' ') AS titulo, CASE WHEN lang = 'en' THEN 'https://www.in.gov.br/web/' || i ELSE 'http://x.org/' || i END AS url_origem,
-  source AS ies_nome, lang AS secao FROM ({SQL_LINES}) WHERE length(line) >= 40""")
+@query(f"""SELECT doc_id, i::int AS position, line AS titulo, CASE WHEN lang = 'en' THEN 'https://www.in.gov.br/web/' || i ELSE 'http://x.org/' || i END AS url_origem,
+  source AS ies_nome, lang AS secao, md5(substr(line, 1, 1000)) AS resumo, md5(line) AS digest FROM ({SQL_LINES})""")
 def search_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Short lines become hits without a title, which the extraction drops."""
+    """Every line is a hit; each answer ends with one that has no title and one that has no address, which the extraction drops."""
     hit = lambda s, i: F.struct(
-        F.when(F.length(s) >= 40, F.substring(s, 1, 80)).alias("titulo"),
-        F.when(F.col("lang") == "en", F.concat(F.lit("/web/"), i.cast("string"))).alias("urlTitulo"),
-        F.when(F.col("lang") != "en", F.concat(F.lit("http://x.org/"), i.cast("string"))).alias("url"), F.col("source").alias("orgao"), F.col("lang").alias("secao"))
+        s.alias("titulo"), F.when(F.col("lang") == "en", F.concat(F.lit("/web/"), i.cast("string"))).alias("urlTitulo"),
+        F.when(F.col("lang") != "en", F.concat(F.lit("http://x.org/"), i.cast("string"))).alias("url"), F.col("source").alias("orgao"), F.col("lang").alias("secao"),
+        s.alias("ementa"), s.alias("conteudo"))
     lines = lines_of(spark, d)
-    body = F.to_json(F.struct(F.transform("lines", hit).alias("hits")))
+    hits = F.transform("lines", hit)
+    bare = F.transform(F.array(F.lit(""), F.lit("x")), lambda t: F.struct(*[
+        (t if c == "titulo" else F.when(t == "", F.lit("/web/x")) if c == "urlTitulo" else F.lit(None).cast("string")).alias(c) for c in ("titulo", "urlTitulo", "url", "orgao", "secao", "ementa", "conteudo")]))
+    body = F.to_json(F.struct(F.concat(hits, bare).alias("hits")))
     raw = as_responses(lines, F.concat(F.lit("https://e.org/"), F.col("doc_id").cast("string")), body, F.lit("dou"), F.lit("application/json"))
     n = extract.extract_search(raw)
-    return n.select(doc_id(), "position", "titulo", "url_origem", "ies_nome", F.col("extras")["dou_secao"].alias("secao"))
+    return n.select(doc_id(), "position", "titulo", "url_origem", "ies_nome", F.col("extras")["dou_secao"].alias("secao"), F.md5("texto_resumo").alias("resumo"), F.md5("texto_completo").alias("digest"))
 
 
-@query(f"""SELECT doc_id, i::int AS position, trim(substr(line, 1, 40), ' ') || ' (' || i || ')' AS titulo, source AS ies_nome, lang AS area_concentracao, i::varchar AS codigo FROM ({SQL_LINES})""")
+@query(f"""SELECT doc_id, i::int AS position, line || ' (' || i || ')' AS titulo, source AS ies_nome, lang AS area_concentracao, i::varchar AS codigo FROM ({SQL_LINES})""")
 def programme_rows(spark: SparkSession, d: str) -> DataFrame:
     item = lambda s, i: F.concat(
-        F.lit("<tr><td>"), F.trim(F.substring(s, 1, 40)), F.lit(" ("), i.cast("string"), F.lit(")<td>"), "source", F.lit("</td><td>"), "lang", F.lit("</td><td>M</td></tr><tr><td>x"))
+        F.lit("<tr><td>"), s, F.lit(" ("), i.cast("string"), F.lit(")<td>"), "source", F.lit("</td><td>"), "lang", F.lit("</td><td>M</td></tr><tr><td>x"))
     n = extract.extract_table(page_of(lines_of(spark, d).where(F.size("lines") > 0), item, '<table id="listagem">', "</table>", "text/html"))
     by_line = F.col("extras")["codigo_programa_sucupira"]
     return n.select(doc_id(), by_line.cast("int").alias("position"), "titulo", "ies_nome", "area_concentracao", by_line.alias("codigo"))
@@ -280,12 +308,12 @@ def document_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, CASE WHEN length(t) < 100 THEN 'true' ELSE 'false' END AS needs_ocr,
   coalesce(substr(CASE WHEN t = '' THEN '(sem titulo)' ELSE coalesce(list_filter(string_split(t, '. '), lambda s: length(s) > 20)[1], '(sem titulo)') END, 1, 512), '(sem titulo)') AS titulo,
-  md5(substr(t, 1, 1000)) AS resumo FROM (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents)""")
+  md5(substr(t, 1, 1000)) AS resumo, md5(t) AS digest FROM (SELECT doc_id, {sql_squeeze('text')} AS t FROM documents)""")
 def document_notices(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("url"), F.lit(DAY).cast("timestamp").alias("fetched_at"), "source", F.col("text").alias("texto"))
     n = extract.extract_document(docs)
-    return n.select(F.col("page_url").cast("long").alias("doc_id"), F.col("extras")["needs_ocr"].alias("needs_ocr"), "titulo", F.md5("texto_resumo").alias("resumo"))
+    return n.select(F.col("page_url").cast("long").alias("doc_id"), F.col("extras")["needs_ocr"].alias("needs_ocr"), "titulo", F.md5("texto_resumo").alias("resumo"), F.md5("texto_completo").alias("digest"))
 
 
 @query(f"SELECT {SQL_LANG} AS source, count(*) AS pages, sum(strlen(html)) AS bytes FROM pages GROUP BY 1")

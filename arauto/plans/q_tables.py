@@ -491,3 +491,17 @@ def second_batch_changes(spark: SparkSession, d: str) -> DataFrame:
     matched = found.select(F.col("edital_id").alias("canonical_hash"), F.lit(True).alias("matched"))
     out = changes.select("canonical_hash", F.col("turn").cast("int").alias("turn"), "change").join(stored, "canonical_hash").join(matched, "canonical_hash", "left")
     return out.select(F.col("canonical_hash").alias("notice"), "turn", "change", F.coalesce("matched", F.lit(False)).alias("matched"), "resumo", "created_in")
+
+
+@query("""SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS first, count(*) AS second, count(*) FILTER (s_acctbal <= 0) AS added,
+  count(*) FILTER (NOT (s_nationkey <> 3)) AS closed FROM supplier""")
+def registry_refresh_count(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in credit as a registry, then all of them: rows upserted by either refresh, and what the second did."""
+    root = f"{checkpoint_dir(spark)}/registry-{uuid.uuid4().hex}"
+    s = table(spark, d, "supplier")
+    row = lambda open_, active: s.where("s_acctbal > 0" if open_ else "true").select(*schemas.fields(
+        schemas.INSTITUTIONS, id=F.col("s_suppkey"), codigo_emec=F.col("s_suppkey"), nome=F.lit("first" if open_ else "second"), ativa=active, gratuita=F.lit(True)))
+    first = ingest.refresh_registry(row(True, F.lit(True)), root, 0)
+    second = ingest.refresh_registry(row(False, F.col("s_nationkey") != 3), root, 1)
+    stored = ingest.institution_store(root).current(spark)
+    return stored.agg(F.lit(first).alias("first"), F.lit(second).alias("second"), F.count_if(F.col("nome") == "second").alias("added"), F.count_if(~F.col("ativa")).alias("closed"))

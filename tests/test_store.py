@@ -34,16 +34,16 @@ def test_batches_equal_sequential_application(spark, tmp_path):
 def test_untouched_prefixes_are_neither_read_nor_written(spark, tmp_path):
     s = store(tmp_path / "t")
     rows = spark.range(400).selectExpr("'k' || id AS k", "int(id) AS a", "'x' AS b", "'k' || id AS prefix_of")
-    assert len(s.upsert(rows, 0, ["a"])) == 16
+    assert len(s.upsert(rows, 0, ["a"]).prefixes) == 16
     one = rows.where("k = 'k7'")
     (prefix,) = s.prefixes(one)
     files = s.current(spark, 1, [prefix]).inputFiles()
     assert files and all(f"/prefix={prefix}/" in f for f in files)
-    assert s.upsert(one.withColumn("b", F.lit("y")), 1, ["a"]) == [prefix]
+    assert s.upsert(one.withColumn("b", F.lit("y")), 1, ["a"]) == tables.Written([prefix], 1)
     assert s.versions(spark) == {p: int(p == prefix) for p in s.versions(spark)} and len(s.versions(spark)) == 16
     files = s.current(spark).inputFiles()
     assert not any(f"/batch=0/prefix={prefix}/" in f for f in files) and s.current(spark).count() == 400
-    assert s.upsert(rows.where("false"), 2, ["a"]) == [] and s.current(spark).where("b = 'y'").count() == 1
+    assert s.upsert(rows.where("false"), 2, ["a"]) == tables.Written([], 0) and s.current(spark).where("b = 'y'").count() == 1
 
 
 def test_superseded_versions_go_and_readers_keep_two(spark, tmp_path):
