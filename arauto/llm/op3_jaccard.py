@@ -57,6 +57,12 @@ def shingle_sets(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(owner[new], np.arange(docs + 1))
 
 
+def digests(value: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """The identity of each set; an empty one has none."""
+    raw = value.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 _COUNTS = [f"c{i}" for i in range(ROW_CELLS)]
 
 
@@ -147,17 +153,15 @@ def _features(n: int, cells, num: int, den: int):
             length[size == 0] = 0
             keep = (np.arange(len(value)) - np.repeat(offsets[:-1], size)) < np.repeat(length, size)
             keys = value[order][keep]
-            raw = value.tobytes()
-            digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digest, pa.binary()), binaries(keys, np.append(0, np.cumsum(length))), pa.array(pack_points(value, offsets), pa.binary())],
+                [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(digests(value, offsets), pa.binary()), binaries(keys, np.append(0, np.cumsum(length))), pa.array(pack_points(value, offsets), pa.binary())],
                 names=[c.split()[0] for c in FEATURES.split(", ")],
             )
 
     return run
 
 
-BLOCKS = "bucket int, docs binary, owner binary, keys binary"
+BLOCKS = "bucket int, nodes binary, owner binary, keys binary"
 
 
 def _ship_keys(buckets: int):
@@ -168,7 +172,7 @@ def _ship_keys(buckets: int):
         for batch in batches:
             _, first = np.unique(np.array(batch.column("digest").to_pylist(), "S16"), return_index=True)
             batch = batch.take(pa.array(first))
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc = batch.column("node").to_numpy(zero_copy_only=False)
             cells = batch.column("keys").to_pylist()
             keys = np.frombuffer(b"".join(cells), np.uint64)
             owner = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])
@@ -193,9 +197,9 @@ def _key_row(bucket: int, docs: np.ndarray, owner: np.ndarray, keys: np.ndarray)
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """(key, doc_id) of the keys that several documents have."""
+    """(key, node) of the keys that several documents have."""
     docs, keys = [], []
-    for d, o, k in zip(*(table[c].to_pylist() for c in ("docs", "owner", "keys")), strict=True):
+    for d, o, k in zip(*(table[c].to_pylist() for c in ("nodes", "owner", "keys")), strict=True):
         docs.append(np.frombuffer(d, np.int64)[np.frombuffer(o, np.uint32)])
         keys.append(np.frombuffer(k, np.uint64))
     doc, key = np.concatenate(docs), np.concatenate(keys)
@@ -205,7 +209,7 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     doc, key = doc[new], key[new]
     head = np.append(True, key[1:] != key[:-1])
     many = (np.diff(np.append(np.flatnonzero(head), len(key))) > 1)[np.cumsum(head) - 1]
-    return pa.table([pa.array(key[many].view(np.int64)), pa.array(doc[many])], names=["key", "doc_id"])
+    return pa.table([pa.array(key[many].view(np.int64)), pa.array(doc[many])], names=["key", "node"])
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -257,7 +261,7 @@ def _leaf_pairs(num: int, den: int):
     """Pairs within blocks of at most LEAF documents, which are one leaf each: those of like size and different components."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, doc, comp, n = (table[c].to_numpy() for c in ("key", "doc_id", "component", "n_shingles"))
+        key, doc, comp, n = (table[c].to_numpy() for c in ("key", "node", "component", "n_shingles"))
         order = np.lexsort((doc, key))
         key, doc, comp, n = key[order], doc[order], comp[order], n[order]
         a, b = [], []
@@ -295,7 +299,7 @@ def _block_pairs(num: int, den: int):
     coarser one); what its bounds leave is held against the whole points."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, comp, n = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        doc, comp, n = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
         cells, key = table["point"].to_pylist(), table["key"][0].as_py()
         lists = table["keys"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -343,7 +347,7 @@ def _verify(num: int, den: int):
 
 
 def texts_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc_id, shingles): the sets of documents in ``ids`` (and of a few more), by a filter of BITS bits on the ids."""
+    """(doc_id, digest, shingles): the sets of documents in ``ids`` (and of a few more), by a filter of BITS bits on the ids."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
     bits = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s") % 32)).alias("bits")).toArrow()
     words = np.zeros(BITS // 32, np.uint32)
@@ -357,9 +361,9 @@ def texts_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             batch = batch.filter(pa.array((has[s // 32] >> (s % 32).astype(np.uint32)) & 1 == 1))
             if batch.num_rows:
                 value, offsets = shingle_sets(Texts(batch.column("text")), n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binaries(value, offsets)], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(value, offsets), pa.binary()), binaries(value, offsets)], names=["doc_id", "digest", "shingles"])
 
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, digest binary, shingles binary")
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -368,62 +372,72 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     A-Z are lower-cased; a set is the distinct shingles of the whole text. component_id is the smallest doc_id that
     links reach. All pairs that link are found, or their documents are already joined by other links:
 
-    1. Equal sets are one class (its smallest doc_id). Sets meet in blocks by the rare shingles of their prefixes.
-    2. In a block every set is tried against the block's smallest document: a near-copy group costs a star, not all pairs.
-    3. Blocks whose documents are still in different components are joined by an R-tree over count vectors (a small block is
+    1. Rows with equal sets are one class, named by one of its rows. Classes meet in blocks by the rare shingles of their prefixes.
+    2. In a block every class is tried against the block's first: a near-copy group costs a star, not all pairs.
+    3. Blocks whose classes are still in different components are joined by an R-tree over count vectors (a small block is
        one leaf); only pairs between components that the summed minima leave possible are verified on the full sets.
 
     Null and blank texts have no shingles and link with nothing, their own component. A row with a null doc_id links with
-    nothing and has a null component. Rows that repeat a doc_id are one document with several texts. Identical rows each
-    give a row. Other columns are ignored.
+    nothing and has a null component. Rows that repeat a doc_id are one document with several texts, all in one component;
+    each row has the size of its own set. Identical rows each give a row. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = spark.sparkContext.broadcast(rarity(docs, n))
-    features = staged(docs.mapInArrow(_features(n, cells, num, den), FEATURES), "features")
+    features = staged(docs.mapInArrow(_features(n, cells, num, den), FEATURES).withColumn("row", F.monotonically_increasing_id()), "features")
     known = features.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = staged(known.groupBy("digest").agg(F.min("row").alias("rep")), "classes")
+    of_rep = known.join(classes.select("digest", F.col("rep").alias("row")), ["digest", "row"])  # one row a class
+    named = staged(of_rep.select(F.col("row").alias("node"), "doc_id", "digest"), "representatives")
     buckets = max(64, width(spark))
-    shared = known.select("doc_id", "digest", "keys").mapInArrow(_ship_keys(buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, doc_id long")
+    shared = known.select(F.col("row").alias("node"), "digest", "keys").mapInArrow(_ship_keys(buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, node long")
     shared = staged(shared, "blocks")
-    rep_of = features.select("doc_id", "digest").join(classes, "digest")
-    member = staged(shared.select("doc_id").distinct().join(rep_of, "doc_id").select("doc_id", "rep").distinct(), "members")
-    points = staged(known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "n_shingles", "point").dropDuplicates(["doc_id"]), "points")
-    blocks = staged(shared.join(member, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct(), "blocks")
+    class_of = known.select(F.col("row").alias("node"), "digest").join(classes, "digest")
+    member = staged(shared.select("node").distinct().join(class_of, "node").select("node", "rep").distinct(), "members")
+    points = staged(of_rep.select(F.col("row").alias("node"), "n_shingles", "point").join(member.select(F.col("rep").alias("node")).distinct(), "node"), "points")
+    blocks = staged(shared.join(member, "node").select("key", F.col("rep").alias("node")).distinct(), "blocks")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link; only texts of documents in pairs are read into sets again."""
+        """The pairs that link; only texts of classes in pairs are read into sets again."""
         pairs = staged(pairs, "pairs")
-        sets = staged(texts_in(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), n), "sets")
-        x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy"))
-        return staged(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+        ends = named.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+        sets = staged(texts_in(docs, ends.select("doc_id").distinct(), n), "sets")
+        for end, column in (("a", "sx"), ("b", "sy")):  # a class's set is that of the text which its digest names
+            of = named.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_doc"), F.col("digest").alias(f"{end}_digest"))
+            pairs = pairs.join(of, end).join(sets.select(F.col("doc_id").alias(f"{end}_doc"), F.col("digest").alias(f"{end}_digest"), F.col("shingles").alias(column)), [f"{end}_doc", f"{end}_digest"])
+            pairs = pairs.drop(f"{end}_doc", f"{end}_digest")
+        return staged(pairs.select("a", "b", "sx", "sy").mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """The pairs that the summed minima of their points leave possible."""
-        x = points.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("nx"), F.col("point").alias("px"))
-        y = points.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py"))
+        x = points.select(F.col("node").alias("a"), F.col("n_shingles").alias("nx"), F.col("point").alias("px"))
+        y = points.select(F.col("node").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_filter(num, den), "a long, b long")
 
-    stars = blocks.join(blocks.groupBy("key").agg(F.min("doc_id").alias("a")), "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    stars = blocks.join(blocks.groupBy("key").agg(F.min("node").alias("a")), "key").filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = verified(bounded(stars))
     first = components(links)
 
-    labelled = points.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    in_block = blocks.join(labelled.select("doc_id", "component", "n_shingles"), "doc_id")
+    labelled = points.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    in_block = blocks.join(labelled.select("node", "component", "n_shingles"), "node")
     mixed = in_block.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).filter("x != y")
     mixed = staged(mixed.select("key", "n", "w"), "mixed")
-    small = in_block.join(mixed.filter(F.col("n") <= LEAF).select("key"), "key").select("key", "doc_id", "component", "n_shingles")
+    small = in_block.join(mixed.filter(F.col("n") <= LEAF).select("key"), "key").select("key", "node", "component", "n_shingles")
     small = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).cast("int"))
     near = small.groupBy("bucket").applyInArrow(_leaf_pairs(num, den), "a long, b long")
     pages = F.ceil(F.greatest(F.col("n") / PAGE, F.col("w") / PAGE_SHINGLES)).cast("int")
-    page = F.pmod(F.xxhash64("doc_id"), pages).cast("int")
-    spread = in_block.join(mixed.filter(F.col("n") > LEAF).select("key", "n", "w"), "key").select("key", "doc_id", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
-    spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "doc_id")
-    large = in_block.join(mixed.filter(F.col("n") > LEAF).select("key"), "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # of a prefix
-    again = spread.join(labelled, "doc_id").join(large, "doc_id").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
+    page = F.pmod(F.xxhash64("node"), pages).cast("int")
+    spread = in_block.join(mixed.filter(F.col("n") > LEAF).select("key", "n", "w"), "key").select("key", "node", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
+    spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "node")
+    large = in_block.join(mixed.filter(F.col("n") > LEAF).select("key"), "key").groupBy("node").agg(F.collect_list("key").alias("keys"))  # of a prefix
+    again = spread.join(labelled, "node").join(large, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
     more = verified(bounded(near.union(again).distinct()))
-    joined = components(links.union(more)).withColumnRenamed("node", "rep")
-    named = features.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(joined, "rep", "left")
-    per_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return named.select("doc_id", "n_shingles", per_id.alias("component_id"))
+
+    texts = known.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep")
+    several = texts.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a != z")
+    same = texts.join(several, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b"))
+    joined = components(links.union(more).union(same)).withColumnRenamed("node", "rep")
+    texts = texts.join(joined, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    names = texts.groupBy("component").agg(F.min("doc_id").alias("name"))
+    of_doc = texts.join(names, "component").groupBy("doc_id").agg(F.min("name").alias("name"))
+    return features.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))

@@ -169,6 +169,16 @@ def test_jaccard_groups_of_odd_rows(spark):
     assert got == [(0, 2, 0), (4, 2, 4), (9, 2, 4), (9, 2, 4)]
 
 
+def test_rows_that_repeat_an_id_keep_all_their_links(spark):
+    """In any order of rows: document 1 has two texts, which link with documents 2 and 3."""
+    words = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
+    near = lambda w: " ".join([*w[:-2], "x", "y"])
+    rows = [(1, " ".join(words[0])), (1, " ".join(words[1])), (2, near(words[1])), (3, near(words[0])), (4, " ".join(words[2])), (5, near(words[2])), (5, None), (6, ""), (6, " ".join(words[3]))]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = sorted((r.doc_id, r.component_id) for r in jaccard_groups(spark.createDataFrame(order, TEXTS)).collect())
+        assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (6, 6)])
+
+
 def test_r_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(1)
     points = rng.poisson(1.5, (400, 8))
