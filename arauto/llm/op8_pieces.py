@@ -23,7 +23,7 @@ MEMO = 300_000
 #: Characters times piece lengths that one batch of words holds.
 CELLS = 2_000_000
 #: Texts are encoded in slices of about so many bytes.
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 
 @dataclass
@@ -319,6 +319,7 @@ def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = (),
             sizes = pa.array(np.diff(offsets), mask=null.to_numpy(zero_copy_only=False))
             back = [pa.array([x.decode("utf-8", "replace") if t is not None else None for t, x in zip(texts, raw, strict=True)], pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, sizes, *back, same, *[batch.column(f"kept_{c}") for c in keep]], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on beside those of later stages
 
     names = ["doc_id", "ids", "n_ids", *["decoded"] * with_text, "round_trip", *[f"kept_{c}" for c in keep]]
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, " + "decoded string, " * with_text + "round_trip boolean" + kept_schema(docs, keep))
