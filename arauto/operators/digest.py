@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arauto.functions.fields import level_label, mode_label, two_decimals
+from arauto.operators.lookup import lookup
 from arauto.session import cut_lineage
 
 PART_SIZE = 500
@@ -35,7 +36,7 @@ def display_rows(joined: DataFrame, institutions: DataFrame, areas: DataFrame, *
     """One display row per match that has met its notice, with optional institution and area names."""
     i = institutions.select(F.col("id").alias("ies_id"), F.col("nome").alias("ies_nome"))
     a = areas.select("codigo", F.col("nome").alias("area_label"))
-    joined = joined.join(i, "ies_id", "left").join(a, "codigo", "left")
+    joined = lookup(lookup(joined, i, "ies_id"), a, "codigo")
     return joined.select(
         F.col("id").alias("match_id"), "subscriber_id", "titulo", F.coalesce("ies_nome", F.lit("")).alias("ies_nome"),
         level_label("nivel").alias("nivel_label"), mode_label("modalidade").alias("modalidade_label"),

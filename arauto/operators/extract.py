@@ -117,16 +117,21 @@ def feed_items() -> Column:
     return F.concat(F.coalesce(F.col("feed")["channel"]["item"], empty), F.coalesce(F.col("feed")["item"], empty))
 
 
-def extract_feed(raw: DataFrame, relevant: str = dims.RE_RELEVANT) -> DataFrame:
-    """RSS items with a relevant title, the first 20 of a feed. A feed that cannot be read gives nothing; the ingest
-    plan sends it to the dead letters (``broken_feeds``)."""
+#: ``parser_name`` of the row that stands for a feed which cannot be read.
+BROKEN_FEED = "feed is not XML"
+
+
+def extract_feed(raw: DataFrame, relevant: str = dims.RE_RELEVANT, broken: bool = False) -> DataFrame:
+    """RSS items with a relevant title, the first 20 of a feed. A feed that cannot be read gives nothing, or with ``broken`` a row
+    named BROKEN_FEED, so that finding it takes no second reading."""
     raw = with_feed(raw)
     titled = F.transform(feed_items(), lambda i: F.struct(
         normalize_text(i["title"], compose=False).alias("title"), F.coalesce(i["link"], F.lit("")).alias("link"),
         f.truthy_or(i["content:encoded"], i["description"]).alias("html"),
     ))
     hits = F.slice(F.filter(titled, lambda i: f.is_relevant(i["title"], relevant)), 1, dims.MAX_ROWS_PER_PAGE)
-    rows = raw.select("url", "fetched_at", "source", _publisher(raw).alias("ies_nome"), _numbered(hits))
+    rows = raw.select("url", "fetched_at", "source", _publisher(raw).alias("ies_nome"), F.col("feed").isNull().alias("broken"), F.posexplode_outer(hits).alias("position", "hit"))
+    rows = rows.where(F.col("position").isNotNull() | F.col("broken") if broken else F.col("position").isNotNull())
     rows = rows.withColumns({
         "titulo": normalize_text("hit.title"),
         "texto": clip(normalize_text(strip_tags(F.coalesce("hit.html", F.lit("")))), dims.MAX_FEED_TEXT),
@@ -140,7 +145,7 @@ def extract_feed(raw: DataFrame, relevant: str = dims.RE_RELEVANT) -> DataFrame:
         is_gratuito=F.lit(True), periodo_inscricao=F.col("periodo"), url_origem=F.trim("hit.link"),
         texto_resumo=clip("texto", dims.MAX_SUMMARY), texto_completo=F.col("texto"),
         confidence=F.when(F.col("periodo").isNotNull(), 0.55).otherwise(0.40),
-        parser_name=F.concat("source", F.lit("+rss")),
+        parser_name=F.when(F.col("broken"), BROKEN_FEED).otherwise(F.concat("source", F.lit("+rss"))),
     ))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arauto.functions.text import registry_form
+from arauto.operators.lookup import lookup
 
 
 def eligible(institutions: DataFrame) -> DataFrame:
@@ -28,15 +29,19 @@ def registry_size(institutions: DataFrame) -> DataFrame:
     return institutions.agg(F.count_distinct("codigo_emec").alias("size"))
 
 
+def _pieces(texts: DataFrame, text: str, terms: DataFrame, term: str, *keep: str) -> DataFrame:
+    """(keep, text, __term): what of each text has the length of some term."""
+    lengths = terms.agg(F.collect_set(F.length(term)).alias("l")).scalar()
+    cut = texts.select(text, *keep).distinct().withColumn("__len", F.explode(lengths)).where(F.length(text) >= F.col("__len"))
+    starts = F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)
+    at_each = F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("__len")))
+    return cut.select(text, *keep, F.explode(F.array_distinct(at_each)).alias("__term"))
+
+
 def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Pairs (text, term) of distinct values where the text contains the term."""
     terms = terms.select(F.col(term).alias("__term")).distinct()
-    lengths = terms.agg(F.collect_set(F.length("__term")).alias("l")).scalar()
-    cut = texts.select(text).distinct().withColumn("__len", F.explode(lengths)).where(F.length(text) >= F.col("__len"))
-    starts = F.sequence(F.lit(1), F.length(text) - F.col("__len") + 1)
-    at_each = F.transform(starts, lambda i: F.substring(F.col(text), i, F.col("__len")))
-    pieces = cut.select(text, F.explode(F.array_distinct(at_each)).alias("__term"))
-    return pieces.join(terms, "__term").select(text, F.col("__term").alias(term))
+    return _pieces(texts, text, terms, "__term").join(terms, "__term").select(text, F.col("__term").alias(term))
 
 
 def registry_gate(notices: DataFrame, institutions: DataFrame, name: str = "ies_nome", out: str = "in_registry",
@@ -54,7 +59,8 @@ def registry_gate(notices: DataFrame, institutions: DataFrame, name: str = "ies_
     hit = containing(searched, "__n", wanted, "term").select("__n").distinct()
     loose = searched.join(hit, "__n", "left_semi")
     passed = exact.select("__name").union(loose.select("__name")).withColumn(out, F.lit(True))
-    return notices.join(passed, notices[name] == passed["__name"], "left").drop("__name").withColumn(out, F.coalesce(out, F.lit(False)))
+    keyed = notices.withColumn("__name", F.nullif(name, F.lit("")))  # blank names are in no registry
+    return lookup(keyed, passed.where("__name <> ''").distinct(), "__name").drop("__name").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def resolve_institution(notices: DataFrame, institutions: DataFrame, name: str = "ies_nome", out: str = "ies_id") -> DataFrame:
@@ -67,8 +73,9 @@ def resolve_institution(notices: DataFrame, institutions: DataFrame, name: str =
         institutions.select(F.col("sigla").alias("__k"), F.col("id").alias("__id")), "__k"
     ).select("__q", F.lit(0).alias("__rank"), "__id")
     named = institutions.select(F.lower("nome").alias("__nome"), F.col("id").alias("__id"))
-    lowered = queries.withColumn("__l", F.lower("__q"))
-    inside = containing(named, "__nome", lowered, "__l")
-    long = lowered.join(inside, "__l").join(named, "__nome").select("__q", F.lit(1).alias("__rank"), "__id")
+    lowered = queries.withColumn("__term", F.lower("__q"))
+    # the smallest id of each piece first: a short query would else meet nearly every name
+    least = _pieces(named, "__nome", lowered, "__term", "__id").groupBy("__term").agg(F.min("__id").alias("__id"))
+    long = lowered.join(least, "__term").select("__q", F.lit(1).alias("__rank"), "__id")
     best = short.union(long).groupBy("__q").agg(F.min(F.struct("__rank", "__id"))["__id"].alias(out))
-    return notices.drop(out).join(best, notices[name] == best["__q"], "left").drop("__q")
+    return lookup(notices.drop(out).withColumn("__q", F.nullif(name, F.lit(""))), best, "__q").drop("__q")

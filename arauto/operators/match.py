@@ -1,12 +1,15 @@
 """Notices against subscriber profiles: hard filters, weighted areas, explanations.
 
 A match needs a target area equal to the notice's area (unless the profile's minimum is 0 or less), so matching is
-an equi-join on (area, level, mode), salted because those keys are few. Rejected pairs are never enumerated;
+an equi-join on (area, level, mode). Those keys are few; the ones that hold much of the notices are split by their measured
+share, and only their offers are copied. Rejected pairs are never enumerated;
 ``explain_pairs`` evaluates the pairs it is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +17,7 @@ from arauto import dims, schemas
 from arauto.functions.fields import two_decimals
 from arauto.functions.text import ColumnLike, _col
 from arauto.operators.gate import registry_gate
-
-#: Ways each (area, level, mode) is split, so that a third of all notices under one key still spreads.
-SALTS = 8
+from arauto.operators.lookup import heavy_keys
 
 
 def contribution(area: Column, alvo: Column, admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> Column:
@@ -64,14 +65,29 @@ def _notice_side(notices: DataFrame, institutions: DataFrame) -> DataFrame:
         "is_gratuito", "in_registry", "ies_nome")
 
 
-def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: DataFrame, salts: int = SALTS,
+def _parts(notices: DataFrame, salts: int | None, *key: str) -> Callable[..., Column]:
+    """In how many parts a key is split: ``salts``, or what its measured share of the notices asks."""
+    if salts is not None:
+        return lambda *of: F.lit(salts)
+    name = lambda *of: F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in of])
+    heavy = heavy_keys(notices.select(name(*key).alias("k")), "k")
+    if not heavy:
+        return lambda *of: F.lit(1)
+    sizes = F.create_map(*[F.lit(x) for k, n in heavy.items() for x in (k, n)])
+    return lambda *of: F.coalesce(F.try_element_at(sizes, name(*of)), F.lit(1))
+
+
+def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: DataFrame, salts: int | None = None,
                   admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> DataFrame:
     """All matching (subscriber, notice) pairs of active subscribers with score and explanation.
 
     ``notices`` needs id, ies_nome, nivel, modalidade, area_cnpq_codigo and is_gratuito.
     """
     n = _notice_side(notices, institutions)
-    n = n.withColumn("salt", F.pmod(F.xxhash64("edital_id"), F.lit(salts)).cast("int"))
+    by_area, by_level = ["area", "nivel", "modalidade"], ["nivel", "modalidade"]
+    parts, wide = _parts(notices, salts, "area_cnpq_codigo", *by_level), _parts(notices, salts, *by_level)
+    slot = lambda of: F.pmod(F.xxhash64("edital_id"), of).cast("int")
+    copies = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
     active = subscribers.where("ativo").select(
         F.col("id").alias("subscriber_id"), F.col("nome").alias("subscriber"), "areas_alvo", "apenas_gratuitos",
         "apenas_ies_emec_publicas", "score_minimo",
@@ -79,17 +95,16 @@ def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: Data
     )
     # one row per level, mode and salt; each target area's score is settled before the join
     offers = active.withColumn("nivel", F.explode("niveis")).withColumn("modalidade", F.explode("modos")).drop("niveis", "modos")
-    offers = offers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     codes = F.array_distinct(F.transform("areas_alvo", lambda a: a["codigo_cnpq"]))
-    by_area = offers.withColumn("area", F.explode(codes)).withColumn("soft", soft_score(F.col("area"), F.col("areas_alvo"), admitting))
-    by_area = by_area.where(F.col("soft.score") >= F.col("score_minimo")).drop("areas_alvo")
+    wanted = offers.withColumn("area", F.explode(codes)).withColumn("soft", soft_score(F.col("area"), F.col("areas_alvo"), admitting))
+    wanted = wanted.where(F.col("soft.score") >= F.col("score_minimo")).drop("areas_alvo").withColumn("salt", copies(parts(*by_area)))
     open_to = (F.col("is_gratuito") | ~F.col("apenas_gratuitos")) & (F.col("in_registry") | ~F.col("apenas_ies_emec_publicas"))
-    hits = n.join(by_area, ["area", "nivel", "modalidade", "salt"]).where(open_to)
+    hits = n.withColumn("salt", slot(parts(*by_area))).join(wanted, [*by_area, "salt"]).where(open_to)
     # profiles with a minimum of 0 or less also match notices outside their areas
-    any_area = offers.where("score_minimo <= 0").withColumn("codes", codes).drop("areas_alvo")
+    any_area = offers.where("score_minimo <= 0").withColumn("codes", codes).drop("areas_alvo").withColumn("salt", copies(wide(*by_level)))
     outside = F.col("area").isNull() | ~F.array_contains("codes", F.col("area"))
     nothing = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("contributing"))
-    rest = n.join(any_area, ["nivel", "modalidade", "salt"]).where(open_to & outside).withColumn("soft", nothing)
+    rest = n.withColumn("salt", slot(wide(*by_level))).join(any_area, [*by_level, "salt"]).where(open_to & outside).withColumn("soft", nothing)
     found = hits.unionByName(rest, allowMissingColumns=True)
     return _result(found, None).select(
         "subscriber_id", "subscriber", "edital_id", "score", score_bucket("score").alias("bucket"), "reasons",

@@ -83,9 +83,9 @@ def circuit_open(log: DataFrame, window_seconds: int = 60, threshold: int = 3, h
                  id: str = "id", failed: str = "failed") -> DataFrame:
     """Failures that open a host's circuit: the ``threshold``-th within the window with no success in between.
 
-    The answer depends on the window only, so hours are independent once each holds a halo of that length.
+    The answer depends on the window only, so buckets of some minutes are independent once each holds a halo of that length.
     """
-    df = with_halo(log, ts, max(3600, window_seconds), window_seconds)
+    df = with_halo(log, ts, max(300, window_seconds), window_seconds)
     within = Window.partitionBy(host, BUCKET).orderBy(ts, id).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__epoch", F.count_if(~F.col(failed)).over(within)).where(failed)
     run = Window.partitionBy(host, BUCKET, "__epoch").orderBy(ts, id)

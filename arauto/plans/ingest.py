@@ -29,12 +29,20 @@ def default_dimensions(spark: SparkSession, institutions: DataFrame, subscribers
     return Dimensions(sources, dims.contracts(spark), institutions, subscribers)
 
 
-def of_kind(raw: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
-    """Pages of one kind of source, with the institution behind it; pages of unknown sources are of kind 'page'.
+def tagged(raw: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
+    """Fetched pages with all that decides where they go: ``violation`` of their contract, ``kind`` and institution of their source
+    ('page' for unknown sources), and ``route``: rejected, the kind, or of listings feed, listing or null."""
+    known = sources.where("kind is not null").select(F.col("codigo").alias("source"), "kind", F.coalesce("ies_nome", F.lit("")).alias("ies_nome"))
+    rows = contracts.check_contracts(pages.with_content_type(raw), rules).join(known, "source", "left")
+    rows = rows.withColumn("kind", F.coalesce("kind", F.lit("page")))
+    listing = extract.listing_route(F.col("content_type"), F.col("body"))
+    return rows.withColumn("route", F.when(F.col("violation").isNotNull(), "rejected").when(F.col("kind") == "listing", listing).otherwise(F.col("kind")))
 
-    A join on ``source`` rather than a derived column: with the archive partitioned by source, each extraction job
-    scans only the partitions its kind names (dynamic partition pruning).
-    """
+
+def of_kind(raw: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
+    """Pages of one kind of source, with the institution behind it; pages of unknown sources are of kind 'page'."""
+    if "kind" in raw.columns:
+        return raw.where(F.col("kind") == kind)
     known = sources.where("kind is not null")
     if kind == "page":
         return raw.join(known.select(F.col("codigo").alias("source")), "source", "left_anti")
@@ -43,8 +51,8 @@ def of_kind(raw: DataFrame, sources: DataFrame, kind: str) -> DataFrame:
 
 
 def extract_listings(raw: DataFrame) -> DataFrame:
-    routed = raw.withColumn("route", extract.listing_route(F.col("content_type"), F.col("body")))
-    return extract.extract_feed(routed.where("route = 'feed'")).unionByName(extract.extract_listing(routed.where("route = 'listing'")))
+    routed = raw if "route" in raw.columns else raw.withColumn("route", extract.listing_route(F.col("content_type"), F.col("body")))
+    return extract.extract_feed(routed.where("route = 'feed'"), broken=True).unionByName(extract.extract_listing(routed.where("route = 'listing'")))
 
 
 #: What turns the pages of each kind of source into parsed notices; a new kind is another entry.
@@ -74,19 +82,27 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
     """Process one batch of fetched pages into the tables under ``root``.
 
     Each table's share is written as ``batch=<n>`` and replaced when the batch runs again. Parsed notices are
-    written once and read back, so pages are parsed once for all that follows. Of the stored notices and matches only
+    written once and read back, so pages are parsed once for all that follows; the pages of the batch are kept by route until
+    the next batch replaces them. Of the stored notices and matches only
     the prefixes that the batch's keys fall in are read and written.
     """
     spark = raw.sparkSession
     at = lambda name: f"{root}/{name}"
-    good, rejected = contracts.apply_contracts(pages.with_content_type(raw), d.contracts)
+    # one pass over the bodies tells where each page goes; it is written by route, so each reader below reads its own part
+    routed = tagged(raw, d.sources, d.contracts)
+    routed.write.mode("overwrite").partitionBy("kind", "route").parquet(at("routed"))
+    routed = spark.read.schema(routed.schema).parquet(at("routed"))
+    good = routed.where("route IS NULL OR route != 'rejected'")
+    rejected = contracts.violation_letters(routed.where("route = 'rejected'"))
 
     stored_pages = tables.read_batches(spark, at("snapshots"), schemas.SNAPSHOTS, below=batch)
     tables.write_batch(pages.new_snapshots(good, stored_pages, F.to_date("fetched_at")), at("snapshots"), batch, by=("source", "date"))
 
     parsed_schema = f"page_url string, fetched_at timestamp, position int, {schemas.PARSED_NOTICES}, notice_key string"
     tables.write_batch(extract_all(good, d.sources, extractors), at("parsed"), batch)
-    parsed = tables.read_batches(spark, at("parsed"), parsed_schema).where(F.col("batch") == batch).drop("batch")
+    every = spark.read.schema(parsed_schema).parquet(f"{root}/parsed/batch={batch}")
+    unreadable = F.col("parser_name").eqNullSafe(F.lit(extract.BROKEN_FEED))
+    parsed = every.where(~unreadable)
 
     catalogue = parsed.where(extract.is_catalogue_row())
     tables.write_batch(catalogue, at("catalogue"), batch)
@@ -98,10 +114,7 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
         rejected,
         contracts.dead_letters(reversed_window, "parse", F.lit("reversed window"), F.col("fetched_at"),
                                url=F.col("page_url"), spider=F.col("fonte_codigo")),
-        contracts.dead_letters(
-            extract.broken_feeds(of_kind(good, d.sources, "listing").where(
-                extract.listing_route(F.col("content_type"), F.col("body")) == "feed")),
-            "parse", F.lit("feed is not XML"), F.col("fetched_at"), url=F.col("url"), spider=F.col("source")),
+        contracts.dead_letters(every.where(unreadable), "parse", F.lit(extract.BROKEN_FEED), F.col("fetched_at"), url=F.col("page_url"), spider=F.col("fonte_codigo")),
     ]
     if enrichment is not None:
         letters.append(contracts.enrichment_conflicts(enrich.low_confidence(notices), enrichment))
@@ -115,7 +128,7 @@ def run_batch(raw: DataFrame, d: Dimensions, root: str, batch: int, now: Column,
 
     source_of = changes.select(F.col("canonical_hash").alias("edital_id"), F.col("fonte_codigo").alias("source")).distinct()
     stats = ops.run_stats(
-        discovered=raw.select("source"), parsed=parsed.select(F.col("fonte_codigo").alias("source")),
+        discovered=routed.select("source"), parsed=parsed.select(F.col("fonte_codigo").alias("source")),
         enriched=changes.where("enriched").select(F.col("fonte_codigo").alias("source")),
         persisted=changes.select(F.col("fonte_codigo").alias("source")),
         matched=found.join(source_of, "edital_id").select("source"),
@@ -197,6 +210,14 @@ def current_matches(spark: SparkSession, root: str) -> DataFrame:
     return _matches(spark, root).select(*[f.name for f in schemas.struct(schemas.MATCHES)])
 
 
+def register_views(spark: SparkSession, root: str, subscribers: DataFrame) -> None:
+    """The stored tables as temporary views: notices, matches, institutions, subscribers."""
+    stored = {"notices": current_notices(spark, root), "matches": current_matches(spark, root), "subscribers": subscribers,
+              "institutions": institution_store(root).current(spark).drop("changed_in")}
+    for name, rows in stored.items():
+        rows.createOrReplaceTempView(name)
+
+
 def run_expiry(spark: SparkSession, root: str, run: int, today: Column, now: Column) -> None:
     """Marks stored notices past their deadline as expired. ``run`` counts the expiry's own runs.
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arauto import schemas
 from arauto.functions.fields import host
-from arauto.operators import contracts, extract, ops
+from arauto.operators import contracts, extract, ops, tables
+from arauto.plans import ingest
 from arauto.plans.catalog import SQL_DECODE, query, sql_squeeze, table
 from arauto.plans.q_text import SQL_LEVEL, SQL_MODE, part_notices
+from arauto.session import checkpoint_dir
 from arauto.sources import pages
+from arauto.sources.plugins import register_source
 
 DAY = "2024-01-01 00:00:00"
 LANG = r"^[a-z]+://[^/]+/([a-z]{2})/"
@@ -131,6 +137,27 @@ def listing_links(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("page_url").alias("url"), "position", "titulo", "url_origem", "confidence")
 
 
+LINK = re.compile(rb'<a href="([^"]*)"[^>]*>([^<]*)</a>')
+
+
+def page_links(url: str, body: bytes, content_type: str):
+    """A source of its own: every link of a page is a notice."""
+    for href, text in LINK.findall(body):
+        yield {"titulo": text.decode(), "url_origem": href.decode()}
+
+
+@query("""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS url_origem, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS titulo,
+    generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>'), 1) - 1 AS i FROM pages)
+  SELECT url, i::int AS position, titulo, url_origem, 'link_source' AS parser_name FROM l""")
+def plugged_source(spark: SparkSession, d: str) -> DataFrame:
+    """A kind of source that is added by registering a table function, through the ingest's extraction."""
+    raw = html_responses(spark, d)
+    links = register_source(spark, "link_source", page_links)
+    sources = raw.select(F.col("source").alias("codigo"), F.lit("links").alias("kind"), F.lit("").alias("ies_nome")).distinct()
+    n = ingest.extract_all(raw, sources, {"links": links.extract})
+    return n.select(F.col("page_url").alias("url"), "position", "titulo", "url_origem", "parser_name")
+
+
 @query(f"""SELECT url, CASE {SQL_LANG} WHEN 'en' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/feed/' WHEN 'fr' THEN 'https://feeds.example.org/' || page_id END AS feed_url FROM pages""")
 def page_feeds(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").withColumn("lang", F.regexp_extract("url", LANG, 1))
@@ -272,6 +299,14 @@ def programme_rows(spark: SparkSession, d: str) -> DataFrame:
     return n.select(doc_id(), by_line.cast("int").alias("position"), "titulo", "ies_nome", "area_concentracao", by_line.alias("codigo"))
 
 
+@query(f"""SELECT doc_id, i::int AS position, trim(substr(line, 1, 512), ' ') AS titulo, 'https://www.in.gov.br/r/' || i AS url_origem, 'Diario Oficial da Uniao' AS ies_nome FROM ({SQL_LINES}) WHERE i % 2 = 0""")
+def search_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Search answers as HTML: every other link is a result by its class."""
+    item = lambda s, i: F.concat(F.lit('<p><a href="/r/'), i.cast("string"), F.when(i % 2 == 0, '" class="grande resultado">').otherwise('" class="resultados">'), s, F.lit("</a>"))
+    n = extract.extract_search(page_of(lines_of(spark, d), item, "<html><body>", "</body></html>", "text/html", "dou"))
+    return n.select(doc_id(), F.regexp_extract("url_origem", r"(\d+)$", 1).cast("int").alias("position"), "titulo", "url_origem", "ies_nome")
+
+
 # --- notice pages and documents ---------------------------------------------------------------------------
 
 
@@ -321,3 +356,20 @@ def replayed_pages(spark: SparkSession, d: str) -> DataFrame:
     """Archived pages read back as fetched pages."""
     again = pages.replay(pages.snapshot_rows(html_responses(spark, d), F.to_date("fetched_at")))
     return again.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length(pages.body_text())).alias("bytes"))
+
+
+@query(f"""WITH s AS (SELECT sha256(html) AS sha256, {SQL_LANG} AS source, strlen(html) AS bytes FROM pages QUALIFY row_number() OVER (PARTITION BY sha256(html) ORDER BY url) = 1)
+  SELECT source, '2024-01-01' AS date, count(*) AS n, sum(bytes)::bigint AS bytes, max(sha256) FILTER (sha256 = (SELECT min(sha256(html)) FROM pages)) AS found FROM s GROUP BY source""")
+def archived_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages archived in two batches, the second of which brings everything again, by source and date; one looked up by its hash."""
+    path = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    raw, date = html_responses(spark, d), F.to_date("fetched_at")
+    half = table(spark, d, "pages").where("url < 'https'").select("url")
+    for batch, captures in enumerate((raw.join(half, "url", "left_semi"), raw)):
+        stored = tables.read_batches(spark, path, schemas.SNAPSHOTS, below=batch)
+        tables.write_batch(pages.new_snapshots(captures, stored, date), path, batch, by=("source", "date"))
+    stored = tables.read_batches(spark, path, schemas.SNAPSHOTS)
+    least = raw.agg(F.min(F.sha2("body", 256)).alias("s")).first()["s"]
+    found = pages.find_snapshot(stored, least).select("source", F.col("sha256").alias("found"))
+    counts = stored.groupBy("source", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes_size").alias("bytes"))
+    return counts.join(found, "source", "left").select("source", "date", "n", "bytes", "found")

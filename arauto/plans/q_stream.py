@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arauto import dims, schemas
-from arauto.operators import dedup
+from arauto.operators import dedup, tables
 from arauto.plans import ingest
 from arauto.plans.catalog import query, table
 from arauto.plans.q_ops import CIRCUIT, SQL_LOG, SQL_REPLAY
-from arauto.plans.q_pages import SQL_H1, SQL_LANG, html_responses
+from arauto.plans.q_pages import SQL_H1, SQL_LANG, SQL_VIOLATION, contract_rows, html_responses
 from arauto.plans.q_tables import SQL_BODY, nation_institutions, nation_subscribers, notice_of_match, order_matches, order_notices, sql_items
 from arauto.plans.q_text import CAPTURES, SQL_CANONICAL, document_canonical, sql_simhash
 from arauto.session import ROCKSDB, checkpoint_dir
@@ -172,3 +172,16 @@ def ingested_notices(spark: SparkSession, d: str) -> DataFrame:
     dimensions = lambda: ingest.default_dimensions(spark, nation_institutions(spark, d), dims.seed_profile(spark))
     jobs.start_ingest(spark, f"{folder}/in", f"{folder}/root", f"{folder}/checkpoint", dimensions, lambda: now).awaitTermination()
     return ingest.current_notices(spark, f"{folder}/root").groupBy("titulo", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT 'fetch' AS stage, {SQL_VIOLATION} AS reason, {SQL_LANG} AS spider, count(*) AS n FROM pages WHERE {SQL_VIOLATION} IS NOT NULL GROUP BY ALL""")
+def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that break their source's contract, as the ingest stream sets them aside."""
+    folder = work_folder(spark)
+    raw = html_responses(spark, d).select("url", "final_url", "status", "headers", "body", "fetched_at", "via", "source")
+    raw.write.parquet(f"{folder}/in")
+    sources = dims.active_sources(spark).unionByName(dims.seed_sources(spark))
+    dimensions = lambda: ingest.Dimensions(sources, contract_rows(spark), nation_institutions(spark, d), dims.seed_profile(spark))
+    jobs.start_ingest(spark, f"{folder}/in", f"{folder}/root", f"{folder}/checkpoint", dimensions, lambda: F.lit(datetime(2024, 1, 2))).awaitTermination()
+    letters = tables.read_batches(spark, f"{folder}/root/dead_letters", schemas.DEAD_LETTERS)
+    return letters.groupBy("stage", "reason", F.get_json_object("payload", "$.spider").alias("spider")).agg(F.count(F.lit(1)).alias("n"))

@@ -224,6 +224,13 @@ def match_notices(spark: SparkSession, d: str) -> DataFrame:
     return m.select("subscriber_id", "edital_id", "score", "bucket", F.col("reasons")[0].alias("reason"), F.array_join("contributing_areas", ",").alias("contributing"))
 
 
+@query(f"""{SQL_PAIRS} SELECT s_suppkey::varchar AS subscriber_id, p_partkey::varchar AS edital_id, '{{"matched":true,"score":' || raw::double || ',"reasons":["' || {SQL_SOFT} || '"],"contributing_areas":["'
+  || replace({SQL_CONTRIB}, ',', '","') || '"]}}' AS explanation_json FROM p WHERE s_acctbal > -500 AND hard IS NULL AND raw >= low""")
+def match_explanations(spark: SparkSession, d: str) -> DataFrame:
+    m = match.match_notices(part_match_notices(spark, d), supplier_profiles(spark, d), nation_institutions(spark, d), admitting=ADMITTING)
+    return m.select("subscriber_id", "edital_id", "explanation_json")
+
+
 @query(f"""{SQL_PAIRS} SELECT s_name AS profile, CASE WHEN raw >= 0.85 THEN 'high' ELSE 'mid' END AS bucket, count(*) AS n FROM p
   WHERE s_acctbal > -500 AND hard IS NULL AND raw >= low GROUP BY ALL""")
 def match_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -268,6 +275,13 @@ def pending_matches(spark: SparkSession, d: str) -> DataFrame:
     return digest.in_order(digest.pending(order_matches(spark, d), F.lit(NOW).cast("timestamp"), 2400)).select("id", "score")
 
 
+@query(f"SELECT o_orderkey::varchar AS id, o_orderstatus = 'F' AS notified FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR")
+def resent_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All matches since a date, sent ones too."""
+    since = F.timestamp_seconds(F.unix_timestamp(F.lit(NOW).cast("timestamp")) - 2400 * 3600)
+    return digest.pending(order_matches(spark, d), F.lit(NOW).cast("timestamp"), since=since).select("id", "notified")
+
+
 @query(f"SELECT o_orderstatus = 'F' OR o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR AS notified, o_orderstatus <> 'F' AND o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 2400 HOUR AS stamped, count(*) AS n FROM orders GROUP BY ALL")
 def marked_matches(spark: SparkSession, d: str) -> DataFrame:
     m, now = order_matches(spark, d), F.lit(NOW).cast("timestamp")
@@ -374,6 +388,40 @@ def digest_job(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current_matches(spark, root).select("id", "notified", F.col("notified_at").isNotNull().alias("stamped"))
 
 
+@query(f"""SELECT subscriber_id, count(*) AS total FROM ({SQL_ITEMS}) JOIN nation ON n_nationkey::varchar = subscriber_id WHERE n_regionkey <> 4 GROUP BY 1""")
+def delivered_digests(spark: SparkSession, d: str) -> DataFrame:
+    """What the digest job hands to its sink, here a folder."""
+    root = f"{checkpoint_dir(spark)}/delivered-{uuid.uuid4().hex}"
+    ingest.match_store(root).upsert(order_matches(spark, d).withColumn("edital_id", notice_of_match()), 0, ["created_at"])
+    ingest.notice_store(root).upsert(order_notices(spark, d).withColumn("canonical_hash", F.col("id")), 0, ["id"])
+    inst = table(spark, d, "customer").select(*schemas.fields(schemas.INSTITUTIONS, id=F.col("c_custkey"), nome=F.col("c_name")))
+    dimensions = ingest.Dimensions(None, None, inst, nation_subscribers(spark, d))
+    sink = lambda rows: rows.write.parquet(f"{root}/sent-out")
+    ingest.run_digest(spark, root, dimensions, 1, F.lit("1998-03-01"), F.lit(NOW).cast("timestamp"), 2400, sink=sink)
+    return spark.read.parquet(f"{root}/sent-out").select("subscriber_id", "total").distinct()
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN true WHEN toxic = 1 THEN false END, true) AS is_gratuito, 'publicado' AS status, true AS known FROM labels""")
+def persisted_notices(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as parsed notices in the stored shape: unknown tuition counts as free, the state is one of the lifecycle's."""
+    free = F.when(F.col("quality") == 1, True).when(F.col("toxic") == 1, False)
+    parsed = table(spark, d, "labels").select("doc_id", *schemas.fields(schemas.PARSED_NOTICES, is_gratuito=free), F.lit(None).cast("string").alias("ies_id"),
+                                              F.col("doc_id").cast("string").alias("canonical_hash"), F.lit(0).cast("long").alias("simhash"))
+    n = tables.notices_from(parsed, F.lit(NOW).cast("timestamp"), "doc_id")
+    return n.select("doc_id", "is_gratuito", "status", F.col("status").isin(*dims.STATUSES).alias("known"))
+
+
+@query("""SELECT o_orderstatus AS nivel, count(*) AS matches, count(DISTINCT c_nationkey) AS subscribers, max(round(o_totalprice / 500000, 3)) AS best FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def stored_views(spark: SparkSession, d: str) -> DataFrame:
+    """Plain SQL over the stored tables."""
+    root = f"{checkpoint_dir(spark)}/views-{uuid.uuid4().hex}"
+    ingest.match_store(root).upsert(order_matches(spark, d).withColumn("edital_id", notice_of_match()), 0, ["created_at"])
+    ingest.notice_store(root).upsert(order_notices(spark, d).withColumn("canonical_hash", F.col("id")), 0, ["id"])
+    ingest.register_views(spark, root, nation_subscribers(spark, d))
+    return spark.sql("""SELECT n.nivel, count(*) AS matches, count(DISTINCT s.id) AS subscribers, max(m.score) AS best
+      FROM matches m JOIN notices n ON n.id = m.edital_id JOIN subscribers s ON s.id = m.subscriber_id GROUP BY n.nivel""")
+
+
 # --- enrichment -------------------------------------------------------------------------------------------
 
 
@@ -414,14 +462,14 @@ def enrichment_conflicts(spark: SparkSession, d: str) -> DataFrame:
 # --- frontier ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT s_name AS source, CASE WHEN s_acctbal > 5000 THEN 'https://f.org/' || s_suppkey ELSE 'https://l.org/' || s_suppkey END AS url FROM supplier WHERE s_acctbal > 0 AND s_nationkey <> 3""")
+@query("""SELECT s_name AS source, CASE WHEN s_acctbal > 5000 THEN 'https://f.org/' || s_suppkey ELSE 'https://l.org/' || s_suppkey END AS url, s_suppkey::int AS priority FROM supplier WHERE s_acctbal > 0 AND s_nationkey <> 3""")
 def listing_frontier(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as sources: some with a feed, some with a listing only, one nation switched off, debtors with neither."""
     key = F.col("s_suppkey").cast("string")
     s = table(spark, d, "supplier").select(*schemas.fields(
         schemas.SOURCES, codigo=F.col("s_name"), ativa=F.col("s_nationkey") != 3, feed_url=F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("https://f.org/"), key)),
         listing_url=F.when(F.col("s_acctbal") > 0, F.concat(F.lit("https://l.org/"), key)).otherwise(""), priority=F.col("s_suppkey")))
-    return frontier.listing_frontier(frontier.active(s)).drop("priority")
+    return frontier.listing_frontier(frontier.active(s))
 
 
 @query("""SELECT DISTINCT o_orderdate::date::varchar AS day, t AS termo, 'https://www.in.gov.br/consulta/-/buscar/dou?q=' || replace(t, ' ', '+') || '&delta=ate&publicadoDe=' ||
@@ -455,10 +503,12 @@ def reversed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turn_captures(spark: SparkSession, d: str, batch: int) -> DataFrame:
-    """Conversations as notices, their turns as captures: the first two turns of most come first, then all are fetched again."""
+    """Conversations as notices, their turns as captures. At first a fifth of the conversations is captured whole, most others with one
+    turn; then the captures go on, of the whole ones only the last turn is fetched again."""
     c = table(spark, d, "conversations")
-    early = (F.col("turn") < 2) & (F.col("conv_id") % 5 != 0)
-    c = c.where(early) if batch == 0 else c
+    c = c.join(c.groupBy("conv_id").agg(F.max("turn").alias("last")), "conv_id")
+    kind = F.col("conv_id") % 5
+    c = c.where((kind == 1) | ((kind != 0) & (F.col("turn") < 1))) if batch == 0 else c.where((kind != 1) | (F.col("turn") == F.col("last")))
     at = F.timestamp_seconds(F.lit(1_767_225_600 + batch * 864_000) + F.col("turn") * 3600)
     key = F.col("conv_id").cast("string")
     return c.select(*schemas.fields(
@@ -474,11 +524,12 @@ def open_profile(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(row.values())], schemas.SUBSCRIBERS)
 
 
-@query(f"""WITH h AS ({sql_simhash(CAPTURES)}), c AS (SELECT id // 1000 AS k, id % 1000 AS turn, simhash, 0 AS b FROM h WHERE id % 1000 < 2 AND (id // 1000) % 5 <> 0 UNION ALL SELECT id // 1000, id % 1000, simhash, 1 FROM h),
+@query(f"""WITH x AS (SELECT id // 1000 AS k, id % 1000 AS turn, simhash, max(id % 1000) OVER (PARTITION BY id // 1000) AS last FROM ({sql_simhash(CAPTURES)})),
+  c AS (SELECT k, turn, simhash, 0 AS b FROM x WHERE k % 5 = 1 OR (k % 5 <> 0 AND turn < 1) UNION ALL SELECT k, turn, simhash, 1 FROM x WHERE k % 5 <> 1 OR turn = last),
   p AS (SELECT *, lag(simhash) OVER (PARTITION BY k ORDER BY b, turn) AS prior FROM c),
   q AS (SELECT k, turn, CASE WHEN prior IS NULL THEN 'insert' WHEN bit_count(xor(prior, simhash)) <= 3 THEN 'cosmetic' ELSE 'update' END AS change FROM p WHERE b = 1),
-  t AS (SELECT conv_id AS k, arg_max(text, turn) AS resumo, bool_or(turn < 2 AND conv_id % 5 <> 0) AS known FROM conversations GROUP BY 1)
-  SELECT k::varchar AS notice, turn::int AS turn, change, bool_or(change <> 'cosmetic') OVER (PARTITION BY k) AS matched, resumo, CASE WHEN known THEN 0 ELSE 1 END AS created_in FROM q JOIN t USING (k)""")
+  t AS (SELECT conv_id AS k, arg_max(text, turn) AS resumo FROM conversations GROUP BY 1)
+  SELECT k::varchar AS notice, turn::int AS turn, change, bool_or(change <> 'cosmetic') OVER (PARTITION BY k) AS matched, resumo, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS created_in FROM q JOIN t USING (k)""")
 def second_batch_changes(spark: SparkSession, d: str) -> DataFrame:
     """Two batches through the stored tables: how the second changes what the first left, and which notices went to the matcher."""
     root = f"{checkpoint_dir(spark)}/second-{uuid.uuid4().hex}"

@@ -41,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder and active.isDefined():
         folder = active.get()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="arauto-checkpoint-")
     if not active.isDefined():

@@ -10,6 +10,7 @@ from arauto import dims, schemas
 from arauto.operators import extract, tables
 from arauto.plans import ingest
 from arauto.sources import frontier, pages
+from arauto.sources.plugins import register_source
 from arauto.streaming import jobs
 
 NOW = datetime(2026, 2, 1, 12)
@@ -273,3 +274,34 @@ def test_a_new_kind_of_source_the_digest_job_and_expiry(spark, tmp_path):
     assert set(before.values()) == {"publicado"} and set(after) == set(before)
     assert all((status == "expirado") == (until is not None and until < date(2026, 4, 1)) for status, until in after.values())
     assert any(status == "expirado" for status, _ in after.values())
+
+
+def test_a_source_as_a_table_function(spark):
+    def parse(url, body, content_type):
+        if b"broken" in body:
+            raise ValueError("no such page")
+        for part in body.decode().split(";"):
+            yield {"titulo": part, "texto": "Mestrado EAD, inscricoes 01/03/2026 a 15/03/2026"} if part else {"titulo": content_type}
+
+    mine = register_source(spark, "my_source", parse)
+    df = raw(spark, ("https://m/1", HTML, "um;dois;", "mine"), ("https://m/2", HTML, "broken", "mine"), ("https://m/3", HTML, "x", "other"))
+    sources = spark.createDataFrame([("mine", "mine", "USP"), ("other", "none", "")], "codigo string, kind string, ies_nome string")
+    got = ingest.extract_all(df, sources, {"mine": mine.extract}).orderBy("position").collect()
+    assert [(r.position, r.titulo, r.nivel, r.modalidade) for r in got[:2]] == [(0, "um", "mestrado_academico", "ead"), (1, "dois", "mestrado_academico", "ead")]
+    assert got[2].titulo == "text/html" and got[2].nivel == "desconhecido" and len(got) == 3
+    assert got[0].periodo_inscricao.de == date(2026, 3, 1) and {r.parser_name for r in got} == {"my_source"}
+    assert [(r.url, r.error) for r in mine.failures(df).collect()] == [("https://m/2", "ValueError: no such page")]
+    df.createOrReplaceTempView("fetched")
+    rows = spark.sql("SELECT f.url, t.titulo FROM fetched f, LATERAL my_source(f.url, f.body, f.content_type) t WHERE t.error IS NULL").collect()
+    assert {(r.url, r.titulo) for r in rows} == {("https://m/1", "um"), ("https://m/1", "dois"), ("https://m/1", "text/html"), ("https://m/3", "x")}
+
+
+def test_documents_are_assembled_in_one_shuffle_and_in_the_ingest(spark):
+    pages_ = [(1, 1, "Head\nUm  texto\u2028outro\n"), (1, 2, "Head\nDois\n\n"), (1, 3, "Head\nTres"), (2, 1, "Head\nsolo"), (3, 1, None), (4, 1, " \n ")]
+    df = spark.createDataFrame(pages_, "doc_id int, page_no int, page_text string")
+    got = extract.document_text(df)
+    assert {r.doc_id: r.texto for r in got.collect()} == {1: "Um texto\noutro\nDois\nTres", 2: "Head\nsolo", 3: "", 4: ""}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") <= 2
+    text = "\f".join(f"Universidade X\nPagina com edital de mestrado parte {i}. Inscricoes 01/03/2026 a 15/03/2026." for i in range(3))
+    (n,) = extract.extract_routed(raw(spark, ("https://d/1", "application/pdf", text, "s")), extract.default_parsers()).collect()
+    assert "Universidade X" not in n.texto_completo and n.texto_completo.count("parte") == 3

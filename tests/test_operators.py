@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arauto import dims, schemas
 from arauto.operators import classify, contracts, dedup, digest, enrich, gate, listing, match, ops, tables
+from arauto.operators.lookup import heavy_keys, lookup
 
 
 def institutions(spark, *extra):
@@ -216,6 +217,55 @@ def test_resolve_institution(spark):
     assert got == {"usp ": "2", "Rio Grande": "1", "universidade": "1", "nada": None, "": None}
 
 
+@pytest.fixture()
+def plain_joins(spark):
+    """Joins as shuffles, and no help from adaptive execution."""
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_lookups_split_heavy_keys_and_spread_rows_without_one(spark, plain_joins):
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE 'k' || id % 500 END AS k", "map(id, id) AS m")
+    dim = spark.createDataFrame([("hot", 1), ("k2", 2), ("k5", 5), (None, 9)], "k string, v int")
+    assert set(heavy_keys(rows, "k")) == {"hot"} and heavy_keys(rows, "k")["hot"] >= 8
+    got = lookup(rows, dim, "k")
+    assert largest_share(rows.join(dim, "k", "left")) > 0.3 and largest_share(got) < 0.15
+    assert got.count() == 6000 and got.where("v = 1").count() == 2000 and got.where("v = 9").count() == 0
+    assert got.where("v IN (2, 5)").count() == sum(1 for i in range(6000) if i % 3 == 2 and i % 500 in (2, 5))
+    assert lookup(rows.where("false"), dim, "k").count() == 0
+
+
+def test_gate_and_digest_items_of_hot_keys(spark, plain_joins):
+    """A third of all rows names one institution, a third none."""
+    names = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'UFRGS' WHEN id % 3 = 1 THEN '' ELSE 'Escola ' || id END AS ies_nome")
+    for got in (gate.registry_gate(names, institutions(spark)), gate.resolve_institution(names, institutions(spark))):
+        assert got.count() == 3000 and largest_share(got) < 0.2
+    assert gate.registry_gate(names, institutions(spark)).where("in_registry").count() == 1000
+    assert gate.resolve_institution(names, institutions(spark)).where("ies_id = '1'").count() == 1000
+    n = spark.range(3000).selectExpr("string(id) AS id", "'T' AS titulo", "CASE WHEN id % 3 = 0 THEN '1' END AS ies_id", "'mba' AS nivel", "'ead' AS modalidade",
+                                     "CASE WHEN id % 3 = 1 THEN '10300007' END AS area_cnpq_codigo", "date'2026-01-01' AS inscricao_ate", "'u' AS url_origem", "'p' AS url_pdf")
+    m = n.selectExpr("id", "'s' AS subscriber_id", "id AS edital_id", "1.0D AS score")
+    items = digest.digest_items(m, n, institutions(spark), dims.areas(spark))
+    assert items.count() == 3000 and largest_share(items) < 0.2
+    assert items.where("ies_nome <> ''").count() == 1000 and items.where("area_label <> ''").count() == 1000
+
+
+def test_a_hot_hour_of_a_host_is_many_buckets(spark, plain_joins):
+    rows = [(i, "h", datetime(2026, 1, 1) + timedelta(seconds=i), i % 5 != 0) for i in range(3600)]
+    df = spark.createDataFrame(rows, "id int, host string, ts timestamp, failed boolean")
+    assert largest_share(ops.circuit_open(df)) < 0.5
+
+
 # --- match ---
 
 
@@ -242,7 +292,16 @@ def notices(spark):
     return spark.createDataFrame(CASES, "id string, area_cnpq_codigo string, nivel string, modalidade string, is_gratuito boolean, ies_nome string")
 
 
-@pytest.mark.parametrize("salts", [1, 5])
+def test_matching_splits_the_keys_that_hold_much(spark, plain_joins):
+    n = spark.range(3000).selectExpr("string(id) AS id", "CASE WHEN id % 3 < 2 THEN '10300007' ELSE '1' || id % 700 END AS area_cnpq_codigo", "'mba' AS nivel", "'ead' AS modalidade",
+                                     "true AS is_gratuito", "'UFRGS' AS ies_nome")
+    got = match.match_notices(n, profile(spark), institutions(spark))
+    assert got.count() == 2000 and largest_share(got) < 0.3
+    everything = match.match_notices(n, profile(spark, 0.0), institutions(spark))
+    assert everything.count() == 3000 and everything.select("edital_id").distinct().count() == 3000
+
+
+@pytest.mark.parametrize("salts", [None, 1, 5])
 def test_match_notices(spark, salts):
     got = {r.edital_id: r for r in match.match_notices(notices(spark), profile(spark), institutions(spark), salts).collect()}
     assert set(got) == {"cc", "geo"}
