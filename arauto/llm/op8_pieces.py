@@ -238,6 +238,8 @@ class Coder:
         self.at = np.append(0, np.cumsum(self.size)[:-1])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    most = MEMO  #: segments remembered
+
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
@@ -265,7 +267,7 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets). Null and empty texts have none; a blank is put before every other text."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.forget()
         cut = [self.cut.findall(BLANK + (t.replace(BLANK, LITERAL) if BLANK in t else t).replace(" ", BLANK)) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
@@ -297,19 +299,22 @@ def _coder(m: Pieces) -> Coder:
     return _CODERS[mark]
 
 
-def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: Pieces, keep: tuple[str, ...] = (), with_text: bool = True, memo: int = MEMO,
+                     slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, ids, n_ids, decoded (what the ids decode to, if ``with_text``) and round_trip (decoded equals the text), with columns ``keep``.
 
     ``ids`` equal the library's for this model, but for texts that hold U+2581 itself: its bytes are encoded, so that every
     text round-trips. A null text gives null ids, an empty one an empty list; both round-trip (null to null). Very
-    long texts take memory in proportion to their own length. Other columns of ``docs`` are ignored.
+    long texts take memory in proportion to their own length. Other columns of ``docs`` are ignored. ``memo`` (segments a
+    worker remembers) and ``slice_bytes`` (text it takes at a time) trade memory for time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text_"), *[F.col(c).alias(f"kept_{c}") for c in keep])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped.value)
-        for batch in slices(batches, "text_", SLICE):
+        coder.most = memo
+        for batch in slices(batches, "text_", slice_bytes):
             texts = batch.column("text_").to_pylist()
             ids, offsets = coder.encode(texts)
             raw = coder.decode(ids, offsets)
