@@ -55,8 +55,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
-    done = encode_documents(docs, load(), keep=("lang", "source"), with_text=False)
+    """Piece ids of every text, with little memory: the workers of the stages before still live."""
+    done = encode_documents(docs, load(), keep=("lang", "source"), with_text=False, memo=60_000, slice_bytes=1 << 19)
     return done.select("doc_id", F.col("kept_lang").alias("lang"), F.col("kept_source").alias("source"), "ids", "n_ids", "round_trip")
 
 
