@@ -63,7 +63,8 @@ def throttle(requests: DataFrame, rps: float, capacity: int = 5, host: str = "ho
     step = round(1_000_000 / rps)
     df = requests.withColumns({"__t": F.unix_micros(ts), BUCKET: hour_bucket(ts)})
     order = Window.partitionBy(host, BUCKET).orderBy("__t", id)
-    df = df.withColumn("__n", F.row_number().over(order)).withColumn("__s", F.col("__t") - (F.col("__n") - 1) * step)
+    # the count is a long: times a step an int overflows
+    df = df.withColumn("__n", F.row_number().over(order).cast("long")).withColumn("__s", F.col("__t") - (F.col("__n") - 1) * step)
     df = df.withColumn("__m", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     earlier = Window.partitionBy(host).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     hours = df.groupBy(host, BUCKET).agg(F.count(F.lit(1)).alias("__size"), F.max("__s").alias("__top"))

@@ -521,6 +521,13 @@ def test_throttle_equals_simulation(spark):
     assert got == want and any(want[r[0]] > micros(r[2]) for r in rows)
 
 
+def test_throttle_of_many_requests_in_an_hour(spark):
+    start = datetime(2026, 1, 1)
+    df = spark.createDataFrame([(i, "h", start + timedelta(seconds=i)) for i in range(100)], "id int, host string, ts timestamp")
+    got = [r.permitted_us - micros(start) for r in ops.throttle(df, 1 / 60, 2).orderBy("id").collect()]
+    assert got == [max(i * 1_000_000, (i - 1) * 60_000_000) for i in range(100)]
+
+
 def test_circuit_open_equals_scan(spark):
     rows, df = fetch_log(spark, 5, n=3000)
     got = {r.id: r.opens for r in ops.circuit_open(df).collect()}
