@@ -63,3 +63,23 @@ def test_schemas_parse(spark):
     for name, ddl in vars(schemas).items():
         if name.isupper() and isinstance(ddl, str) and name not in ("PERIOD", "TARGET_AREAS"):
             assert schemas.struct(ddl).fields
+
+
+def test_a_filter_on_listings_takes_no_second_parse(spark):
+    plan = entry.queries()["listing_articles"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse(") == 1
+
+
+def test_the_class_of_characters_that_change_stands_behind_bounds(spark):
+    import unicodedata
+
+    from arauto.functions import text as t
+
+    source, _, unstable = t._nfkc_rules()
+    inside = lambda cp: any(lo <= cp <= hi for lo, hi in t._STABLE_BLOCKS)
+    same = lambda cp: cp < 0x80 or cp == 0xFEFF or inside(cp) and unicodedata.normalize("NFKC", chr(cp)) == chr(cp)
+    chars = [cp for cp in range(1, 0x110000) if not 0xD800 <= cp < 0xE000]
+    rows = spark.createDataFrame([(cp, chr(cp)) for cp in chars if cp < 0x12000 or cp % 977 == 0], "cp int, c string")
+    got = {r.cp for r in rows.where(F.col("c").rlike(unstable)).collect()}
+    assert got == {cp for cp in chars if (cp < 0x12000 or cp % 977 == 0) and not same(cp)} and set(map(ord, source)) <= got
+    assert unstable.startswith("[\\x{A0}-\\x{10FFFF}&&[")  # Latin letters meet one range
