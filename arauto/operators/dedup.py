@@ -5,8 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from arauto.functions.fields import window_label
 from arauto.functions.text import ColumnLike, _col, to_ascii, tokens
@@ -71,22 +74,25 @@ def simhash64(df: DataFrame, id: str, text: str) -> DataFrame:
     return votes.select(id, F.when(F.col("__n") > 0, folded).otherwise(F.lit(0)).cast("long").alias("simhash"))
 
 
+#: Tokens whose bits are laid out at a time.
+VOTERS = 65_536
+
+
+@F.pandas_udf(LongType())
+def _majority_of(hashes: pd.Series) -> pd.Series:
+    """The bits that more than half of a row's 8-byte hashes have set."""
+    def vote(packed: bytes) -> int:
+        h = np.frombuffer(packed, np.uint8).reshape(-1, 8)
+        votes = sum(np.unpackbits(h[i:i + VOTERS], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(h), VOTERS))
+        return int.from_bytes(np.packbits(2 * votes > len(h)).tobytes(), "big", signed=True) if len(h) else 0
+
+    return hashes.map(vote)
+
+
 def simhash_of(text: ColumnLike) -> Column:
-    """The same value within the row, without a shuffle; meant for summaries and titles."""
-    bits = F.array(*[F.lit(i) for i in range(32)])
-
-    def vote(words: Column) -> Column:
-        counted = F.aggregate(
-            words,
-            F.array_repeat(F.lit(0).cast("long"), 32),
-            lambda acc, h: F.zip_with(acc, bits, lambda a, b: a + _packed_bit(h, b)),
-        )
-        set_bits = F.zip_with(counted, bits, lambda v, b: _majority(v, b, F.size(words)))
-        return F.aggregate(set_bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-    words = F.transform(tokens(to_ascii(text)), _token_hash)
-    # the one-element array binds the word list once for all uses
-    return F.coalesce(F.get(F.transform(F.array(words), vote), F.lit(0)), F.lit(0).cast("long"))
+    """The same value within the row, without a shuffle: the row's hashes go to numpy as one binary."""
+    words = F.transform(tokens(to_ascii(text)), lambda w: F.substring(F.md5(w.cast("binary")), 17, 16))
+    return _majority_of(F.coalesce(F.unhex(F.array_join(words, "")), F.lit(b"")))
 
 
 # --- near duplicates --------------------------------------------------------------------------------------

@@ -151,6 +151,15 @@ def test_components_and_families(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7} or got[1] == got[2] == got[3] == 1 and got[5] == 5 and got[6] == 6
 
 
+def test_simhash_within_the_row_is_numpy_s_at_any_length(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(str(rnd.randrange(1000)) for _ in range(n)) for n in (dedup.VOTERS + 500, 40, 1, 0)]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "id int, text string")
+    inside = df.select("id", dedup.simhash_of("text").alias("simhash"))
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, dedup.simhash64(df, "id", "text").collect()))
+    assert "zip_with" not in inside._jdf.queryExecution().optimizedPlan().toString()  # no lambda that counts 64 votes a token
+
+
 def test_change_kinds(spark):
     df = spark.createDataFrame([(None, 5), (0b1111, 0b1110), (0, 0b1111111111), (7, 7)], "p bigint, n bigint")
     assert [r.c for r in df.select(dedup.change_kind("p", "n").alias("c")).collect()] == ["insert", "cosmetic", "update", "cosmetic"]
