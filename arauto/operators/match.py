@@ -78,15 +78,20 @@ def _parts(notices: DataFrame, salts: int | None, *key: str) -> Callable[..., Co
 
 
 def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: DataFrame, salts: int | None = None,
-                  admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> DataFrame:
+                  admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING, counted: bool = False) -> DataFrame:
     """All matching (subscriber, notice) pairs of active subscribers with score and explanation.
 
-    ``notices`` needs id, ies_nome, nivel, modalidade, area_cnpq_codigo and is_gratuito.
+    ``notices`` needs id, ies_nome, nivel, modalidade, area_cnpq_codigo and is_gratuito. What a match says follows from the
+    profile and the area, so it is worked out once per offer, before the join. ``counted`` gives, in place of ``edital_id``, one
+    row per subscriber and kind of notice that is alike in all that matching looks at, with ``notices``, how many they are.
     """
     n = _notice_side(notices, institutions)
+    if counted:
+        n = n.groupBy("nivel", "modalidade", "area", "is_gratuito", "in_registry").agg(F.count(F.lit(1)).alias("notices"))
+        salts = 1
     by_area, by_level = ["area", "nivel", "modalidade"], ["nivel", "modalidade"]
     parts, wide = _parts(notices, salts, "area_cnpq_codigo", *by_level), _parts(notices, salts, *by_level)
-    slot = lambda of: F.pmod(F.xxhash64("edital_id"), of).cast("int")
+    slot = lambda of: F.lit(0) if counted else F.pmod(F.xxhash64("edital_id"), of).cast("int")
     copies = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
     active = subscribers.where("ativo").select(
         F.col("id").alias("subscriber_id"), F.col("nome").alias("subscriber"), "areas_alvo", "apenas_gratuitos",
@@ -97,17 +102,17 @@ def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: Data
     offers = active.withColumn("nivel", F.explode("niveis")).withColumn("modalidade", F.explode("modos")).drop("niveis", "modos")
     codes = F.array_distinct(F.transform("areas_alvo", lambda a: a["codigo_cnpq"]))
     wanted = offers.withColumn("area", F.explode(codes)).withColumn("soft", soft_score(F.col("area"), F.col("areas_alvo"), admitting))
-    wanted = wanted.where(F.col("soft.score") >= F.col("score_minimo")).drop("areas_alvo").withColumn("salt", copies(parts(*by_area)))
+    wanted = _result(wanted.where(F.col("soft.score") >= F.col("score_minimo")), None).drop("areas_alvo", "soft").withColumn("salt", copies(parts(*by_area)))
     open_to = (F.col("is_gratuito") | ~F.col("apenas_gratuitos")) & (F.col("in_registry") | ~F.col("apenas_ies_emec_publicas"))
     hits = n.withColumn("salt", slot(parts(*by_area))).join(wanted, [*by_area, "salt"]).where(open_to)
     # profiles with a minimum of 0 or less also match notices outside their areas
-    any_area = offers.where("score_minimo <= 0").withColumn("codes", codes).drop("areas_alvo").withColumn("salt", copies(wide(*by_level)))
-    outside = F.col("area").isNull() | ~F.array_contains("codes", F.col("area"))
     nothing = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("contributing"))
-    rest = n.withColumn("salt", slot(wide(*by_level))).join(any_area, [*by_level, "salt"]).where(open_to & outside).withColumn("soft", nothing)
-    found = hits.unionByName(rest, allowMissingColumns=True)
-    return _result(found, None).select(
-        "subscriber_id", "subscriber", "edital_id", "score", score_bucket("score").alias("bucket"), "reasons",
+    any_area = _result(offers.where("score_minimo <= 0").withColumn("soft", nothing), None).withColumn("codes", codes)
+    any_area = any_area.drop("areas_alvo", "soft").withColumn("salt", copies(wide(*by_level)))
+    outside = F.col("area").isNull() | ~F.array_contains("codes", F.col("area"))
+    rest = n.withColumn("salt", slot(wide(*by_level))).join(any_area, [*by_level, "salt"]).where(open_to & outside)
+    return hits.unionByName(rest, allowMissingColumns=True).select(
+        "subscriber_id", "subscriber", "notices" if counted else "edital_id", "score", score_bucket("score").alias("bucket"), "reasons",
         "contributing_areas", "explanation_json")
 
 

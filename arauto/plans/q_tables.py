@@ -234,8 +234,8 @@ def match_explanations(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{SQL_PAIRS} SELECT s_name AS profile, CASE WHEN raw >= 0.85 THEN 'high' ELSE 'mid' END AS bucket, count(*) AS n FROM p
   WHERE s_acctbal > -500 AND hard IS NULL AND raw >= low GROUP BY ALL""")
 def match_buckets(spark: SparkSession, d: str) -> DataFrame:
-    m = match.match_notices(part_match_notices(spark, d), supplier_profiles(spark, d), nation_institutions(spark, d), admitting=ADMITTING)
-    return ops.stage_counters(m.select(F.col("subscriber").alias("profile"), "bucket"), "profile", "bucket")
+    m = match.match_notices(part_match_notices(spark, d), supplier_profiles(spark, d), nation_institutions(spark, d), admitting=ADMITTING, counted=True)
+    return ops.stage_counters(m.select(F.col("subscriber").alias("profile"), "bucket", "notices"), "profile", "bucket", value="notices")
 
 
 @query(f"""{SQL_PAIRS}, q AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)

@@ -336,6 +336,17 @@ def test_zero_minimum_matches_everything_that_passes(spark):
     assert got == {"cc", "geo", "law", "none"}
 
 
+@pytest.mark.parametrize("minimum", [0.7, 0.0])
+def test_counted_matches_take_a_row_per_kind_of_notice(spark, minimum):
+    many = notices(spark).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("id", F.concat_ws("-", "id", "copy")).drop("copy")
+    by = ["subscriber", "bucket", "score", "explanation_json"]
+    pairs = match.match_notices(many, profile(spark, minimum), institutions(spark))
+    counted = match.match_notices(many, profile(spark, minimum), institutions(spark), counted=True)
+    want = sorted(map(tuple, pairs.groupBy(*by).count().collect()))
+    assert sorted(map(tuple, counted.groupBy(*by).agg(F.sum("notices")).collect())) == want
+    assert counted.count() * 50 == pairs.count() > 0
+
+
 def test_explain_pairs_agrees_with_matching(spark):
     pairs = spark.createDataFrame([("s", c[0]) for c in CASES], "subscriber_id string, edital_id string")
     got = {r.edital_id: r for r in match.explain_pairs(pairs, notices(spark), profile(spark), institutions(spark)).collect()}

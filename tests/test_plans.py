@@ -83,3 +83,8 @@ def test_the_class_of_characters_that_change_stands_behind_bounds(spark):
     got = {r.cp for r in rows.where(F.col("c").rlike(unstable)).collect()}
     assert got == {cp for cp in chars if (cp < 0x12000 or cp % 977 == 0) and not same(cp)} and set(map(ord, source)) <= got
     assert unstable.startswith("[\\x{A0}-\\x{10FFFF}&&[")  # Latin letters meet one range
+
+
+def test_what_a_match_says_is_worked_out_before_the_join(spark):
+    plan = q_tables.match_explanations(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan[:plan.index("Join")]
