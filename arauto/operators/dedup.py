@@ -164,6 +164,8 @@ def _meeting(x: Column, levels: list[list[int]], k: int) -> Column:
 
 def _near(left: DataFrame, right: DataFrame, k: int, blocks: int, leaf: int, same: bool) -> DataFrame:
     levels, key = [_bands(k, blocks)], ["at", "key"]
+    # every level starts from files and leaves its pairs in files: the driver never holds a plan of more than one level
+    left, right = (cut_lineage(left),) * 2 if same else (cut_lineage(left), cut_lineage(right))
     a = _banded(left, levels[0])
     b = a if same else _banded(right, levels[0])
     found = []
@@ -177,12 +179,12 @@ def _near(left: DataFrame, right: DataFrame, k: int, blocks: int, leaf: int, sam
         if same:
             condition &= F.col("simhash_a") < F.col("simhash_b")
         sides = rest(a).withColumnRenamed("simhash", "simhash_a").alias("a"), rest(b).withColumnRenamed("simhash", "simhash_b").alias("b")
-        found.append(sides[0].join(sides[1], condition).select("simhash_a", "simhash_b", F.bit_count(x).alias("distance")))
+        found.append(cut_lineage(sides[0].join(sides[1], condition).select("simhash_a", "simhash_b", F.bit_count(x).alias("distance"))))
         if done:
             return reduce(DataFrame.union, found)
         levels.append(_finer(levels[-1], k))
-        a = _divided(a.join(crowded, key, "left_semi"), levels[-1], k)
-        b = a if same else _divided(b.join(crowded, key, "left_semi"), levels[-1], k)
+        a = cut_lineage(_divided(a.join(crowded, key, "left_semi"), levels[-1], k))
+        b = a if same else cut_lineage(_divided(b.join(crowded, key, "left_semi"), levels[-1], k))
 
 
 def _values(df: DataFrame, simhash: str) -> DataFrame:
