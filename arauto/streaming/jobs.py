@@ -6,6 +6,7 @@ RocksDB state store, and rows that wait for the watermark; nothing grows with a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -64,12 +65,14 @@ def _in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
 class _InEventOrder(StatefulProcessor):
     """Hands a key's rows on in order of event time, once the watermark has passed them, however they arrive.
 
-    Rows wait in chunks, by bucket of event time; a chunk is what one Arrow batch brings, so a key's rows are never put
-    together. A timer at the end of a bucket releases it: memory holds one bucket of one key, and nothing of it stays in
-    the state store. ``fields`` are the waiting columns, the event time in microseconds (``t``) first. Rows with a null key
-    move the watermark but are ignored.
+    Rows wait in chunks: what one Arrow batch brings of a key, in order, cut at borders of buckets of event time into CHUNK rows
+    or little more. One timer a key, at the end of its first waiting bucket, releases what the watermark has passed; memory
+    holds the chunks that overlap in time, and nothing of them stays in the state store. ``fields`` are the waiting columns,
+    the event time in microseconds (``t``) first. Rows with a null key move the watermark but are ignored.
     """
 
+    CHUNK = 1000
+
     def __init__(self, fields: str, width_seconds: int):
         self.fields, self.width = fields, width_seconds * 1_000_000
         self.names = [f.split()[0] for f in fields.split(", ")]
@@ -77,35 +80,58 @@ class _InEventOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         lists = ", ".join("{0} array<{1}>".format(*f.split()) for f in self.fields.split(", "))
-        self.chunks = handle.getMapState("chunks", "bucket bigint, part int", lists)
-        self.parts = handle.getMapState("parts", "bucket bigint", "n int")
+        self.chunks = handle.getMapState("chunks", "bucket bigint, part bigint", lists)
+        self.waiting = handle.getValueState("parts", "parts bigint, first bigint")
+
+    def _wait(self, parts: int, first: int | None) -> None:
+        """Keeps how many chunks there have been and the first waiting bucket, and has its end release it."""
+        if first is None:
+            self.waiting.clear()
+        else:
+            self.waiting.update((parts, first))
+            self.handle.registerTimer((first + 1) * self.width // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return iter([])
+        parts, first = before = self.waiting.get() if self.waiting.exists() else (0, None)
         for pdf in rows:
-            if pd.isna(key[0]):
-                continue
-            for bucket, part in pdf[self.names].groupby(pdf["t"] // self.width):
-                bucket = int(bucket)
-                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
-                self.chunks.updateValue((bucket, n), tuple(part[c].tolist() for c in self.names))
-                self.parts.updateValue((bucket,), (n + 1,))
-                if not n:
-                    self.handle.registerTimer((bucket + 1) * self.width // 1000)
+            ordered = pdf[self.names].dropna(subset=["t"]).astype({"t": "int64"}).sort_values("t")
+            buckets, at = (ordered["t"] // self.width).to_numpy(), 0
+            while at < len(buckets):
+                end = int(buckets.searchsorted(buckets[min(at + self.CHUNK, len(buckets)) - 1], "right"))
+                bucket = int(buckets[at])
+                self.chunks.updateValue((bucket, parts), tuple(ordered[c].iloc[at:end].tolist() for c in self.names))
+                parts, first, at = parts + 1, bucket if first is None else min(first, bucket), end
+        if (parts, first) != tuple(before):
+            self._wait(parts, first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         horizon = timerValues.getCurrentWatermarkInMs() * 1000 // self.width * self.width
-        for (bucket,) in sorted(k for k in self.parts.keys() if (k[0] + 1) * self.width <= horizon):
-            waiting: list[tuple] = []
-            for n in range(self.parts.getValue((bucket,))[0]):
-                waiting += zip(*self.chunks.getValue((bucket, n)), strict=True)
-                self.chunks.removeKey((bucket, n))
-            self.parts.removeKey((bucket,))
-            yield from self.take(key, sorted(waiting))
+        parts, first = self.waiting.get() if self.waiting.exists() else (0, None)
+        if first is not None and first * self.width < horizon:
+            chunks = sorted(self.chunks.keys())
+            due = [k for k in chunks if k[0] * self.width < horizon]
+            first = chunks[len(due)][0] if len(due) < len(chunks) else None
+            rows: list[tuple] = []
+            for n, chunk in enumerate(due):
+                rows = sorted(rows + list(zip(*self.chunks.getValue(chunk), strict=True)))
+                self.chunks.removeKey(chunk)
+                until = due[n + 1][0] * self.width if n + 1 < len(due) else horizon
+                ready = bisect_left(rows, (until,))
+                if ready:
+                    yield from self.take(key, rows[:ready])
+                rows = rows[ready:]
+            if rows:  # of chunks that reach beyond the watermark
+                bucket = rows[0][0] // self.width
+                self.chunks.updateValue((bucket, parts), tuple(list(c) for c in zip(*rows, strict=True)))
+                parts, first = parts + 1, bucket if first is None else min(first, bucket)
         yield from self.passed(key, horizon)
+        self._wait(parts, first)  # last: a timer taken back above may have been this one
 
     def take(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Rows of one bucket, in order."""
+        """The next rows, in order."""
         raise NotImplementedError
 
     def passed(self, key, horizon: int) -> Iterator[pd.DataFrame]:
