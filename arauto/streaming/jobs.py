@@ -226,12 +226,15 @@ def pending_stream(matches: DataFrame, sent: DataFrame, hours: int = 24, delay:
 
     ``matches`` has id and created_at, ``sent`` id and notified_at. A match that is found again while it waits starts anew, as
     in the stored table; a mark without a waiting match is ignored; at the same time a find comes before a mark. What
-    waits is the only state: event-time timers delete it when its window is over. Rows with a null id are ignored.
+    waits is the only state: event-time timers delete it when its window is over. Rows with a null id or time are ignored.
     """
     found = matches.select("id", F.col("created_at").alias("ts"), F.lit(False).alias("sent"))
     marks = sent.select("id", F.col("notified_at").alias("ts"), F.lit(True).alias("sent"))
     rows = found.unionByName(marks).withWatermark("ts", delay).select("id", "ts", F.unix_micros("ts").alias("t"), "sent")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, created bigint, outcome string, at bigint"
+    # one null would make pandas read a batch's ids and times as doubles, which the state takes for nulls. Both columns are in one
+    # test: a test of the id alone would be pushed below the watermark, which a row without an id still moves
+    rows = rows.where(F.size(F.array_compact(F.array(F.col("t").cast("string"), F.col("id").cast("string")))) == 2)
     done = rows.groupBy("id").transformWithStateInPandas(_Pending(hours, bucket_seconds), schema, "Append", "EventTime")
     return done.select("id", F.timestamp_micros("created").alias("created_at"), "outcome", F.timestamp_micros("at").alias("at"))
 

@@ -105,6 +105,25 @@ def test_what_still_waits_is_the_only_state(spark, tmp_path):
     assert state(spark, tmp_path, "created") == 0 and state(spark, tmp_path, "chunks") == 1  # b, whose minute is still open
 
 
+def test_a_key_s_rows_wait_in_one_chunk_with_one_timer(spark, tmp_path):
+    found = [(i % 2, BASE + timedelta(minutes=7 * i)) for i in range(200)]
+    m = files(spark, found, "id bigint, created_at timestamp", f"{tmp_path}/found", 1)
+    s = files(spark, [(9, BASE)], "id bigint, notified_at timestamp", f"{tmp_path}/sent", 1)
+    assert not finished(spark, lambda: jobs.pending_stream(m, s, delay="30 days"), tmp_path)
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(f"{tmp_path}/ck")
+    assert timers.count() == 3 and state(spark, tmp_path, "chunks") == 3
+
+
+def test_rows_without_id_or_time_leave_the_others_whole(spark, tmp_path):
+    found = [(i, BASE + timedelta(minutes=i)) for i in range(5)]
+    sent = [(i, BASE + timedelta(hours=i + 1)) for i in range(5)]
+    closing = q_stream.Closing(spark, "created_at")
+    m = files(spark, [*found, (None, BASE), (7, None), (None, None)], "id bigint, created_at timestamp", f"{tmp_path}/found", 1)
+    s = files(spark, [*sent, (None, BASE), (1, None)], "id bigint, notified_at timestamp", f"{tmp_path}/sent", 1)
+    got = finished(spark, lambda: jobs.pending_stream(closing.behind(m), s, delay="7 days"), tmp_path, closing)
+    assert sorted((r.id, r.created_at, r.outcome, r.at) for r in got) == brute_pending(found, sent)
+
+
 def test_daily_digests_equal_the_batch_job(spark, tmp_path):
     rnd = random.Random(9)
     notices = [(f"n{i}", f"T{i}", "1" if i % 3 else None, rnd.choice(["mba", "doutorado"]), BASE + timedelta(hours=i)) for i in range(60)]
