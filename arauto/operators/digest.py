@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arauto.functions.fields import level_label, mode_label, two_decimals
+from arauto.functions.text import bind
 from arauto.operators.lookup import lookup
 from arauto.session import cut_lineage
 
@@ -111,15 +112,18 @@ def _html_block(i: Column) -> Column:
 
 def _html_groups(rows: Column) -> Column:
     """Blocks by level label in label order, each group headed by its label and its size in the whole digest."""
-    by_level = F.array_sort(F.transform(rows, lambda r: F.struct(r["i"]["nivel_label"].alias("label"), r["rank"], r["i"])))
+    sorted_rows = F.array_sort(F.transform(rows, lambda r: F.struct(r["i"]["nivel_label"].alias("label"), r["rank"], r["i"])))
 
-    def block(r: Column, at: Column) -> Column:
-        starts = (at == 0) | (F.get(by_level, at - 1)["label"] != r["label"])
-        size = r["i"]["group_size"]
-        head = F.concat(F.lit("<h2>"), _escape(r["label"]), F.lit(" ("), size.cast("string"), F.lit(")</h2>\n"))
-        return F.concat(F.when(starts, head).otherwise(""), _html_block(r["i"]))
+    def groups(by_level: Column) -> Column:
+        def block(r: Column, at: Column) -> Column:
+            starts = (at == 0) | (F.get(by_level, at - 1)["label"] != r["label"])
+            size = r["i"]["group_size"]
+            head = F.concat(F.lit("<h2>"), _escape(r["label"]), F.lit(" ("), size.cast("string"), F.lit(")</h2>\n"))
+            return F.concat(F.when(starts, head).otherwise(""), _html_block(r["i"]))
 
-    return F.array_join(F.transform(by_level, block), "")
+        return F.array_join(F.transform(by_level, block), "")
+
+    return bind(sorted_rows, groups)  # an expression that a lambda mentions is worked out for every element: here a sort
 
 
 def render_digests(items: DataFrame, subscribers: DataFrame, today: Column, default_to: str = "", only_on_match: bool = True,

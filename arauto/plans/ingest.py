@@ -238,7 +238,8 @@ def run_digest(spark: SparkSession, root: str, d: Dimensions, run: int, today: C
     ingest, in any order. A match that is found again later is no longer marked. A repeated run sends the same again.
     """
     due = cut_lineage(digest.pending(_matches(spark, root, run), now, hours))
-    items = digest.digest_items(due, current_notices(spark, root), d.institutions, dims.areas(spark))
+    # read for the sizes of the groups, for the ranks and for the marks
+    items = cut_lineage(digest.digest_items(due, current_notices(spark, root), d.institutions, dims.areas(spark)))
     tables.write_batch(digest.render_digests(items, d.subscribers, today, **render), f"{root}/digests", run)
     written = spark.read.parquet(f"{root}/digests/batch={run}")
     if sink is not None:

@@ -85,6 +85,12 @@ def test_the_class_of_characters_that_change_stands_behind_bounds(spark):
     assert unstable.startswith("[\\x{A0}-\\x{10FFFF}&&[")  # Latin letters meet one range
 
 
+def test_the_groups_of_a_digest_are_sorted_once(spark):
+    digests = q_tables.digest.render_digests(q_tables.order_items(spark, SMALL), q_tables.nation_subscribers(spark, SMALL), F.lit("1998-03-01"))
+    plan = digests.select("body_html")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1  # in a lambda it would be sorted again for every item
+
+
 def test_what_a_match_says_is_worked_out_before_the_join(spark):
     plan = q_tables.match_explanations(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan[:plan.index("Join")]
