@@ -94,3 +94,8 @@ def test_the_groups_of_a_digest_are_sorted_once(spark):
 def test_what_a_match_says_is_worked_out_before_the_join(spark):
     plan = q_tables.match_explanations(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan[:plan.index("Join")]
+
+
+def test_parts_as_pages_are_dealt_to_all_cores(spark):
+    assert entry.queries()["blog_notices"](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert catalog.dealt(spark.range(45).coalesce(1), 5).rdd.getNumPartitions() == 9
