@@ -34,10 +34,13 @@ def shown_of_notices(notices: DataFrame, *keep: str) -> DataFrame:
 
 
 def display_rows(joined: DataFrame, institutions: DataFrame, areas: DataFrame, *keep: str | Column) -> DataFrame:
-    """One display row per match that has met its notice, with optional institution and area names."""
+    """One display row per match that has met its notice, with optional institution and area names.
+
+    Most rows may name one area, and a stream cannot measure that, so the table of areas, which is fixed and small, goes to every task.
+    """
     i = institutions.select(F.col("id").alias("ies_id"), F.col("nome").alias("ies_nome"))
     a = areas.select("codigo", F.col("nome").alias("area_label"))
-    joined = lookup(lookup(joined, i, "ies_id"), a, "codigo")
+    joined = lookup(joined, i, "ies_id").join(F.broadcast(a), "codigo", "left")
     return joined.select(
         F.col("id").alias("match_id"), "subscriber_id", "titulo", F.coalesce("ies_nome", F.lit("")).alias("ies_nome"),
         level_label("nivel").alias("nivel_label"), mode_label("modalidade").alias("modalidade_label"),

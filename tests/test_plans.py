@@ -99,3 +99,16 @@ def test_what_a_match_says_is_worked_out_before_the_join(spark):
 def test_parts_as_pages_are_dealt_to_all_cores(spark):
     assert entry.queries()["blog_notices"](spark, SMALL).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
     assert catalog.dealt(spark.range(45).coalesce(1), 5).rdd.getNumPartitions() == 9
+
+
+def unbroadcast(spark, make):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return physical(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_digest_items_are_not_dealt_by_their_area(spark):
+    assert "hashpartitioning(codigo" not in unbroadcast(spark, lambda: q_tables.order_items(spark, SMALL))
