@@ -33,7 +33,7 @@ def tagged(raw: DataFrame, sources: DataFrame, rules: DataFrame) -> DataFrame:
     """Fetched pages with all that decides where they go: ``violation`` of their contract, ``kind`` and institution of their source
     ('page' for unknown sources), and ``route``: rejected, the kind, or of listings feed, listing or null."""
     known = sources.where("kind is not null").select(F.col("codigo").alias("source"), "kind", F.coalesce("ies_nome", F.lit("")).alias("ies_nome"))
-    rows = contracts.check_contracts(pages.with_content_type(raw), rules).join(known, "source", "left")
+    rows = contracts.check_contracts(pages.with_content_type(raw), rules).join(F.broadcast(known), "source", "left")
     rows = rows.withColumn("kind", F.coalesce("kind", F.lit("page")))
     listing = extract.listing_route(F.col("content_type"), F.col("body"))
     return rows.withColumn("route", F.when(F.col("violation").isNotNull(), "rejected").when(F.col("kind") == "listing", listing).otherwise(F.col("kind")))

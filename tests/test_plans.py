@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from arauto import schemas
+from arauto import dims, schemas
 from arauto.operators import listing, ops
-from arauto.plans import catalog, q_ops, q_tables, q_text
+from arauto.plans import catalog, ingest, q_ops, q_pages, q_tables, q_text
 
 SMALL = "/root/testdata/sf0.001"
 STREAMED = {n for n in catalog.QUERIES if n.startswith(("stream_", "ingested_"))}
@@ -110,5 +110,12 @@ def unbroadcast(spark, make):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_pages_are_not_dealt_by_their_source(spark):
+    sources = dims.active_sources(spark).unionByName(dims.seed_sources(spark))
+    for make in (lambda: q_pages.page_contracts(spark, SMALL), lambda: ingest.tagged(q_pages.html_responses(spark, SMALL).drop("content_type"), sources, q_pages.contract_rows(spark))):
+        text = unbroadcast(spark, make)
+        assert "BroadcastHashJoin" in text and "hashpartitioning(source" not in text
+
+
 def test_digest_items_are_not_dealt_by_their_area(spark):
     assert "hashpartitioning(codigo" not in unbroadcast(spark, lambda: q_tables.order_items(spark, SMALL))
