@@ -27,6 +27,9 @@ CELLS = 1 << 20
 BITS = 1 << 23
 #: Points of a leaf, of a page of a large block (pages meet in pairs), and shingles of a page.
 LEAF, PAGE, PAGE_SHINGLES = 32, 4096, 4 << 20
+#: Pairs that large blocks give at most for each of their sets; blocks with more give a forest of them, and their sets meet
+#: again as clusters. Shingles of a page of a cluster.
+SHARE, SET_SHINGLES = 8, 1 << 20
 #: Cells that one row of the count holds.
 ROW_CELLS = 16
 
@@ -294,9 +297,29 @@ def _meet_earlier(lists: pa.ListArray, key: int, i: np.ndarray, j: np.ndarray) -
     return out
 
 
+def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """Positions of edges (between 0 .. ``nodes`` - 1) that connect whatever all edges connect, fewer than nodes."""
+    label, left, kept = np.arange(nodes), np.arange(len(a)), []
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, low, high = left[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        if not len(left):
+            return np.concatenate(kept) if kept else left
+        order = np.lexsort((low, high))
+        first = order[np.append(True, np.diff(high[order]) > 0)]  # each goes to its smallest neighbour, if that is smaller
+        kept.append(left[first])
+        to = np.arange(nodes)
+        to[high[first]] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
 def _block_pairs(num: int, den: int):
     """Pairs of a large block that meet in no block of a smaller key (``keys`` has the large blocks of each set): sets of one grouping, and those of the next finer one, are a tree at their common grouping (or a
-    coarser one); what its bounds leave is held against the whole points."""
+    coarser one); what its bounds leave is held against the whole points. A block shares SHARE pairs of each set with the set's
+    other blocks; where there are more, as among near copies, a forest of them is given and marked ``more``."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, comp, n = (table[c].to_numpy() for c in ("node", "component", "n_shingles"))
@@ -317,11 +340,67 @@ def _block_pairs(num: int, den: int):
             a.append(doc[i[ok]])
             b.append(doc[j[ok]])
         a, b = np.concatenate(a), np.concatenate(b)
+        more = len(a) > SHARE * (1 / np.diff(lists.offsets.to_numpy())).sum()
+        if more:
+            names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+            at = forest(ends[: len(a)], ends[len(a) :], len(names))
+            a, b = a[at], b[at]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], names=["a", "b", "more"])
+
+    return run
+
+
+def _cluster_links(num: int, den: int):
+    """Links that join the components of a cluster as far as its sets link, fewer than there are components.
+
+    A set outside the largest component is held against all sets of other components at once, until it has come to the
+    largest; so near copies, which soon do, are not tried pair by pair.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = (table[c].to_numpy() for c in ("node", "component"))
+        order = np.argsort(node)
+        node, comp = node[order], comp[order]
+        cells = table["shingles"].take(pa.array(order)).to_pylist()
+        size = np.array([len(c) // 8 for c in cells])
+        start = np.append(0, np.cumsum(size))
+        _, ids = np.unique(np.frombuffer(b"".join(cells), np.uint64), return_inverse=True)
+        _, label = np.unique(comp, return_inverse=True)
+        main = np.flatnonzero(label == np.bincount(label).argmax())[0]
+        has, tried, a, b = np.zeros(ids.max() + 1, bool), np.zeros(len(node), bool), [], []
+        for i in range(len(node)):
+            if label[i] == label[main]:
+                continue
+            own = ids[start[i] : start[i + 1]]
+            has[own] = True
+            j = np.flatnonzero(~tried & (label != label[i]) & (size * den >= size[i] * num) & (size[i] * den >= size * num))
+            shared = _sums(has, ids, start[j], size[j])
+            has[own] = False
+            j = j[den * shared >= num * (size[i] + size[j] - shared)]
+            labels, first = np.unique(label[j], return_index=True)
+            a += [node[i]] * len(first)
+            b += node[j[first]].tolist()
+            label[np.isin(label, labels)] = label[i]
+            tried[i] = True
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
+def _sums(has: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many ids of each run (``start``, ``size`` of at least 1) ``has`` marks."""
+    out, cut = np.zeros(len(start), np.int64), np.cumsum(size)
+    at = 0
+    while at < len(start):  # 4 MB of ids at a time, or a run
+        end = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + (1 << 19), "right")))
+        base = np.append(0, np.cumsum(size[at:end]))
+        places = np.arange(base[-1]) + np.repeat(start[at:end] - base[:-1], size[at:end])
+        out[at:end] = np.add.reduceat(has[ids[places]], base[:-1], dtype=np.int64)
+        at = end
+    return out
+
+
 def _bound_filter(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,6 +445,14 @@ def texts_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, digest binary, shingles binary")
 
 
+def paged(groups: DataFrame, shingles: int) -> DataFrame:
+    """(key, i, j, node): the nodes of each key, of ``n`` nodes and ``w`` shingles, for every two pages i <= j that meet."""
+    pages = F.ceil(F.greatest(F.col("n") / PAGE, F.col("w") / shingles)).cast("int")
+    page = F.pmod(F.xxhash64("node"), pages).cast("int")
+    rows = groups.select("key", "node", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
+    return rows.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "node")
+
+
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id: documents linked by ``n``-word shingle sets with similarity of num / den or more.
 
@@ -376,6 +463,8 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     2. In a block every class is tried against the block's first: a near-copy group costs a star, not all pairs.
     3. Blocks whose classes are still in different components are joined by an R-tree over count vectors (a small block is
        one leaf); only pairs between components that the summed minima leave possible are verified on the full sets.
+    4. Where these are more than a few a class, they only tell which classes form a cluster; in it each class that is not yet in
+       the largest component is held against the others on the full sets, and a link a component goes on.
 
     Null and blank texts have no shingles and link with nothing, their own component. A row with a null doc_id links with
     nothing and has a null component. Rows that repeat a doc_id are one document with several texts, all in one component;
@@ -414,6 +503,17 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
         y = points.select(F.col("node").alias("b"), F.col("n_shingles").alias("ny"), F.col("point").alias("py"))
         return pairs.join(x, "a").join(y, "b").mapInArrow(_bound_filter(num, den), "a long, b long")
 
+    def in_clusters(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
+        """The links between components of sets that ``pairs`` connect; a set goes to its cluster once, whatever its blocks."""
+        of = components(pairs).withColumnRenamed("component", "key").join(labelled.select("node", "component", "n_shingles"), "node")
+        of = staged(of, "clusters")
+        ends = named.join(of.select("node"), "node")
+        sets = texts_in(docs, ends.select("doc_id").distinct(), n).dropDuplicates(["doc_id", "digest"])
+        sets = staged(ends.join(sets, ["doc_id", "digest"]).select("node", "shingles"), "sets")
+        rows = paged(of.join(of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")), "key"), SET_SHINGLES)
+        rows = rows.join(of.select("node", "component"), "node").join(sets, "node")
+        return staged(rows.groupBy("key", "i", "j").applyInArrow(_cluster_links(num, den), "a long, b long").distinct(), "links")
+
     stars = blocks.join(blocks.groupBy("key").agg(F.min("node").alias("a")), "key").filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = verified(bounded(stars))
     first = components(links)
@@ -425,13 +525,13 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     small = in_block.join(mixed.filter(F.col("n") <= LEAF).select("key"), "key").select("key", "node", "component", "n_shingles")
     small = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(4 * buckets)).cast("int"))
     near = small.groupBy("bucket").applyInArrow(_leaf_pairs(num, den), "a long, b long")
-    pages = F.ceil(F.greatest(F.col("n") / PAGE, F.col("w") / PAGE_SHINGLES)).cast("int")
-    page = F.pmod(F.xxhash64("node"), pages).cast("int")
-    spread = in_block.join(mixed.filter(F.col("n") > LEAF).select("key", "n", "w"), "key").select("key", "node", page.alias("page"), F.explode(F.sequence(F.lit(0), pages - 1)).alias("other"))
-    spread = spread.select("key", F.least("page", "other").alias("i"), F.greatest("page", "other").alias("j"), "node")
+    spread = paged(in_block.join(mixed.filter(F.col("n") > LEAF), "key"), PAGE_SHINGLES)
     large = in_block.join(mixed.filter(F.col("n") > LEAF).select("key"), "key").groupBy("node").agg(F.collect_list("key").alias("keys"))  # of a prefix
-    again = spread.join(labelled, "node").join(large, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long")
-    more = verified(bounded(near.union(again).distinct()))
+    again = spread.join(labelled, "node").join(large, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long, more boolean")
+    again = staged(again, "candidates")
+    more = verified(bounded(near.union(again.filter("NOT more").select("a", "b")).distinct()))
+    if not again.filter("more").isEmpty():
+        more = more.union(in_clusters(again.filter("more"), labelled))
 
     texts = known.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep")
     several = texts.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a != z")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,65 @@ def test_rows_that_repeat_an_id_keep_all_their_links(spark):
         assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6), (6, 6)])
 
 
+@pytest.mark.parametrize("page", [4096, 60])
+def test_near_copies_are_not_tried_pair_by_pair(spark, monkeypatch, page):
+    """400 copies with changes of their own, few of which link: what blocks give and what is verified grows with the copies, not with their pairs."""
+    monkeypatch.setattr(op3_jaccard, "PAGE", page)
+    rnd, rows = random.Random(5), []
+    for i in range(400):
+        words = [f"v{k}" for k in range(200)]
+        for p in rnd.sample(range(20), 4 if i % 9 else 9):
+            words[10 * p + 5] = f"x{p}"
+        rows.append((i, " ".join(words)))
+    real, made = op3_jaccard.staged, []
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("pairs", "candidates"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(op3_jaccard, "staged", counted)
+    df = spark.createDataFrame(rows, TEXTS)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(df).collect()} == brute_groups(rows)
+    assert made and max(made) <= 16 * len(rows)
+
+
+def test_forest_connects_what_the_edges_connect():
+    rng = np.random.default_rng(4)
+    for nodes, edges in ((300, 200), (300, 5000), (50, 0), (2, 3)):
+        a, b = rng.integers(0, nodes, (2, edges))
+        at = op3_jaccard.forest(a, b, nodes)
+        roots = []
+        for kept in (range(edges), at.tolist()):
+            root = list(range(nodes))
+            for e in kept:
+                x, y = root[a[e]], root[b[e]]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            roots.append(root)
+        assert roots[0] == roots[1] and len(at) == nodes - len(set(roots[0]))
+
+
+@pytest.mark.parametrize("num, den", [(3, 4), (1, 2)])
+def test_links_of_a_cluster_join_what_links(num, den):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, 30)) for _ in range(4)]
+    sets += [np.unique(np.where(rng.random(len(s)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 2**63, len(s)), s)) for s in sets for _ in range(15)]
+    table = pa.table({"node": np.arange(len(sets)) * 7, "component": np.where(np.arange(len(sets)) % 5, np.arange(len(sets)) * 7, 0), "shingles": [s.astype(np.uint64).tobytes() for s in sets]})
+    links = op3_jaccard._cluster_links(num, den)(table.take(rng.permutation(len(sets))))
+    got = list(zip((links["a"].to_numpy() // 7).tolist(), (links["b"].to_numpy() // 7).tolist(), strict=True))
+    similar = lambda x, y: den * len(np.intersect1d(sets[x], sets[y])) >= num * len(np.union1d(sets[x], sets[y]))
+    assert got and all(a < b and similar(a, b) for a, b in got)
+    roots = []
+    for edges in (got, [(x, y) for y in range(len(sets)) for x in range(y) if similar(x, y)]):
+        root = [0 if i % 5 == 0 else i for i in range(len(sets))]
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        roots.append(root)
+    assert roots[0] == roots[1] and len(got) == len({i if i % 5 else 0 for i in range(len(sets))}) - len(set(roots[0]))
+
+
 def test_r_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(1)
     points = rng.poisson(1.5, (400, 8))
