@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             at = end
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, after which the memory that the task freed goes back to the system: the worker lives on, and what
+    it keeps is missing to the JVM and to the workers of later stages."""
+
+    @functools.wraps(run)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return done
+
+
 def words_of(t: Texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, text number) of every word, and the bytes (A-Z lower-cased if asked)."""
     b = t.bytes

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arauto.llm.common import Texts, binaries, join_ids, mix, slices, staged, width, word_ids, words_of
+from arauto.llm.common import Texts, binaries, join_ids, lean, mix, slices, staged, width, word_ids, words_of
 from arauto.llm.graph import components
 
 SHINGLE = 5
@@ -84,7 +84,7 @@ def _count_cells(n: int):
 
 def rarity(docs: DataFrame, n: int) -> np.ndarray:
     """How many shingles of all documents fall into each of CELLS cells; CELLS numbers reach the driver, whatever the input."""
-    rows = docs.select("text").mapInArrow(_count_cells(n), "block int, " + ", ".join(f"{c} long" for c in _COUNTS))
+    rows = docs.select("text").mapInArrow(lean(_count_cells(n)), "block int, " + ", ".join(f"{c} long" for c in _COUNTS))
     table = rows.groupBy("block").agg(*[F.sum(c).alias(c) for c in _COUNTS]).toArrow()
     out = np.zeros((CELLS // ROW_CELLS, ROW_CELLS), np.int64)
     out[table["block"].to_numpy()] = np.stack([table[c].to_numpy() for c in _COUNTS], 1)
@@ -442,7 +442,7 @@ def texts_in(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 value, offsets = shingle_sets(Texts(batch.column("text")), n)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests(value, offsets), pa.binary()), binaries(value, offsets)], names=["doc_id", "digest", "shingles"])
 
-    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, digest binary, shingles binary")
+    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(lean(run), "doc_id long, digest binary, shingles binary")
 
 
 def paged(groups: DataFrame, shingles: int) -> DataFrame:
@@ -473,13 +473,13 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int =
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = spark.sparkContext.broadcast(rarity(docs, n))
-    features = staged(docs.mapInArrow(_features(n, cells, num, den), FEATURES).withColumn("row", F.monotonically_increasing_id()), "features")
+    features = staged(docs.mapInArrow(lean(_features(n, cells, num, den)), FEATURES).withColumn("row", F.monotonically_increasing_id()), "features")
     known = features.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = staged(known.groupBy("digest").agg(F.min("row").alias("rep")), "classes")
     of_rep = known.join(classes.select("digest", F.col("rep").alias("row")), ["digest", "row"])  # one row a class
     named = staged(of_rep.select(F.col("row").alias("node"), "doc_id", "digest"), "representatives")
     buckets = max(64, width(spark))
-    shared = known.select(F.col("row").alias("node"), "digest", "keys").mapInArrow(_ship_keys(buckets), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, node long")
+    shared = known.select(F.col("row").alias("node"), "digest", "keys").mapInArrow(lean(_ship_keys(buckets)), BLOCKS).groupBy("bucket").applyInArrow(_shared_keys, "key long, node long")
     shared = staged(shared, "blocks")
     class_of = known.select(F.col("row").alias("node"), "digest").join(classes, "digest")
     member = staged(shared.select("node").distinct().join(class_of, "node").select("node", "rep").distinct(), "members")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arauto.llm.common import K2, S32, Texts, binaries, join_ids, mix, slices, width
+from arauto.llm.common import K2, S32, Texts, binaries, join_ids, lean, mix, slices, width
 
 LOW = np.uint64(0xFFFFFFFF)
 SHIP = "bucket int, settled boolean, rowkeys binary, ks binary, counts binary, gram binary, cover binary, place binary, span binary"
@@ -311,9 +311,9 @@ def removed_windows(keyed_docs: DataFrame, win: Windows, finish, schema: str) ->
     parts = width(spark)
     buckets = max(24, parts // 2)  # of anchors; a document meets each at most once, however wide the session
     docs = keyed_docs.repartition(parts, "rowkey")
-    flags = docs.mapInArrow(ship_runs(win, buckets), SHIP).groupBy("bucket").applyInArrow(judge_runs, FLAGS)
+    flags = docs.mapInArrow(lean(ship_runs(win, buckets)), SHIP).groupBy("bucket").applyInArrow(judge_runs, FLAGS)
     marks = flags.groupBy("rowkey").agg(F.collect_list("data").alias("data"), F.max("fine").alias("fine"))
     fine = docs.join(marks.filter("fine"), "rowkey")
-    single = fine.mapInArrow(ship_windows(win, 4 * buckets), SHIP).groupBy("bucket").applyInArrow(judge_windows if win.letters is None else judge_covers(win), FLAGS)
+    single = fine.mapInArrow(lean(ship_windows(win, 4 * buckets)), SHIP).groupBy("bucket").applyInArrow(judge_windows if win.letters is None else judge_covers(win), FLAGS)
     starts = single.groupBy("rowkey").agg(F.collect_list("data").alias("starts"))
-    return docs.join(marks, "rowkey", "left").join(starts, "rowkey", "left").mapInArrow(finish, schema)
+    return docs.join(marks, "rowkey", "left").join(starts, "rowkey", "left").mapInArrow(lean(finish), schema)
