@@ -69,6 +69,15 @@ def test_feed(spark):
     assert [r.url for r in extract.broken_feeds(df).collect()] == ["https://c/feed"]
 
 
+@pytest.mark.parametrize("broken", [False, True])
+def test_the_rows_of_a_feed_do_not_carry_the_feed(spark, broken):
+    df = raw(spark, ("https://a/feed", XML, feed([(f"Chamada {i}", f"https://a/c{i}", "texto") for i in range(3)]), "ifrs"), ("https://c/feed", XML, "<rss><channel><item>", "ifrs"))
+    got = extract.extract_feed(df, broken=broken)
+    assert sorted(r.parser_name for r in got.collect()) == [extract.BROKEN_FEED] * broken + ["ifrs+rss"] * 3
+    made = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line]
+    assert made and all("feed#" not in line for line in made)
+
+
 def test_listing_stages(spark):
     block = lambda i, t: f'<article><h2><a href="/n{i}">{t}</a></h2><p>Inscricoes 0{1 + i % 9}/03/2026</p></article>'
     one = "<body>" + "".join(block(i, f"Edital {i}" if i % 2 else "Notícia") for i in range(60)) + '<a href="/z">Edital avulso</a></body>'
