@@ -208,6 +208,41 @@ def test_a_keyword_table_gives_what_the_dictionary_gives(spark):
     assert {tuple(r) for r in hits.collect()} == {(1, "x"), (2, "x"), (2, "xy"), (3, "x"), (3, "xy"), (3, "wxyz")}
 
 
+@pytest.mark.parametrize("part", [1 << 20, 9])
+def test_texts_are_judged_by_a_keyword_table_where_they_are_read(spark, monkeypatch, part):
+    """Equal to brute force, for a table sent as a whole and in parts; rows that share an id count for one another, as ever."""
+    monkeypatch.setattr(classify, "KEYWORDS", part)
+    rnd = random.Random(9)
+    syllables = ["a", "bé", "co", "dü", "😀", "\n"]
+    word = lambda n: "".join(rnd.choice(syllables) for _ in range(n))
+    table = {(f"A{k % 4}", None if k % 4 == 3 else k % 4 // 2, word(rnd.randrange(1, 16))) for k in range(150)} | {("A0", 0, "bébébé"), ("A1", 0, "bébébé")}
+    bodies = [word(rnd.randrange(400)) for _ in range(40)] + [None, ""]
+    rows = [*enumerate(bodies), (7, bodies[7]), (7, bodies[7]), (None, "bébébé")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    keywords = spark.createDataFrame([*table, ("A9", 9, ""), ("A9", 9, None)], "area string, rank int, keyword string")
+    got = classify.classify_by_table(texts, keywords).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        times = 9 if r.id == 7 else 1
+        body = bodies[r.id] if r.id is not None else None
+        hits = {(a, k): sorted((w for b, l, w in table if (b, l) == (a, k) and w in (body or "")) , key=str.encode) for a, k, _ in table}
+        best = max(((len(h), k is not None, -(k or 0)) for (a, k), h in hits.items()), default=(0,))
+        if not best[0]:
+            assert (r.area, r.confidence, r.evidence) == (None, 0, [])
+            continue
+        of = {a: h for (a, k), h in hits.items() if (len(h), k is not None, -(k or 0)) == best}
+        assert r.area in of and r.evidence == [w for w in of[r.area] for _ in range(times)] and r.confidence == pytest.approx(min(0.95, 0.3 + 0.15 * best[0] * times))
+    words = {w for _, _, w in table}
+    want = [(i, w) for i, b in enumerate(bodies) for w in words if b and w in b for _ in range(9 if i == 7 else 1)]
+    assert sorted(map(tuple, classify.keyword_hits(texts, keywords).collect())) == sorted(want)
+
+
+def test_no_text_is_shuffled_to_meet_a_keyword_table(spark):
+    texts = spark.createDataFrame([(1, "quer idade"), (2, "x")], "id int, text string")
+    plan = classify.classify_by_table(texts, spark.createDataFrame([("a", 0, "idade")], "area string, rank int, keyword string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_a_text_meets_its_candidate_keywords_once(spark):
     words = ["a", "😀b", "abcdefg", "abcdefgh", "xabcdefg", "zzzabcdefg", "quer\nidade", "idade", "", None]
     bodies = ["xabcdefgh", "abcdefg", "so quer\nidade 😀b", "😀😀xabcdef", "zzabcdefgzz", "", None]
