@@ -18,6 +18,10 @@ from arauto.functions.fields import two_decimals
 from arauto.functions.text import ColumnLike, _col
 from arauto.operators.gate import registry_gate
 from arauto.operators.lookup import heavy_keys
+from arauto.session import cut_lineage
+
+#: Notices for every list of ids that a kind of them is cut into.
+LISTED = 20_000
 
 
 def contribution(area: Column, alvo: Column, admitting: tuple[str, ...] = dims.AREAS_ADMITTING_COMPUTING) -> Column:
@@ -82,38 +86,49 @@ def match_notices(notices: DataFrame, subscribers: DataFrame, institutions: Data
     """All matching (subscriber, notice) pairs of active subscribers with score and explanation.
 
     ``notices`` needs id, ies_nome, nivel, modalidade, area_cnpq_codigo and is_gratuito. What a match says follows from the
-    profile and the area, so it is worked out once per offer, before the join. ``counted`` gives, in place of ``edital_id``, one
-    row per subscriber and kind of notice that is alike in all that matching looks at, with ``notices``, how many they are.
+    profile and the area, so it is worked out once per offer, before the join. Notices of a kind, alike in all that matching looks
+    at, meet an offer as lists of their ids, and become rows last, in as many tasks as there are shuffle partitions, or four for
+    every core: the pairs are many where the tables are small. ``counted`` gives, in place of ``edital_id``, one row per subscriber
+    and kind, with ``notices``, how many they are.
     """
+    kind, by_area, by_level = ["nivel", "modalidade", "area", "is_gratuito", "in_registry"], ["area", "nivel", "modalidade"], ["nivel", "modalidade"]
+    notices = cut_lineage(notices.select("id", "ies_nome", *by_level, "area_cnpq_codigo", "is_gratuito"))
     n = _notice_side(notices, institutions)
-    if counted:
-        n = n.groupBy("nivel", "modalidade", "area", "is_gratuito", "in_registry").agg(F.count(F.lit(1)).alias("notices"))
-        salts = 1
-    by_area, by_level = ["area", "nivel", "modalidade"], ["nivel", "modalidade"]
+    salts = 1 if counted else salts
     parts, wide = _parts(notices, salts, "area_cnpq_codigo", *by_level), _parts(notices, salts, *by_level)
-    slot = lambda of: F.lit(0) if counted else F.pmod(F.xxhash64("edital_id"), of).cast("int")
+    spark = notices.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    if counted:
+        n = n.groupBy(*kind).agg(F.count(F.lit(1)).alias("notices"))
+        slot, dealt = lambda of: F.lit(0), lambda rows, *key: rows
+    else:
+        lists = F.greatest(F.lit(max(1, -(-notices.count() // LISTED))), parts(*by_area), wide(*by_level))
+        n = n.groupBy(*kind, F.pmod(F.xxhash64("edital_id"), lists).alias("list")).agg(F.collect_list(F.struct("edital_id")).alias("editais"))
+        slot, dealt = lambda of: F.pmod("list", of).cast("int"), lambda rows, *key: rows.repartition(tasks, *key)
     copies = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
     active = subscribers.where("ativo").select(
         F.col("id").alias("subscriber_id"), F.col("nome").alias("subscriber"), "areas_alvo", "apenas_gratuitos",
         "apenas_ies_emec_publicas", "score_minimo",
         F.array_distinct("niveis_aceitos").alias("niveis"), F.array_distinct("modalidades_aceitas").alias("modos"),
-    )
+    ).repartition(tasks)
     # one row per level, mode and salt; each target area's score is settled before the join
     offers = active.withColumn("nivel", F.explode("niveis")).withColumn("modalidade", F.explode("modos")).drop("niveis", "modos")
     codes = F.array_distinct(F.transform("areas_alvo", lambda a: a["codigo_cnpq"]))
     wanted = offers.withColumn("area", F.explode(codes)).withColumn("soft", soft_score(F.col("area"), F.col("areas_alvo"), admitting))
     wanted = _result(wanted.where(F.col("soft.score") >= F.col("score_minimo")), None).drop("areas_alvo", "soft").withColumn("salt", copies(parts(*by_area)))
     open_to = (F.col("is_gratuito") | ~F.col("apenas_gratuitos")) & (F.col("in_registry") | ~F.col("apenas_ies_emec_publicas"))
-    hits = n.withColumn("salt", slot(parts(*by_area))).join(wanted, [*by_area, "salt"]).where(open_to)
+    hits = dealt(n.withColumn("salt", slot(parts(*by_area))), *by_area, "salt").join(dealt(wanted, *by_area, "salt"), [*by_area, "salt"]).where(open_to)
     # profiles with a minimum of 0 or less also match notices outside their areas
     nothing = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("contributing"))
     any_area = _result(offers.where("score_minimo <= 0").withColumn("soft", nothing), None).withColumn("codes", codes)
     any_area = any_area.drop("areas_alvo", "soft").withColumn("salt", copies(wide(*by_level)))
     outside = F.col("area").isNull() | ~F.array_contains("codes", F.col("area"))
-    rest = n.withColumn("salt", slot(wide(*by_level))).join(any_area, [*by_level, "salt"]).where(open_to & outside)
-    return hits.unionByName(rest, allowMissingColumns=True).select(
-        "subscriber_id", "subscriber", "notices" if counted else "edital_id", "score", score_bucket("score").alias("bucket"), "reasons",
-        "contributing_areas", "explanation_json")
+    rest = dealt(n.withColumn("salt", slot(wide(*by_level))), *by_level, "salt").join(dealt(any_area, *by_level, "salt"), [*by_level, "salt"]).where(open_to & outside)
+    said = ["score", "bucket", "reasons", "contributing_areas", "explanation_json"]
+    found = hits.unionByName(rest, allowMissingColumns=True).withColumn("bucket", score_bucket("score"))
+    if counted:
+        return found.select("subscriber_id", "subscriber", "notices", *said)
+    return found.select("subscriber_id", "subscriber", F.explode("editais").alias("edital"), *said).select("subscriber_id", "subscriber", "edital.edital_id", *said)
 
 
 def explain_pairs(pairs: DataFrame, notices: DataFrame, subscribers: DataFrame, institutions: DataFrame,

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from arauto import dims, schemas
 from arauto.operators import contracts, dedup, digest, enrich, gate, listing, match, ops, tables
 from arauto.plans import ingest
-from arauto.plans.catalog import query, table
-from arauto.plans.catalog import sql_simhash
+from arauto.plans.catalog import dealt, query, sql_simhash, table
 from arauto.plans.q_text import CAPTURES, SQL_FROM, SQL_LEVEL, SQL_MODE, SQL_TO, order_texts, part_notices, sql_pick
 from arauto.functions import fields as f
 from arauto.session import checkpoint_dir
@@ -184,7 +183,7 @@ BRAND_NUMBER = "regexp_extract(p_brand, '[0-9]+')::int"
 
 def part_match_notices(spark: SparkSession, d: str) -> DataFrame:
     """Parts as notices: brand is the area, type the level, size the mode and price the tuition."""
-    n = part_notices(table(spark, d, "part"))
+    n = part_notices(dealt(table(spark, d, "part")))
     return n.select(
         F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("area_cnpq_codigo"), f.level_from_text("titulo").alias("nivel"),
         f.mode_from_text("texto").alias("modalidade"), (F.col("p_retailprice") > 1000).alias("is_gratuito"),

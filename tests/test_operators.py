@@ -357,6 +357,30 @@ def test_matching_splits_the_keys_that_hold_much(spark, plain_joins):
     assert everything.count() == 3000 and everything.select("edital_id").distinct().count() == 3000
 
 
+@pytest.mark.parametrize("minimum", [0.0, 0.7])
+def test_notices_of_a_kind_meet_an_offer_as_lists(spark, monkeypatch, minimum):
+    """Pairs become rows after the join; ids that repeat, or are null, stay rows of their own."""
+    monkeypatch.setattr(match, "LISTED", 3)
+    rnd = random.Random(6)
+    rows = [(rnd.choice([str(i), str(i % 5), None]), rnd.choice(["10300007", "60100009", None]), rnd.choice([*dims.LEVELS[:3], None]), rnd.choice([*dims.MODES[:2], None]),
+             rnd.choice([True, False, None]), rnd.choice(["UFRGS", "x", None])) for i in range(200)]
+    n = spark.createDataFrame(rows, "id string, area_cnpq_codigo string, nivel string, modalidade string, is_gratuito boolean, ies_nome string")
+    s = profile(spark, minimum).union(profile(spark, minimum, id="t", apenas_gratuitos=False, apenas_ies_emec_publicas=False))
+    listed = {a["codigo_cnpq"] for a in profile(spark).first().areas_alvo}
+
+    def fits(who, _id, area, level, mode, free, name):
+        strict = who == "s"
+        return bool(level and mode and level in dims.LEVELS[:5] and mode in dims.MODES[:4] and (not strict or (free and name == "UFRGS")) and (area in listed or minimum <= 0))
+
+    got = match.match_notices(n, s, institutions(spark))
+    want = [(who, r[0]) for who in "st" for r in rows if fits(who, *r)]
+    key = lambda p: (p[0], p[1] or "")
+    pairs = [(r.subscriber_id, r.edital_id) for r in got.collect()]
+    assert sorted(pairs, key=key) == sorted(want, key=key) and len(want) > 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(editais" in plan[:plan.index("Join")] and "RepartitionByExpression" in plan
+
+
 @pytest.mark.parametrize("salts", [None, 1, 5])
 def test_match_notices(spark, salts):
     got = {r.edital_id: r for r in match.match_notices(notices(spark), profile(spark), institutions(spark), salts).collect()}
